@@ -94,8 +94,12 @@ def candidate_outputs(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_conversations(table(spark, sf_dir, "conversations"))
+
+
+def from_conversations(conversations: DataFrame) -> DataFrame:
     """A rule per assistant turn, its whole text among the thinking steps."""
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr(
+    return conversations.where("role = 'assistant'").selectExpr(
         "conv_id * 100 + turn as item_id", "conv_id % 4 as run_id",
         """'Certainly!' || chr(10) || '[Guiding Tone]' || chr(10) || 'Authoritative' || chr(10) || chr(10)
            || '[Key Vocabulary]' || chr(10) || 'Clarity, term' || cast(conv_id % 7 as string) || ', Term'
@@ -116,7 +120,11 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return from_events(table(spark, sf_dir, "events"))
+
+
+def from_events(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id as call_id", "ts", "user_id % 4 as run_id",
         "case when event_type in ('view', 'click') then 'scorer' else 'optimizer' end as role",
         "case when event_type in ('view', 'click') then 'small:7b' else 'large:32b' end as model",

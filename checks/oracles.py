@@ -484,5 +484,11 @@ _BODIES = {
 
 def oracles() -> dict[str, str]:
     out = {name: _with(body) for name, body in _BODIES.items()}
+    # A stream gives what its batch twin gives. One batch of items is a pass under the seed pool.
+    for stream, twin in (("stream_graded_outputs", "graded_rows"), ("stream_tier1_chunks", "tier1_chunks"),
+                         ("stream_usage_cost", "cost_report"), ("stream_improvement", "improvement_status"),
+                         ("full_run_iterative", "improvement_status")):
+        out[stream] = out[twin] if twin in out else _with(
+            "select run_id, item_id, prompt_pos, raw_output, outcome from fx_graded")
     out["merge_tree"] = _with(_TREE, _STEPS)
     return out

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.models import MODELS, SETTINGS
 from promptmill import schemas
-from promptmill.functions import names, templates as tp, text as tx
+from promptmill.functions import names
+from promptmill.functions import text as tx
 from promptmill.functions.grading import came_back, grade
 from promptmill.operators import items as it
 from promptmill.operators import outcomes as oc
@@ -24,6 +25,10 @@ from promptmill.operators.completion import complete
 from promptmill.operators.ordered import lookup
 from promptmill.plans import improvement, merging, steps
 from promptmill.sources import results
+from promptmill.streaming.outputs import start_grading
+from promptmill.streaming.pools import start_improving
+from promptmill.streaming.rules import all_chunks, start_chunks
+from promptmill.streaming.usage import current_cost, start_totals
 from promptmill.workspace import fresh_folder, written
 
 SUBSET_REQUESTS = ("all", " src1, src3 ,missing", "")
@@ -538,3 +543,43 @@ def full_run(spark, sf_dir):
 def full_run_iterative(spark, sf_dir):
     done = improvement.run_iterative(fx.items(spark, sf_dir), rq.SEED_PROMPTS, MODELS, SETTINGS, 1_000_000, relaxed=True)
     return done.status
+
+
+# Streams. Each must give what its batch twin gives, so it is checked by the same SQL.
+
+def _stream(spark, sf_dir, name):
+    schema = fx.table(spark, sf_dir, name).schema
+    # The source takes folders and patterns; a table may be either one file or a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+@query
+def stream_graded_outputs(spark, sf_dir):
+    folder = fresh_folder(spark, "graded-stream")
+    arriving = fx.answered(rq.ask_all(fx.from_documents(_stream(spark, sf_dir, "documents")), rq.SEED_PROMPTS))
+    start_grading(arriving, f"{folder}/rows", f"{folder}/log").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("run_id", "item_id", "prompt_pos", "raw_output", "outcome")
+
+
+@query
+def stream_tier1_chunks(spark, sf_dir):
+    folder = fresh_folder(spark, "chunk-stream")
+    running = start_chunks(fx.from_conversations(_stream(spark, sf_dir, "conversations")), folder, f"{folder}/log")
+    running.awaitTermination()
+    return all_chunks(spark, folder, running.lastProgress["batchId"])
+
+
+@query
+def stream_usage_cost(spark, sf_dir):
+    folder, keys = fresh_folder(spark, "usage-stream"), ["run_id", "role", "model"]
+    arriving = fx.from_events(_stream(spark, sf_dir, "events"))
+    start_totals(arriving, keys, f"{folder}/totals", f"{folder}/log").awaitTermination()
+    return current_cost(spark, f"{folder}/totals", keys).withColumn("est_cost", F.col("est_cost").cast("double"))
+
+
+@query
+def stream_improvement(spark, sf_dir):
+    folder = fresh_folder(spark, "improvement-stream")
+    arriving = fx.from_documents(_stream(spark, sf_dir, "documents"))
+    start_improving(arriving, rq.SEED_PROMPTS, MODELS, SETTINGS, folder, f"{folder}/log").awaitTermination()
+    return spark.read.parquet(f"{folder}/status").drop("round")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.operators import requests, rules
@@ -45,6 +45,103 @@ def run_base(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Mod
     return Run(done.status, done.candidates, tier1, _seed_pools(items, prompts), final, final_prompts)
 
 
+_POOL = "run_id long, valid_from long, prompt_pos int, prompt string"
+_WAITING = "run_id long, item_id long, rule_text string"
+_MADE = "run_id long, n_chunks long"
+
+
+@dataclass
+class Progress:
+    """What one round hands to the next: pools in force, rules waiting for a chunk, chunks made per run.
+
+    It holds at most a pool and ``group_size - 1`` rules per run, however many items went by.
+    """
+    pool: DataFrame
+    waiting: DataFrame
+    made: DataFrame
+
+    @staticmethod
+    def start(spark: SparkSession) -> Progress:
+        return Progress(*[spark.createDataFrame([], schema) for schema in (_POOL, _WAITING, _MADE)])
+
+    @staticmethod
+    def after(spark: SparkSession, base: str, n: int) -> Progress:
+        """As round ``n`` of the job in ``base`` left it."""
+        return Progress(*[
+            spark.read.schema(schema).parquet(f"{base}/progress/{name}/round={n}")
+            for name, schema in (("pool", _POOL), ("waiting", _WAITING), ("made", _MADE))])
+
+
+def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str, ...], models: Models,
+               settings: Settings, base: str, n: int, relaxed: bool) -> DataFrame:
+    """Improve a block of items under the pools in force and leave round ``n`` in ``base``.
+
+    Runs not seen before start with the seed ``prompts``. Returns, per run that filled a
+    chunk, the item up to which the round counts and how many chunks it made. A round
+    played again overwrites itself.
+    """
+    size = settings.group_size
+
+    def kept_as(df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, f"{base}/{name}/round={n}")
+
+    new_runs = todo.select("run_id").join(before.pool.select("run_id"), "run_id", "left_anti")
+    seeds = written(_seed_pools(new_runs, prompts), "seeds")
+    pool = before.pool.unionByName(seeds)
+    done = improve(requests.ask_pools(todo, pool, ["run_id"]), todo, models, settings)
+
+    all_rules = written(before.waiting.unionByName(done.rules), "round-rules")
+    filled = rules.tier1_chunks(all_rules, size).where(~F.col("is_tail"))
+    if not relaxed:
+        filled = filled.where("chunk = 0")
+    filled = written(filled, "filled")
+    last = written(filled.groupBy("run_id").agg(
+        F.max("sample_idx").alias("last_item"), F.count("*").alias("made")), "last")
+    texts = merge(filled, ["run_id", "chunk"], models, settings)
+    earlier = F.coalesce("n_chunks", F.lit(0))
+    placed = lookup(filled.drop("rules_block").join(texts, ["run_id", "chunk"]), before.made, ["run_id"])
+    kept_as(placed.withColumn("chunk", F.col("chunk") + earlier).drop("n_chunks"), "tier1")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """All of the round, or a run's rows up to the item that filled its chunk."""
+        if relaxed:
+            return rows
+        return lookup(rows, last.drop("made"), ["run_id"]).where(
+            F.col("last_item").isNull() | (F.col("item_id") <= F.col("last_item"))).drop("last_item")
+
+    kept_as(counted(done.status), "status")
+    kept_as(counted(done.candidates), "candidates")
+    open_rules = lookup(counted(all_rules), last.drop("made"), ["run_id"]).where(
+        F.col("last_item").isNull() | (F.col("item_id") > F.col("last_item"))).drop("last_item")
+    kept_as(open_rules.select("run_id", "item_id", "rule_text"), "progress/waiting")
+
+    newest = texts.groupBy("run_id").agg(F.max_by("rule_text", "chunk").alias("rule_text"))
+    generated = generate(newest, ["run_id"], settings.iterative_prompts, models, settings)
+    # In force from the item after the one that filled the chunk, or after the whole block.
+    ends = todo.groupBy("run_id").agg(F.max("item_id").alias("last_item")) if relaxed else last
+    starts = ends.select("run_id", (F.col("last_item") + 1).alias("valid_from"))
+    fresh = written(generated.join(starts, "run_id").select("run_id", "valid_from", "prompt_pos", "prompt"), "fresh")
+    kept_as(seeds.unionByName(fresh), "pools")
+    # A run whose rule gave no prompt keeps its pool.
+    kept_as(pool.join(fresh.select("run_id"), "run_id", "left_anti").unionByName(fresh), "progress/pool")
+    counts = before.made.unionByName(last.select("run_id", F.col("made").alias("n_chunks")))
+    kept_as(counts.groupBy("run_id").agg(F.sum("n_chunks").alias("n_chunks")), "progress/made")
+    return last
+
+
+def finish_rounds(spark: SparkSession, base: str, n: int, models: Models, settings: Settings) -> Run:
+    """Merge what still waits after round ``n`` as the tail, and the whole of ``base`` down to one rule per run."""
+    def all_rounds(name: str) -> DataFrame:
+        return spark.read.parquet(f"{base}/{name}").drop("round")
+    left = Progress.after(spark, base, n)
+    tail = lookup(rules.tier1_chunks(left.waiting, settings.group_size), left.made, ["run_id"])
+    tail = written(tail.withColumn("chunk", F.col("chunk") + F.coalesce("n_chunks", F.lit(0))).drop("n_chunks"), "tail")
+    tail = merging.merge_chunks(tail, models, settings)
+    tier1 = written(all_rounds("tier1").select(*tail.columns).unionByName(tail), "tier1")
+    final, final_prompts = _finish(tier1, models, settings)
+    return Run(all_rounds("status"), all_rounds("candidates"), tier1, all_rounds("pools"), final, final_prompts)
+
+
 def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Models,
                   settings: Settings = Settings(), block: int = 1000, relaxed: bool = False) -> Run:
     """Runs whose pool is replaced whenever a chunk of rules fills.
@@ -54,86 +151,32 @@ def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models
     on after it with the new pool, which is exactly the one-item-at-a-time result. With
     ``relaxed`` it keeps the whole block and takes the pool of its last chunk, for fewer rounds.
     """
-    spark, size = items.sparkSession, settings.group_size
+    spark = items.sparkSession
     base = fresh_folder(spark, "iterative")
     # Numbered once and stored in that order, so that a round's scan reads only its part.
     numbered = with_ordinal(items, ["run_id"], "item_id").repartitionByRange("run_id", "ordinal") \
         .sortWithinPartitions("run_id", "ordinal")
     numbered = written(numbered, "numbered", f"{base}/items")
-    pool = written(_seed_pools(items, prompts), "pool", f"{base}/pools/round=0")
-    # Per run: the next ordinal, how many items there are, rules waiting and chunks made.
-    state = written(numbered.groupBy("run_id").agg(
-        F.lit(0).cast("long").alias("next"), F.count("*").alias("n_items"), F.lit(0).cast("long").alias("n_chunks")),
-        "state")
-    waiting = spark.createDataFrame([], "run_id long, item_id long, rule_text string")
-    n = 0
+    cursor = written(numbered.groupBy("run_id").agg(
+        F.lit(0).cast("long").alias("next"), F.count("*").alias("n_items")), "cursor")
+    n, progress = 0, Progress.start(spark)
     while True:
-        low, high = state.where("next < n_items").agg(F.min("next"), F.max("next")).first()
+        low, high = cursor.where("next < n_items").agg(F.min("next"), F.max("next")).first()
         if low is None:
-            break
+            return finish_rounds(spark, base, n, models, settings)
         n += 1
         todo = lookup(
             numbered.where((F.col("ordinal") >= low) & (F.col("ordinal") < high + block)),
-            state.select("run_id", "next"), ["run_id"], "inner",
+            cursor.select("run_id", "next"), ["run_id"], "inner",
         ).where((F.col("ordinal") >= F.col("next")) & (F.col("ordinal") < F.col("next") + block)).drop("next")
         todo = written(todo, "todo")
-        asked = requests.ask_pools(todo, pool, ["run_id"])
-        done = improve(asked.drop("ordinal", "valid_from"), todo.drop("ordinal"), models, settings)
-
-        all_rules = written(waiting.unionByName(done.rules), "round-rules")
-        chunks = rules.tier1_chunks(all_rules, size)
-        filled = chunks.where(~F.col("is_tail"))
-        if not relaxed:
-            filled = filled.where("chunk = 0")
-        filled = written(filled, "filled")
-        last = filled.groupBy("run_id").agg(F.max("sample_idx").alias("last_item"), F.count("*").alias("made"))
-        last = written(last, "last")
-        texts = merge(filled, ["run_id", "chunk"], models, settings)
-        placed = lookup(filled.drop("rules_block").join(texts, ["run_id", "chunk"]),
-                        state.select("run_id", "n_chunks"), ["run_id"], "inner")
-        written(placed.withColumn("chunk", F.col("chunk") + F.col("n_chunks")).drop("n_chunks"), "t",
-                f"{base}/tier1/round={n}")
-
-        # What counts of this round: all of it, or up to the item that filled the chunk.
-        def kept(rows: DataFrame) -> DataFrame:
-            if relaxed:
-                return rows
-            met = lookup(rows, last, ["run_id"])
-            return met.where(F.col("last_item").isNull() | (F.col("item_id") <= F.col("last_item"))) \
-                .drop("last_item", "made")
-        written(kept(done.status), "s", f"{base}/status/round={n}")
-        written(kept(done.candidates), "c", f"{base}/candidates/round={n}")
-        # Rules after the last filled chunk wait; in exact mode those of discarded items do not count.
-        after = lookup(kept(all_rules), last, ["run_id"])
-        waiting = written(after.where(
-            F.col("last_item").isNull() | (F.col("item_id") > F.col("last_item"))).drop("last_item", "made"), "waiting")
-
-        newest = texts.groupBy("run_id").agg(F.max_by("rule_text", "chunk").alias("rule_text"))
-        made = generate(newest, ["run_id"], settings.iterative_prompts, models, settings)
-        # In force from the item after the one that filled the chunk, or after the whole block.
-        ends = todo.groupBy("run_id").agg(F.max("item_id").alias("last_item")) if relaxed else last
-        starts = ends.select("run_id", (F.col("last_item") + 1).alias("valid_from"))
-        fresh = written(made.join(starts, "run_id").select("run_id", "valid_from", "prompt_pos", "prompt"), "p",
-                        f"{base}/pools/round={n}")
-        # A run whose rule gave no prompt keeps its pool.
-        pool = written(pool.join(fresh.select("run_id").distinct(), "run_id", "left_anti").unionByName(fresh), "pool")
-
-        at_fill = numbered.select("run_id", F.col("item_id").alias("last_item"), "ordinal")
-        reached = last.join(at_fill, ["run_id", "last_item"]).select("run_id", "made", F.col("ordinal").alias("at"))
-        moved = state.join(reached, "run_id", "left")
-        next_whole = F.least(F.col("next") + block, F.col("n_items"))
-        state = written(moved.select(
-            "run_id",
-            (next_whole if relaxed else F.when(F.col("at").isNotNull(), F.col("at") + 1).otherwise(next_whole))
-            .alias("next"),
-            "n_items", (F.col("n_chunks") + F.coalesce("made", F.lit(0))).alias("n_chunks")), "state")
-
-    def all_rounds(name: str) -> DataFrame:
-        return spark.read.parquet(f"{base}/{name}").drop("round")
-    # What still waits at the end is the tail.
-    tail = lookup(rules.tier1_chunks(waiting, size), state.select("run_id", "n_chunks"), ["run_id"], "inner") \
-        .withColumn("chunk", F.col("chunk") + F.col("n_chunks")).drop("n_chunks")
-    tail = merging.merge_chunks(written(tail, "tail"), models, settings)
-    tier1 = written(all_rounds("tier1").select(*tail.columns).unionByName(tail), "tier1")
-    final, final_prompts = _finish(tier1, models, settings)
-    return Run(all_rounds("status"), all_rounds("candidates"), tier1, all_rounds("pools"), final, final_prompts)
+        last = play_round(todo.drop("ordinal"), progress, prompts, models, settings, base, n, relaxed)
+        progress = Progress.after(spark, base, n)
+        ends = F.least(F.col("next") + block, F.col("n_items"))
+        if relaxed:
+            cursor = written(cursor.withColumn("next", ends), "cursor")
+        else:
+            reached = todo.select("run_id", F.col("item_id").alias("last_item"), "ordinal").join(
+                last, ["run_id", "last_item"]).select("run_id", (F.col("ordinal") + 1).alias("after"))
+            cursor = written(cursor.join(reached, "run_id", "left").select(
+                "run_id", F.coalesce("after", ends).alias("next"), "n_items"), "cursor")
