@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.operators.requests import SEED_PROMPTS, ask_all
+from promptmill.workspace import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +65,7 @@ def answered(asked: DataFrame) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answered(ask_all(items(spark, sf_dir), SEED_PROMPTS))
+    return answered(ask_all(spread(items(spark, sf_dir), "item_id"), SEED_PROMPTS))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from promptmill.streaming.outputs import start_grading
 from promptmill.streaming.pools import start_improving
 from promptmill.streaming.rules import all_chunks, start_chunks
 from promptmill.streaming.usage import current_cost, start_totals
-from promptmill.workspace import fresh_folder, written
+from promptmill.workspace import fresh_folder, spread, written
 
 SUBSET_REQUESTS = ("all", " src1, src3 ,missing", "")
 SLICES = ((5, 2), (0, 3), (2000, 1), (4, 0))
@@ -140,7 +140,8 @@ def _texts(spark, sf_dir):
     """Every output, document and conversation turn, whole."""
     outputs = fx.outputs(spark, sf_dir).selectExpr(
         "'output' as kind", "item_id as id", "cast(prompt_pos as bigint) as pos", "raw_output as text")
-    documents = fx.table(spark, sf_dir, "documents").selectExpr("'document'", "doc_id", "cast(0 as bigint)", "text")
+    documents = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr(
+        "'document'", "doc_id", "cast(0 as bigint)", "text")
     turns = fx.table(spark, sf_dir, "conversations").selectExpr("'turn'", "conv_id", "turn", "text")
     return outputs.union(documents).union(turns)
 
@@ -277,16 +278,17 @@ def run_comparison(spark, sf_dir):
 
 # Refining and verifying.
 
-def _outcomes(spark, sf_dir):
-    return oc.item_outcomes(_graded(spark, sf_dir), ["run_id", "item_id", "subset"])
+def _stored(spark, sf_dir):
+    """Graded outputs as the table they are in a job: graded once, read by every step after."""
+    return written(_graded(spark, sf_dir), "graded")
 
 
-def _pairs(spark, sf_dir):
-    return rf.rewrite_pairs(oc.item_outcomes(_graded(spark, sf_dir)), fx.responses(spark, sf_dir))
+def _pairs(spark, sf_dir, graded):
+    return rf.rewrite_pairs(oc.item_outcomes(graded), fx.responses(spark, sf_dir))
 
 
-def _candidates(spark, sf_dir):
-    return rf.check_candidates(grade(fx.candidate_outputs(_pairs(spark, sf_dir), fx.items(spark, sf_dir))))
+def _candidates(spark, sf_dir, graded):
+    return rf.check_candidates(grade(fx.candidate_outputs(_pairs(spark, sf_dir, graded), fx.items(spark, sf_dir))))
 
 
 @query
@@ -307,22 +309,24 @@ def extract_tags(spark, sf_dir):
 
 @query
 def rewrite_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir)
+    return _pairs(spark, sf_dir, _graded(spark, sf_dir))
 
 
 @query
 def verified_pairs(spark, sf_dir):
-    return rf.verified_pairs(_candidates(spark, sf_dir))
+    return rf.verified_pairs(_candidates(spark, sf_dir, _graded(spark, sf_dir)))
 
 
 @query
 def refinement_trace(spark, sf_dir):
-    return rf.refinement_trace(_candidates(spark, sf_dir))
+    return rf.refinement_trace(_candidates(spark, sf_dir, _graded(spark, sf_dir)))
 
 
 def _status(spark, sf_dir, compat=False):
-    return rf.item_status(_outcomes(spark, sf_dir), _candidates(spark, sf_dir), keep=("subset",), compat=compat) \
-        .withColumnRenamed("subset", "source")
+    graded = _stored(spark, sf_dir)
+    return rf.item_status(
+        oc.item_outcomes(graded, keep=("subset",)), _candidates(spark, sf_dir, graded),
+        keep=("subset",), compat=compat).withColumnRenamed("subset", "source")
 
 
 @query
@@ -361,8 +365,9 @@ def results_roundtrip(spark, sf_dir):
 
 @query
 def rule_requests(spark, sf_dir):
+    graded = _stored(spark, sf_dir)
     return rl.rule_requests(
-        rf.verified_pairs(_candidates(spark, sf_dir)), rf.failure_cases(_graded(spark, sf_dir)), DISTILS)
+        rf.verified_pairs(_candidates(spark, sf_dir, graded)), rf.failure_cases(graded), DISTILS)
 
 
 @query
@@ -431,7 +436,7 @@ def _pools(spark, sf_dir):
     made = starts.select(
         "run_id", "valid_from", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("prompt_pos"),
     ).withColumn("prompt", F.concat(F.lit("Pool "), "valid_from", F.lit(" prompt "), "prompt_pos"))
-    return seed.unionByName(made)
+    return written(seed.unionByName(made), "pools")
 
 
 @query

@@ -5,6 +5,9 @@ hold a third of all rows. The operators here cut every group into buckets of an
 integer position first, so that a window never sees more than one bucket, and carry
 the result of the earlier buckets in from a table with one row per bucket. Buckets are
 a plain function of the position: a recomputed partition lands in the same ones.
+
+Rows are read twice, the first time for keys and position only. Store the result of a costly
+or changing step before it is ordered.
 """
 
 from __future__ import annotations
@@ -111,10 +114,11 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
 
     No broadcast is forced: the optimizer broadcasts the table when its known size is
     below its threshold. Beyond that both sides are shuffled, and there a key shared by
-    a third of all rows is spread over ``salts`` tasks by repeating its one table row.
+    a third of all rows is spread over ``salts`` partitions by repeating its one table row;
+    adaptive skew handling splits those further where they are still large.
     """
     spread = [c for c in rows.columns if c not in keys]
-    narrow = [c for c in spread if rows.schema[c].dataType.typeName() in ("long", "integer", "string")]
+    narrow = [c for c in spread if rows.schema[c].dataType.typeName() in ("long", "integer")]
     salt = F.pmod(F.xxhash64(*(narrow or spread)), F.lit(salts)) if spread else F.lit(0)
     return (
         rows.withColumn("_salt", salt.cast("long"))

@@ -11,12 +11,15 @@ from promptmill.functions.grading import CORRECT, FAILED, WRONG
 ITEM = ["run_id", "item_id"]
 
 
-def item_outcomes(graded: DataFrame, keys: list[str] = ITEM) -> DataFrame:
-    """Per item: its correct and wrong prompts in pool order, and how many of each outcome."""
+def item_outcomes(graded: DataFrame, keys: list[str] = ITEM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per item: its correct and wrong prompts in pool order, and how many of each outcome.
+
+    A group is one item under one pool. ``keep`` names columns that are the same in all its rows.
+    """
     def prompts(outcome: str):
         pairs = F.array_sort(F.collect_list(F.when(F.col("outcome") == outcome, F.struct("prompt_pos", "prompt"))))
         return F.transform(pairs, lambda x: x["prompt"])
-    return graded.groupBy(*keys).agg(
+    return graded.groupBy(*keys, *keep).agg(
         prompts(CORRECT).alias("correct_prompts"),
         prompts(WRONG).alias("wrong_prompts"),
         F.count_if(F.col("outcome") == CORRECT).alias("n_correct"),

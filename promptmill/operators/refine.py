@@ -74,14 +74,14 @@ def check_candidates(checked: DataFrame, keys: list[str] = ITEM) -> DataFrame:
     """Add ``verified`` and ``model_output`` to graded candidate outputs.
 
     A candidate is verified when any call with its text was right for that item. Its shown
-    output is the last wrong one of that text, else a stand-in.
+    output is the last wrong one of that text, else a stand-in. Rows that are already
+    partitioned by item are not moved.
     """
     same_text = Window.partitionBy(*keys, "new_prompt")
     wrong = F.col("outcome") == WRONG
     last_wrong = F.max_by(F.when(wrong, F.col("raw_output")), F.when(wrong, F.col("pair_pos"))).over(same_text)
     verified = F.bool_or(F.col("outcome") == CORRECT).over(same_text)
-    # Partitioned by item, so that per-item steps that follow need no further shuffle.
-    return checked.repartition(*keys).withColumns({"verified": verified, "_last_wrong": last_wrong}).withColumn(
+    return checked.withColumns({"verified": verified, "_last_wrong": last_wrong}).withColumn(
         "model_output", F.coalesce(
             "_last_wrong", F.when(F.col("verified"), OUTPUT_IF_VERIFIED).otherwise(OUTPUT_IF_MISSING))
     ).drop("_last_wrong")

@@ -10,6 +10,7 @@ from promptmill.functions import text as tx
 from promptmill.operators.ordered import BUCKET, lookup, with_dense_rank, with_ordinal
 from promptmill.operators.outcomes import ITEM
 from promptmill.operators.refine import in_order
+from promptmill.workspace import written
 
 # Tier names, and headings of a merged rule.
 TIER1, FOLD, TAIL, CONVERGENCE, FINAL = "Tier-1", "Recursive/Tier-N", "Cleanup Tier-0", "Convergence", "FINAL"
@@ -156,4 +157,5 @@ def rule_consensus(rules: DataFrame, keys: list[str], heading: str = "Key Vocabu
     terms = sections.select(*keys, F.explode(F.split("body", ",")).alias("term")).withColumn(
         "term", F.lower(tx.strip(F.col("term")))).where("term <> ''")
     counted = terms.groupBy("term").agg(F.count_distinct(*keys).alias("n_rules"))
-    return with_dense_rank(counted, "n_rules")
+    # Ranking reads the counts twice; the rules are read once.
+    return with_dense_rank(written(counted, "terms"), "n_rules")

@@ -11,7 +11,7 @@ from promptmill.operators.ordered import with_running_sums
 PRICES = {"scorer": ("0.00", "0.00"), "optimizer": ("2.50", "10.00")}
 
 
-def running_usage(usage: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def running_usage(usage: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     """Tokens used so far per run and role at every call, in time and then call order."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))
     total = F.col("prompt_tokens") + F.col("completion_tokens")

@@ -68,7 +68,8 @@ def verify(pairs: DataFrame, items: DataFrame, models: Models, settings: Setting
     asked = pairs.join(items, ITEM)
     requested = requests.with_request(asked, "pool", prompt="new_prompt").drop("question")
     answers = settings.ask(requested, models.scorer, "candidates", "raw_output")
-    return refine.check_candidates(grade(answers))
+    # Partitioned by item once, for the check by text and for the per-item steps after it.
+    return refine.check_candidates(grade(answers).repartition(*ITEM))
 
 
 def distil(candidates: DataFrame, failures: DataFrame, models: Models, settings: Settings) -> DataFrame:
@@ -107,7 +108,7 @@ def improve(asked: DataFrame, items: DataFrame, models: Models, settings: Settin
     failures = written(refine.failure_cases(graded), "failures")
     pairs = propose(graded, failures, items, models, settings)
     candidates = written(verify(pairs, items, models, settings), "checked")
-    outcomes = item_outcomes(graded, [*ITEM, "subset"])
+    outcomes = item_outcomes(graded, keep=("subset",))
     status = refine.item_status(
         outcomes, candidates, keep=("subset",), compat=settings.compat).withColumnRenamed("subset", "source")
     return Improved(graded, candidates, status, distil(candidates, failures, models, settings))

@@ -42,3 +42,15 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     path = folder or fresh_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows by ``keys`` when their files give fewer tasks than the session has cores.
+
+    Meant for text work over a few files that cannot be split. A table of many files, or a
+    stream, is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
