@@ -339,6 +339,33 @@ _TREE = f"""
   union all
   select run_id, 'Convergence', 1, 'FINAL', n_left, null, null, null from ends_left where n_left > 1"""
 
+
+def _merging(rules: str) -> str:
+    """Tables ``grown`` and ``final_rules``: neighbours merged level by level by the fixed-answer optimizer."""
+    merged = """'[Guiding Tone]' || chr(10) || 'Calm' || chr(10) || chr(10) || '[Key Vocabulary]' || chr(10) || 'merged '
+      || (length(replace(any_value(merges), '{rules_block}', string_agg('Rule ' || cast(place as varchar) || ':' || chr(10)
+        || rule_text, chr(10) || chr(10) order by place))) + length('Please fill the template based on the rules above.'))"""
+    return f"""numbered as materialized (select run_id, rule_text, merges,
+        row_number() over (partition by run_id order by item_id) - 1 as seq from {rules}, fx_templates),
+      depth as (select coalesce(max(cast(ceil(ln(ceil((seq + 1) / 3)) / ln(3) - 1e-9) as int)), 0) as levels from numbered),
+      grown as (
+        select run_id, 0 as level, seq // 3 as seq, {merged} as rule_text, any_value(merges) as merges
+        from (select *, seq % 3 + 1 as place from numbered) group by run_id, seq // 3
+        union all
+        select run_id, level + 1, seq // 3, case when count(*) = 1 then any_value(rule_text) else {merged} end, any_value(merges)
+        from (select *, seq % 3 + 1 as place from grown where level < (select levels from depth))
+        group by run_id, level, seq // 3),
+      final_rules as (select run_id, rule_text from grown where level = (select levels from depth))"""
+
+
+_FULL_RUN = """select f.run_id, f.rule_text, (select count(*) from grown g where g.run_id = f.run_id and level = 0) as n_merges,
+    p.prompt_pos, p.prompt
+  from final_rules f left join (select run_id, unnest(l) as prompt, generate_subscripts(l, 1) - 1 as prompt_pos from (
+    select run_id, ['Think about ' || n || ' things', 'Verify all of the ' || n || ' parts', 'Explain step ' || n] as l
+    from (select run_id, length(replace(prompts, '{num}', '8')) - length('{rules_block}') + length(rule_text)
+      + length('Please generate 8 new prompts based on the above rule now.') as n from final_rules, fx_templates)
+    where n % 4 <> 1)) p on f.run_id = p.run_id"""
+
 _BODIES = {
     "load_items": """select pos, question, answer, 'multiple_choice' as type, 'mmlu_' || subset as source from fx_formatted
       union all select item_id, text, text || ' #### ' || item_id, 'math', 'gsm8k' from benchmark
@@ -491,4 +518,6 @@ def oracles() -> dict[str, str]:
         out[stream] = out[twin] if twin in out else _with(
             "select run_id, item_id, prompt_pos, raw_output, outcome from fx_graded")
     out["merge_tree"] = _with(_TREE, _STEPS)
+    out["merged_rules"] = _with("select * from final_rules", _merging("fx_rules"))
+    out["full_run"] = _with(_FULL_RUN, _merging("fx_improve_rules"))
     return out
