@@ -70,7 +70,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewrite responses: tagged, loosely tagged, untagged, with a repeated rewrite."""
-    return items(spark, sf_dir).selectExpr(
+    return spread(items(spark, sf_dir), "item_id").selectExpr(
         "run_id", "item_id",
         """case item_id % 4
            when 0 then '<BLOCK><THOUGHT>t</THOUGHT><REWRITE_BEGIN>' || chr(10) || 'Check ' || subset

@@ -303,8 +303,8 @@ def rewrite_requests(spark, sf_dir):
 
 @query
 def extract_tags(spark, sf_dir):
-    return fx.responses(spark, sf_dir).select(
-        "item_id", F.posexplode(tx.tag_blocks(F.col("response"), "REWRITE")).alias("tag_pos", "body"))
+    return tx.with_tag_blocks(fx.responses(spark, sf_dir), "response", "REWRITE", "bodies").select(
+        "item_id", F.posexplode("bodies").alias("tag_pos", "body"))
 
 
 @query

@@ -88,14 +88,18 @@ def with_strict_choice(df: DataFrame, text: str, out: str) -> DataFrame:
     )
 
 
-def tag_blocks(text: Column, tag: str) -> Column:
-    """Trimmed bodies of ``<TAG_BEGIN>...</TAG_END>``; with a space for ``_`` if no exact one exists."""
+def with_tag_blocks(df: DataFrame, text: str, tag: str, out: str) -> DataFrame:
+    """Add the trimmed bodies of ``<TAG_BEGIN>...</TAG_END>``; with a space for ``_`` if no exact one exists.
+
+    The exact search is a column of its own: it runs once, and the second one only where it found nothing.
+    """
     def bodies(gap: str) -> Column:
         return F.regexp_extract_all(
-            text, F.lit(rf"(?is)<{tag}{gap}BEGIN>(.*?)</{tag}{gap}END>"), F.lit(1))
-    exact = bodies("_")
-    chosen = F.when(F.size(exact) > 0, exact).otherwise(bodies("[ _]"))
-    return F.coalesce(F.transform(chosen, strip), F.array().cast("array<string>"))
+            F.col(text), F.lit(rf"(?is)<{tag}{gap}BEGIN>(.*?)</{tag}{gap}END>"), F.lit(1))
+    exact = f"_{out}_exact"
+    chosen = F.when(F.size(exact) > 0, F.col(exact)).otherwise(bodies("[ _]"))
+    return df.withColumn(exact, bodies("_")).withColumn(
+        out, F.coalesce(F.transform(chosen, strip), F.array().cast("array<string>"))).drop(exact)
 
 
 def generated_prompts(text: Column, count: int | None = None) -> Column:

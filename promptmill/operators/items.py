@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptmill.functions import text as tx
 from promptmill.operators.ordered import lookup, with_ordinal
+from promptmill.workspace import written
 
 # Fixed values.
 CHOICE_SOURCE = "mmlu_"
@@ -87,25 +88,34 @@ def filter_subsets(items: DataFrame, requested: str | Iterable[str] | None, subs
 
 def slice_subsets(items: DataFrame, limit: int | None, offset: int = 0, subset: str = "subset",
                   position: str = "pos") -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of every subset by position; no limit means all from the offset."""
+    """Rows ``offset`` to ``offset + limit`` of every subset by position; no limit means all from the offset.
+
+    Positions are distinct within a subset. Only they are ranked: the bounds of each subset's
+    slice come out as one row, and the items themselves are neither sorted nor moved.
+    """
     unlimited = limit is None or limit <= 0
     if unlimited and offset == 0:
         return items
-    if not unlimited and offset + limit <= _PRUNED_LIMIT:
+    last = offset if unlimited else offset + limit
+    narrow = items.select(subset, position)
+    if last <= _PRUNED_LIMIT:
         inside = Window.partitionBy(subset).orderBy(position)
-        ranked = items.withColumn("_rank", F.row_number().over(inside))
-        kept = ranked.where((F.col("_rank") <= offset + limit) & (F.col("_rank") > offset))
-        return kept.drop("_rank")
-    numbered = with_ordinal(items, [subset], position, "_rank")
-    kept = numbered.where(F.col("_rank") >= offset)
+        ranked = narrow.withColumn("_rank", F.row_number().over(inside))
+    else:
+        ranked = with_ordinal(narrow, [subset], position, "_rank").withColumn("_rank", F.col("_rank") + 1)
+    bounds = ranked.where(F.col("_rank") <= last).groupBy(subset).agg(
+        F.max(F.when(F.col("_rank") <= offset, F.col(position))).alias("_low"), F.max(position).alias("_high"))
+    met = lookup(items, written(bounds, "bounds"), [subset], "inner")
+    kept = met.where(F.col("_low").isNull() | (F.col(position) > F.col("_low")))
     if not unlimited:
-        kept = kept.where(F.col("_rank") < offset + limit)
-    return kept.drop("_rank")
+        kept = kept.where(F.col(position) <= F.col("_high"))
+    return kept.drop("_low", "_high")
 
 
 def load_counts(items: DataFrame, subset: str = "subset") -> DataFrame:
-    """Rows per subset, and in all (null subset)."""
-    return items.rollup(subset).agg(F.count("*").alias("n_items"))
+    """Rows per subset, and in all (null subset). The totals add up counts, not rows."""
+    counted = items.groupBy(subset).agg(F.count("*").alias("n"))
+    return counted.rollup(subset).agg(F.sum("n").alias("n_items"))
 
 
 def with_item_index(items: DataFrame, subset: str = "subset", position: str = "pos",

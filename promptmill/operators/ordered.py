@@ -125,5 +125,5 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
         .join(
             table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))),
             [*keys, "_salt"], how)
-        .drop("_salt")
+        .select(*rows.columns, *[c for c in table.columns if c not in keys])
     )

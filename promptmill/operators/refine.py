@@ -61,8 +61,8 @@ def rewrite_requests(failures: DataFrame, items: DataFrame, template: str = tp.R
 def rewrite_pairs(outcomes: DataFrame, responses: DataFrame, tag: str = "REWRITE",
                   keys: list[str] = ITEM) -> DataFrame:
     """The i-th wrong prompt of an item with the i-th rewrite of its response; the shorter list decides."""
-    met = outcomes.select(*keys, "wrong_prompts").join(
-        responses.select(*keys, tx.tag_blocks(F.col("response"), tag).alias("_rewrites")), keys)
+    rewrites = tx.with_tag_blocks(responses, "response", tag, "_rewrites").select(*keys, "_rewrites")
+    met = outcomes.select(*keys, "wrong_prompts").join(rewrites, keys)
     size = F.least(F.size("wrong_prompts"), F.size("_rewrites"))
     zipped = F.arrays_zip(F.slice("wrong_prompts", 1, size).alias("old_prompt"),
                           F.slice("_rewrites", 1, size).alias("new_prompt"))

@@ -22,8 +22,13 @@ def _with_run(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(RUN, T.LongType())])
 
 
-def _writer(df: DataFrame, restart: bool):
-    """Append, or replace just the runs that are written."""
+def _writer(df: DataFrame, restart: bool, spread: bool = True):
+    """Append, or replace just the runs that are written.
+
+    Rows are rebalanced by run first: a run gets files of a good size and not one from every
+    task, and a run that holds much of the rows is split over many tasks.
+    """
+    df = df.hint("rebalance", RUN) if spread else df
     if restart:
         return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN)
     return df.write.mode("append").partitionBy(RUN)
@@ -90,7 +95,7 @@ def write_rule_log(blocks: DataFrame, path: str, restart: bool = True) -> None:
     Rows are spread by range, so a long log becomes many files and not one task's work.
     """
     ordered = blocks.repartitionByRange(RUN, "block_no").sortWithinPartitions(RUN, "block_no")
-    _writer(ordered.select("value", RUN), restart).text(path)
+    _writer(ordered.select("value", RUN), restart, spread=False).text(path)
 
 
 def read_rule_log(spark: SparkSession, path: str) -> DataFrame:

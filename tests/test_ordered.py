@@ -96,10 +96,11 @@ def test_slices(spark, limit, offset):
     assert {(r.subset, r.pos) for r in got} == want and len(got) == len(want)
 
 
-def test_small_slices_are_cut_before_the_shuffle(spark):
+def test_slicing_does_not_move_the_items(spark):
     df = spark.createDataFrame(_rows(), "subset string, pos long, v long")
-    plan = it.slice_subsets(df, 5, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    for limit, offset in ((5, 2), (2000, 3), (0, 4)):
+        plan = it.slice_subsets(df, limit, offset)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_head_and_tail(spark):
