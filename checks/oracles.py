@@ -427,6 +427,10 @@ _BODIES = {
         max(m) filter (run_id % 2 = 1) - max(m) filter (run_id % 2 = 0) as mean_lift,
         max(b) filter (run_id % 2 = 1) - max(b) filter (run_id % 2 = 0) as best_lift
       from (select run_id, avg(accuracy) as m, max(accuracy) as b from fx_accuracy group by run_id) group by run_id // 2""",
+    "evaluated_runs": """select n.run_id, path as run_path, avg(accuracy) as mean_accuracy, max(accuracy) as best_accuracy,
+        arg_max(prompt, accuracy * 1000 - prompt_pos / 1000) as best_prompt
+      from (select *, correct / total as accuracy from fx_loose_accuracy) a join fx_names n on a.run_id = n.run_id
+      group by n.run_id, path""",
     "failure_cases": "select * from fx_failures",
     "rewrite_requests": f"""select run_id, item_id, n_wrong, {_filled(REWRITES, num='cast(n_wrong as varchar)')} as system,
         '[TASK CONTEXT]' || {_NL} || 'Question: ' || question || {_NL} || 'Ground Truth: ' || answer || {_NL} || {_NL}
@@ -511,10 +515,10 @@ _BODIES = {
 
 def oracles() -> dict[str, str]:
     out = {name: _with(body) for name, body in _BODIES.items()}
-    # A stream gives what its batch twin gives. One batch of items is a pass under the seed pool.
+    # A stream gives what its batch twin gives. One batch or block of items is a pass under the seed pool.
     for stream, twin in (("stream_graded_outputs", "graded_rows"), ("stream_tier1_chunks", "tier1_chunks"),
                          ("stream_usage_cost", "cost_report"), ("stream_improvement", "improvement_status"),
-                         ("full_run_iterative", "improvement_status")):
+                         ("full_run_iterative", "improvement_status"), ("run_files", "improvement_status")):
         out[stream] = out[twin] if twin in out else _with(
             "select run_id, item_id, prompt_pos, raw_output, outcome from fx_graded")
     out["merge_tree"] = _with(_TREE, _STEPS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from promptmill.operators import usage as us
 from promptmill.operators.completion import complete
 from promptmill.operators.ordered import lookup
 from promptmill.plans import improvement, merging, steps
+from promptmill.plans.files import write_run
 from promptmill.sources import results
 from promptmill.streaming.outputs import start_grading
 from promptmill.streaming.pools import start_improving
@@ -268,6 +270,18 @@ def evaluable_runs(spark, sf_dir):
     return rp.evaluable_runs(paths, _saved_prompts(paths))
 
 
+@query
+def evaluated_runs(spark, sf_dir):
+    """Held-out results, named in the older way, with the run they came from."""
+    runs = _run_names(spark, sf_dir).select(F.col("path").alias("run_path"), *names.run_parts(F.col("path")))
+    files = rp.run_scores(oc.prompt_accuracy(_graded(spark, sf_dir, "loose"))).join(
+        _run_names(spark, sf_dir).select("run_id", F.regexp_extract("path", r"(\d{8}-\d{6})$", 1).alias("at")), "run_id")
+    evaluated = files.withColumn("path", F.concat(
+        F.lit("eval/small-7b-x_large-32b-x_Limit100_IterOn_5_"), "at", F.lit("_validation_eval.txt"))).select(
+        "run_id", "mean_accuracy", "best_accuracy", "best_prompt", *names.run_parts(F.col("path")))
+    return rp.with_training_run(evaluated, runs).select("run_id", "run_path", "mean_accuracy", "best_accuracy", "best_prompt")
+
+
 @query
 def run_comparison(spark, sf_dir):
     scores = rp.run_scores(oc.prompt_accuracy(_graded(spark, sf_dir)))
@@ -588,3 +602,14 @@ def stream_improvement(spark, sf_dir):
     arriving = fx.from_documents(_stream(spark, sf_dir, "documents"))
     start_improving(arriving, rq.SEED_PROMPTS, MODELS, SETTINGS, folder, f"{folder}/log").awaitTermination()
     return spark.read.parquet(f"{folder}/status").drop("round")
+
+
+@query
+def run_files(spark, sf_dir):
+    """The status file a full run leaves, with all its other files written beside it."""
+    folder = fresh_folder(spark, "run-files")
+    items = fx.items(spark, sf_dir)
+    settings = replace(SETTINGS, usage_folder=f"{folder}/usage")
+    done = improvement.run_base(items, rq.SEED_PROMPTS, MODELS, settings)
+    write_run(done, items, folder, spark.read.parquet(f"{folder}/usage"), {"scorer": "small:7b", "optimizer": "large:32b"})
+    return results.read_status(spark, f"{folder}/optimization_status").withColumnRenamed("id", "item_id")

@@ -60,6 +60,16 @@ def evaluable_runs(paths: DataFrame, prompts: DataFrame) -> DataFrame:
     return paths.join(prompts.select("path").distinct(), "path", "left_semi")
 
 
+def with_training_run(evaluated: DataFrame, runs: DataFrame) -> DataFrame:
+    """Held-out results with the run that made their prompts.
+
+    Both sides have the pieces of their names (``functions.names.run_parts``). Names differ
+    between the two, but the time a run started is in both.
+    """
+    pieces = [c for c in runs.columns if c in evaluated.columns and c != "started"]
+    return evaluated.join(runs.drop(*pieces), "started")
+
+
 def run_scores(accuracy: DataFrame, run: str = "run_id") -> DataFrame:
     return accuracy.groupBy(run).agg(
         F.avg("accuracy").alias("mean_accuracy"), F.max("accuracy").alias("best_accuracy"),

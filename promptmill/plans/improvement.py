@@ -17,17 +17,21 @@ from promptmill.workspace import fresh_folder, written
 @dataclass
 class Run:
     """Result tables, all keyed by ``run_id``."""
+    graded: DataFrame
     status: DataFrame
     candidates: DataFrame
+    rules: DataFrame
     tier1: DataFrame
+    merges: DataFrame
     pools: DataFrame
     final_rule: DataFrame
     final_prompts: DataFrame
 
 
-def _finish(tier1: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    final, _ = merging.merge_all(tier1, models, settings)
-    return final, generate(final, ["run_id"], settings.output_prompts, models, settings)
+def _finish(tier1: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merges above Tier-1, the rule they end in and the prompts made from it."""
+    final, merges = merging.merge_all(tier1, models, settings)
+    return merges, final, generate(final, ["run_id"], settings.output_prompts, models, settings)
 
 
 def _seed_pools(items: DataFrame, prompts: list[str] | tuple[str, ...]) -> DataFrame:
@@ -41,8 +45,9 @@ def run_base(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Mod
     done = improve(requests.ask_all(items, prompts), items, models, settings)
     chunks = written(rules.tier1_chunks(done.rules, settings.group_size), "chunks")
     tier1 = merging.merge_chunks(chunks, models, settings)
-    final, final_prompts = _finish(tier1, models, settings)
-    return Run(done.status, done.candidates, tier1, _seed_pools(items, prompts), final, final_prompts)
+    merges, final, final_prompts = _finish(tier1, models, settings)
+    return Run(done.graded, done.status, done.candidates, done.rules, tier1, merges, _seed_pools(items, prompts),
+               final, final_prompts)
 
 
 _POOL = "run_id long, valid_from long, prompt_pos int, prompt string"
@@ -109,6 +114,8 @@ def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str
         return lookup(rows, last.drop("made"), ["run_id"]).where(
             F.col("last_item").isNull() | (F.col("item_id") <= F.col("last_item"))).drop("last_item")
 
+    kept_as(counted(done.graded), "graded")
+    kept_as(counted(done.rules), "rules")
     kept_as(counted(done.status), "status")
     kept_as(counted(done.candidates), "candidates")
     open_rules = lookup(counted(all_rules), last.drop("made"), ["run_id"]).where(
@@ -138,8 +145,9 @@ def finish_rounds(spark: SparkSession, base: str, n: int, models: Models, settin
     tail = written(tail.withColumn("chunk", F.col("chunk") + F.coalesce("n_chunks", F.lit(0))).drop("n_chunks"), "tail")
     tail = merging.merge_chunks(tail, models, settings)
     tier1 = written(all_rounds("tier1").select(*tail.columns).unionByName(tail), "tier1")
-    final, final_prompts = _finish(tier1, models, settings)
-    return Run(all_rounds("status"), all_rounds("candidates"), tier1, all_rounds("pools"), final, final_prompts)
+    merges, final, final_prompts = _finish(tier1, models, settings)
+    return Run(all_rounds("graded"), all_rounds("status"), all_rounds("candidates"), all_rounds("rules"), tier1, merges,
+               all_rounds("pools"), final, final_prompts)
 
 
 def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Models,

@@ -8,7 +8,7 @@ has folds. ``balanced`` merges neighbours and takes a logarithm of that.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.functions import templates as tp
@@ -35,7 +35,7 @@ def _block(parts: DataFrame, keys: list[str], place: str) -> DataFrame:
 
 
 def merge_balanced(merged: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Final rule per run and all merges above Tier-1 (``run_id, level, seq, n_inputs, rule_text``)."""
+    """Final rule per run and all merges above Tier-1 (``run_id, tier, level, seq, sample_idx, n_inputs, rule_text``)."""
     size = settings.group_size
     current = merged.select("run_id", F.col("chunk").alias("seq"), "rule_text")
     made = []
@@ -44,7 +44,7 @@ def merge_balanced(merged: DataFrame, models: Models, settings: Settings) -> tup
         # Runs that are down to one rule pass through; the loop ends when all are.
         longest = current.agg(F.max("seq")).first()[0]
         if longest is None or longest == 0:
-            return current.select("run_id", "rule_text"), _union(made, current)
+            return current.select("run_id", "rule_text"), _union(made, current.sparkSession)
         parts = current.withColumn("parent", F.floor(F.col("seq") / size)).withColumn(
             "place", F.col("seq") % size + 1)
         blocks = _block(parts, ["run_id", "parent"], "place")
@@ -53,25 +53,26 @@ def merge_balanced(merged: DataFrame, models: Models, settings: Settings) -> tup
         single = parts.join(blocks.where("n_inputs = 1").select("run_id", "parent"), ["run_id", "parent"]) \
             .select("run_id", "parent", "rule_text")
         made.append(texts.join(several.select("run_id", "parent", "n_inputs"), ["run_id", "parent"]).select(
-            "run_id", F.lit(level).alias("level"), F.col("parent").alias("seq"), "n_inputs", "rule_text"))
+            "run_id", F.lit(ops.CONVERGENCE).alias("tier"), F.lit(level).alias("level"), F.col("parent").alias("seq"),
+            F.lit(ops.FINAL).alias("sample_idx"), "n_inputs", "rule_text"))
         current = written(
             texts.unionByName(single).withColumnRenamed("parent", "seq").select("run_id", "seq", "rule_text"),
             "level")
         level += 1
 
 
-def _union(made: list[DataFrame], like: DataFrame) -> DataFrame:
-    if not made:
-        return like.select(
-            "run_id", F.lit(0).alias("level"), "seq", F.lit(0).cast("long").alias("n_inputs"), "rule_text").limit(0)
-    out = made[0]
-    for more in made[1:]:
+_MERGES = "run_id long, tier string, level int, seq long, sample_idx string, n_inputs long, rule_text string"
+
+
+def _union(made: list[DataFrame], spark: SparkSession) -> DataFrame:
+    out = spark.createDataFrame([], _MERGES)
+    for more in made:
         out = out.unionByName(more)
     return out
 
 
 def merge_left_deep(merged: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Final rule per run and all merges above Tier-1 (``run_id, tier, seq, sample_idx, n_inputs, rule_text``)."""
+    """The same tables as :func:`merge_balanced`, in the order rules would be folded one by one."""
     size = settings.group_size
     tree = written(ops.merge_tree(merged, size), "tree")
     full = F.col("n_rules") == size
@@ -92,7 +93,7 @@ def merge_left_deep(merged: DataFrame, models: Models, settings: Settings) -> tu
     done = written(done, "done")
     final = tree.where(F.col("parent_tier").isNull()).select(*_NODE).join(done, _NODE).select("run_id", "rule_text")
     made = tree.where(F.col("tier").isin(ops.FOLD, ops.CONVERGENCE)).join(done, _NODE).select(
-        *_NODE, "sample_idx", "n_inputs", "rule_text")
+        "run_id", "tier", F.lit(0).alias("level"), "seq", "sample_idx", "n_inputs", "rule_text")
     return final, made
 
 

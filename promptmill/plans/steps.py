@@ -7,7 +7,7 @@ Items have ``run_id, item_id, question, answer, type, subset``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from promptmill.functions import templates as tp
 from promptmill.functions.grading import grade
 from promptmill.operators import refine, reports, requests, rules
-from promptmill.operators.completion import Model, complete
+from promptmill.operators.completion import Model, complete, usage_rows
 from promptmill.operators.outcomes import ITEM, item_outcomes, prompt_accuracy
 from promptmill.workspace import written
 
 
+# Roles in usage and cost.
+SCORER, OPTIMIZER = "scorer", "optimizer"
+
+
 @dataclass(frozen=True)
 class Models:
     """Builders of the model that answers questions and of the one that improves prompts."""
@@ -41,25 +45,30 @@ class Settings:
     generate_template: str = tp.GENERATE_TEMPLATE
     merge_order: str = "balanced"
     compat: bool = False
+    usage_folder: str | None = None
 
-    def ask(self, asked: DataFrame, model: Callable[[], Model], name: str, out: str = "response",
+    def ask(self, asked: DataFrame, model: Callable[[], Model], role: str, name: str, out: str = "response",
             strip: bool = True) -> DataFrame:
-        return written(
+        """Written answers; token usage of the calls goes to ``usage_folder`` when there is one."""
+        answers = written(
             complete(asked, model, self.max_tries, self.retry_delay, out, self.partitions, strip), name)
+        if self.usage_folder:
+            usage_rows(answers, role, ["run_id"]).write.mode("append").parquet(self.usage_folder)
+        return answers
 
 
 def evaluate(asked: DataFrame, model: Callable[[], Model], settings: Settings, placement: str = "pool",
              grader: str = "strict", strip: bool = True) -> DataFrame:
     """Answers to items × prompts, graded. The question stays behind once it is in the request."""
     requested = requests.with_request(asked, placement).drop("question")
-    return grade(settings.ask(requested, model, "outputs", "raw_output", strip), grader)
+    return grade(settings.ask(requested, model, SCORER, "outputs", "raw_output", strip), grader)
 
 
 def propose(graded: DataFrame, failures: DataFrame, items: DataFrame, models: Models,
             settings: Settings) -> DataFrame:
     """Wrong prompts with the rewrites the optimizer answers with."""
     asked = refine.rewrite_requests(failures, items, settings.rewrite_template)
-    answers = settings.ask(asked, models.optimizer, "rewrites")
+    answers = settings.ask(asked, models.optimizer, OPTIMIZER, "rewrites")
     return refine.rewrite_pairs(item_outcomes(graded), answers)
 
 
@@ -67,7 +76,7 @@ def verify(pairs: DataFrame, items: DataFrame, models: Models, settings: Setting
     """Rewrites asked and graded on their own item."""
     asked = pairs.join(items, ITEM)
     requested = requests.with_request(asked, "pool", prompt="new_prompt").drop("question")
-    answers = settings.ask(requested, models.scorer, "candidates", "raw_output")
+    answers = settings.ask(requested, models.scorer, SCORER, "candidates", "raw_output")
     # Partitioned by item once, for the check by text and for the per-item steps after it.
     return refine.check_candidates(grade(answers).repartition(*ITEM))
 
@@ -75,21 +84,21 @@ def verify(pairs: DataFrame, items: DataFrame, models: Models, settings: Setting
 def distil(candidates: DataFrame, failures: DataFrame, models: Models, settings: Settings) -> DataFrame:
     """One rule per item with a verified pair; empty answers are dropped."""
     asked = rules.rule_requests(refine.verified_pairs(candidates), failures, settings.rule_template)
-    answers = settings.ask(asked, models.optimizer, "rules")
+    answers = settings.ask(asked, models.optimizer, OPTIMIZER, "rules")
     return answers.where(F.length("response") > 0).select(*ITEM, F.col("response").alias("rule_text"))
 
 
 def merge(blocks: DataFrame, keys: list[str], models: Models, settings: Settings) -> DataFrame:
     """Merged rule text per block."""
     asked = rules.merge_requests(blocks, keys, settings.merge_template)
-    return settings.ask(asked, models.optimizer, "merges", "rule_text").select(
+    return settings.ask(asked, models.optimizer, OPTIMIZER, "merges", "rule_text").select(
         *keys, F.coalesce("rule_text", F.lit("")).alias("rule_text"))
 
 
 def generate(texts: DataFrame, keys: list[str], count: int, models: Models, settings: Settings) -> DataFrame:
     """Up to ``count`` prompts per rule text; a failed call gives none."""
     asked = rules.generation_requests(texts, keys, count, settings.generate_template)
-    return rules.generated_pool(settings.ask(asked, models.optimizer, "prompts"), keys, count)
+    return rules.generated_pool(settings.ask(asked, models.optimizer, OPTIMIZER, "prompts"), keys, count)
 
 
 @dataclass
@@ -99,7 +108,6 @@ class Improved:
     candidates: DataFrame
     status: DataFrame
     rules: DataFrame
-    extra: dict = field(default_factory=dict)
 
 
 def improve(asked: DataFrame, items: DataFrame, models: Models, settings: Settings) -> Improved:

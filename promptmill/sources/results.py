@@ -73,6 +73,11 @@ def write_prompts(pools: DataFrame, path: str) -> None:
     packed.write.mode("overwrite").partitionBy(RUN).text(path)
 
 
+def write_final_rules(rules: DataFrame, path: str) -> None:
+    """The final rule of every run as a text file of its own."""
+    rules.select(F.col("rule_text").alias("value"), RUN).write.mode("overwrite").partitionBy(RUN).text(path)
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Prompts of saved prompt files (``path``, ``prompt_pos``, ``prompt``)."""
     whole = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))

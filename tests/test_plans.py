@@ -114,3 +114,42 @@ def test_held_out_counts_failed_calls(items):
     assert sum(r.total for r in got) == 50 * 3 and any(r.answered < r.total for r in got)
     for r in got:
         assert r.accuracy == r.correct / r.total
+
+
+def test_run_files(spark, items, tmp_path):
+    from promptmill import schemas
+    from promptmill.plans.files import write_run
+    from promptmill.sources import results
+    settings = replace(PAIRS, merge_order="left_deep", usage_folder=f"{tmp_path}/usage")
+    spark.createDataFrame([(1, "scorer", 10, 20), (1, "optimizer", 4, 5)],
+                          "run_id long, role string, prompt_tokens long, completion_tokens long") \
+        .write.parquet(f"{tmp_path}/usage")
+    done = improvement.run_base(items, SEEDS, MODELS, settings)
+    out, want = f"{tmp_path}/out", _played()
+    for _ in range(2):  # written again, nothing is there twice
+        write_run(done, items, out, spark.read.parquet(f"{tmp_path}/usage"), {"scorer": "s"})
+    shown = {(0, 3 * i) for i in (*range(10), *range(30, 40))} | {(1, 3 * i + 1) for i in range(9)} | {(2, 2)}
+    details = results.read_json(spark, f"{out}/detailed_results", schemas.DETAILED_RESULT).collect()
+    answered = {(run, s[0]) for run, p in want.items() for s in p.statuses if s[1] != "Failed (No Response)"}
+    assert sorted((r.run_id, r.id) for r in details) == sorted(shown & answered)
+    status = results.read_status(spark, f"{out}/optimization_status").orderBy("run_id", "id").collect()
+    assert [[r.id, r.status, r.initial_wrong, r.verified_success] for r in status] == [
+        s for run in sorted(want) for s in want[run].statuses]
+    trace = results.read_json(spark, f"{out}/refinement_trace", schemas.REFINEMENT_TRACE)
+    assert {(r.run_id, r.id) for r in trace.collect()} <= shown
+    log = results.read_rule_log(spark, f"{out}/rules_history").where("path like '%run_id=0%'")
+    titles = [r.title for r in log.orderBy("path", "block_pos").collect()]
+    n = len(want[0].tier1)
+    assert titles.count("Tier-1 Merge") == n and titles.count("Recursive Merge") == n - 1 and titles[-1] == "FINAL RULE"
+    first = titles.index("Tier-1 Merge")
+    assert titles[first + 1] != "Recursive Merge" and all(t.startswith("Sample ") for t in titles[:first])
+    evolution = results.read_json(spark, f"{out}/rule_evolution", schemas.RULE_EVOLUTION).where("run_id = 0").collect()
+    assert sorted((int(r.sample_idx), r.rule_content) for r in evolution if r.tier == "Tier-1") == want[0].tier1
+    assert len(evolution) >= 2 * n - 1 and {r.sample_idx for r in evolution if r.tier == "Convergence"} <= {"FINAL"}
+    prompts = results.read_prompts(spark, f"{out}/optimized_prompts").where("path like '%run_id=0%'").orderBy("prompt_pos")
+    assert [r.prompt for r in prompts.collect()] == want[0].final_prompts
+    assert spark.read.text(f"{out}/final_rule", wholetext=True).where("run_id = 0").first()[0].rstrip("\n") == want[0].final_rule
+    cost = results.read_cost(spark, f"{out}/cost_report").collect()
+    assert {(r.Role, r.Model, r["Total Tokens"]) for r in cost} == {("scorer", "s", 30), ("optimizer", None, 9)}
+    history = results.read_json(spark, f"{out}/prompt_history", schemas.PROMPT_HISTORY).collect()
+    assert {(r.event, tuple(r.prompts), r["count"]) for r in history} == {("initial_load", SEEDS, 3)}
