@@ -93,7 +93,8 @@ def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str
     new_runs = todo.select("run_id").join(before.pool.select("run_id"), "run_id", "left_anti")
     seeds = written(_seed_pools(new_runs, prompts), "seeds")
     pool = before.pool.unionByName(seeds)
-    done = improve(requests.ask_pools(todo, pool, ["run_id"]), todo, models, settings)
+    # A relaxed round counts as a whole, so its large tables are written in their place at once.
+    done = improve(requests.ask_pools(todo, pool, ["run_id"]), todo, models, settings, kept_as if relaxed else written)
 
     all_rules = written(before.waiting.unionByName(done.rules), "round-rules")
     filled = rules.tier1_chunks(all_rules, size).where(~F.col("is_tail"))
@@ -114,10 +115,11 @@ def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str
         return lookup(rows, last.drop("made"), ["run_id"]).where(
             F.col("last_item").isNull() | (F.col("item_id") <= F.col("last_item"))).drop("last_item")
 
-    kept_as(counted(done.graded), "graded")
     kept_as(counted(done.rules), "rules")
     kept_as(counted(done.status), "status")
-    kept_as(counted(done.candidates), "candidates")
+    if not relaxed:
+        kept_as(counted(done.graded), "graded")
+        kept_as(counted(done.candidates), "candidates")
     open_rules = lookup(counted(all_rules), last.drop("made"), ["run_id"]).where(
         F.col("last_item").isNull() | (F.col("item_id") > F.col("last_item"))).drop("last_item")
     kept_as(open_rules.select("run_id", "item_id", "rule_text"), "progress/waiting")

@@ -20,6 +20,9 @@ from promptmill.operators.outcomes import ITEM, item_outcomes, prompt_accuracy
 from promptmill.workspace import written
 
 
+Step = Callable[[DataFrame], DataFrame]
+Keep = Callable[[DataFrame, str], DataFrame]
+
 # Roles in usage and cost.
 SCORER, OPTIMIZER = "scorer", "optimizer"
 
@@ -48,20 +51,21 @@ class Settings:
     usage_folder: str | None = None
 
     def ask(self, asked: DataFrame, model: Callable[[], Model], role: str, name: str, out: str = "response",
-            strip: bool = True) -> DataFrame:
-        """Written answers; token usage of the calls goes to ``usage_folder`` when there is one."""
-        answers = written(
-            complete(asked, model, self.max_tries, self.retry_delay, out, self.partitions, strip), name)
+            strip: bool = True, then: Step | None = None, keep: Keep = written) -> DataFrame:
+        """Answers, put through ``then`` and written once; their token usage goes to ``usage_folder`` if there is one."""
+        answers = complete(asked, model, self.max_tries, self.retry_delay, out, self.partitions, strip)
+        answers = keep(then(answers) if then else answers, name)
         if self.usage_folder:
             usage_rows(answers, role, ["run_id"]).write.mode("append").parquet(self.usage_folder)
         return answers
 
 
 def evaluate(asked: DataFrame, model: Callable[[], Model], settings: Settings, placement: str = "pool",
-             grader: str = "strict", strip: bool = True) -> DataFrame:
+             grader: str = "strict", strip: bool = True, keep: Keep = written) -> DataFrame:
     """Answers to items × prompts, graded. The question stays behind once it is in the request."""
     requested = requests.with_request(asked, placement).drop("question")
-    return grade(settings.ask(requested, model, SCORER, "outputs", "raw_output", strip), grader)
+    return settings.ask(
+        requested, model, SCORER, "graded", "raw_output", strip, lambda answers: grade(answers, grader), keep)
 
 
 def propose(graded: DataFrame, failures: DataFrame, items: DataFrame, models: Models,
@@ -76,9 +80,9 @@ def verify(pairs: DataFrame, items: DataFrame, models: Models, settings: Setting
     """Rewrites asked and graded on their own item."""
     asked = pairs.join(items, ITEM)
     requested = requests.with_request(asked, "pool", prompt="new_prompt").drop("question")
-    answers = settings.ask(requested, models.scorer, SCORER, "candidates", "raw_output")
+    graded = settings.ask(requested, models.scorer, SCORER, "tried", "raw_output", then=grade)
     # Partitioned by item once, for the check by text and for the per-item steps after it.
-    return refine.check_candidates(grade(answers).repartition(*ITEM))
+    return refine.check_candidates(graded.repartition(*ITEM))
 
 
 def distil(candidates: DataFrame, failures: DataFrame, models: Models, settings: Settings) -> DataFrame:
@@ -110,12 +114,15 @@ class Improved:
     rules: DataFrame
 
 
-def improve(asked: DataFrame, items: DataFrame, models: Models, settings: Settings) -> Improved:
-    """Evaluate, rewrite, verify and distil: four jobs over all items, however many."""
-    graded = written(evaluate(asked, models.scorer, settings), "graded")
+def improve(asked: DataFrame, items: DataFrame, models: Models, settings: Settings, keep: Keep = written) -> Improved:
+    """Evaluate, rewrite, verify and distil: four jobs over all items, however many.
+
+    ``keep`` says where the graded outputs and candidates are written.
+    """
+    graded = evaluate(asked, models.scorer, settings, keep=keep)
     failures = written(refine.failure_cases(graded), "failures")
     pairs = propose(graded, failures, items, models, settings)
-    candidates = written(verify(pairs, items, models, settings), "checked")
+    candidates = keep(verify(pairs, items, models, settings), "candidates")
     outcomes = item_outcomes(graded, keep=("subset",))
     status = refine.item_status(
         outcomes, candidates, keep=("subset",), compat=settings.compat).withColumnRenamed("subset", "source")
