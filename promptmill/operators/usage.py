@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptmill.operators.ordered import with_running_sums
@@ -11,14 +11,22 @@ from promptmill.operators.ordered import with_running_sums
 PRICES = {"scorer": ("0.00", "0.00"), "optimizer": ("2.50", "10.00")}
 
 
+def _seconds(usage: DataFrame, ts: str) -> Column:
+    """Whole seconds that never run backwards: by the wall clock for times without a zone, else by the instant."""
+    if usage.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return F.unix_seconds(ts)
+    days = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def running_usage(usage: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     """Tokens used so far per run and role at every call, in time and then call order."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = _seconds(usage, "ts")
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     return with_running_sums(
         usage.withColumn("total_tokens", total), ["run_id", "role"], seconds, ["ts", "call_id"],
         {"prompt_so_far": "prompt_tokens", "completion_so_far": "completion_tokens", "total_so_far": "total_tokens"},
-        width=bucket_seconds * 1_000_000)
+        width=bucket_seconds)
 
 
 def token_totals(usage: DataFrame, keys: list[str]) -> DataFrame:

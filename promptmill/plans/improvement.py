@@ -90,7 +90,7 @@ def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str
     def kept_as(df: DataFrame, name: str) -> DataFrame:
         return written(df, name, f"{base}/{name}/round={n}")
 
-    new_runs = todo.select("run_id").join(before.pool.select("run_id"), "run_id", "left_anti")
+    new_runs = todo.select("run_id").distinct().join(before.pool.select("run_id"), "run_id", "left_anti")
     seeds = written(_seed_pools(new_runs, prompts), "seeds")
     pool = before.pool.unionByName(seeds)
     # A relaxed round counts as a whole, so its large tables are written in their place at once.

@@ -43,6 +43,24 @@ def test_running_sums(spark, width):
     assert {(r.g, r.p): r.s for r in got} == want
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_running_usage_where_clocks_change(spark, zone, kind):
+    from promptmill.operators.usage import running_usage
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = [f"{day} {h:02d}:{m:02d}:00" for day in ("2024-03-10", "2024-11-03") for h in range(5) for m in (0, 30)]
+        usage = spark.createDataFrame([(t, i, 0, "scorer", 1, i) for i, t in enumerate(times)],
+                                      "t string, call_id long, run_id long, role string, prompt_tokens long, "
+                                      "completion_tokens long").withColumn("ts", F.col("t").cast(kind))
+        total = 0
+        for i, r in enumerate(sorted(running_usage(usage, 60).collect(), key=lambda r: (r.ts, r.call_id)), 1):
+            total += r.completion_tokens
+            assert (r.prompt_so_far, r.completion_so_far, r.total_so_far) == (i, total, i + total)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("width", [1, 50, 100_000])
 def test_as_of(spark, width):
     rows, rng = _rows(3), random.Random(4)
