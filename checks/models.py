@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+
 from promptmill.plans.steps import Models, Settings
 
+# Sent to executors as code, so that this module need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def scorer():
     """Letter and number by the length of the request; some requests always fail."""
