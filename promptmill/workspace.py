@@ -44,6 +44,15 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows by ``keys`` when their files give fewer tasks than the session has cores.
 
