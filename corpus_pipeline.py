@@ -11,9 +11,8 @@ from promptmill.workspace import written
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows of 50 that an earlier document holds are cut; n_chars follows the new text."""
-    kept = without_repeats(docs).select(F.col("doc_id").alias("_id"), F.col("kept").alias("text"))
-    return (docs.drop("text", "n_chars").join(kept, F.col("doc_id") == F.col("_id"))
-            .select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")))
+    return without_repeats(docs, keep=("lang", "source")).select(
+        "doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 STAGES = [("substring dedup", without_repeated_passages)]

@@ -4,7 +4,7 @@ Rounds of run and pair naming shorten every document's word sequence. A name is
 what it names, so one round gives the same pair or run the same name everywhere on the cluster
 and equal passages get equal symbols in their interior. For each symbol the rounds also keep the
 span of words that decided it. A window is filed under a highest symbol whose deciding span lies
-inside the window (that of the least name); equal windows are then filed under equal symbols at the
+inside the window (that of the longest span); equal windows are then filed under equal symbols at the
 same place, wherever they stand. Spark groups the symbols: one held by a single document
 reveals nothing; one whose occurrences all have the same surroundings settles all of its windows
 at once; only windows of the remaining symbols are compared one by one, by 128-bit names.
@@ -14,14 +14,14 @@ Windows that hold no such symbol (long runs, periodic text) are filed under thei
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptmill.llm.common import mapped, mixed, named, word_names
-from promptmill.workspace import written
+from promptmill.workspace import dropped, written
 
 WINDOW = 50
-ROUNDS = 6
+ROUNDS = 7
 #: Rounds that name runs before they name pairs.
 RUN_ROUNDS = frozenset({0})
 
@@ -116,6 +116,12 @@ class Spans:
         return mixed((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
+def _order(level: Level) -> np.ndarray:
+    """Longest deciding span first, then least name: what tells a window apart best, whatever surrounds it."""
+    short = np.uint64(63) - np.minimum(level.de - level.ds, 63).astype(np.uint64)
+    return short << np.uint64(58) | mixed(level.name) >> np.uint64(6)
+
+
 def _least(order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Place of the first least value of ``order`` in each range [lo, hi), none of them empty."""
     out = np.empty(len(lo), np.int64)
@@ -159,7 +165,7 @@ def filed(names: np.ndarray, at: np.ndarray, window: int):
         turn = np.ones(len(at_), bool)
         turn[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         i = np.flatnonzero(turn)
-        found = np.repeat(_least(mixed(level.name), lo[i], hi[i]), np.diff(np.append(i, len(at_))))
+        found = np.repeat(_least(_order(level), lo[i], hi[i]), np.diff(np.append(i, len(at_))))
         symbol[at_], start[at_] = level.name[found], level.ds[found]
     new = np.ones(len(p), bool)
     new[1:] = (start[1:] != start[:-1]) | (symbol[1:] != symbol[:-1]) | (start[1:] < 0) | (p[1:] != p[:-1] + 1)
@@ -188,25 +194,25 @@ def symbols_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def windows_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Names (w1, w2) of the windows of ``marks`` (first, windows) of each (doc_id, text, tid, marks)."""
+    """128-bit names (w1, w2) of the windows in ``marks`` (first, windows, whole), not whole, of each (doc_id, text, tid, marks)."""
     names = word_names()
 
     def piece(columns):
         ids, texts, tids, marks = columns
         _, flat, at = named(names, texts)
         spans = Spans(flat)
-        where, doc = [], []
+        where, doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, listed in enumerate(marks):
+            listed = [np.arange(m["first"], m["first"] + m["windows"]) for m in listed if not m["whole"]]
             if listed:
-                p = np.unique(np.concatenate([np.arange(m["first"], m["first"] + m["windows"]) for m in listed]))
+                p = np.unique(np.concatenate(listed))
                 where.append(p + at[k])
                 doc.append(np.full(len(p), k))
-        p = np.concatenate(where) if where else np.zeros(0, np.int64)
-        doc = np.concatenate(doc) if doc else p
+        p, doc = np.concatenate(where), np.concatenate(doc)
         return (spans.of(p, p + window, 0).view(np.int64), spans.of(p, p + window, 1).view(np.int64),
-                np.array(ids)[doc], np.array(tids)[doc], (p - at[doc]).astype(np.int32))
+                np.array(ids, np.int64)[doc], np.array(tids, np.int64)[doc] << 32 | (p - at[doc]))
 
-    return mapped(docs, piece, "w1 long, w2 long, doc_id long, tid long, first int")
+    return mapped(docs, piece, "w1 long, w2 long, doc_id long, place long")
 
 
 #: Rows are told apart by id and text (as crc32), so that rows with equal ids do no harm.
@@ -217,41 +223,54 @@ def _lists(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*_KEY).agg(F.collect_list(F.struct(*columns)).alias("marks"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Runs of windows (doc_id, tid, first, windows) of (doc_id, text, tid) that also start in a document with a smaller id."""
+def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Runs of windows (doc_id, tid, first, windows, whole) of (doc_id, text, tid) under shared symbols.
+
+    ``whole``: an earlier document has the same symbol in the same surroundings, so all of the
+    run's windows repeat. The others are the first of their surroundings while the symbol also has
+    other ones; their windows have to be compared one by one.
+    """
     filed_under = written(symbols_of(docs, window), "symbols")
-    shared = filed_under.groupBy("symbol").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-        F.min("around").alias("a0"), F.max("around").alias("a1"),
-    ).where("lo < hi")
-    met = written(
-        filed_under.join(shared, "symbol").where("a0 <> a1 or doc_id > lo")
-        .select(*_KEY, "first", "windows", (F.col("a0") == F.col("a1")).alias("whole")), "shared_symbols")
-    open_marks = _lists(met.where("not whole"), "first", "windows")
-    names = written(windows_of(
-        docs.join(open_marks, [*_KEY]).select("doc_id", "text", "tid", "marks"), window), "windows")
-    seen = names.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    single = names.join(seen, ["w1", "w2"]).where("doc_id > lo").select(*_KEY, "first", F.lit(1).alias("windows"))
-    return met.where("whole").select(*_KEY, "first", "windows").unionByName(single)
+    shared = filed_under.groupBy("symbol").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    met = written(filed_under.join(shared.select("symbol"), "symbol"), "shared_symbols")
+    dropped(filed_under)
+    firsts = met.groupBy("symbol", "around").agg(F.min("doc_id").alias("lo"))
+    several = firsts.groupBy("symbol").agg(F.count("*").alias("n"))
+    marks = written(
+        met.join(firsts, ["symbol", "around"]).join(several, "symbol").where("doc_id > lo or n > 1")
+        .select(*_KEY, "first", "windows", (F.col("doc_id") > F.col("lo")).alias("whole")), "marks")
+    dropped(met)
+    return marks
+
+
+def _plain(id_column: str, text_column: str) -> list[Column]:
+    text = F.col(text_column)
+    return [F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"),
+            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tid")]
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                    window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): every text without the words of repeated windows.
+                    window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, *keep): every text without the words of repeated windows.
 
     A window is ``window`` consecutive words (anything but ASCII white space) of one document; its
     words go if its word sequence also starts in a document with a smaller id. Windows are judged on
     the input. Null and empty texts have no words and keep an empty text. Rows with equal ids take
     nothing from each other, and each has its own result; null ids count as the smallest id.
-    Other columns are ignored. Kept words are joined by one space.
+    String columns in ``keep`` go along; others are ignored. Kept words are joined by one space.
     """
-    plain = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-                        F.col(text_column).alias("text"),
-                        F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary")).alias("tid"))
-    marks = _lists(repeats(plain, window), "first", "windows")
+    plain = docs.select(*_plain(id_column, text_column))
+    marks = marked(plain, window)
+    looked = plain.join(_lists(marks, "first", "windows", "whole"), [*_KEY]).where("exists(marks, m -> not m.whole)")
+    # One row per document and window at most stands under a name.
+    same = Window.partitionBy("w1", "w2")
+    single = (windows_of(looked.select("doc_id", "text", "tid", "marks"), window)
+              .withColumn("lo", F.min("doc_id").over(same)).where("doc_id > lo")
+              .selectExpr("doc_id", "shiftrightunsigned(place, 32) as tid", "cast(place & 4294967295 as int) as first", "1 as windows"))
+    gone = _lists(marks.where("whole").select(*_KEY, "first", "windows").unionByName(single), "first", "windows")
 
     def piece(columns):
-        ids, texts, marked = columns
+        ids, texts, marked, *others = columns
         n_words, n_removed, kept = [], [], []
         for text, listed in zip(texts, marked, strict=True):
             words = text.split() if text else []
@@ -268,10 +287,13 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             n_words.append(len(words))
             n_removed.append(len(words) - len(rest))
             kept.append(b" ".join(rest).decode())
-        return ids, n_words, n_removed, kept
+        return ids, n_words, n_removed, kept, *others
 
-    return mapped(plain.join(marks, [*_KEY], "left").select("doc_id", "text", "marks"), piece,
-                  "doc_id long, n_words long, n_removed long, kept string")
+    carried = [f"_c{k}" for k in range(len(keep))]
+    rows = docs.select(*_plain(id_column, text_column), *(F.col(c).alias(a) for c, a in zip(keep, carried, strict=True))) if keep else plain
+    out = mapped(rows.join(gone, [*_KEY], "left").select("doc_id", "text", "marks", *carried), piece,
+                 ", ".join(["doc_id long, n_words long, n_removed long, kept string", *(f"{c} string" for c in carried)]))
+    return out.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 
 def digests(kept: DataFrame) -> DataFrame:
