@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a task works on at a time (one longer text makes a piece of its own).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Entries of a task's memo of words; beyond it words are computed anew, never dropped.
 MEMO_ENTRIES = 200_000
 

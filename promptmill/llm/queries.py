@@ -9,12 +9,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_bpe() -> str:
+    """The tokenizer file that the queries encode with."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptmill.llm.substrings import digests, without_repeats
     return digests(without_repeats(_table(spark, sf_dir, "documents")))
 
 
-REGISTERED = {f.__name__: f for f in (op3_substring_dedup,)}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.jaccard import similar
+    return similar(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.quality import predicted
+    return predicted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.languages import predicted
+    return predicted(_table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.bpe import digests
+    return digests(_table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.toxicity import predicted
+    return predicted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.lines import verdicts
+    return verdicts(_table(spark, sf_dir, "documents"))
+
+
+REGISTERED = {f.__name__: f for f in (
+    op3_substring_dedup, op4_quality, op5_language, op6_bpe, op7_jaccard_join, op8_toxicity, op10_quality_rules)}
 
 #: Words as every contract on white space has them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -33,4 +70,16 @@ k as (select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
   from d left join r using (doc_id))
 select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed,
   sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from k""",
+    "op7_jaccard_join": f"""
+with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+m as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b using (g) where a.doc_id <> b.doc_id group by x, y),
+e as (select x, y from m join n p on p.doc_id = x join n q on q.doc_id = y where 5 * k >= 4 * (p.n + q.n - k)),
+r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x),
+c as (select x, min(y) as y from r group by x), k as (select x, count(*) as k from e group by x)
+select d.doc_id, least(d.doc_id, coalesce(c.y, d.doc_id)) as class_id, coalesce(k.k, 0)::bigint as n_links,
+  coalesce(n.n, 0)::int as n_grams
+from d left join n using (doc_id) left join c on c.x = d.doc_id left join k on k.x = d.doc_id""",
 }
