@@ -25,6 +25,20 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(_table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from promptmill.llm.mixing import sampled
+    return sampled(_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 7))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from promptmill.llm.topk import nearest
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptmill.llm.quality import predicted
     return predicted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -51,11 +65,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = {f.__name__: f for f in (
-    op3_substring_dedup, op4_quality, op5_language, op6_bpe, op7_jaccard_join, op8_toxicity, op10_quality_rules)}
+    op1_mixing, op2_topk, op3_substring_dedup, op4_quality, op5_language, op6_bpe, op7_jaccard_join, op8_toxicity, op10_quality_rules)}
 
 #: Words as every contract on white space has them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+def _mixing_sql() -> str:
+    from promptmill.llm.mixing import FRACTION, MARGINALS, SWEEPS, TEMPER, TOPIC_LETTERS, TOPICS
+    steps, last = [], "t"
+    targets = ", ".join(f"""d * pow(sum(tokens) over (partition by {m}), {TEMPER})
+      / (select sum(pow(n, {TEMPER})) from (select sum(tokens) as n from c group by {m})) as t_{m}""" for m in MARGINALS)
+    for k in range(SWEEPS):
+        for m in MARGINALS:
+            step = f"s{k}_{m}"
+            steps.append(f"""{step} as materialized (select * exclude (w), case when sum(w) over (partition by {m}) > 0
+  then least(tokens, w * t_{m} / sum(w) over (partition by {m})) else 0 end as w from {last})""")
+            last = step
+    return f"""
+with a as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, {_WORDS} as w from documents),
+k as (select doc_id, x, count(*) as n from (select doc_id, unnest(list_transform(w,
+    lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as x from a)
+  where octet_length(encode(x)) >= {TOPIC_LETTERS} group by all),
+p as (select doc_id, first(x order by n desc, encode(x)) as x from k group by doc_id),
+b as (select doc_id, source, lang, len(w)::bigint as tokens,
+  case when x is null then -1 else ('0x' || substr(md5(x), 1, 4))::int % {TOPICS} end as topic from a left join p using (doc_id)),
+c as (select source, lang, topic, sum(tokens)::double as tokens from b group by all),
+t as materialized (select *, {FRACTION} * tokens as w, {targets} from (select *, {FRACTION} * sum(tokens) over () as d from c)),
+{", ".join(steps)},
+r as (select b.*, coalesce(w / nullif(c.tokens, 0), 0) as pr from b join {last} c using (source, lang, topic))
+select doc_id, source, lang, topic::int as topic, tokens, round(pr, 7) as probability,
+  ('0x' || substr(md5('mix|' || doc_id), 1, 8))::bigint / 4294967296.0 < pr as taken from r"""
+
+
 ORACLES = {
     "op3_substring_dedup": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
@@ -82,4 +123,12 @@ c as (select x, min(y) as y from r group by x), k as (select x, count(*) as k fr
 select d.doc_id, least(d.doc_id, coalesce(c.y, d.doc_id)) as class_id, coalesce(k.k, 0)::bigint as n_links,
   coalesce(n.n, 0)::int as n_grams
 from d left join n using (doc_id) left join c on c.x = d.doc_id left join k on k.x = d.doc_id""",
+    "op1_mixing": _mixing_sql(),
+    "op2_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint as score from v q join v on q.vec_id <> v.vec_id
+  and len(q.e) = len(v.e) where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 10""",
 }
