@@ -59,13 +59,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.licenses import scan
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptmill.llm.lines import verdicts
     return verdicts(_table(spark, sf_dir, "documents"))
 
 
 REGISTERED = {f.__name__: f for f in (
-    op1_mixing, op2_topk, op3_substring_dedup, op4_quality, op5_language, op6_bpe, op7_jaccard_join, op8_toxicity, op10_quality_rules)}
+    op1_mixing, op2_topk, op3_substring_dedup, op4_quality, op5_language, op6_bpe, op7_jaccard_join, op8_toxicity,
+    op9_licenses, op10_quality_rules)}
 
 #: Words as every contract on white space has them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -97,6 +103,26 @@ select doc_id, source, lang, topic::int as topic, tokens, round(pr, 7) as probab
   ('0x' || substr(md5('mix|' || doc_id), 1, 8))::bigint / 4294967296.0 < pr as taken from r"""
 
 
+def _licenses_sql() -> str:
+    from promptmill.llm.licenses import BASE_SCORE, COVERAGE, templates
+    listed = ", ".join(f"('{t.label}', {t.base}, {list(t.words)}, {t.key_at}, {list(t.key)})" for t in templates())
+    return f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+t(label, base, words, key_at, key) as (values {listed}),
+p as (select doc_id, w, label, base, words, key_at, unnest(list_filter(range(len(w) - len(key) + 1),
+  lambda i: w[i + 1] = key[1] and w[i + 1:i + len(key)] = key)) as place from d, t),
+h as (select doc_id, label, base, place, len(list_filter(range(len(words)), lambda j: place - key_at + j >= 0
+  and coalesce(w[place - key_at + j + 1] = words[j + 1], false))) / len(words)::double as coverage from p),
+g as (select doc_id, count(*) filter (base) as n_base, min(place) filter (base) as first_word, max(place) filter (base) as last_word,
+  string_agg(distinct label, ',' order by label) filter (base) as base_labels,
+  string_agg(distinct label, ',' order by label) filter (base or coverage >= {COVERAGE}) as labels,
+  max(case when base then {BASE_SCORE} else coverage end)::double as score from h group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+  last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  coalesce(score, 0)::double as score from d left join g using (doc_id)"""
+
+
 ORACLES = {
     "op3_substring_dedup": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
@@ -124,6 +150,7 @@ select d.doc_id, least(d.doc_id, coalesce(c.y, d.doc_id)) as class_id, coalesce(
   coalesce(n.n, 0)::int as n_grams
 from d left join n using (doc_id) left join c on c.x = d.doc_id left join k on k.x = d.doc_id""",
     "op1_mixing": _mixing_sql(),
+    "op9_licenses": _licenses_sql(),
     "op2_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
   where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
