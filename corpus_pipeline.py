@@ -1,21 +1,67 @@
-"""From raw documents to a training mix, stage by stage; each stage's table is written before the next reads it."""
+"""From raw documents to an encoded training mix, stage by stage; each stage's table is written before the next reads it.
+
+Every stage takes (spark, docs, sf_dir), docs being all rows that the stage before kept, and returns the
+columns of ``documents``; the last adds what encoding gives.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptmill.llm.bpe import digests
+from promptmill.llm.jaccard import similar
+from promptmill.llm.mixing import sampled
+from promptmill.llm.queries import word_bpe
 from promptmill.llm.substrings import without_repeats
+from promptmill.llm.toxicity import THRESHOLD, fit, scored
 from promptmill.workspace import written
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _with_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``docs`` of the distinct ids in ``decided``."""
+    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression distance finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rejected = scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by near duplicates, that of the least id stays."""
+    return _with_rows(docs, similar(docs).where("doc_id = class_id"))
+
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows of 50 that an earlier document holds are cut; n_chars follows the new text."""
-    return without_repeats(docs, keep=("lang", "source")).select(
-        "doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    """Words of windows of 50 that an earlier document holds are cut; texts without a repeat stay as they are."""
+    cut = without_repeats(docs, keep=("lang", "source", "text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return cut.select("doc_id", text.alias("text"), "lang", "source").select(
+        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with the probabilities that rake tokens to the marginals' targets."""
+    return _with_rows(docs, sampled(docs).where("taken"))
+
+
+def encoded_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document drawn."""
+    return digests(docs, word_bpe())
 
 
-STAGES = [("substring dedup", without_repeated_passages)]
+STAGES = [
+    ("toxicity", not_toxic),
+    ("n-gram Jaccard join", one_of_each_class),
+    ("substring dedup", without_repeated_passages),
+    ("mixing sources to target weights", mixed_to_targets),
+    ("BPE encoding and decoding", encoded_texts),
+]
 
 #: SQL cannot state the stages with models; tests/llm holds the pipeline to brute force.
 ORACLE_SQL = None
