@@ -20,21 +20,21 @@ from promptmill.workspace import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` of the distinct ids in ``decided``."""
-    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _rows(docs: DataFrame, decided: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``docs`` whose id, be it null, is among ``decided``; or, with ``left_anti``, is not."""
+    ids = decided.select(F.col("doc_id").alias("_id"))
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"]), how).select(*COLUMNS)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance finds toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return _rows(docs, scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD), "left_anti")
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by near duplicates, that of the least id stays."""
-    return _with_rows(docs, similar(docs).where("doc_id = class_id"))
+    return _rows(docs, similar(docs).where("doc_id <=> class_id"))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with the probabilities that rake tokens to the marginals' targets."""
-    return _with_rows(docs, sampled(docs).where("taken"))
+    return _rows(docs, sampled(docs).where("taken"))
 
 
 def encoded_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

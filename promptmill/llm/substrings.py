@@ -243,9 +243,13 @@ def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return marks
 
 
+#: Stands for a null id; it is the smallest.
+_NO_ID = -(1 << 63)
+
+
 def _plain(id_column: str, text_column: str) -> list[Column]:
     text = F.col(text_column)
-    return [F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"),
+    return [F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tid")]
 
 
@@ -256,7 +260,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A window is ``window`` consecutive words (anything but ASCII white space) of one document; its
     words go if its word sequence also starts in a document with a smaller id. Windows are judged on
     the input. Null and empty texts have no words and keep an empty text. Rows with equal ids take
-    nothing from each other, and each has its own result; null ids count as the smallest id.
+    nothing from each other, and each has its own result; null ids count as the smallest id
+    and stay null.
     String columns in ``keep`` go along; others are ignored. Kept words are joined by one space.
     """
     plain = docs.select(*_plain(id_column, text_column))
@@ -293,7 +298,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(*_plain(id_column, text_column), *(F.col(c).alias(a) for c, a in zip(keep, carried, strict=True))) if keep else plain
     out = mapped(rows.join(gone, [*_KEY], "left").select("doc_id", "text", "marks", *carried), piece,
                  ", ".join(["doc_id long, n_words long, n_removed long, kept string", *(f"{c} string" for c in carried)]))
-    return out.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID))).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 
 def digests(kept: DataFrame) -> DataFrame:
