@@ -55,13 +55,13 @@ def answered(asked: DataFrame) -> DataFrame:
     return given.selectExpr(
         "run_id", "item_id", "subset", "type", "answer", "prompt_pos", "prompt",
         r"""case when (item_id * 7 + prompt_pos) % 97 = 0 or item_id % 53 = 5 then null
-            when type = 'math' then 'First 12, so the total is ' || _given || '.'
-            when type = 'general' then chr(10) || ' ' || _given || ' '
-            when item_id % 5 = 0 then 'The answer is (' || _given || '). Not (E).'
-            when item_id % 5 = 1 then 'So ' || chr(92) || 'boxed{ ' || lower(_given) || ' } it is'
-            when item_id % 5 = 2 then 'Not (E), so finally (' || _given || ')'
+            when type = 'math' then question || ' First 12, so the total is ' || _given || '.'
+            when type = 'general' then chr(10) || ' ' || _given || case when _given = answer then ' ' else question end
+            when item_id % 5 = 0 then question || ' The answer is (' || _given || '). Not (E).'
+            when item_id % 5 = 1 then question || ' So ' || chr(92) || 'boxed{ ' || lower(_given) || ' } it is'
+            when item_id % 5 = 2 then question || ' Not (E), so finally (' || _given || ')'
             when item_id % 5 = 3 then question || ' Answer: ' || _given || ' rather than E'
-            else _given || '.' end as raw_output""")
+            else question || ' ' || _given || '.' end as raw_output""")
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +77,22 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
              || '</REWRITE_END></BLOCK><REWRITE_BEGIN>Verify ' || question || '</REWRITE_END>'
            when 1 then '<REWRITE BEGIN>Loose form of ' || question || '</REWRITE END>'
            when 2 then 'No tags at all in ' || question
-           else '<rewrite_begin> twice </rewrite_end><REWRITE_BEGIN>b</REWRITE_END><REWRITE_BEGIN>twice</REWRITE_END>'
+           else '<rewrite_begin> twice </rewrite_end><REWRITE_BEGIN>' || question || '</REWRITE_END><REWRITE_BEGIN>twice</REWRITE_END>'
            end as response""")
 
 
 def candidate_outputs(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Outputs of rewritten prompts on their item."""
-    met = pairs.join(items.select("run_id", "item_id", "subset", "type", "answer"), ["run_id", "item_id"])
+    met = pairs.join(items.select("run_id", "item_id", "subset", "type", "answer", "question"), ["run_id", "item_id"])
     return met.selectExpr(
         "*",
         """case when (item_id + pair_pos) % 3 > 0 then answer when type = 'math' then '7'
            when type = 'general' then 'no' else substring('BCDA', cast(item_id % 4 as int) + 1, 1) end as _given""",
     ).selectExpr(
         "run_id", "item_id", "subset", "type", "answer", "pair_pos", "old_prompt", "new_prompt",
-        """case when (item_id * 3 + pair_pos) % 41 = 0 then null when type = 'math' then 'So ' || _given
-           when type = 'general' then _given else 'Answer: (' || _given || ')' end as raw_output""")
+        """case when (item_id * 3 + pair_pos) % 41 = 0 then null when type = 'math' then question || ' So ' || _given
+           when type = 'general' then _given || case when _given = answer then '' else question end
+           else question || ' Answer: (' || _given || ')' end as raw_output""")
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +100,12 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
-    """A rule per assistant turn, its whole text among the thinking steps."""
-    return conversations.where("role = 'assistant'").selectExpr(
+    """A rule per turn, its whole text among the thinking steps and words of it in the vocabulary."""
+    return conversations.selectExpr(
         "conv_id * 100 + turn as item_id", "conv_id % 4 as run_id",
         """'Certainly!' || chr(10) || '[Guiding Tone]' || chr(10) || 'Authoritative' || chr(10) || chr(10)
-           || '[Key Vocabulary]' || chr(10) || 'Clarity, term' || cast(conv_id % 7 as string) || ', Term'
-           || cast(turn as string) || chr(10) || chr(10) || '[Thinking Steps]' || chr(10) || '1. ' || text
+           || '[Key Vocabulary]' || chr(10) || 'Clarity, ' || coalesce(split(text, ' ')[0], '') || ', Term '
+           || coalesce(get(split(text, ' '), 4), '') || chr(10) || chr(10) || '[Thinking Steps]' || chr(10) || '1. ' || text
            || chr(10) || chr(10) || '---' || chr(10) || 'Done.' as rule_text""")
 
 
@@ -114,10 +115,10 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "item_id",
         """case item_id % 4
            when 0 then 'Here are the prompts:' || chr(10) || '1. Think about ' || subset || ' first' || chr(10)
-             || 'short' || chr(10) || '2) Check each step twice'
-           when 1 then '"Verify the final result"' || chr(10) || chr(10) || '''Explain every decision'''
+             || 'short' || chr(10) || '2) Check each step twice' || chr(10) || question
+           when 1 then '"Verify the final result"' || chr(10) || chr(10) || '''Explain every decision''' || chr(10) || question
            when 2 then question
-           else '  Analyze the data. Then answer  ' end as response""")
+           else '  Analyze the data. Then answer  ' || question end as response""")
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,11 @@ def _percent(c: str, n: str) -> str:
     return f"cast({h} // 100 as varchar) || '.' || lpad(cast({h} % 100 as varchar), 2, '0')"
 
 
+def _asked(system: str, user: str) -> str:
+    """The number that the fixed-answer models draw from a request."""
+    return f"('0x' || left(md5({system} || {_NL} || {user}), 6))::bigint"
+
+
 def _filled(template: str, **values: str) -> str:
     """Template with its places replaced, as one expression."""
     parts = re.split(r"(\{\w+\})", template)
@@ -86,13 +91,13 @@ _DERIVED = {
       case a when 0 then 'A' when 1 then 'B' when 2 then 'C' when 3 then 'D' end as answer from fx_raw""",
     "fx_outputs": """select run_id, item_id, subset, type, answer, prompt_pos, prompt,
         case when (item_id * 7 + prompt_pos) % 97 = 0 or item_id % 53 = 5 then null
-          when type = 'math' then 'First 12, so the total is ' || given || '.'
-          when type = 'general' then chr(10) || ' ' || given || ' '
-          when item_id % 5 = 0 then 'The answer is (' || given || '). Not (E).'
-          when item_id % 5 = 1 then 'So ' || chr(92) || 'boxed{ ' || lower(given) || ' } it is'
-          when item_id % 5 = 2 then 'Not (E), so finally (' || given || ')'
+          when type = 'math' then question || ' First 12, so the total is ' || given || '.'
+          when type = 'general' then chr(10) || ' ' || given || case when given = answer then ' ' else question end
+          when item_id % 5 = 0 then question || ' The answer is (' || given || '). Not (E).'
+          when item_id % 5 = 1 then question || ' So ' || chr(92) || 'boxed{ ' || lower(given) || ' } it is'
+          when item_id % 5 = 2 then question || ' Not (E), so finally (' || given || ')'
           when item_id % 5 = 3 then question || ' Answer: ' || given || ' rather than E'
-          else given || '.' end as raw_output
+          else question || ' ' || given || '.' end as raw_output
       from (select *, case when item_id % 9 = 2 or (item_id * 31 + prompt_pos * 17) % 10 < 3 + prompt_pos then answer
             when type = 'math' then '7' when type = 'general' then 'no'
             else substring('BCDA', cast(item_id % 4 as int) + 1, 1) end as given
@@ -116,7 +121,7 @@ _DERIVED = {
           || '</REWRITE_END></BLOCK><REWRITE_BEGIN>Verify ' || question || '</REWRITE_END>'
         when 1 then '<REWRITE BEGIN>Loose form of ' || question || '</REWRITE END>'
         when 2 then 'No tags at all in ' || question
-        else '<rewrite_begin> twice </rewrite_end><REWRITE_BEGIN>b</REWRITE_END><REWRITE_BEGIN>twice</REWRITE_END>'
+        else '<rewrite_begin> twice </rewrite_end><REWRITE_BEGIN>' || question || '</REWRITE_END><REWRITE_BEGIN>twice</REWRITE_END>'
         end as response from fx_items""",
     "fx_tags": f"""select run_id, item_id, unnest(t) as body, generate_subscripts(t, 1) - 1 as tag_pos
       from (select run_id, item_id, case when len(e) > 0 then e else l end as t from (select run_id, item_id,
@@ -128,8 +133,9 @@ _DERIVED = {
     "fx_pairs": """select w.run_id, w.item_id, w.n as pair_pos, w.prompt as old_prompt, t.body as new_prompt
       from fx_wrong w join fx_tags t on w.run_id = t.run_id and w.item_id = t.item_id and w.n = t.tag_pos""",
     "fx_candidates": """select run_id, item_id, subset, type, answer, pair_pos, old_prompt, new_prompt,
-        case when (item_id * 3 + pair_pos) % 41 = 0 then null when type = 'math' then 'So ' || given
-          when type = 'general' then given else 'Answer: (' || given || ')' end as raw_output
+        case when (item_id * 3 + pair_pos) % 41 = 0 then null when type = 'math' then question || ' So ' || given
+          when type = 'general' then given || case when given = answer then '' else question end
+          else question || ' Answer: (' || given || ')' end as raw_output
       from (select *, case when (item_id + pair_pos) % 3 > 0 then answer when type = 'math' then '7'
           when type = 'general' then 'no' else substring('BCDA', cast(item_id % 4 as int) + 1, 1) end as given
         from fx_pairs join fx_items using (run_id, item_id))""",
@@ -157,10 +163,10 @@ _DERIVED = {
       from fx_graded group by run_id, item_id having count(*) filter (outcome = 'wrong') > 0""",
     "fx_rules": """select conv_id * 100 + turn as item_id, conv_id % 4 as run_id,
         'Certainly!' || chr(10) || '[Guiding Tone]' || chr(10) || 'Authoritative' || chr(10) || chr(10)
-        || '[Key Vocabulary]' || chr(10) || 'Clarity, term' || cast(conv_id % 7 as varchar) || ', Term'
-        || cast(turn as varchar) || chr(10) || chr(10) || '[Thinking Steps]' || chr(10) || '1. ' || text
+        || '[Key Vocabulary]' || chr(10) || 'Clarity, ' || coalesce(string_split(text, ' ')[1], '') || ', Term '
+        || coalesce(string_split(text, ' ')[5], '') || chr(10) || chr(10) || '[Thinking Steps]' || chr(10) || '1. ' || text
         || chr(10) || chr(10) || '---' || chr(10) || 'Done.' as rule_text
-      from conversations where role = 'assistant'""",
+      from conversations""",
     "fx_placed": """select *, (row_number() over (partition by run_id order by item_id) - 1) // 3 as chunk,
         (row_number() over (partition by run_id order by item_id) - 1) % 3 + 1 as place from fx_rules""",
     "fx_chunks": """select run_id, chunk, count(*) as n_rules, max(item_id) as sample_idx, count(*) < 3 as is_tail,
@@ -170,12 +176,12 @@ _DERIVED = {
         as body from fx_rules, (values ('Guiding Tone'), ('Key Vocabulary'), ('Thinking Steps')) t(h)""",
     "fx_generated": """select run_id, item_id, case item_id % 4
         when 0 then 'Here are the prompts:' || chr(10) || '1. Think about ' || subset || ' first' || chr(10)
-          || 'short' || chr(10) || '2) Check each step twice'
-        when 1 then '"Verify the final result"' || chr(10) || chr(10) || '''Explain every decision'''
+          || 'short' || chr(10) || '2) Check each step twice' || chr(10) || question
+        when 1 then '"Verify the final result"' || chr(10) || chr(10) || '''Explain every decision''' || chr(10) || question
         when 2 then question
-        else '  Analyze the data. Then answer  ' end as response from fx_items""",
+        else '  Analyze the data. Then answer  ' || question end as response from fx_items""",
     "fx_updates": """select run_id, max(item_id) + 1 as valid_from from (select run_id, item_id,
-          (row_number() over (partition by run_id order by item_id) - 1) // 3 as c from fx_items where type = 'math')
+          (row_number() over (partition by run_id order by item_id) - 1) // 3 as c from fx_items)
         group by run_id, c having count(*) = 3 and (valid_from % 5 <> 0 or valid_from % 3 <> 0)""",
     "fx_pools": """select run_id, cast(0 as bigint) as valid_from, prompt_pos, prompt
         from (select distinct run_id from fx_items), fx_prompts
@@ -204,7 +210,8 @@ _DERIVED = {
       union all select 'document', doc_id, 0, text from documents
       union all select 'turn', conv_id, turn, text from conversations""",
     # The fixed-answer scorer over items and seed prompts.
-    "fx_asked": """select *, 3 * 28 + length(prompt) + 2 + length(question) as n from fx_items cross join fx_prompts""",
+    "fx_asked": f"""select *, {_asked("'You are a helpful assistant.'", "prompt || chr(10) || chr(10) || question")} as n
+      from fx_items cross join fx_prompts""",
     "fx_called": """select *, case when n % 19 <> 7 then 'Of ' || n || ' the answer is ('
         || substring('ABCD', cast(n % 4 as int) + 1, 1) || ')' end as raw_output from fx_asked""",
     "fx_called_read": _strict("fx_called", "raw_output"),
@@ -216,10 +223,10 @@ _DERIVED = {
         '[' || coalesce(string_agg({_repr('prompt')}, ', ' order by prompt_pos) filter (outcome = 'correct'), '') || ']'
           as correct_list
       from fx_answers group by run_id, item_id""",
-    "fx_improve_sizes": """select *, length(replace(t.template, '{num}', cast(n_wrong as varchar))) + length('[TASK CONTEXT]'
+    "fx_improve_sizes": f"""select *, {_asked("replace(t.template, '{num}', cast(n_wrong as varchar))", """'[TASK CONTEXT]'
           || chr(10) || 'Question: ' || question || chr(10) || 'Ground Truth: ' || answer || chr(10) || chr(10)
           || '[FAILED PROMPTS & OUTPUTS]' || chr(10) || case_block || chr(10) || chr(10)
-          || '[SUCCESSFUL PROMPTS (REFERENCE)]' || chr(10) || correct_list) as size
+          || '[SUCCESSFUL PROMPTS (REFERENCE)]' || chr(10) || correct_list""")} as size
       from fx_improve_failures, fx_templates t""",
     "fx_improve_pairs": """select run_id, item_id, k as pair_pos, prompt as old_prompt,
         'Check part ' || k || ' of ' || size as new_prompt
@@ -227,18 +234,17 @@ _DERIVED = {
           row_number() over (partition by w.run_id, w.item_id order by w.prompt_pos) - 1 as k
         from fx_improve_sizes s join fx_answers w on s.run_id = w.run_id and s.item_id = w.item_id and w.outcome = 'wrong')
       where size % 5 <> 0 and k < n_wrong - size % 2""",
-    "fx_improve_called": """select *, case when n % 19 <> 7 then 'Of ' || n || ' the answer is ('
+    "fx_improve_called": f"""select *, case when n % 19 <> 7 then 'Of ' || n || ' the answer is ('
         || substring('ABCD', cast(n % 4 as int) + 1, 1) || ')' end as raw_output
-      from (select *, 3 * 28 + length(new_prompt) + 2 + length(question) as n
-        from fx_improve_pairs join fx_items using (run_id, item_id))""",
+      from (select *, {_asked("'You are a helpful assistant.'", "new_prompt || chr(10) || chr(10) || question")} as n from fx_improve_pairs join fx_items using (run_id, item_id))""",
     "fx_improve_read": _strict("fx_improve_called", "raw_output"),
     "fx_improve_tried": f"select *, {_graded('fx_improve_read')} as outcome from fx_improve_read",
     "fx_improve_counts": """select run_id, item_id, count(*) as n, count(*) filter (outcome = 'correct') as v
       from fx_improve_tried group by run_id, item_id""",
-    "fx_improve_rules": """select run_id, item_id, '[Key Vocabulary]' || chr(10) || 'clarity, size ' || size as rule_text
-      from (select p.run_id, p.item_id, length(replace(any_value(t.rules), '{pairs_block}',
-          string_agg('Original: ' || old_prompt || chr(10) || 'Improved: ' || new_prompt, chr(10) order by pair_pos)))
-          + length('Correct Prompts:' || chr(10) || any_value(f.correct_list)) as size
+    "fx_improve_rules": f"""select run_id, item_id, '[Key Vocabulary]' || chr(10) || 'clarity, size ' || size as rule_text
+      from (select p.run_id, p.item_id, {_asked("""replace(any_value(t.rules), '{pairs_block}',
+          string_agg('Original: ' || old_prompt || chr(10) || 'Improved: ' || new_prompt, chr(10) order by pair_pos))""",
+          "'Correct Prompts:' || chr(10) || any_value(f.correct_list)")} as size
         from fx_improve_tried p join fx_improve_failures f using (run_id, item_id), fx_templates t
         where p.outcome = 'correct' group by p.run_id, p.item_id) where size % 7 <> 0""",
 }
@@ -343,8 +349,8 @@ _TREE = f"""
 def _merging(rules: str) -> str:
     """Tables ``grown`` and ``final_rules``: neighbours merged level by level by the fixed-answer optimizer."""
     merged = """'[Guiding Tone]' || chr(10) || 'Calm' || chr(10) || chr(10) || '[Key Vocabulary]' || chr(10) || 'merged '
-      || (length(replace(any_value(merges), '{rules_block}', string_agg('Rule ' || cast(place as varchar) || ':' || chr(10)
-        || rule_text, chr(10) || chr(10) order by place))) + length('Please fill the template based on the rules above.'))"""
+      || """ + _asked("""replace(any_value(merges), '{rules_block}', string_agg('Rule ' || cast(place as varchar) || ':' || chr(10)
+        || rule_text, chr(10) || chr(10) order by place))""", "'Please fill the template based on the rules above.'")
     return f"""numbered as materialized (select run_id, rule_text, merges,
         row_number() over (partition by run_id order by item_id) - 1 as seq from {rules}, fx_templates),
       depth as (select coalesce(max(cast(ceil(ln(ceil((seq + 1) / 3)) / ln(3) - 1e-9) as int)), 0) as levels from numbered),
@@ -358,12 +364,11 @@ def _merging(rules: str) -> str:
       final_rules as (select run_id, rule_text from grown where level = (select levels from depth))"""
 
 
-_FULL_RUN = """select f.run_id, f.rule_text, (select count(*) from grown g where g.run_id = f.run_id and level = 0) as n_merges,
+_FULL_RUN = f"""select f.run_id, f.rule_text, (select count(*) from grown g where g.run_id = f.run_id and level = 0) as n_merges,
     p.prompt_pos, p.prompt
   from final_rules f left join (select run_id, unnest(l) as prompt, generate_subscripts(l, 1) - 1 as prompt_pos from (
     select run_id, ['Think about ' || n || ' things', 'Verify all of the ' || n || ' parts', 'Explain step ' || n] as l
-    from (select run_id, length(replace(prompts, '{num}', '8')) - length('{rules_block}') + length(rule_text)
-      + length('Please generate 8 new prompts based on the above rule now.') as n from final_rules, fx_templates)
+    from (select run_id, {_asked("replace(replace(prompts, '{num}', '8'), '{rules_block}', rule_text)", "'Please generate 8 new prompts based on the above rule now.'")} as n from final_rules, fx_templates)
     where n % 4 <> 1)) p on f.run_id = p.run_id"""
 
 _BODIES = {
@@ -462,7 +467,7 @@ _BODIES = {
     "rule_sections": "select * from fx_sections",
     "rule_consensus": f"""select term, n_rules, dense_rank() over (order by n_rules desc) as rank from (
       select lower({_strip('t')}) as term, count(distinct item_id) as n_rules from (select item_id,
-        unnest(string_split(body, ',')) as t from fx_sections where heading = 'Key Vocabulary') group by 1)""",
+        unnest(string_split(body, ',')) as t from fx_sections where heading = 'Key Vocabulary') where {_strip('t')} <> '' group by 1)""",
     "rule_log_blocks": "select run_id, 'Sample ' || item_id as title, rule_text as body from fx_rules",
     "generation_requests": f"""select run_id, item_id, {_filled(PROMPTS, num="'8'", rules_block='rule_text')} as system,
       'Please generate 8 new prompts based on the above rule now.' as user from fx_rules""",
@@ -498,17 +503,16 @@ _BODIES = {
         count(*) filter (outcome = 'correct') / nullif(count(*) filter (outcome <> 'failed'), 0) as accuracy_answered
       from (select *, {_graded('x', _loose('raw_output'))} as outcome from (select *, case when n % 19 <> 7 then '  Of ' || n
           || ' the answer is (' || substring('ABCD', cast(n % 4 as int) + 1, 1) || ') ' end as raw_output
-        from (select *, 3 * length(prompt) + length(question) as n from fx_items cross join fx_prompts)))
+        from (select *, {_asked('prompt', 'question')} as n from fx_items cross join fx_prompts)))
       group by run_id, prompt_pos, prompt""",
     "refine_and_verify": """select run_id, item_id, pair_pos, subset as source, old_prompt as original_prompt, new_prompt as candidate_prompt,
       outcome = 'correct' as verified, case outcome when 'correct' then 'Correct' when 'wrong' then raw_output else 'No Output' end
       as model_output from fx_improve_tried""",
     "improvement_status": _IMPROVE_STATUS,
     "extracted_rules": "select * from fx_improve_rules",
-    "prompts_from_rules": """select run_id, item_id, unnest(l) as prompt, generate_subscripts(l, 1) - 1 as prompt_pos from (
+    "prompts_from_rules": f"""select run_id, item_id, unnest(l) as prompt, generate_subscripts(l, 1) - 1 as prompt_pos from (
       select run_id, item_id, ['Think about ' || n || ' things', 'Verify all of the ' || n || ' parts'] as l from (
-        select run_id, item_id, length(replace(prompts, '{num}', '2')) - length('{rules_block}') + length(rule_text)
-          + length('Please generate 2 new prompts based on the above rule now.') as n from fx_rules, fx_templates)
+        select run_id, item_id, {_asked("replace(replace(prompts, '{num}', '2'), '{rules_block}', rule_text)", "'Please generate 2 new prompts based on the above rule now.'")} as n from fx_rules, fx_templates)
       where n % 4 <> 1)""",
 }
 

@@ -443,12 +443,12 @@ def prompt_file_lines(spark, sf_dir):
 # Pools over time.
 
 def _pools(spark, sf_dir):
-    """The seed pool, and one per three math items of a run; every fifth update made no prompt."""
+    """The seed pool, and one per three items of a run; every fifteenth update made no prompt."""
     items = fx.items(spark, sf_dir)
     runs = items.select("run_id").distinct().withColumn("valid_from", F.lit(0).cast("long"))
     seed = rq.ask_all(runs, rq.SEED_PROMPTS)
-    math = items.where("type = 'math'").select("run_id", "item_id", F.lit("").alias("rule_text"))
-    starts = pl.pool_starts(rl.tier1_chunks(math)).where("valid_from % 5 <> 0 or valid_from % 3 <> 0")
+    rules = items.select("run_id", "item_id", F.lit("").alias("rule_text"))
+    starts = pl.pool_starts(rl.tier1_chunks(rules)).where("valid_from % 5 <> 0 or valid_from % 3 <> 0")
     made = starts.select(
         "run_id", "valid_from", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("prompt_pos"),
     ).withColumn("prompt", F.concat(F.lit("Pool "), "valid_from", F.lit(" prompt "), "prompt_pos"))

@@ -19,8 +19,8 @@ ALL_SUBSETS = "all"
 NOT_SUBSETS = ("all", "auxiliary_train")
 DEFAULT_TYPE, DEFAULT_SOURCE = "general", "unknown"
 
-# A per-group limit up to this size is cut down before the shuffle by the optimizer.
-_PRUNED_LIMIT = 1000
+# Stands for a null position, which comes before all others.
+_FIRST = -(1 << 62)
 
 
 def choice_items(raw: DataFrame) -> DataFrame:
@@ -90,25 +90,22 @@ def slice_subsets(items: DataFrame, limit: int | None, offset: int = 0, subset:
                   position: str = "pos") -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of every subset by position; no limit means all from the offset.
 
-    Positions are distinct within a subset. Only they are ranked: the bounds of each subset's
+    Positions are distinct within a subset; a null one comes first, and a null subset is one like any other.
+    Only they are ranked: the bounds of each subset's
     slice come out as one row, and the items themselves are neither sorted nor moved.
     """
     unlimited = limit is None or limit <= 0
     if unlimited and offset == 0:
         return items
     last = offset if unlimited else offset + limit
-    narrow = items.select(subset, position)
-    if last <= _PRUNED_LIMIT:
-        inside = Window.partitionBy(subset).orderBy(position)
-        ranked = narrow.withColumn("_rank", F.row_number().over(inside))
-    else:
-        ranked = with_ordinal(narrow, [subset], position, "_rank").withColumn("_rank", F.col("_rank") + 1)
+    at = F.coalesce(F.col(position).cast("long"), F.lit(_FIRST))
+    ranked = with_ordinal(items.select(subset, at.alias("_at")), [subset], "_at", "_rank").withColumn("_rank", F.col("_rank") + 1)
     bounds = ranked.where(F.col("_rank") <= last).groupBy(subset).agg(
-        F.max(F.when(F.col("_rank") <= offset, F.col(position))).alias("_low"), F.max(position).alias("_high"))
+        F.max(F.when(F.col("_rank") <= offset, F.col("_at"))).alias("_low"), F.max("_at").alias("_high"))
     met = lookup(items, written(bounds, "bounds"), [subset], "inner")
-    kept = met.where(F.col("_low").isNull() | (F.col(position) > F.col("_low")))
+    kept = met.where(F.col("_low").isNull() | (at > F.col("_low")))
     if not unlimited:
-        kept = kept.where(F.col(position) <= F.col("_high"))
+        kept = kept.where(at <= F.col("_high"))
     return kept.drop("_low", "_high")
 
 

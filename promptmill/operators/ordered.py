@@ -14,12 +14,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BUCKET = 100_000
 
 
+#: The bucket of null positions, which come before all others.
+_NO_POSITION = -(1 << 62)
+
+
 def _bucketed(df: DataFrame, position: Column, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(position / F.lit(width)))
+    return df.withColumn("_bucket", F.coalesce(F.floor(position / F.lit(width)), F.lit(_NO_POSITION)))
+
+
+def keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with its ``keys`` as columns without nulls, so that null is a key like any other in joins."""
+    names = []
+    for k in keys:
+        names += [f"_none_{k}", f"_key_{k}"]
+        kind = df.schema[k].dataType
+        value = F.coalesce(F.col(k), F.lit(0).cast(kind)) if isinstance(kind, NumericType) else F.coalesce(
+            F.col(k).cast("string"), F.lit(""))
+        df = df.withColumn(f"_none_{k}", F.col(k).isNull()).withColumn(f"_key_{k}", value)
+    return df, names
 
 
 def ordinal_over_buckets(df: DataFrame, keys: list[str], bucket: str, order: list[str],
@@ -29,15 +46,16 @@ def ordinal_over_buckets(df: DataFrame, keys: list[str], bucket: str, order: lis
     Joining the carried counts and numbering the rows need the same partitioning, so the
     rows are shuffled once.
     """
-    split = [*keys, bucket]
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    df, safe = keyed(df, keys)
+    split = [*safe, bucket]
+    earlier = Window.partitionBy(*safe).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = df.groupBy(*split).count().select(
         *split, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*split).orderBy(*order)
     return (
         df.join(carried, split)
         .withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_before")
+        .drop("_before", *safe)
     )
 
 
@@ -45,7 +63,7 @@ def with_ordinal(df: DataFrame, keys: list[str], position: str, out: str = "ordi
                  width: int = BUCKET) -> DataFrame:
     """Add the 0-based ordinal of every row within ``keys``, by ascending integer ``position``.
 
-    Positions must be distinct within a group.
+    Positions must be distinct within a group. Null keys are a group; null positions come first.
     """
     rows = _bucketed(df, F.col(position), width)
     return ordinal_over_buckets(rows, keys, "_bucket", [position], out).drop("_bucket")
@@ -57,9 +75,9 @@ def with_running_sums(df: DataFrame, keys: list[str], position: Column, order: l
 
     ``position`` is a non-decreasing integer in the order of ``order``.
     """
-    split = [*keys, "_bucket"]
-    rows = _bucketed(df, position, width)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows, safe = keyed(_bucketed(df, position, width), keys)
+    split = [*safe, "_bucket"]
+    earlier = Window.partitionBy(*safe).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*split).agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()])
     carried = totals.select(
         *split, *[F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).alias(f"_before_{o}") for o in sums])
@@ -67,34 +85,33 @@ def with_running_sums(df: DataFrame, keys: list[str], position: Column, order: l
     out = rows.join(carried, split)
     for name, column in sums.items():
         out = out.withColumn(name, F.col(f"_before_{name}") + F.sum(column).over(inside))
-    return out.drop("_bucket", *[f"_before_{o}" for o in sums])
+    return out.drop("_bucket", *safe, *[f"_before_{o}" for o in sums])
 
 
 def as_of(rows: DataFrame, marks: DataFrame, keys: list[str], position: str, mark: str,
           width: int = BUCKET) -> DataFrame:
     """Add to every row the largest ``mark`` of its group that is not above its ``position``.
 
-    Rows before the first mark get null. Rows and marks meet in a union, not in a join of
+    Rows before the first mark, and rows without a position, get null; null marks are none. Rows and marks meet in a union, not in a join of
     every mark with every row; the mark in force when a bucket begins comes from the carried table.
     """
-    split = [*keys, "_bucket"]
-    left = _bucketed(rows, F.col(position), width).withColumn("_at", F.col(position)) \
-        .withColumn(mark, F.lit(None).cast("long"))
-    right = _bucketed(marks.select(*keys, F.col(mark).cast("long").alias(mark)).distinct(), F.col(mark), width) \
-        .withColumn("_at", F.col(mark))
+    left, safe = keyed(_bucketed(rows, F.col(position), width).withColumn("_at", F.col(position)).withColumn(
+        mark, F.lit(None).cast("long")).withColumn("_is_row", F.lit(True)), keys)
+    set_ = marks.where(F.col(mark).isNotNull()).select(*keys, F.col(mark).cast("long").alias(mark)).distinct()
+    right, _ = keyed(_bucketed(set_, F.col(mark), width).withColumn("_at", F.col(mark)).withColumn("_is_row", F.lit(False)), keys)
+    split = [*safe, "_bucket"]
     both = left.unionByName(right, allowMissingColumns=True)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*safe).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     narrow = left.select(*split, mark).unionByName(right.select(*split, mark))
     carried = narrow.groupBy(*split).agg(F.max(mark).alias("_newest")).select(
         *split, F.max("_newest").over(earlier).alias("_carried"))
     inside = Window.partitionBy(*split).orderBy(F.col("_at"), F.col("_is_row")) \
         .rowsBetween(Window.unboundedPreceding, 0)
     return (
-        both.withColumn("_is_row", F.col(position).isNotNull())
-        .join(carried, split)
+        both.join(carried, split)
         .withColumn(mark, F.coalesce(F.max(mark).over(inside), F.col("_carried")))
         .where("_is_row")
-        .drop("_bucket", "_at", "_is_row", "_carried")
+        .drop("_bucket", "_at", "_is_row", "_carried", *safe)
     )
 
 
@@ -109,21 +126,13 @@ def with_dense_rank(df: DataFrame, by: str, out: str = "rank") -> DataFrame:
     return lookup(df, ranks, [by])
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", salts: int = 32) -> DataFrame:
-    """Join ``rows`` with a ``table`` that has at most one row per key.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join ``rows`` with a ``table`` that has at most one row per key; a null key meets a null key.
 
-    No broadcast is forced: the optimizer broadcasts the table when its known size is
-    below its threshold. Beyond that both sides are shuffled, and there a key shared by
-    a third of all rows is spread over ``salts`` partitions by repeating its one table row;
-    adaptive skew handling splits those further where they are still large.
+    No broadcast is forced: the optimizer broadcasts the table when its size is below the
+    threshold. Beyond that both sides are shuffled, and adaptive skew handling splits a key that
+    many rows share.
     """
-    spread = [c for c in rows.columns if c not in keys]
-    narrow = [c for c in spread if rows.schema[c].dataType.typeName() in ("long", "integer")]
-    salt = F.pmod(F.xxhash64(*(narrow or spread)), F.lit(salts)) if spread else F.lit(0)
-    return (
-        rows.withColumn("_salt", salt.cast("long"))
-        .join(
-            table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))),
-            [*keys, "_salt"], how)
-        .select(*rows.columns, *[c for c in table.columns if c not in keys])
-    )
+    left, safe = keyed(rows, keys)
+    right, _ = keyed(table, keys)
+    return left.join(right.drop(*keys), safe, how).select(*rows.columns, *[c for c in table.columns if c not in keys])

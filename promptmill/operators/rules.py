@@ -36,21 +36,21 @@ def _size_ok(group_size: int) -> int:
 
 
 def tier1_chunks(rules: DataFrame, group_size: int = 3, run: str = "run_id", position: str = "item_id",
-                 width: int = BUCKET) -> DataFrame:
-    """Every ``group_size`` rules of a run, in item order, as one chunk; a short last one is the tail.
+                 width: int = BUCKET, order: str | None = None) -> DataFrame:
+    """Every ``group_size`` rules of a run, in item order or that of ``order``, as one chunk; a short last one is the tail.
 
     ``sample_idx`` is the item that filled the chunk and ``rules_block`` its rules, numbered.
     """
     size = _size_ok(group_size)
-    placed = with_ordinal(rules, [run], position, "_ordinal", width).select(
-        run, position,
+    placed = with_ordinal(rules, [run], order or position, "_ordinal", width).select(
+        run, position, F.col("_ordinal"),
         F.floor(F.col("_ordinal") / size).alias("chunk"),
         (F.col("_ordinal") % size + 1).alias("_place"),
         "rule_text",
     ).withColumn("_text", tp.numbered_rule(F.col("_place"), F.col("rule_text")))
     return placed.groupBy(run, "chunk").agg(
         F.count("*").alias("n_rules"),
-        F.max(position).alias("sample_idx"),
+        F.max_by(position, "_ordinal").alias("sample_idx"),
         in_order("_text", r"\n\n", "_place").alias("rules_block"),
     ).withColumn("is_tail", F.col("n_rules") < size)
 

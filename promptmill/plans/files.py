@@ -27,8 +27,15 @@ TITLES = {rl.TIER1: "Tier-1 Merge", rl.FOLD: "Recursive Merge", rl.TAIL: "Cleanu
 _AT_END = 2**62
 
 
-def detailed_items(items: DataFrame, size: int = 10) -> DataFrame:
-    """The first and last ``size`` items of each run."""
+#: What :func:`write_run` writes below its folder, one folder each.
+TABLES = ("detailed_results", "refinement_trace", "prompt_history", "rule_evolution", "rules_history", "optimization_status",
+          "optimized_prompts", "final_rule", "cost_report")
+
+
+def detailed_items(items: DataFrame, size: int | None = 10) -> DataFrame:
+    """The first and last ``size`` items of each run; all of them without a size."""
+    if size is None:
+        return items.select(*ITEM)
     placed = with_ordinal(items.select(*ITEM), ["run_id"], "item_id", "item_index")
     totals = written(items.groupBy("run_id").agg(F.count("*").alias("n_total")), "totals")
     return written(head_and_tail(placed, totals, ["run_id"], size=size).select(*ITEM), "detailed")
@@ -84,12 +91,16 @@ def rule_log_rows(run: Run, detailed: DataFrame) -> DataFrame:
 
 
 def write_run(run: Run, items: DataFrame, folder: str, usage: DataFrame | None = None,
-              models: dict[str, str] | None = None) -> None:
-    """Write all files below ``folder``, replacing those of the runs in ``run`` only.
+              models: dict[str, str] | None = None, detail_size: int | None = 10) -> None:
+    """Write all files below ``folder``, replacing those of the runs of ``items`` only, whatever they left before.
 
-    ``usage`` has the token usage of the runs' calls and ``models`` the model name per role.
+    ``usage`` has the token usage of the runs' calls and ``models`` the model name per role. Detail is
+    kept for the first and last ``detail_size`` items of a run, or for all of them.
     """
-    detailed = detailed_items(items)
+    for table in TABLES:
+        if table != "cost_report" or usage is not None:
+            results.clear_runs(f"{folder}/{table}", items)
+    detailed = detailed_items(items, detail_size)
     results.write_json(detail_rows(run, items, detailed), f"{folder}/detailed_results", restart=True)
     results.write_json(trace_rows(run, detailed), f"{folder}/refinement_trace", restart=True)
     results.write_json(pl.history_rows(run.pools), f"{folder}/prompt_history", restart=True)

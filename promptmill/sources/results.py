@@ -34,6 +34,19 @@ def _writer(df: DataFrame, restart: bool, spread: bool = True):
     return df.write.mode("append").partitionBy(RUN)
 
 
+def clear_runs(path: str, runs: DataFrame) -> None:
+    """Take away what ``path`` holds of the runs in ``runs``: the start of these runs, also of one that leaves no row.
+
+    Run ids come to the driver one part of the table at a time.
+    """
+    spark = runs.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in runs.select(F.col(RUN)).distinct().toLocalIterator():
+        name = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else row[0]
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{RUN}={name}"), True)
+
+
 def write_json(df: DataFrame, path: str, restart: bool = False) -> None:
     _writer(df, restart).json(path)
 
@@ -70,12 +83,12 @@ def write_prompts(pools: DataFrame, path: str) -> None:
     """One small file per run: the prompts of a run are one row before they are written."""
     packed = pools.groupBy(RUN).agg(
         F.expr(r"listagg(prompt, '\n') within group (order by prompt_pos)").alias("value"))
-    packed.write.mode("overwrite").partitionBy(RUN).text(path)
+    _writer(packed, restart=True, spread=False).text(path)
 
 
 def write_final_rules(rules: DataFrame, path: str) -> None:
     """The final rule of every run as a text file of its own."""
-    rules.select(F.col("rule_text").alias("value"), RUN).write.mode("overwrite").partitionBy(RUN).text(path)
+    _writer(rules.select(F.col("rule_text").alias("value"), RUN), restart=True, spread=False).text(path)
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +143,7 @@ def write_reports(blocks: DataFrame, path: str) -> None:
         F.expr("listagg(text, '') within group (order by block)").alias("value"))
     # The writer ends the file with the line break taken off here.
     cut = joined.select(F.regexp_replace("value", r"\n\z", "").alias("value"), RUN)
-    cut.write.mode("overwrite").partitionBy(RUN).text(path)
+    _writer(cut, restart=True, spread=False).text(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from promptmill.operators.ordered import lookup
+from promptmill.operators.ordered import lookup, with_ordinal
 from promptmill.operators.rules import tier1_chunks
-from promptmill.workspace import written
+from promptmill.workspace import dropped, written
 
-_WAITING = "run_id long, item_id long, rule_text string"
+_WAITING = "run_id long, item_id long, rule_text string, place long"
 _MADE = "run_id long, n_chunks long"
 
 
@@ -27,23 +27,29 @@ def _carried(spark: SparkSession, path: str, batch_id: int) -> tuple[DataFrame,
 
 
 def start_chunks(rules: DataFrame, path: str, checkpoint: str, group_size: int = 3, **trigger) -> StreamingQuery:
-    """Emit a chunk whenever a run holds ``group_size`` rules, in batch and then item order."""
+    """Emit a chunk whenever a run holds ``group_size`` rules, in order of arrival: by batch, then by item."""
     def chunk(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         waiting, made = _carried(spark, path, batch_id - 1)
-        rows = written(waiting.unionByName(batch.select(*waiting.columns)), "arrived")
-        placed = lookup(tier1_chunks(rows, group_size), made, ["run_id"]).withColumn(
+        # Places of a run go on from the rules that wait: first arrived, first chunked.
+        held = waiting.groupBy("run_id").agg(F.count("*").alias("held"))
+        came = written(batch.select("run_id", "item_id", "rule_text"), "batch")
+        new = with_ordinal(came, ["run_id"], "item_id", "_new")
+        new = lookup(new, held, ["run_id"]).withColumn("place", F.coalesce("held", F.lit(0)) + F.col("_new"))
+        rows = written(waiting.unionByName(new.select(*waiting.columns)), "arrived")
+        placed = lookup(tier1_chunks(rows, group_size, order="place"), made, ["run_id"]).withColumn(
             "chunk", F.col("chunk") + F.coalesce("n_chunks", F.lit(0))).drop("n_chunks")
         placed = written(placed, "placed")
         full = written(placed.where(~F.col("is_tail")), "chunks", f"{path}/chunks/batch={batch_id}")
-        filled = full.groupBy("run_id").agg(F.max("sample_idx").alias("last_item"), F.count("*").alias("n_chunks"))
-        filled = written(filled, "filled")
-        left = lookup(rows, filled.drop("n_chunks"), ["run_id"]).where(
-            F.col("last_item").isNull() | (F.col("item_id") > F.col("last_item"))).drop("last_item")
+        filled = written(full.groupBy("run_id").agg(F.count("*").alias("n_chunks")), "filled")
+        used = F.coalesce("n_chunks", F.lit(0)) * group_size
+        left = lookup(rows, filled, ["run_id"]).where(F.col("place") >= used).withColumn("place", F.col("place") - used)
         written(left.select(*waiting.columns), "waiting", f"{path}/waiting/batch={batch_id}")
         counts = made.unionByName(filled.select("run_id", "n_chunks")).groupBy("run_id").agg(
             F.sum("n_chunks").alias("n_chunks"))
         written(counts, "made", f"{path}/made/batch={batch_id}")
+        for scratch in (came, rows, placed, filled):
+            dropped(scratch)
     return (
         rules.writeStream.foreachBatch(chunk).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
@@ -54,6 +60,6 @@ def all_chunks(spark: SparkSession, path: str, last_batch: int, group_size: int
     """Chunks made so far, closed by the tails of what still waits: a stream itself has no end."""
     done = spark.read.parquet(f"{path}/chunks").drop("batch")
     waiting, made = _carried(spark, path, last_batch)
-    tails = lookup(tier1_chunks(waiting, group_size), made, ["run_id"]).withColumn(
+    tails = lookup(tier1_chunks(waiting, group_size, order="place"), made, ["run_id"]).withColumn(
         "chunk", F.col("chunk") + F.coalesce("n_chunks", F.lit(0)))
     return done.unionByName(tails.select(*done.columns))
