@@ -2,15 +2,17 @@
 
 from collections import defaultdict
 from dataclasses import replace
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks.models import SETTINGS
-from promptmill.operators.requests import SEED_PROMPTS
+from promptmill.functions import templates as tp
+from promptmill.operators.requests import HELPER, SEED_PROMPTS
 from promptmill.plans import improvement, steps
 from promptmill.plans.steps import Models
-from tests.sequential import optimizer, play, scorer
+from tests.answers import optimizer, scorer
 
 SEEDS = SEED_PROMPTS[:3]
 MODELS = Models(lambda: scorer(), lambda: optimizer())
@@ -37,49 +39,119 @@ def items(spark):
     return written(spark.createDataFrame([tuple(r.values()) for r in _items()], schema), "items")
 
 
-def _played(**kw):
-    by_run = defaultdict(list)
-    for row in _items():
-        by_run[row["run_id"]].append(row)
-    return {run: play(rows, SEEDS, scorer(), optimizer(), g=2, **kw) for run, rows in by_run.items()}
+def _told(call, system, user):
+    try:
+        return call(system, user).strip()
+    except RuntimeError:
+        return None
 
 
-def _hold(done, want):
-    got = defaultdict(list)
-    for r in done.status.orderBy("run_id", "item_id").collect():
-        got[r.run_id].append([r.item_id, r.status, r.initial_wrong, r.verified_success])
-    assert got == {run: p.statuses for run, p in want.items()}
-    tier1 = defaultdict(list)
-    for r in done.tier1.where(~F.col("is_tail")).orderBy("run_id", "chunk").collect():
-        tier1[r.run_id].append((r.sample_idx, r.rule_text))
-    assert tier1 == {run: p.tier1 for run, p in want.items() if p.tier1}
-    pools = defaultdict(dict)
+def _by_item(df, *columns):
+    out = defaultdict(list)
+    for r in df.orderBy("run_id", "item_id").collect():
+        out[r.run_id, r.item_id].append(tuple(r[c] for c in columns))
+    return out
+
+
+def _merged(texts):
+    block = "\n\n".join(f"Rule {i}:\n{t}" for i, t in enumerate(texts, 1))
+    return _told(optimizer(), tp.MERGE_TEMPLATE.replace("{rules_block}", block), tp.MERGE_MESSAGE)
+
+
+def _made(rule, count):
+    """The prompts that the varied optimizer makes of a rule: its answer's number in three lines, or none."""
+    said = _told(optimizer(), tp.GENERATE_TEMPLATE.replace("{num}", str(count)).replace("{rules_block}", rule), tp.generate_message(count))
+    if said.startswith("Here is"):
+        return []
+    n = said.split("about ")[1].split()[0]
+    return [f"Think about {n} things", f"Verify all of the {n} parts", f"Explain step {n}"][:count]
+
+
+def _pools(done):
+    out = defaultdict(lambda: defaultdict(list))
     for r in done.pools.orderBy("prompt_pos").collect():
-        pools[r.run_id].setdefault(r.valid_from, []).append(r.prompt)
-    assert {run: sorted(p.items()) for run, p in pools.items()} == {run: p.pools for run, p in want.items()}
-    rules = {r.run_id: r.rule_text for r in done.final_rule.collect()}
-    assert rules == {run: p.final_rule for run, p in want.items() if p.final_rule}
-    prompts = defaultdict(list)
+        out[r.run_id][r.valid_from].append(r.prompt)
+    return out
+
+
+def _hold(done):
+    """What each table of a run must be, given the tables it is made from."""
+    given = {(r["run_id"], r["item_id"]): r for r in _items()}
+    pools = _pools(done)
+    graded = _by_item(done.graded, "prompt_pos", "prompt", "raw_output", "outcome")
+    # Every item is asked under the pool in force, and each answer is the model's.
+    assert set(graded) == set(given)
+    for key, rows in graded.items():
+        start = max(v for v in pools[key[0]] if v <= key[1])
+        assert [r[1] for r in sorted(rows)] == pools[key[0]][start]
+        for _, prompt, output, outcome in rows:
+            assert output == _told(scorer(), HELPER, f"{prompt}\n\n{given[key]['question']}")
+            assert (outcome == "failed") == (output is None)
+            if given[key]["type"] == "multiple_choice" and output:
+                assert (outcome == "correct") == (output[-2] == given[key]["answer"])
+    # A status follows from the outcomes and pairs of its item.
+    tried = _by_item(done.candidates, "old_prompt", "new_prompt", "verified", "pair_pos")
+    said = {}
+    for key, ((status, wrong, good),) in _by_item(done.status, "status", "initial_wrong", "verified_success").items():
+        outcomes = [r[3] for r in graded[key]]
+        assert wrong == outcomes.count("wrong") and good == sum(v for _, _, v, _ in tried[key])
+        assert status == ("Success" if good else "Failed (Verification)" if tried[key] else "Failed (Refine Step)" if wrong
+                          else "Skipped (All Correct)" if "correct" in outcomes else "Failed (No Response)")
+        said[key] = status
+        # The k-th rewrite answers the k-th wrong prompt.
+        assert [o for o, _, _, _ in sorted(tried[key], key=lambda t: t[3])] == [
+            r[1] for r in sorted(graded[key]) if r[3] == "wrong"][:len(tried[key])]
+        for _, new, verified, _ in tried[key]:
+            output = _told(scorer(), HELPER, f"{new}\n\n{given[key]['question']}")
+            if given[key]["type"] == "multiple_choice":
+                assert verified == (output is not None and output[-2] == given[key]["answer"])
+    rules = defaultdict(list)
+    for (run, item), ((text,),) in sorted(_by_item(done.rules, "rule_text").items()):
+        assert said[run, item] == "Success"
+        rules[run].append((item, text))
+    # Rules of a run in item order, in pairs: each in one Tier-1 merge, stamped with the item that filled it.
+    tier1 = defaultdict(list)
+    for r in done.tier1.orderBy("run_id", "chunk").collect():
+        tier1[r.run_id].append((r.sample_idx, r.is_tail, r.rule_text))
+    assert tier1 == {run: [(pair[-1][0], len(pair) < 2, _merged([t for _, t in pair]))
+                           for pair in (listed[i:i + 2] for i in range(0, len(listed), 2))] for run, listed in rules.items()}
+    # Pairs of texts become one until one is left, and that is the final rule.
+    merges = defaultdict(int)
+    for r in done.merges.collect():
+        merges[r.run_id] += 1
+    final = {r.run_id: r.rule_text for r in done.final_rule.collect()}
+    assert set(final) == set(tier1)
+    assert {run: n for run, n in merges.items()} == {run: len(t) - 1 for run, t in tier1.items() if len(t) > 1}
+    made = defaultdict(list)
     for r in done.final_prompts.orderBy("prompt_pos").collect():
-        prompts[r.run_id].append(r.prompt)
-    assert prompts == {run: p.final_prompts for run, p in want.items() if p.final_prompts}
+        made[r.run_id].append(r.prompt)
+    assert made == {run: p for run, text in final.items() if (p := _made(text, 8))}
+    return said, tier1, pools, final
 
 
-def test_the_played_runs_reach_every_status():
-    said = {s[1] for p in _played(iterative=True).values() for s in p.statuses}
-    assert {"Success", "Failed (Verification)", "Failed (Refine Step)"} <= said
-    assert len(_played(iterative=True)[0].pools) > 2 and len(_played()[0].tier1) > 3
+def test_base_run_balanced(items):
+    said, tier1, pools, final = _hold(improvement.run_base(items, SEEDS, MODELS, PAIRS))
+    assert {"Success", "Failed (Verification)", "Failed (Refine Step)"} <= set(said.values()) and len(tier1[0]) > 3
+    assert all(list(p) == [0] for p in pools.values())
+    for run, held in tier1.items():
+        level = [t for _, _, t in held]
+        while len(level) > 1:
+            level = [_merged(level[i:i + 2]) if len(level[i:i + 2]) > 1 else level[i] for i in range(0, len(level), 2)]
+        assert final[run] == level[0]
 
 
-@pytest.mark.parametrize("order", ["balanced", "left_deep"])
-def test_base_run(items, order):
-    done = improvement.run_base(items, SEEDS, MODELS, replace(PAIRS, merge_order=order))
-    _hold(done, _played(left_deep=order == "left_deep"))
+def test_base_run_left_deep(items):
+    _, tier1, _, final = _hold(improvement.run_base(items, SEEDS, MODELS, replace(PAIRS, merge_order="left_deep")))
+    for run, held in tier1.items():
+        assert final[run] == reduce(lambda a, b: _merged([a, b]), [t for _, _, t in held])
 
 
 def test_iterative_run_is_exact_in_blocks(items):
-    done = improvement.run_iterative(items, SEEDS, MODELS, PAIRS, block=20)
-    _hold(done, _played(iterative=True, left_deep=False))
+    _, tier1, pools, _ = _hold(improvement.run_iterative(items, SEEDS, MODELS, PAIRS, block=20))
+    # A full chunk's prompts are in force from the item after the one that filled it.
+    for run, held in tier1.items():
+        assert pools[run] == {0: list(SEEDS), **{item + 1: p for item, tail, text in held if not tail and (p := _made(text, 5))}}
+    assert len(pools[0]) > 2
 
 
 def test_calls_are_tried_again_and_then_left_as_failed(spark):
@@ -118,31 +190,50 @@ def test_run_files(spark, items, tmp_path):
                           "run_id long, role string, prompt_tokens long, completion_tokens long") \
         .write.parquet(f"{tmp_path}/usage")
     done = improvement.run_base(items, SEEDS, MODELS, settings)
-    out, want = f"{tmp_path}/out", _played()
+    said, tier1, _, final = _hold(done)
+    out = f"{tmp_path}/out"
     for _ in range(2):  # written again, nothing is there twice
         write_run(done, items, out, spark.read.parquet(f"{tmp_path}/usage"), {"scorer": "s"})
     shown = {(0, 3 * i) for i in (*range(10), *range(16, 26))} | {(1, 3 * i + 1) for i in range(5)} | {(2, 2)}
     details = results.read_json(spark, f"{out}/detailed_results", schemas.DETAILED_RESULT).collect()
-    answered = {(run, s[0]) for run, p in want.items() for s in p.statuses if s[1] != "Failed (No Response)"}
+    answered = {key for key, status in said.items() if status != "Failed (No Response)"}
     assert sorted((r.run_id, r.id) for r in details) == sorted(shown & answered)
     status = results.read_status(spark, f"{out}/optimization_status").orderBy("run_id", "id").collect()
-    assert [[r.id, r.status, r.initial_wrong, r.verified_success] for r in status] == [
-        s for run in sorted(want) for s in want[run].statuses]
+    assert {(r.run_id, r.id): r.status for r in status} == said
     trace = results.read_json(spark, f"{out}/refinement_trace", schemas.REFINEMENT_TRACE)
     assert {(r.run_id, r.id) for r in trace.collect()} <= shown
     log = results.read_rule_log(spark, f"{out}/rules_history").where("path like '%run_id=0%'")
     titles = [r.title for r in log.orderBy("path", "block_pos").collect()]
-    n = len(want[0].tier1)
-    assert titles.count("Tier-1 Merge") == n and titles.count("Recursive Merge") == n - 1 and titles[-1] == "FINAL RULE"
+    n = len(tier1[0])
+    full = [(item, text) for item, tail, text in tier1[0] if not tail]
+    assert titles.count("Tier-1 Merge") == len(full) and titles.count("Recursive Merge") == n - 1 and titles[-1] == "FINAL RULE"
     first = titles.index("Tier-1 Merge")
     assert titles[first + 1] != "Recursive Merge" and all(t.startswith("Sample ") for t in titles[:first])
     evolution = results.read_json(spark, f"{out}/rule_evolution", schemas.RULE_EVOLUTION).where("run_id = 0").collect()
-    assert sorted((int(r.sample_idx), r.rule_content) for r in evolution if r.tier == "Tier-1") == want[0].tier1
+    assert sorted((int(r.sample_idx), r.rule_content) for r in evolution if r.tier == "Tier-1") == full
     assert len(evolution) >= 2 * n - 1 and {r.sample_idx for r in evolution if r.tier == "Convergence"} <= {"FINAL"}
     prompts = results.read_prompts(spark, f"{out}/optimized_prompts").where("path like '%run_id=0%'").orderBy("prompt_pos")
-    assert [r.prompt for r in prompts.collect()] == want[0].final_prompts
-    assert spark.read.text(f"{out}/final_rule", wholetext=True).where("run_id = 0").first()[0].rstrip("\n") == want[0].final_rule
+    assert [r.prompt for r in prompts.collect()] == _made(final[0], 8)
+    assert spark.read.text(f"{out}/final_rule", wholetext=True).where("run_id = 0").first()[0].rstrip("\n") == final[0]
     cost = results.read_cost(spark, f"{out}/cost_report").collect()
     assert {(r.Role, r.Model, r["Total Tokens"]) for r in cost} == {("scorer", "s", 30), ("optimizer", None, 9)}
     history = results.read_json(spark, f"{out}/prompt_history", schemas.PROMPT_HISTORY).collect()
     assert {(r.event, tuple(r.prompts), r["count"]) for r in history} == {("initial_load", SEEDS, 3)}
+
+
+def test_a_run_written_again_leaves_nothing_of_before(spark, items, tmp_path):
+    from promptmill.sources import results
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        schema, path = "run_id long, prompt_pos int, prompt string", f"{tmp_path}/prompts"
+        both = spark.createDataFrame([(0, 0, "a"), (1, 0, "b"), (1, 1, "c")], schema)
+        results.write_prompts(both, path)
+        fewer = both.where("run_id = 1 and prompt_pos = 0")
+        results.clear_runs(path, fewer)
+        results.write_prompts(fewer, path)
+        assert sorted(r.prompt for r in results.read_prompts(spark, path).collect()) == ["a", "b"]
+        results.clear_runs(path, fewer)
+        results.write_prompts(both.where("run_id = 7"), path)
+        assert [r.prompt for r in results.read_prompts(spark, path).collect()] == ["a"]
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
