@@ -10,7 +10,7 @@ rejection are calibrated on training texts.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +26,10 @@ from promptmill.workspace import written
 ORDER = 5
 #: Grams are kept by hashes of this many bits, which bounds the arrays of each order whatever the corpus holds.
 HASH_BITS = 21
-#: Grams that a counting task holds before it hands them on (they are summed again afterwards).
-HELD_GRAMS = 400_000
+#: Distinct words and grams that a counting task holds before it hands them on (they are summed again afterwards).
+HELD_WORDS, HELD_GRAMS = 100_000, 400_000
 #: Training texts that confidence is calibrated on (least hashes of the id), and characters of one.
-CALIBRATION_ROWS, CALIBRATION_CHARS = 2000, 20_000
+CALIBRATION_ROWS, CALIBRATION_CHARS = 1000, 20_000
 #: Share of the calibration texts whose cross-entropy is rejected.
 REJECTED_SHARE = 0.001
 UNDETERMINED = "und"
@@ -54,28 +54,34 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
         schema = to_arrow_schema(target)
-        held: Counter = Counter()
+        words: dict[str, Counter] = defaultdict(Counter)
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def spelled():
+            for lang, counts in words.items():
+                own = held[lang]
+                for word, n in counts.items():
+                    for gram in grams_of(word):
+                        own[gram] += n
+            words.clear()
 
         def out():
-            keys = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                                                pa.array([held[k] for k in keys], pa.int64())], schema=schema)
+            for lang, counts in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()),
+                                                  pa.array(list(counts.values()), pa.int64())], schema=schema)
             held.clear()
-            return batch
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for lo, hi in pieces([len(t) for t in texts]):
-                words: Counter = Counter()
                 for lang, text in zip(langs[lo:hi], texts[lo:hi], strict=True):
-                    words.update([(lang, w) for w in words_of(text)])
-                for (lang, word), n in words.items():
-                    for gram in grams_of(word):
-                        held[lang, gram] += n
-                if len(held) >= HELD_GRAMS:
-                    yield out()
-        if held:
-            yield out()
+                    words[lang].update(words_of(text))
+                if sum(map(len, words.values())) >= HELD_WORDS:
+                    spelled()
+                if sum(map(len, held.values())) >= HELD_GRAMS:
+                    yield from out()
+        spelled()
+        yield from out()
 
     return docs.mapInArrow(run, target).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -105,6 +111,31 @@ def model_rows(counts: DataFrame) -> DataFrame:
     return out
 
 
+#: Words and grams whose bits a scoring task remembers; beyond them it starts anew.
+MEMO_WORDS, MEMO_GRAMS = 200_000, 400_000
+
+
+class Known:
+    """Bits of the words and grams that a task has met: rows of two arrays that grow."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.grams, self.word_bits, self.gram_bits = {}, {}, None, None
+
+    def add(self, places: dict[str, int], name: str, keys: list[str], rows: np.ndarray) -> None:
+        held, n = getattr(self, name), len(places)
+        if held is None or n + len(keys) > len(held):
+            grown = np.empty((max(1024, 2 * (n + len(keys))), rows.shape[1]))
+            if held is not None:
+                grown[:n] = held[:n]
+            setattr(self, name, grown)
+            held = grown
+        held[n:n + len(keys)] = rows
+        places.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+
 @dataclass
 class Model:
     """For each order: sorted gram hashes (lang and gram), with own shares and back-off weights."""
@@ -121,7 +152,8 @@ class Model:
         keys = self.keys[k]
         if not len(keys):
             return np.full(len(grams), missing)
-        want = np.fromiter((_hash(lang, g) for g in grams), np.int64, len(grams))
+        start, shift = zlib.crc32(f"{lang}|".encode()), 32 - HASH_BITS
+        want = np.fromiter((zlib.crc32(g.encode(), start) >> shift for g in grams), np.int64, len(grams))
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         found = values[k][at]
         return np.where((keys[at] == want) & ~np.isnan(found), found, missing)
@@ -129,47 +161,53 @@ class Model:
     def bits(self, grams: list[str]) -> np.ndarray:
         """(grams × languages) bits that the last character of each gram costs."""
         out = np.empty((len(grams), len(self.langs)))
+
+        def distinct(cut: list[str]) -> tuple[list[str], np.ndarray]:
+            places = {g: i for i, g in enumerate(dict.fromkeys(cut))}
+            return list(places), np.fromiter((places[g] for g in cut), np.int64, len(cut))
+
+        shorter = {k: (distinct([g[ORDER - k:] for g in grams]), distinct([g[ORDER - k:-1] for g in grams])) for k in range(1, ORDER + 1)}
         for j, lang in enumerate(self.langs):
             p = np.full(len(grams), self.uniform)
             for k in range(1, ORDER + 1):
-                tails = [g[ORDER - k:] for g in grams]
                 # An unknown context leaves everything to the lower orders.
-                p = self._found(k, lang, tails, self.own, 0.0) + self._found(k - 1, lang, [t[:-1] for t in tails], self.backoff, 1.0) * p
+                (tails, of), (contexts, at) = shorter[k]
+                p = self._found(k, lang, tails, self.own, 0.0)[of] + self._found(k - 1, lang, contexts, self.backoff, 1.0)[at] * p
             out[:, j] = -np.log2(np.maximum(p, 1e-12))
         return out
 
-    def entropies(self, texts: list[bytes | None], memo: dict[str, int], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[bytes | None], known: Known) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text under each language, and its number of characters."""
         listed = [words_of(t) for t in texts]
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in listed for w in ws))}
-        grams = [grams_of(w) for w in vocabulary]
-        new = list(dict.fromkeys(g for gs in grams for g in gs if g not in memo))
-        if len(memo) + len(new) > MEMO_GRAMS:
-            memo.clear()
-            rows.clear()
-            new = list(dict.fromkeys(g for gs in grams for g in gs))
+        distinct = set().union(*listed)
+        if len(known.words) > MEMO_WORDS or len(known.grams) > MEMO_GRAMS:
+            known.clear()
+        new = [w for w in distinct if w not in known.words]
         if new:
-            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-            rows.append(self.bits(new))
-            rows[:] = [np.concatenate(rows)]
-        total, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        if vocabulary:
-            begins = np.zeros(len(grams), np.int64)
-            np.cumsum([len(g) for g in grams[:-1]], out=begins[1:])
-            where = np.fromiter((memo[g] for gs in grams for g in gs), np.int64)
-            of_word = np.add.reduceat(rows[0][where], begins)
-            length = np.array([len(g) for g in grams])
-            for i, ws in enumerate(listed):
-                if ws:
-                    own = np.fromiter((vocabulary[w] for w in ws), np.int64, len(ws))
-                    total[i], size[i] = of_word[own].sum(0), length[own].sum()
-        return total / np.maximum(size, 1)[:, None], size
-
-    def predict(self, texts: list[bytes | None], memo: dict, rows: list):
+            spelled = [grams_of(w) for w in new]
+            unseen = list({g for gs in spelled for g in gs if g not in known.grams})
+            if unseen:
+                known.add(known.grams, "gram_bits", unseen, self.bits(unseen))
+            length = np.array([len(gs) for gs in spelled])
+            begins = np.zeros(len(new), np.int64)
+            np.cumsum(length[:-1], out=begins[1:])
+            grams = known.grams
+            where = np.fromiter((grams[g] for gs in spelled for g in gs), np.int64)
+            of_word = np.add.reduceat(known.gram_bits[where], begins)
+            known.add(known.words, "word_bits", new, np.column_stack([of_word, length]))
+        total = np.zeros((len(texts), len(self.langs) + 1))
+        words = known.words
+        for i, ws in enumerate(listed):
+            if ws:
+                total[i] = known.word_bits[np.fromiter(map(words.__getitem__, ws), np.int64, len(ws))].sum(0)
+        size = total[:, -1]
+        return total[:, :-1] / np.maximum(size, 1)[:, None], size
+
+    def predict(self, texts: list[bytes | None], known: Known):
         """(language, score, rejected, bits per character) of each text."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), [True] * len(texts), np.zeros(len(texts))
-        bits, size = self.entropies(texts, memo, rows)
+        bits, size = self.entropies(texts, known)
         best = bits.argmin(1)
         least = bits[np.arange(len(texts)), best]
         weight = np.exp2(-self.sharpness * (bits - least[:, None]))
@@ -178,14 +216,6 @@ class Model:
         return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, size, strict=True)], score, rejected.tolist(), least
 
 
-#: Grams whose bits a scoring task remembers.
-MEMO_GRAMS = 500_000
-
-
-def _hash(lang: str, gram: str) -> int:
-    return zlib.crc32(f"{lang}|{gram}".encode()) >> (32 - HASH_BITS)
-
-
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
     """Models of all languages from every text with a language, confidence from a bounded sample of them."""
     told = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).alias("lang"),
@@ -206,7 +236,10 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     least = told.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
     sample = (told.where(F.length("text") <= CALIBRATION_CHARS).join(F.broadcast(least), "doc_id").select("lang", "text").collect())
     if sample and langs:
-        bits, size = model.entropies([r["text"].encode() for r in sample], {}, [])
+        known, told_bits = Known(), []
+        for lo in range(0, len(sample), 50):
+            told_bits.append(model.entropies([r["text"].encode() for r in sample[lo:lo + 50]], known))
+        bits, size = np.concatenate([b for b, _ in told_bits]), np.concatenate([n for _, n in told_bits])
         right = np.array([langs.index(r["lang"]) for r in sample])
         read = size > 0
         if read.any():
@@ -225,11 +258,11 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     (``rejected``) keeps the nearest one at half its score. Rows are read each for itself; null ids
     stay null; other columns are never read.
     """
-    memo, rows = {}, []
+    known = Known()
 
     def piece(columns):
         ids, texts = columns
-        return ids, *model.predict(texts, memo, rows)
+        return ids, *model.predict(texts, known)
 
     return mapped(docs.select(F.col(id_column).cast("long"), F.col(text_column)), piece,
                   "doc_id long, lang_pred string, score double, rejected boolean, bits_per_char double")
