@@ -495,6 +495,14 @@ _BODIES = {
     "model_calls": """select item_id, prompt_pos, raw_output, case when raw_output is null then 3 else 1 end as tries,
         case when raw_output is null then 'RuntimeError: busy' end as error, case when raw_output is not null then n end as prompt_tokens,
         case when raw_output is not null then n % 10 end as completion_tokens from fx_called""",
+    "resumed_calls": """select item_id, prompt_pos, raw_output, case when raw_output is null then 3 else 1 end as tries,
+        cast(1 as bigint) as n_calls from fx_called""",
+    "held_out_runs": f"""select run_id, cast(prompt_pos - run_id + 1 as int) as prompt_no, count(*) filter (outcome = 'correct') as correct,
+        count(*) as total, left(prompt, 100) || '...' as label
+      from (select *, {_graded('x', _loose('raw_output'))} as outcome from (select *, case when n % 19 <> 7 then '  Of ' || n
+          || ' the answer is (' || substring('ABCD', cast(n % 4 as int) + 1, 1) || ') ' end as raw_output
+        from (select *, {_asked('prompt', 'question')} as n from fx_items cross join fx_prompts where run_id < 3 and prompt_pos >= run_id)))
+      group by run_id, prompt_pos, prompt""",
     "evaluate_pool": """select run_id, item_id, coalesce(string_agg(prompt, ' | ' order by prompt_pos) filter (outcome = 'correct'), '')
         as correct_prompts, count(*) filter (outcome = 'correct') as n_correct, count(*) filter (outcome = 'wrong') as n_wrong,
         count(*) filter (outcome = 'failed') as n_failed from fx_answers group by run_id, item_id""",

@@ -22,7 +22,7 @@ from promptmill.operators import reports as rp
 from promptmill.operators import requests as rq
 from promptmill.operators import rules as rl
 from promptmill.operators import usage as us
-from promptmill.operators.completion import complete
+from promptmill.operators.completion import complete, complete_once
 from promptmill.operators.ordered import lookup
 from promptmill.plans import improvement, merging, steps
 from promptmill.plans.files import write_run
@@ -521,6 +521,33 @@ def held_out_evaluation(spark, sf_dir):
     return steps.held_out(fx.items(spark, sf_dir), list(rq.SEED_PROMPTS), MODELS.scorer, SETTINGS)
 
 
+@query
+def resumed_calls(spark, sf_dir):
+    """Half of the requests are answered, the job starts again over all of them: each is asked once."""
+    store, keys = fresh_folder(spark, "answers"), ["item_id", "prompt_pos"]
+    asked = rq.with_request(rq.ask_all(fx.items(spark, sf_dir), rq.SEED_PROMPTS)).select(*keys, "system", "user")
+    complete_once(asked.where("item_id % 2 = 0"), MODELS.scorer, store, keys, pieces=2, retry_delay=0.0)
+    answers = complete_once(asked, MODELS.scorer, store, keys, pieces=2, retry_delay=0.0)
+    calls = spark.read.parquet(store).groupBy("request_id").agg(F.count("*").alias("n_calls"))
+    return answers.join(calls, "request_id").select(*keys, "raw_output", "tries", "n_calls")
+
+
+@query
+def held_out_runs(spark, sf_dir):
+    """Every run's own prompt file on its items, to reports and back; run 3 has no prompts."""
+    folder = fresh_folder(spark, "held-out-runs")
+    items = fx.items(spark, sf_dir)
+    pools = rq.ask_all(items.select("run_id").distinct(), rq.SEED_PROMPTS).where("prompt_pos >= run_id and run_id < 3")
+    results.write_prompts(pools, f"{folder}/optimized_prompts")
+    own = results.read_prompts(spark, f"{folder}/optimized_prompts").select(
+        F.regexp_extract("path", r"run_id=(\d+)", 1).cast("long").alias("run_id"), "prompt_pos", "prompt")
+    accuracy = written(steps.held_out_runs(items, own, MODELS.scorer, SETTINGS), "accuracy")
+    headers = items.select("run_id").distinct().selectExpr("run_id", "'m' as model", "'validation' as split", "'all' as subjects")
+    results.write_reports(steps.held_out_report(accuracy, headers), f"{folder}/reports")
+    return results.read_reports(spark, f"{folder}/reports").select(
+        F.regexp_extract("path", r"run_id=(\d+)", 1).cast("long").alias("run_id"), "prompt_no", "correct", "total", "label")
+
+
 def _improved(spark, sf_dir):
     items = fx.items(spark, sf_dir)
     return steps.improve(rq.ask_all(items, rq.SEED_PROMPTS), items, MODELS, SETTINGS)

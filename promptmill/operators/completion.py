@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,35 @@ def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3
     return asked.mapInPandas(run, schema)
 
 
+#: Names a request in a store of answers, from its keys and its whole text.
+REQUEST = "request_id"
+
+
+def request_id(keys: list[str]) -> Column:
+    return F.sha2(F.to_json(F.struct(*keys, "system", "user"), {"ignoreNullFields": "false"}), 256)
+
+
+def complete_once(requests: DataFrame, model: Callable[[], Model], store: str, keys: list[str], pieces: int = 8,
+                  out: str = "raw_output", **how) -> DataFrame:
+    """Ask only what ``store`` holds no answer to yet, and give the answers to all ``requests``.
+
+    Requests are asked in ``pieces`` by their id, and each piece's answers are kept as soon as
+    they are there: after a lost job only the piece in hand is asked again. Requests that failed are kept as failed.
+    ``keys`` tell requests apart; a request that stands twice is asked once.
+    """
+    spark = requests.sparkSession
+    named = requests.withColumn(REQUEST, request_id(keys))
+    fields = [REQUEST, out, "tries", "error", "prompt_tokens", "completion_tokens"]
+    schema = f"{REQUEST} string, {out} string, tries int, error string, prompt_tokens long, completion_tokens long"
+    root = spark._jvm.org.apache.hadoop.fs.Path(store)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
+    for piece in range(pieces):
+        asked = named.where(F.pmod(F.xxhash64(REQUEST), F.lit(pieces)) == piece).select(REQUEST, "system", "user").dropDuplicates([REQUEST])
+        open_ = asked.join(spark.read.schema(schema).parquet(store).select(REQUEST), REQUEST, "left_anti")
+        complete(open_, model, out=out, **how).select(*fields).write.mode("append").parquet(store)
+    return named.drop("system", "user").join(spark.read.schema(schema).parquet(store), REQUEST)
+
+
 def usage_rows(responses: DataFrame, role: str, keys: list[str]) -> DataFrame:
     """Token usage of answered calls, one row each."""
     return responses.where(F.col("prompt_tokens").isNotNull()).select(

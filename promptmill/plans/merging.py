@@ -15,7 +15,7 @@ from promptmill.functions import templates as tp
 from promptmill.operators import rules as ops
 from promptmill.operators.refine import in_order
 from promptmill.plans.steps import Models, Settings, merge
-from promptmill.workspace import written
+from promptmill.workspace import fresh_folder, written
 
 _NODE = ["run_id", "tier", "seq"]
 
@@ -80,16 +80,29 @@ def merge_left_deep(merged: DataFrame, models: Models, settings: Settings) -> tu
         "run_id", F.when(full, ops.TIER1).otherwise(ops.TAIL).alias("tier"),
         F.when(full, F.col("chunk") + 1).otherwise(1).alias("seq"), "rule_text")
     folds = tree.where(F.col("tier") == ops.FOLD).agg(F.max("seq")).first()[0] or 0
-    steps = [(ops.FOLD, n) for n in range(1, folds + 1)] + [(ops.CONVERGENCE, 1)]
-    for tier, seq in steps:
-        edges = tree.where((F.col("parent_tier") == tier) & (F.col("parent_seq") == seq))
-        # Inputs of this step only: Tier-1 merges, the tail, and the fold just before.
-        inputs = edges.select(*_NODE, "parent_place").join(done, _NODE)
-        texts = merge(_block(inputs, ["run_id"], "parent_place"), ["run_id"], models, settings)
-        done = done.unionByName(texts.select(
-            "run_id", F.lit(tier).alias("tier"), F.lit(seq).cast("long").alias("seq"), "rule_text"))
-        if seq % 16 == 0:
-            done = written(done, "done")
+    # Texts of Tier-1 and the tail under the step they go into, written once and laid out by it; a step
+    # reads its own folder and the fold before it, so all steps together read every text once.
+    waiting = fresh_folder(merged.sparkSession, "fold-inputs")
+    (tree.where("parent_tier is not null").select(*_NODE, "parent_tier", "parent_seq", "parent_place").join(done, _NODE)
+     .withColumn("step", F.when(F.col("parent_tier") == ops.FOLD, F.col("parent_seq")).otherwise(0))
+     .select("run_id", "parent_place", "rule_text", "step").hint("rebalance", "step")
+     .write.partitionBy("step").parquet(waiting))
+    inputs = merged.sparkSession.read.schema("run_id long, parent_place long, rule_text string, step long").parquet(waiting)
+    up = tree.where(F.col("tier") == ops.FOLD).select("run_id", "seq", "parent_tier", "parent_seq", "parent_place")
+    last, made = None, []
+    for tier, seq in [(ops.FOLD, n) for n in range(1, folds + 1)] + [(ops.CONVERGENCE, 1)]:
+        parts = inputs.where(F.col("step") == (seq if tier == ops.FOLD else 0)).drop("step")
+        here = (F.col("parent_tier") == tier) & (F.col("parent_seq") == seq)
+        if last is not None:  # for the convergence each run brings its own last fold
+            parts = parts.unionByName(last.join(up.where(here).drop("parent_tier", "parent_seq"), ["run_id", "seq"])
+                                      .select("run_id", "parent_place", "rule_text"))
+        texts = merge(_block(parts, ["run_id"], "parent_place"), ["run_id"], models, settings).withColumn("seq", F.lit(seq).cast("long"))
+        made.append(texts.select("run_id", F.lit(tier).alias("tier"), "seq", "rule_text"))
+        if tier == ops.FOLD:
+            still = last.join(texts.select("run_id"), "run_id", "left_anti").unionByName(texts) if last is not None else texts
+            last = written(still, "last_fold")
+    for more in made:
+        done = done.unionByName(more)
     done = written(done, "done")
     final = tree.where(F.col("parent_tier").isNull()).select(*_NODE).join(done, _NODE).select("run_id", "rule_text")
     made = tree.where(F.col("tier").isin(ops.FOLD, ops.CONVERGENCE)).join(done, _NODE).select(

@@ -135,5 +135,15 @@ def held_out(items: DataFrame, prompts: list[str], model: Callable[[], Model], s
     return prompt_accuracy(evaluate(asked, model, settings, "system", "loose", strip=False))
 
 
+def held_out_runs(items: DataFrame, pools: DataFrame, model: Callable[[], Model], settings: Settings) -> DataFrame:
+    """Accuracy of every run's own prompts on its held-out items, all runs in one job.
+
+    ``pools`` has ``run_id, prompt_pos, prompt``; a run without prompts is skipped.
+    """
+    asked = requests.ask_pools(items, pools, ["run_id"])
+    return prompt_accuracy(evaluate(asked, model, settings, "system", "loose", strip=False))
+
+
 def held_out_report(accuracy: DataFrame, headers: DataFrame) -> DataFrame:
-    return reports.report_blocks(accuracy, headers)
+    """Report blocks of the runs in ``accuracy``."""
+    return reports.report_blocks(accuracy, headers.join(accuracy.select("run_id").distinct(), "run_id", "left_semi"))
