@@ -495,6 +495,8 @@ _BODIES = {
     "model_calls": """select item_id, prompt_pos, raw_output, case when raw_output is null then 3 else 1 end as tries,
         case when raw_output is null then 'RuntimeError: busy' end as error, case when raw_output is not null then n end as prompt_tokens,
         case when raw_output is not null then n % 10 end as completion_tokens from fx_called""",
+    "iterative_pools": """select run_id, count(*) as n_items, cast(0 as bigint) as misplaced, cast(0 as bigint) as late
+      from fx_items group by run_id""",
     "resumed_calls": """select item_id, prompt_pos, raw_output, case when raw_output is null then 3 else 1 end as tries,
         cast(1 as bigint) as n_calls from fx_called""",
     "held_out_runs": f"""select run_id, cast(prompt_pos - run_id + 1 as int) as prompt_no, count(*) filter (outcome = 'correct') as correct,

@@ -593,6 +593,22 @@ def full_run_iterative(spark, sf_dir):
     return done.status
 
 
+@query
+def iterative_pools(spark, sf_dir):
+    """Exact iterative runs whose pools change: what was asked under another pool than the one in force, and pools out of place."""
+    items = fx.items(spark, sf_dir)
+    done = improvement.run_iterative(items, rq.SEED_PROMPTS, MODELS, replace(SETTINGS, group_size=12))
+    pools = written(done.pools, "pools")
+    asked = pl.ask_pool_in_force(items.select("run_id", "item_id"), pools).withColumn("due", F.lit(1))
+    keys = ["run_id", "item_id", "prompt_pos", "prompt"]
+    met = done.graded.select(*keys).withColumn("was", F.lit(1)).join(asked.select(*keys, "due"), keys, "full")
+    told = met.groupBy("run_id").agg(F.count_distinct("item_id").alias("n_items"), F.count_if(F.expr("was is null or due is null")).alias("misplaced"))
+    filled = done.tier1.where("not is_tail").select("run_id", (F.col("sample_idx") + 1).alias("valid_from"), F.lit(1).alias("filled"))
+    late = (pools.where("valid_from > 0").select("run_id", "valid_from").distinct().join(filled, ["run_id", "valid_from"], "left")
+            .groupBy("run_id").agg(F.count_if(F.col("filled").isNull()).alias("late")))
+    return told.join(late, "run_id", "left").select("run_id", "n_items", "misplaced", F.coalesce("late", F.lit(0)).alias("late"))
+
+
 # Streams. Each must give what its batch twin gives, so it is checked by the same SQL.
 
 def _stream(spark, sf_dir, name):

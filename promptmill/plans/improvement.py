@@ -153,40 +153,46 @@ def finish_rounds(spark: SparkSession, base: str, n: int, models: Models, settin
 
 
 def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Models,
-                  settings: Settings = Settings(), block: int = 1000, relaxed: bool = False) -> Run:
+                  settings: Settings = Settings(), block: int | None = None, relaxed: bool = False) -> Run:
     """Runs whose pool is replaced whenever a chunk of rules fills.
 
     All runs advance together, a block of items each per round, under their pool in force.
     A run keeps its items up to the one that fills its first chunk of the round and goes
-    on after it with the new pool, which is exactly the one-item-at-a-time result. With
-    ``relaxed`` it keeps the whole block and takes the pool of its last chunk, for fewer rounds.
+    on after it with the new pool, which is exactly the one-item-at-a-time result whatever the
+    block. A run's block starts at ``block`` (four chunks of rules if not given), doubles while no
+    chunk fills, and else follows the items that the last chunk took, so that little work is done
+    under a pool that is replaced meanwhile. With ``relaxed`` a run keeps whole blocks of ``block`` items (1,000)
+    and takes the pool of its last chunk, for fewer rounds; results then depend on the block.
     """
     spark = items.sparkSession
+    block = block or (1000 if relaxed else 4 * settings.group_size)
     base = fresh_folder(spark, "iterative")
     # Numbered once and stored in that order, so that a round's scan reads only its part.
     numbered = with_ordinal(items, ["run_id"], "item_id").repartitionByRange("run_id", "ordinal") \
         .sortWithinPartitions("run_id", "ordinal")
     numbered = written(numbered, "numbered", f"{base}/items")
     cursor = written(numbered.groupBy("run_id").agg(
-        F.lit(0).cast("long").alias("next"), F.count("*").alias("n_items")), "cursor")
+        F.lit(0).cast("long").alias("next"), F.count("*").alias("n_items"), F.lit(block).cast("long").alias("width")), "cursor")
     n, progress = 0, Progress.start(spark)
     while True:
-        low, high = cursor.where("next < n_items").agg(F.min("next"), F.max("next")).first()
+        low, high = cursor.where("next < n_items").agg(F.min("next"), F.max(F.col("next") + F.col("width"))).first()
         if low is None:
             return finish_rounds(spark, base, n, models, settings)
         n += 1
         todo = lookup(
-            numbered.where((F.col("ordinal") >= low) & (F.col("ordinal") < high + block)),
-            cursor.select("run_id", "next"), ["run_id"], "inner",
-        ).where((F.col("ordinal") >= F.col("next")) & (F.col("ordinal") < F.col("next") + block)).drop("next")
+            numbered.where((F.col("ordinal") >= low) & (F.col("ordinal") < high)),
+            cursor.select("run_id", "next", "width"), ["run_id"], "inner",
+        ).where((F.col("ordinal") >= F.col("next")) & (F.col("ordinal") < F.col("next") + F.col("width"))).drop("next", "width")
         todo = written(todo, "todo")
         last = play_round(todo.drop("ordinal"), progress, prompts, models, settings, base, n, relaxed)
         progress = Progress.after(spark, base, n)
-        ends = F.least(F.col("next") + block, F.col("n_items"))
+        ends = F.least(F.col("next") + F.col("width"), F.col("n_items"))
         if relaxed:
             cursor = written(cursor.withColumn("next", ends), "cursor")
         else:
             reached = todo.select("run_id", F.col("item_id").alias("last_item"), "ordinal").join(
                 last, ["run_id", "last_item"]).select("run_id", (F.col("ordinal") + 1).alias("after"))
             cursor = written(cursor.join(reached, "run_id", "left").select(
-                "run_id", F.coalesce("after", ends).alias("next"), "n_items"), "cursor")
+                "run_id", F.coalesce("after", ends).alias("next"), "n_items",
+                F.coalesce(F.greatest(F.lit(block), (F.col("after") - F.col("next")) * 3 / 2).cast("long"), F.col("width") * 2).alias("width")),
+                "cursor")
