@@ -27,7 +27,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 32_768, 16_384
 #: A piece of a word, of these lengths in bytes, counts as toxic from this log-likelihood ratio and this
 #: ratio of frequencies on.
 GRAMS = (5, 7, 9)
-LEAST_G2, LEAST_RATIO = 14.0, 5.0
+LEAST_G2, LEAST_RATIO = 30.0, 5.0
 THRESHOLD = 0.3
 LABEL_FOLDS, HELD_OUT = 4, 2
 
