@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,40 +90,54 @@ def _lowered(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode().split()
 
 
-def _contexts(texts: list[bytes]) -> set[tuple[bytes, bytes]]:
-    """Distinct words with the word before: copies of a text add nothing."""
-    out = set()
+def _contexts(texts: list[bytes]) -> Counter:
+    """How many distinct words stand before each word: copies of a text add nothing."""
+    seen, out = set(), Counter()
     for text in texts:
         words = _lowered(text)
-        out.update(zip([b"", *words], words, strict=False))
+        for pair in zip([b"", *words], words, strict=False):
+            if (key := hash(pair)) not in seen:
+                seen.add(key)
+                out[pair[1]] += 1
     return out
 
 
-def _spelled(word: bytes) -> set[bytes]:
-    """Pieces of a word with its edges, of each length in ``GRAMS``."""
+def _spelled(word: bytes, lengths: tuple[int, ...]) -> set[bytes]:
+    """Pieces of a word with its edges, of each length."""
     padded = b" " + word + b" "
-    return {padded[i:i + k] for k in GRAMS for i in range(len(padded) - k + 1)}
+    return {padded[i:i + k] for k in lengths for i in range(len(padded) - k + 1)}
 
 
 def _telling(ours: Counter, theirs: Counter) -> set[bytes]:
     """Pieces that toxic text holds far more often, each for words that no better one explains."""
     n, m = sum(ours.values()), sum(theirs.values())
-    toxic, ordinary, where = Counter(), Counter(), defaultdict(list)
-    for word, k in theirs.items():
-        for piece in _spelled(word):
-            ordinary[piece] += k
-    for word, k in ours.items():
-        for piece in _spelled(word):
-            toxic[piece] += k
-            where[piece].append(word)
+    # Fewer than this can't be evidence enough even if ordinary text holds none.
+    least = LEAST_G2 / (2 * math.log((n + m) / n))
+    toxic: dict[bytes, int] = {}
+    for k in GRAMS:
+        counts = Counter()
+        for word, c in ours.items():
+            for piece in _spelled(word, (k,)):
+                counts[piece] += c
+        toxic.update((piece, c) for piece, c in counts.items() if c >= least)
+    ordinary: dict[bytes, int] = dict.fromkeys(toxic, 0)
+    for word, c in theirs.items():
+        for piece in _spelled(word, GRAMS):
+            if piece in ordinary:
+                ordinary[piece] += c
 
     def worth(piece: bytes) -> float:
         a, b = toxic[piece], ordinary[piece]
         return _g2(a, n, b, m) if a * m >= b * LEAST_RATIO * n else 0.0
 
-    out, heap = set(), [(-g, p) for p in toxic if (g := worth(p)) >= LEAST_G2]
+    toxic = {piece: c for piece, c in toxic.items() if worth(piece) >= LEAST_G2}
+    where: dict[bytes, list[bytes]] = {piece: [] for piece in toxic}
+    for word in ours:
+        for piece in _spelled(word, GRAMS):
+            if piece in where:
+                where[piece].append(word)
+    out, heap, explained = set(), [(-worth(p), p) for p in toxic], set()
     heapq.heapify(heap)
-    explained = set()
     while heap:
         said, piece = heapq.heappop(heap)
         now = worth(piece)
@@ -136,8 +150,9 @@ def _telling(ours: Counter, theirs: Counter) -> set[bytes]:
         for word in where[piece]:
             if word not in explained:
                 explained.add(word)
-                for other in _spelled(word):
-                    toxic[other] -= ours[word]
+                for other in _spelled(word, GRAMS):
+                    if other in toxic:
+                        toxic[other] -= ours[word]
     return out
 
 
@@ -153,10 +168,9 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     if not toxic or not ordinary:
         share = 0.99 if toxic else 0.01
         return Model(b"a b", b"a b", np.array([math.log(share / (1 - share)), 0, 0, 0, 0.0]))
-    ours, theirs = _contexts(toxic), _contexts(ordinary)
-    words, common = Counter(w for _, w in ours), Counter(w for _, w in theirs)
+    words, common = _contexts(toxic), _contexts(ordinary)
     marked = _telling(words, common)
-    telling = [w for w in words if not marked.isdisjoint(_spelled(w))]
+    telling = [w for w in words if not marked.isdisjoint(_spelled(w, GRAMS))]
     telling.sort(key=lambda w: (words[w], w))
     usual = sorted(common, key=lambda w: (common[w], w))
 
