@@ -29,7 +29,7 @@ HASH_BITS = 21
 #: Distinct words and grams that a counting task holds before it hands them on (they are summed again afterwards).
 HELD_WORDS, HELD_GRAMS = 100_000, 400_000
 #: Training texts that confidence is calibrated on (least hashes of the id), and characters of one.
-CALIBRATION_ROWS, CALIBRATION_CHARS = 1000, 20_000
+CALIBRATION_ROWS, CALIBRATION_CHARS = 400, 20_000
 #: Share of the calibration texts whose cross-entropy is rejected.
 REJECTED_SHARE = 0.001
 UNDETERMINED = "und"
@@ -86,42 +86,44 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, target).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def model_rows(counts: DataFrame) -> DataFrame:
-    """(lang, k, gram, own, backoff) for every gram of every order ``k``.
+def order_rows(level: DataFrame, k: int) -> DataFrame:
+    """(lang, k, gram, own, backoff) from the counts ``c`` of the grams of order ``k``.
 
     ``own`` is the discounted share of a gram among those with its context, ``backoff`` the weight
-    that a context (a gram one shorter, here of order ``k``) leaves to lower orders; either may be null.
+    that a context (a gram one shorter, so of order ``k - 1``) leaves to lower orders; the other one is null.
     """
-    out = None
-    level = counts.withColumnRenamed("n", "c")
+    some = (level.groupBy("lang").agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
+            .selectExpr("lang", "least(0.95, greatest(0.05, n1 / (n1 + 2.0 * n2 + 1e-9))) as d"))
+    context = F.substring("gram", 1, k - 1)
+    totals = (level.groupBy("lang", context.alias("context")).agg(F.sum("c").alias("t"), F.count("*").alias("types"))
+              .join(some, "lang").selectExpr("lang", "context", "t", "d", "d * types / t as backoff"))
+    own = (level.withColumn("context", context).join(totals, ["lang", "context"])
+           .selectExpr("lang", f"{k} as k", "gram", "(c - d) / t as own", "cast(null as double) as backoff"))
+    return own.unionByName(totals.selectExpr("lang", f"{k - 1} as k", "context as gram", "cast(null as double) as own", "backoff"))
+
+
+def model_table(counts: DataFrame) -> DataFrame:
+    """(k, bucket, own, backoff): grams of all orders under their hashes, at most 2^HASH_BITS an order."""
+    bucket = F.shiftrightunsigned(F.crc32(F.concat_ws("|", "lang", "gram").cast("binary")), 32 - HASH_BITS)
+    level, parts = counts.withColumnRenamed("n", "c"), None
     for k in range(ORDER, 0, -1):
         level = written(level, f"grams_{k}")
-        some = (level.groupBy("lang").agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
-                .selectExpr("lang", "least(0.95, greatest(0.05, n1 / (n1 + 2.0 * n2 + 1e-9))) as d"))
-        context = F.substring("gram", 1, k - 1)
-        totals = (level.groupBy("lang", context.alias("context")).agg(F.sum("c").alias("t"), F.count("*").alias("types"))
-                  .join(some, "lang").selectExpr("lang", "context", "t", "d", "d * types / t as backoff"))
-        own = (level.withColumn("context", context).join(totals, ["lang", "context"])
-               .selectExpr("lang", f"{k} as k", "gram", "(c - d) / t as own", "cast(null as double) as backoff"))
-        left = totals.selectExpr("lang", f"{k - 1} as k", "context as gram", "cast(null as double) as own", "backoff")
-        made = own.unionByName(left)
-        out = made if out is None else out.unionByName(made)
+        part = written(order_rows(level, k).groupBy("k", bucket.alias("bucket")).agg(
+            F.max("own").alias("own"), F.max("backoff").alias("backoff")), f"language_model_{k}")
+        parts = part if parts is None else parts.unionByName(part)
         # A shorter gram counts once for every letter it continues.
         level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("c"))
-    return out
+    return parts.groupBy("k", "bucket").agg(F.max("own").alias("own"), F.max("backoff").alias("backoff"))
 
 
 #: Words and grams whose bits a scoring task remembers; beyond them it starts anew.
-MEMO_WORDS, MEMO_GRAMS = 200_000, 400_000
+MEMO_WORDS, MEMO_GRAMS = 200_000, 600_000
 
 
 class Known:
     """Bits of the words and grams that a task has met: rows of two arrays that grow."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.words, self.grams, self.word_bits, self.gram_bits = {}, {}, None, None
 
     def add(self, places: dict[str, int], name: str, keys: list[str], rows: np.ndarray) -> None:
@@ -180,8 +182,10 @@ class Model:
         """Bits per character of each text under each language, and its number of characters."""
         listed = [words_of(t) for t in texts]
         distinct = set().union(*listed)
-        if len(known.words) > MEMO_WORDS or len(known.grams) > MEMO_GRAMS:
-            known.clear()
+        if len(known.words) > MEMO_WORDS:
+            known.words, known.word_bits = {}, None
+        if len(known.grams) > MEMO_GRAMS:
+            known.grams, known.gram_bits = {}, None
         new = [w for w in distinct if w not in known.words]
         if new:
             spelled = [grams_of(w) for w in new]
@@ -220,25 +224,24 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     """Models of all languages from every text with a language, confidence from a bounded sample of them."""
     told = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).alias("lang"),
                        F.col(text_column).alias("text")).where("lang is not null and text is not null")
-    rows = model_rows(gram_counts(told.select("lang", "text")))
-    bucket = F.shiftrightunsigned(F.crc32(F.concat_ws("|", "lang", "gram").cast("binary")), 32 - HASH_BITS)
-    # At most 2^HASH_BITS rows of three numbers for each order come to the driver.
-    hashed = written(rows.groupBy("k", bucket.alias("bucket")).agg(F.max("own").alias("own"), F.max("backoff").alias("backoff")), "language_models")
-    table = hashed.toPandas()
+    table = model_table(gram_counts(told.select("lang", "text"))).orderBy("k", "bucket").toArrow()
+    orders = table["k"].to_numpy()
     langs = sorted(r["lang"] for r in told.select("lang").distinct().collect())
     keys, own, backoff = [], [], []
     for k in range(ORDER + 1):
-        part = table[table.k == k].sort_values("bucket")
-        keys.append(part.bucket.to_numpy(np.int64))
-        own.append(part.own.to_numpy(np.float64))
-        backoff.append(part.backoff.to_numpy(np.float64))
+        lo, hi = np.searchsorted(orders, [k, k + 1])
+        part = table.slice(lo, hi - lo)
+        keys.append(part["bucket"].to_numpy().astype(np.int64))
+        own.append(part["own"].to_numpy().astype(np.float32))
+        backoff.append(part["backoff"].to_numpy().astype(np.float32))
+    del table
     model = Model(langs, keys, own, backoff, 1 / 256)
     least = told.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
     sample = (told.where(F.length("text") <= CALIBRATION_CHARS).join(F.broadcast(least), "doc_id").select("lang", "text").collect())
     if sample and langs:
         known, told_bits = Known(), []
-        for lo in range(0, len(sample), 50):
-            told_bits.append(model.entropies([r["text"].encode() for r in sample[lo:lo + 50]], known))
+        for lo in range(0, len(sample), 20):
+            told_bits.append(model.entropies([r["text"].encode() for r in sample[lo:lo + 20]], known))
         bits, size = np.concatenate([b for b, _ in told_bits]), np.concatenate([n for _, n in told_bits])
         right = np.array([langs.index(r["lang"]) for r in sample])
         read = size > 0
