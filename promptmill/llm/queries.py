@@ -123,6 +123,31 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_bas
   coalesce(score, 0)::double as score from d left join g using (doc_id)"""
 
 
+def _lines_sql() -> str:
+    from promptmill.llm.lines import (
+        BARS, DISTINCT_PERCENT, KEPT_PERCENT, LEAST_WORDS, LONG_LINE, MOST_REPEATED_PERCENT, SYMBOL_PERCENT, UPPER_PERCENT)
+    words = _WORDS.replace("coalesce(text, '')", "x")
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text, {_WORDS} as w from documents),
+l as (select doc_id, i, x, {words} as w from (select doc_id, unnest(string_split(text, chr(10))) as x,
+  generate_subscripts(string_split(text, chr(10)), 1) as i from d)),
+m as (select doc_id, x, w, len(w) as n, row_number() over (partition by doc_id, x order by i) > 1 as again from l where len(w) > 0),
+b as (select doc_id, n, again, again or length(x) - length(replace(x, '|', '')) >= {BARS}
+    or 100 * len(list_filter(w, lambda y: regexp_matches(y, '[#*$%&<>]'))) > {SYMBOL_PERCENT} * n
+    or (n >= {LONG_LINE} and (100 * len(list_filter(w, lambda y: regexp_matches(y, '[A-Z][A-Z]') and not regexp_matches(y, '[a-z]'))) > {UPPER_PERCENT} * n
+      or 100 * len(list_distinct(w)) < {DISTINCT_PERCENT} * n or not regexp_matches(x, '[.,;:!?]'))) as bad from m),
+s as (select doc_id, count(*) filter (again) as n_dup_lines, coalesce(sum(n) filter (bad), 0) as lost from b group by doc_id),
+g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) as c
+  from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) > 4)),
+r as (select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as j from g where c > 1) group by doc_id),
+a as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(lost, 0)::bigint as lost_words
+  from d left join s using (doc_id) left join r using (doc_id)),
+f as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words as base_failed from a)
+select *, not base_failed and 100 * (n_words - lost_words) >= {KEPT_PERCENT} * n_words as kept from f"""
+
+
 ORACLES = {
     "op3_substring_dedup": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
@@ -151,6 +176,7 @@ select d.doc_id, least(d.doc_id, coalesce(c.y, d.doc_id)) as class_id, coalesce(
 from d left join n using (doc_id) left join c on c.x = d.doc_id left join k on k.x = d.doc_id""",
     "op1_mixing": _mixing_sql(),
     "op9_licenses": _licenses_sql(),
+    "op10_quality_rules": _lines_sql(),
     "op2_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
   where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
