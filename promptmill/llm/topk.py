@@ -3,8 +3,8 @@
 Vectors stand in blocks. In a block every dimension is a list sorted by value, read from the top for
 a positive query component and from the bottom for a negative one. Reading all lists in step, each
 vector seen has a lower bound (what was read plus the least that the rest can give) and an upper bound
-(plus what the lists can still give); once no other vector's upper bound reaches the k-th lower bound,
-reading stops and the remaining few get their exact scores. The blocks' winners meet per query.
+(plus what the lists can still give). Vectors whose upper bound does not reach the k-th lower bound are out;
+reading stops when few are left, and these get their exact scores. The blocks' winners meet per query.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Vectors of a block, queries that meet it at a time, and how deep the first step reads.
-BLOCK, QUERIES, FIRST_DEPTH = 4096, 2048, 64
+#: Vectors of a block, queries that meet it at a time, steps a list is read in (bounds are first drawn at three
+#: quarters of its length). Reading stops once one in ``RESOLVE`` of a block can still qualify: these get their exact scores.
+BLOCK, QUERIES, STEPS, RESOLVE = 4096, 2048, 8, 8
 
 
 def scaled(column: str, scale: int = 1024) -> Column:
@@ -33,40 +34,39 @@ def usable(column: str) -> Column:
 
 
 class Lists:
-    """A block's vectors with each dimension sorted, upwards and downwards."""
+    """A block's vectors with the values of each dimension sorted upwards."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.up = np.argsort(self.vectors, axis=0, kind="stable").T
-        self.sorted = np.take_along_axis(self.vectors.T, self.up, axis=1).astype(np.float64)
+        self.values = self.vectors.astype(np.float32)
+        self.sorted = np.sort(self.values, axis=0)
+        self.given, self.held = np.empty_like(self.values), np.empty_like(self.values)
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best but ``own``, ties to the smaller id."""
-        n, dims = self.vectors.shape
-        live = np.flatnonzero(query)
-        weight = query[live].astype(np.float64)
+        n = len(self.ids)
+        weight = query.astype(np.float32)
         falls = weight > 0
-        order = np.where(falls[:, None], self.up[live, ::-1], self.up[live])
-        gives = weight[:, None] * np.where(falls[:, None], self.sorted[live, ::-1], self.sorted[live])
-        partial, seen = np.zeros(n), np.zeros((n, len(live)), np.float32)
-        least = gives[:, -1].copy() if len(live) else np.zeros(0)
-        able = self.ids != own
-        depth, step = 0, FIRST_DEPTH
-        active = np.flatnonzero(able)
-        while depth < n and len(active) > k and len(live):
-            to = min(n, depth + step)
-            where, given = order[:, depth:to], gives[:, depth:to]
-            partial += np.bincount(where.ravel(), given.ravel(), minlength=n)
-            seen[where, np.arange(len(live))[:, None]] = 1
-            depth, step = to, step * 2
-            frontier = gives[:, depth - 1]
-            known = seen[active].astype(np.float64)
-            lower = partial[active] + (least.sum() - known @ least)
-            upper = partial[active] + (frontier.sum() - known @ frontier)
-            slack = 1e-9 * (np.abs(frontier).sum() + np.abs(least).sum() + np.abs(partial[active]).max() + 1)
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            active = active[upper >= bar - slack]
+        least = weight * np.where(falls, self.sorted[0], self.sorted[-1])
+        ones = np.ones(len(weight), np.float32)
+        active = np.arange(n)
+        given, held = np.multiply(self.values, weight, out=self.given), self.held
+        other = self.ids != own
+        # Bounds are sums of single floats: what they may be off by, and more.
+        slack = 1e-5 * float(np.abs(weight) @ np.abs(self.sorted[[0, -1]]).max(0)) + 1
+        for depth in range(n * 3 // 4, n, max(1, n // STEPS)):
+            if len(active) <= max(k, n // RESOLVE):
+                break
+            # All lists are read to this depth: an entry has been read if it gives at least what the list gives there.
+            frontier = weight * np.where(falls, self.sorted[n - 1 - depth], self.sorted[depth])
+            upper = np.maximum(given, frontier, out=held[:len(given)]) @ ones
+            lower = upper - (given < frontier).astype(np.float32) @ (frontier - least)
+            rank = lower[other[active]]
+            if len(rank) > k:
+                stay = upper >= np.partition(rank, len(rank) - k)[len(rank) - k] - slack
+                active, given = active[stay], given[stay]
+        active = active[other[active]]
         score = self.vectors[active] @ query
         first = np.lexsort((self.ids[active], -score))[:k]
         return self.ids[active][first], score[first]

@@ -28,7 +28,6 @@ def brute(rows, asks, k):
 @pytest.mark.parametrize("block", [16, 4096])
 def test_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "FIRST_DEPTH", 3)
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)], None, None) for i in range(150)]
     rows += [(200 + i, list(rows[3][1]), None, None) for i in range(15)] + [rows[3], (300, None, None, None), (301, [], None, None),
