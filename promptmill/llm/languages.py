@@ -1,22 +1,24 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 For every language, characters of a word are predicted from up to ``ORDER - 1`` characters before them.
-Spark counts the n-grams of all training texts and derives continuation counts, discounts and
-back-off weights; the models go to scoring tasks as sorted arrays of gram hashes with their
-values. The language of the lowest cross-entropy per character is chosen, and confidence and
+Spark counts the words and n-grams of all training texts and derives continuation counts, discounts and
+back-off weights, in one written table an order that has every gram itself. The distinct words of the
+texts to score are joined to these tables order by order, so neither driver nor task holds the model;
+tasks hold the bits of the most frequent words only, and the other words' bits are joined.
+The language of the lowest cross-entropy per character is chosen, and confidence and
 rejection are calibrated on training texts.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,10 +26,8 @@ from promptmill.llm.common import fold_of, mapped, pieces
 from promptmill.workspace import written
 
 ORDER = 5
-#: Grams are kept by hashes of this many bits, which bounds the arrays of each order whatever the corpus holds.
-HASH_BITS = 21
-#: Distinct words and grams that a counting task holds before it hands them on (they are summed again afterwards).
-HELD_WORDS, HELD_GRAMS = 100_000, 400_000
+#: Distinct words that a counting task holds before it hands them on (they are summed again afterwards).
+HELD_WORDS = 100_000
 #: Training texts that confidence is calibrated on (least hashes of the id), and characters of one.
 CALIBRATION_ROWS, CALIBRATION_CHARS = 400, 20_000
 #: Share of the calibration texts whose cross-entropy is rejected.
@@ -47,43 +47,38 @@ def grams_of(word: str) -> list[str]:
     return [padded[i:i + ORDER] for i in range(len(word) + 1)]
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): n-grams of highest order over every (lang, text)."""
-    target = StructType.fromDDL("lang string, gram string, n long")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) over every (lang, text); a text counts once for the empty word too, so that no language is lost."""
+    target = StructType.fromDDL("lang string, word string, n long")
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
         schema = to_arrow_schema(target)
-        words: dict[str, Counter] = defaultdict(Counter)
-        held: dict[str, Counter] = defaultdict(Counter)
-
-        def spelled():
-            for lang, counts in words.items():
-                own = held[lang]
-                for word, n in counts.items():
-                    for gram in grams_of(word):
-                        own[gram] += n
-            words.clear()
+        words: dict[str | None, Counter] = defaultdict(Counter)
 
         def out():
-            for lang, counts in held.items():
+            for lang, counts in words.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()),
                                                   pa.array(list(counts.values()), pa.int64())], schema=schema)
-            held.clear()
+            words.clear()
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for lo, hi in pieces([len(t) for t in texts]):
+            for lo, hi in pieces([len(t or b"") for t in texts]):
                 for lang, text in zip(langs[lo:hi], texts[lo:hi], strict=True):
                     words[lang].update(words_of(text))
+                    words[lang][""] += 1
                 if sum(map(len, words.values())) >= HELD_WORDS:
-                    spelled()
-                if sum(map(len, held.values())) >= HELD_GRAMS:
                     yield from out()
-        spelled()
         yield from out()
 
-    return docs.mapInArrow(run, target).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, target).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def grams_column(word: str = "word") -> Column:
+    """What ``grams_of`` gives, as a column."""
+    padded = f"concat('{_BEGIN * (ORDER - 1)}', {word}, '{_END}')"
+    return F.expr(f"transform(sequence(1, length({word}) + 1), i -> substring({padded}, i, {ORDER}))")
 
 
 def order_rows(level: DataFrame, k: int) -> DataFrame:
@@ -102,148 +97,184 @@ def order_rows(level: DataFrame, k: int) -> DataFrame:
     return own.unionByName(totals.selectExpr("lang", f"{k - 1} as k", "context as gram", "cast(null as double) as own", "backoff"))
 
 
-def model_table(counts: DataFrame) -> DataFrame:
-    """(k, bucket, own, backoff): grams of all orders under their hashes, at most 2^HASH_BITS an order."""
-    bucket = F.shiftrightunsigned(F.crc32(F.concat_ws("|", "lang", "gram").cast("binary")), 32 - HASH_BITS)
-    level, parts = counts.withColumnRenamed("n", "c"), None
+def model_tables(words: DataFrame, langs: list[str]) -> list[DataFrame]:
+    """For each order from 0 on (gram, own, backoff): every gram itself with its values in each of ``langs``, null where it has none."""
+    level = words.where("lang is not null and word <> ''").select("lang", F.explode(grams_column()).alias("gram"), "n").groupBy(
+        "lang", "gram").agg(F.sum("n").alias("c"))
+    parts: list[DataFrame | None] = [None] * (ORDER + 1)
     for k in range(ORDER, 0, -1):
         level = written(level, f"grams_{k}")
-        part = written(order_rows(level, k).groupBy("k", bucket.alias("bucket")).agg(
-            F.max("own").alias("own"), F.max("backoff").alias("backoff")), f"language_model_{k}")
-        parts = part if parts is None else parts.unionByName(part)
+        rows = order_rows(level, k)
+        for order in (k, k - 1):
+            part = rows.where(F.col("k") == order).drop("k")
+            parts[order] = part if parts[order] is None else parts[order].unionByName(part)
         # A shorter gram counts once for every letter it continues.
         level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("c"))
-    return parts.groupBy("k", "bucket").agg(F.max("own").alias("own"), F.max("backoff").alias("backoff"))
 
+    def by_language(value: str) -> Column:
+        return F.transform(F.array(*map(F.lit, langs)), lambda lang: F.get(
+            F.filter("told", lambda t: (t["lang"] == lang) & t[value].isNotNull()), F.lit(0))[value]).alias(value)
 
-#: Words and grams whose bits a scoring task remembers; beyond them it starts anew.
-MEMO_WORDS, MEMO_GRAMS = 200_000, 600_000
+    # At most two rows a language are listed for a gram.
+    return [written(part.groupBy("gram").agg(F.collect_list(F.struct("lang", "own", "backoff")).alias("told"))
+                    .select("gram", by_language("own"), by_language("backoff")), f"language_model_{k}") for k, part in enumerate(parts)]
 
 
-class Known:
-    """Bits of the words and grams that a task has met: rows of two arrays that grow."""
+#: Values (words by languages) of the most frequent words that every scoring task holds; the other words are joined.
+HELD_VALUES = 1 << 19
 
-    def __init__(self):
-        self.words, self.grams, self.word_bits, self.gram_bits = {}, {}, None, None
 
-    def add(self, places: dict[str, int], name: str, keys: list[str], rows: np.ndarray) -> None:
-        held, n = getattr(self, name), len(places)
-        if held is None or n + len(keys) > len(held):
-            grown = np.empty((max(1024, 2 * (n + len(keys))), rows.shape[1]))
-            if held is not None:
-                grown[:n] = held[:n]
-            setattr(self, name, grown)
-            held = grown
-        held[n:n + len(keys)] = rows
-        places.update(zip(keys, range(n, n + len(keys)), strict=True))
+@dataclass
+class Spelled:
+    """Bits of words: the table (word, n, bits), its most frequent words, and whether there are others."""
+
+    table: DataFrame
+    words: list[str]
+    bits: np.ndarray
+    others: bool
 
 
 @dataclass
 class Model:
-    """For each order: sorted gram hashes (lang and gram), with own shares and back-off weights."""
+    """Languages and, for each order, the written table of its grams; what ``scored`` looks up is joined to them."""
 
     langs: list[str]
-    keys: list[np.ndarray]
-    own: list[np.ndarray]
-    backoff: list[np.ndarray]
+    orders: list[DataFrame]
+    #: What each language leaves to the uniform share where nothing stands before a letter.
+    left: list[float]
     uniform: float
     sharpness: float = 12.0
     limit: float = 1e9
 
-    def _found(self, k: int, lang: str, grams: list[str], values: list[np.ndarray], missing: float) -> np.ndarray:
-        keys = self.keys[k]
-        if not len(keys):
-            return np.full(len(grams), missing)
-        start, shift = zlib.crc32(f"{lang}|".encode()), 32 - HASH_BITS
-        want = np.fromiter((zlib.crc32(g.encode(), start) >> shift for g in grams), np.int64, len(grams))
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        found = values[k][at]
-        return np.where((keys[at] == want) & ~np.isnan(found), found, missing)
+    def looked_up(self, grams: DataFrame) -> DataFrame:
+        """(gram, bits) of distinct grams of the highest order: what their last character costs in each language.
+
+        Order by order, a gram's share is its own one and what its context leaves of the share of the gram
+        without its first character. An unknown context leaves everything.
+        """
+        every, below = f"sequence(0, {len(self.langs) - 1})", None
+        for k in range(1, ORDER + 1):
+            cut = F.expr(f"transform(sequence(1, {ORDER - k + 1}), i -> substring(gram, i, {k}))")
+            needed = grams.select(F.explode(cut).alias("gram")).distinct() if k < ORDER else grams
+            rows = needed.join(self.orders[k], "gram", "left")
+            if below is None:
+                rest = F.array(*(F.lit(left * self.uniform) for left in self.left))
+                rows = rows.withColumn("rest", rest)
+            else:
+                rows = (rows.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("tail", F.substring("gram", 2, k - 1))
+                        .join(below.select(F.col("gram").alias("context"), F.col("leaves")), "context")
+                        .join(below.select(F.col("gram").alias("tail"), F.col("p")), "tail")
+                        .withColumn("rest", F.expr(f"transform({every}, i -> leaves[i] * p[i])")))
+                rows = rows.drop("leaves", "p")
+            below = written(rows.select("gram", F.expr(f"transform({every}, i -> coalesce(own[i], 0D) + rest[i])").alias("p"),
+                                        F.expr(f"transform({every}, i -> coalesce(backoff[i], 1D))").alias("leaves")), f"shares_{k}")
+        return below.select("gram", F.expr("transform(p, x -> -log2(greatest(x, 1e-12D)))").alias("bits"))
 
     def bits(self, grams: list[str]) -> np.ndarray:
         """(grams × languages) bits that the last character of each gram costs."""
-        out = np.empty((len(grams), len(self.langs)))
-
-        def distinct(cut: list[str]) -> tuple[list[str], np.ndarray]:
-            places = {g: i for i, g in enumerate(dict.fromkeys(cut))}
-            return list(places), np.fromiter((places[g] for g in cut), np.int64, len(cut))
-
-        shorter = {k: (distinct([g[ORDER - k:] for g in grams]), distinct([g[ORDER - k:-1] for g in grams])) for k in range(1, ORDER + 1)}
-        for j, lang in enumerate(self.langs):
-            p = np.full(len(grams), self.uniform)
-            for k in range(1, ORDER + 1):
-                # An unknown context leaves everything to the lower orders.
-                (tails, of), (contexts, at) = shorter[k]
-                p = self._found(k, lang, tails, self.own, 0.0)[of] + self._found(k - 1, lang, contexts, self.backoff, 1.0)[at] * p
-            out[:, j] = -np.log2(np.maximum(p, 1e-12))
-        return out
-
-    def entropies(self, texts: list[bytes | None], known: Known) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character of each text under each language, and its number of characters."""
-        listed = [words_of(t) for t in texts]
-        distinct = set().union(*listed)
-        if len(known.words) > MEMO_WORDS:
-            known.words, known.word_bits = {}, None
-        if len(known.grams) > MEMO_GRAMS:
-            known.grams, known.gram_bits = {}, None
-        new = [w for w in distinct if w not in known.words]
-        if new:
-            spelled = [grams_of(w) for w in new]
-            unseen = list({g for gs in spelled for g in gs if g not in known.grams})
-            if unseen:
-                known.add(known.grams, "gram_bits", unseen, self.bits(unseen))
-            length = np.array([len(gs) for gs in spelled])
-            begins = np.zeros(len(new), np.int64)
-            np.cumsum(length[:-1], out=begins[1:])
-            grams = known.grams
-            where = np.fromiter((grams[g] for gs in spelled for g in gs), np.int64)
-            of_word = np.add.reduceat(known.gram_bits[where], begins)
-            known.add(known.words, "word_bits", new, np.column_stack([of_word, length]))
-        total = np.zeros((len(texts), len(self.langs) + 1))
-        words = known.words
-        for i, ws in enumerate(listed):
-            if ws:
-                total[i] = known.word_bits[np.fromiter(map(words.__getitem__, ws), np.int64, len(ws))].sum(0)
-        size = total[:, -1]
-        return total[:, :-1] / np.maximum(size, 1)[:, None], size
-
-    def predict(self, texts: list[bytes | None], known: Known):
-        """(language, score, rejected, bits per character) of each text."""
+        spark = self.orders[0].sparkSession
+        asked = spark.createDataFrame([(g,) for g in dict.fromkeys(grams)], "gram string")
+        got = {r["gram"]: r["bits"] for r in self.looked_up(asked).collect()}
+        return np.array([got[g] for g in grams]).reshape(len(grams), len(self.langs))
+
+    def spelled(self, words: DataFrame) -> Spelled:
+        """Bits of every distinct word of (word, n)."""
+        listed = words.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+        if not self.langs:
+            return Spelled(listed.select("word", "n", F.array().cast("array<double>").alias("bits")), [], np.zeros((0, 1)), False)
+        listed = written(listed, "words")
+        cut = listed.select("word", "n", F.explode(grams_column()).alias("gram"))
+        sums = [F.sum(F.col("bits")[j]).alias(f"_{j}") for j in range(len(self.langs))]
+        table = written(cut.join(self.looked_up(cut.select("gram").distinct()), "gram").groupBy("word").agg(F.first("n").alias("n"), *sums)
+                        .select("word", "n", F.array(*(f"_{j}" for j in range(len(self.langs)))).alias("bits")), "word_bits")
+        most = max(1, HELD_VALUES // len(self.langs))
+        held = table.orderBy(F.desc("n"), "word").limit(most).select("word", "bits").toArrow()
+        bits = held["bits"].combine_chunks().flatten().to_numpy() if len(held) else np.zeros(0)
+        names = held["word"].to_pylist()
+        size = np.array([len(w) + 1 for w in names], float)
+        return Spelled(table, names, np.column_stack([bits.reshape(len(names), len(self.langs)), size]), table.count() > len(names))
+
+    def predict(self, total: np.ndarray):
+        """(language, score, rejected, bits per character) of each row of bits under each language and characters."""
+        n = len(total)
         if not self.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), [True] * len(texts), np.zeros(len(texts))
-        bits, size = self.entropies(texts, known)
+            return [UNDETERMINED] * n, np.zeros(n), [True] * n, np.zeros(n)
+        size = total[:, -1]
+        bits = total[:, :-1] / np.maximum(size, 1)[:, None]
         best = bits.argmin(1)
-        least = bits[np.arange(len(texts)), best]
+        least = bits[np.arange(n), best]
         weight = np.exp2(-self.sharpness * (bits - least[:, None]))
         rejected = (size == 0) | (least > self.limit)
         score = np.where(size == 0, 0.0, 1 / weight.sum(1)) * np.where(rejected, 0.5, 1.0)
         return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, size, strict=True)], score, rejected.tolist(), least
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
-    """Models of all languages from every text with a language, confidence from a bounded sample of them."""
-    told = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).alias("lang"),
-                       F.col(text_column).alias("text")).where("lang is not null and text is not null")
-    table = model_table(gram_counts(told.select("lang", "text"))).orderBy("k", "bucket").toArrow()
-    orders = table["k"].to_numpy()
-    langs = sorted(r["lang"] for r in told.select("lang").distinct().collect())
-    keys, own, backoff = [], [], []
-    for k in range(ORDER + 1):
-        lo, hi = np.searchsorted(orders, [k, k + 1])
-        part = table.slice(lo, hi - lo)
-        keys.append(part["bucket"].to_numpy().astype(np.int64))
-        own.append(part["own"].to_numpy().astype(np.float32))
-        backoff.append(part["backoff"].to_numpy().astype(np.float32))
-    del table
-    model = Model(langs, keys, own, backoff, 1 / 256)
+def _summed(spelled: Spelled):
+    """Of texts, the bits of the held words under each language and their characters, and lists of the other words."""
+    words, bits, places = spelled.words, spelled.bits, {}
+
+    def run(texts: list[bytes | None]) -> tuple[np.ndarray, list[list[str]]]:
+        if words and not places:
+            places.update(zip(words, range(len(words)), strict=True))
+        total, others = np.zeros((len(texts), bits.shape[1])), []
+        for i, text in enumerate(texts):
+            listed = words_of(text)
+            at = np.fromiter((places.get(w, -1) for w in listed), np.int64, len(listed))
+            known = at >= 0
+            total[i] = bits[at[known]].sum(0)
+            others.append([] if known.all() else [listed[k] for k in np.flatnonzero(~known)])
+        return total, others
+
+    return run
+
+
+def totals(rows: DataFrame, spelled: Spelled) -> DataFrame:
+    """(key, total) of every (key, text): bits under each language, then characters. Words that no task holds are joined."""
+    kind, summed = rows.schema[0].dataType.simpleString(), _summed(spelled)
+
+    def piece(columns):
+        keys, texts = columns
+        total, others = summed(texts)
+        counts = [Counter(ws) for ws in others]
+        # A row that has other words is known by a number of its own once it is written.
+        return (keys, total.tolist(), [uuid.uuid4().bytes if c else None for c in counts], [list(c) for c in counts], [list(c.values()) for c in counts])
+
+    out = mapped(rows, piece, f"key {kind}, total array<double>, row binary, words array<string>, times array<long>")
+    if not spelled.others:
+        return out.select("key", "total")
+    out, width = written(out, "texts_read"), spelled.bits.shape[1]
+    said = out.where("row is not null").select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
+    sums = [F.sum(F.col("times") * F.col("bits")[j]) for j in range(width - 1)] + [F.sum(F.col("times") * (F.length("words") + 1)).cast("double")]
+    more = (said.join(spelled.table.select(F.col("word").alias("words"), "bits"), "words").groupBy("row")
+            .agg(*(c.alias(f"_{j}") for j, c in enumerate(sums))).select("row", F.array(*(f"_{j}" for j in range(width))).alias("more")))
+    return out.select("key", "total", "row").join(more, "row", "left").select("key", F.expr(
+        "if(more is null, total, zip_with(total, more, (x, y) -> x + y))").alias("total"))
+
+
+def _training(docs: DataFrame, id_column: str, text_column: str, lang_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
+
+
+def learned(told: DataFrame, words: DataFrame) -> tuple[Model, Spelled]:
+    """Models of all languages of ``words`` (lang, word, n; lang is null where nothing is learned), with the bits of all its words.
+
+    Confidence is calibrated on a bounded sample of ``told`` (doc_id, lang, text), whose words are all among ``words``.
+    """
+    langs = sorted(r["lang"] for r in words.where("lang is not null").select("lang").distinct().collect())
+    tables = model_tables(words, langs) if langs else []
+    top = tables[0].select("backoff").first() if langs else None
+    left = [1.0 if v is None else v for v in (top["backoff"] if top else [None] * len(langs))]
+    model = Model(langs, tables, left, 1 / 256)
+    spelled = model.spelled(words)
+    told = told.where("lang is not null and text is not null")
     least = told.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
-    sample = (told.where(F.length("text") <= CALIBRATION_CHARS).join(F.broadcast(least), "doc_id").select("lang", "text").collect())
-    if sample and langs:
-        known, told_bits = Known(), []
-        for lo in range(0, len(sample), 20):
-            told_bits.append(model.entropies([r["text"].encode() for r in sample[lo:lo + 20]], known))
-        bits, size = np.concatenate([b for b, _ in told_bits]), np.concatenate([n for _, n in told_bits])
-        right = np.array([langs.index(r["lang"]) for r in sample])
+    sample = told.where(F.length("text") <= CALIBRATION_CHARS).join(F.broadcast(least), "doc_id").select("lang", "text")
+    sample = totals(sample, spelled).collect() if langs else []
+    if sample:
+        total = np.array([r["total"] for r in sample])
+        size = total[:, -1]
+        bits = total[:, :-1] / np.maximum(size, 1)[:, None]
+        right = np.array([langs.index(r["key"]) for r in sample])
         read = size > 0
         if read.any():
             own_bits = bits[np.arange(len(bits)), right][read]
@@ -251,28 +282,37 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
             # The sharpness under which the sample's languages are likeliest.
             margins = bits[read] - own_bits[:, None]
             model.sharpness = min((2.0 ** e for e in range(-2, 7)), key=lambda s: float(np.log(np.exp2(np.clip(-s * margins, -1000, 1000)).sum(1)).mean()))
-    return model
+    return model, spelled
+
 
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
+    """Models of all languages from every text with a language, confidence from a bounded sample of them."""
+    told = _training(docs, id_column, text_column, lang_column).where("lang is not null and text is not null")
+    return learned(told, written(word_counts(told.select("lang", "text")), "word_counts"))[0]
 
-def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+
+def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", spelled: Spelled | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected, bits_per_char) of every whole text.
 
     A text that is null or has no letter is ``und`` with score 0. A text unlike every language
     (``rejected``) keeps the nearest one at half its score. Rows are read each for itself; null ids
-    stay null; other columns are never read.
+    stay null; other columns are never read. ``spelled``, if given, has all words of the texts.
     """
-    known = Known()
-
-    def piece(columns):
-        ids, texts = columns
-        return ids, *model.predict(texts, known)
-
-    return mapped(docs.select(F.col(id_column).cast("long"), F.col(text_column)), piece,
-                  "doc_id long, lang_pred string, score double, rejected boolean, bits_per_char double")
+    rows = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
+    if spelled is None:
+        spelled = model.spelled(word_counts(rows.select(F.lit(None).cast("string").alias("lang"), "text")))
+    predict, summed = replace(model, orders=[]).predict, _summed(spelled)
+    schema = "doc_id long, lang_pred string, score double, rejected boolean, bits_per_char double"
+    if spelled.others:
+        return mapped(totals(rows, spelled), lambda columns: (columns[0], *predict(np.array(columns[1]))), schema)
+    return mapped(rows, lambda columns: (columns[0], *predict(summed(columns[1])[0])), schema)
 
 
 def predicted(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ...) of every document, by models of those outside the fold."""
     fold = fold_of("doc_id", FOLDS)
-    return scored(docs, fit(docs.where(fold != HELD_OUT))).select(
+    rows = _training(docs, "doc_id", "text", "lang").withColumn("lang", F.when(fold != HELD_OUT, F.col("lang")))
+    # One reading gives what is learned and all words that are looked up.
+    model, spelled = learned(rows, written(word_counts(rows.where("text is not null").select("lang", "text")), "word_counts"))
+    return scored(docs, model, spelled=spelled).select(
         "doc_id", (fold == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected", "bits_per_char")

@@ -1,11 +1,13 @@
 """Kneser-Ney models against the formulas worked out plainly, and held-out accuracy."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from promptmill.llm import languages
 from promptmill.llm.languages import ORDER, fit, grams_of, predicted, words_of
 
 SCHEMA = "doc_id long, text string, lang string, score double"
@@ -72,3 +74,30 @@ def test_held_out_accuracy_and_odd_rows(spark):
 def test_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "some text", None, None)], SCHEMA)
     assert [r.lang_pred for r in predicted(docs).collect()] == ["und"] and predicted(docs.limit(0)).count() == 0
+
+
+def test_unseen_grams_take_no_value_of_others(spark):
+    """Grams whose crc32 agrees with a seen one's in its first 21 bits."""
+    def cut(gram):
+        return zlib.crc32(f"aa|{gram}".encode()) >> 11
+
+    words = ["anti", "shober", "berti", "shoan"]
+    seen = {cut(g) for w in words for g in grams_of(w)}
+    rng = random.Random(4)
+    tried = ("".join(rng.choice("cdfgjklmpquvwxyzäöüß") for _ in range(ORDER)) for _ in range(10 ** 6))
+    clash = [g for g in tried if cut(g) in seen][:3]
+    assert clash
+    p = brute(words)
+    model = fit(spark.createDataFrame([(1, " ".join(words), "aa", None)], SCHEMA))
+    assert model.bits(clash)[:, 0] == pytest.approx([-np.log2(p(g)) for g in clash], rel=1e-5)
+
+
+def test_words_that_no_task_holds_are_joined(spark, monkeypatch):
+    rows = documents() + [(None, "anti shober", None, None), (1, "anti shober", "aa", None), (1, "anti shober", "aa", None), (902, "12 ² !", "bb", None), (903, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    results = []
+    for held in (languages.HELD_VALUES, 9):
+        monkeypatch.setattr(languages, "HELD_VALUES", held)
+        got = predicted(docs).collect()
+        results.append(sorted((r.doc_id or -1, r.held_out, r.lang_pred, round(r.score, 9), r.rejected, round(r.bits_per_char, 9)) for r in got))
+    assert len(results[0]) == len(rows) and results[0] == results[1]
