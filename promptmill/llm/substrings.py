@@ -180,25 +180,25 @@ def filed(names: np.ndarray, at: np.ndarray, window: int):
 
 
 def symbols_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (symbol, around, doc_id, tid, first, windows) of every (doc_id, text, tid)."""
+    """Rows (symbol, around, doc_id, tid, uid, first, windows) of every (doc_id, text, tid, uid)."""
     names = word_names()
 
     def piece(columns):
-        ids, texts, tids = columns
+        ids, texts, tids, uids = columns
         _, flat, at = named(names, texts)
         key, around, first, count = filed(flat, at, window)
         doc = np.searchsorted(at, first, side="right") - 1
-        return key.view(np.int64), around.view(np.int64), np.array(ids)[doc], np.array(tids)[doc], (first - at[doc]).astype(np.int32), count.astype(np.int32)
+        return key.view(np.int64), around.view(np.int64), np.array(ids)[doc], np.array(tids)[doc], np.array(uids)[doc], (first - at[doc]).astype(np.int32), count.astype(np.int32)
 
-    return mapped(docs, piece, "symbol long, around long, doc_id long, tid long, first int, windows int")
+    return mapped(docs, piece, "symbol long, around long, doc_id long, tid long, uid long, first int, windows int")
 
 
 def windows_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """128-bit names (w1, w2) of the windows in ``marks`` (first, windows, whole), not whole, of each (doc_id, text, tid, marks)."""
+    """128-bit names (w1, w2) of the windows in ``marks`` (first, windows, whole), not whole, of each (doc_id, text, tid, uid, marks)."""
     names = word_names()
 
     def piece(columns):
-        ids, texts, tids, marks = columns
+        ids, texts, tids, uids, marks = columns
         _, flat, at = named(names, texts)
         spans = Spans(flat)
         where, doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -210,13 +210,13 @@ def windows_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 doc.append(np.full(len(p), k))
         p, doc = np.concatenate(where), np.concatenate(doc)
         return (spans.of(p, p + window, 0).view(np.int64), spans.of(p, p + window, 1).view(np.int64),
-                np.array(ids, np.int64)[doc], np.array(tids, np.int64)[doc] << 32 | (p - at[doc]))
+                np.array(ids, np.int64)[doc], np.array(tids, np.int64)[doc], np.array(uids, np.int64)[doc], (p - at[doc]).astype(np.int32))
 
-    return mapped(docs, piece, "w1 long, w2 long, doc_id long, place long")
+    return mapped(docs, piece, "w1 long, w2 long, doc_id long, tid long, uid long, first int")
 
 
-#: Rows are told apart by id and text (as crc32), so that rows with equal ids do no harm.
-_KEY = ("doc_id", "tid")
+#: Rows are told apart by id and text (as two 64-bit hashes), so that rows with equal ids do no harm, however many.
+_KEY = ("doc_id", "tid", "uid")
 
 
 def _lists(df: DataFrame, *columns: str) -> DataFrame:
@@ -224,7 +224,7 @@ def _lists(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Runs of windows (doc_id, tid, first, windows, whole) of (doc_id, text, tid) under shared symbols.
+    """Runs of windows (doc_id, tid, uid, first, windows, whole) of (doc_id, text, tid, uid) under shared symbols.
 
     ``whole``: an earlier document has the same symbol in the same surroundings, so all of the
     run's windows repeat. The others are the first of their surroundings while the symbol also has
@@ -249,8 +249,9 @@ _NO_ID = -(1 << 63)
 
 def _plain(id_column: str, text_column: str) -> list[Column]:
     text = F.col(text_column)
+    said = F.coalesce(text, F.lit(""))
     return [F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tid")]
+            F.xxhash64(said).alias("tid"), F.xxhash64(F.lit(1), said).alias("uid")]
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -269,9 +270,9 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     looked = plain.join(_lists(marks, "first", "windows", "whole"), [*_KEY]).where("exists(marks, m -> not m.whole)")
     # One row per document and window at most stands under a name.
     same = Window.partitionBy("w1", "w2")
-    single = (windows_of(looked.select("doc_id", "text", "tid", "marks"), window)
+    single = (windows_of(looked.select("doc_id", "text", "tid", "uid", "marks"), window)
               .withColumn("lo", F.min("doc_id").over(same)).where("doc_id > lo")
-              .selectExpr("doc_id", "shiftrightunsigned(place, 32) as tid", "cast(place & 4294967295 as int) as first", "1 as windows"))
+              .select(*_KEY, "first", F.lit(1).alias("windows")))
     gone = _lists(marks.where("whole").select(*_KEY, "first", "windows").unionByName(single), "first", "windows")
 
     def piece(columns):

@@ -1,6 +1,7 @@
 """Substring dedup against a brute-force version."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -84,3 +85,22 @@ def test_equal_windows_are_filed_alike():
                 if 30 + lead <= p <= 100 + lead:
                     assert seen.setdefault(p - 30 - lead, k) == k
     assert np.unique(list(seen.values())).size < 40
+
+
+def test_rows_of_one_id_whose_texts_agree_in_crc32(spark):
+    rows = _clashing()
+    got = sorted(tuple(r) for r in without_repeats(spark.createDataFrame(rows, SCHEMA), window=5).collect())
+    assert got == brute([r[:2] for r in rows], 5)
+
+
+def _clashing():
+    """Two texts of one id with the same crc32: one repeats an earlier passage, the other is of its own."""
+    rng, passage, seen = random.Random(6), "a1 a2 a3 a4 a5 a6", {}
+    for _ in range(200_000):
+        text = f"{passage} {rng.getrandbits(96):024x}"
+        seen[zlib.crc32(text.encode())] = text
+    for _ in range(2_000_000):
+        text = f"b1 b2 {rng.getrandbits(96):024x}"
+        if zlib.crc32(text.encode()) in seen:
+            return [(1, passage, None, None), (9, seen[zlib.crc32(text.encode())], None, None), (9, text, None, None)]
+    raise AssertionError
