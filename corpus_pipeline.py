@@ -20,21 +20,42 @@ from promptmill.workspace import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows(docs: DataFrame, decided: DataFrame, how: str = "left_semi") -> DataFrame:
-    """``docs`` whose id, be it null, is among ``decided``; or, with ``left_anti``, is not."""
-    ids = decided.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"]), how).select(*COLUMNS)
+def _kept(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``docs`` with ``columns`` as strings under names of their own, to go along with a decision on each row."""
+    return docs.select("*", *(F.col(c).cast("string").alias(f"_{c}") for c in columns))
+
+
+def _told(decided: DataFrame) -> DataFrame:
+    """The columns of ``documents`` as they went along."""
+    return decided.select("doc_id", "text", F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_n_chars").cast("long").alias("n_chars"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression distance finds toxic go."""
+    """Rows that the compression distance finds toxic go, whatever their ids."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _rows(docs, scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD), "left_anti")
+    judged = scored(_kept(docs, ("lang", "source", "n_chars")), fit(docs, labels), keep=("text", "_lang", "_source", "_n_chars"))
+    return _told(judged.where(F.col("score") < THRESHOLD))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near duplicates, that of the least id stays."""
-    return _rows(docs, similar(docs).where("doc_id <=> class_id"))
+    """Of rows connected by near duplicates, one of the least id stays (null ids come last); rows without words all stay.
+
+    A row is known by the md5 of all it holds. Of rows of one class and id the least md5 stays, and of rows
+    that agree in everything any one.
+    """
+    whole = F.unhex(F.md5(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}).cast("binary")))
+    rows = written(similar(docs, row=whole).select("doc_id", "row", "class_key"), "classes")
+    first = (rows.where("class_key is not null").groupBy("class_key")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select("first.row"))
+    copies = rows.where("class_key is not null").groupBy("row").agg(F.count("*").alias("copies"))
+    wordless = rows.where("class_key is null").select("row", F.lit(1).cast("long").alias("copies")).distinct()
+    stay = written(first.join(copies, "row").unionByName(wordless), "stay")
+    held = docs.select(*COLUMNS, whole.alias("row")).join(stay, "row")
+    single = held.where("copies = 1").select(*COLUMNS)
+    if stay.where("copies > 1").isEmpty():
+        return single
+    one = held.where("copies > 1").groupBy("row").agg(F.first(F.struct(*COLUMNS)).alias("one")).select("one.*")
+    return single.unionByName(one)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +68,8 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with the probabilities that rake tokens to the marginals' targets."""
-    return _rows(docs, sampled(docs).where("taken"))
+    kept = _kept(docs, ("text", "lang", "source", "n_chars"))
+    return _told(sampled(kept, keep=("_text", "_lang", "_source", "_n_chars")).where("taken").withColumnRenamed("_text", "text"))
 
 
 def encoded_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -89,11 +89,11 @@ def band_names(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, values, bands) of every (doc_id, text); node and what follows null without words."""
+    """(doc_id, row, node, n, values, bands) of every (doc_id, text, row); node and what follows null without words."""
     names = word_names()
 
     def piece(columns):
-        ids, texts = columns
+        ids, texts, rows = columns
         _, flat, at = named(names, texts)
         sets = gram_sets(flat, at)
         full = [k for k, s in enumerate(sets) if len(s)]
@@ -101,9 +101,9 @@ def sketches(docs: DataFrame) -> DataFrame:
         values, bands = [None] * len(sets), [None] * len(sets)
         for k, own, band in zip(full, least.astype(np.uint16), band_names(least), strict=True):
             values[k], bands[k] = own.tobytes(), band
-        return ids, node_names(sets), [len(s) for s in sets], values, bands
+        return ids, rows, node_names(sets), [len(s) for s in sets], values, bands
 
-    return mapped(docs, piece, "doc_id long, node binary, n int, values binary, bands array<long>")
+    return mapped(docs, piece, "doc_id long, row binary, node binary, n int, values binary, bands array<long>")
 
 
 def required(threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -230,17 +230,19 @@ def _sides(i: int, j: int, own: list[int]):
 
 
 def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-            threshold: Fraction = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_grams.
+            threshold: Fraction = THRESHOLD, row: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_grams; with ``row`` (binary) also row and class_key.
 
     Linked are documents whose sets of 5-word n-grams (words: anything but ASCII white space) have a
     Jaccard similarity of ``threshold`` or more; ``n_links`` counts a document's linked others, copies
     included, and ``class_id`` is the least id among those it is connected to by links, its own if none.
     A text of one to four words is one n-gram of its own. Null and blank texts have no n-grams, no
     links, and a class each. Repeated rows count as documents. Null ids stay null and take the
-    class of their copies. Other columns are ignored.
+    class of their copies. Other columns are ignored. ``class_key`` tells classes apart whatever their ids,
+    and is null for a text without n-grams.
     """
-    plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"),
+                        (F.lit(None).cast("binary") if row is None else row).alias("row"))
     sketch = written(sketches(plain), "sketches")
     nodes = written(
         sketch.where("node is not null").groupBy("node").agg(
@@ -306,9 +308,9 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     least = (classes.join(nodes.select("node", "least_id"), "node").groupBy("component")
              .agg(F.min("least_id").alias("class_id")))
     told = (nodes.select("node", "least_id", "copies").join(counts, "node", "left")
-            .join(classes.join(least, "component").select("node", "class_id"), "node", "left")
-            .select("node", F.coalesce("class_id", "least_id").alias("class_id"),
+            .join(classes.join(least, "component").select("node", "class_id", F.col("component").alias("class_key")), "node", "left")
+            .select("node", F.coalesce("class_key", "node").alias("class_key"), F.coalesce("class_id", "least_id").alias("class_id"),
                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return sketch.select("doc_id", "node", "n").join(told, "node", "left").select(
+    return sketch.select("doc_id", "row", "node", "n").join(told, "node", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.col("n").alias("n_grams"))
+        F.col("n").alias("n_grams"), *(["row", "class_key"] if row is not None else []))

@@ -210,24 +210,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, score, most_saved, all_saved, n_windows) of every whole text.
+def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, most_saved, all_saved, n_windows, *keep) of every whole text.
 
     Null, empty and blank texts have no windows and get the score of a text without savings. Rows
-    with equal ids are scored each for itself; null ids stay null; other columns are never read.
+    with equal ids are scored each for itself; null ids stay null. String columns in ``keep`` go along; others are never read.
     """
     held = []
 
     def piece(columns):
-        ids, texts = columns
+        ids, texts, *others = columns
         if not held:
             held.append((_compressor(model.ordinary), _compressor(model.toxic)))
         gain = gains(texts, model, held[0])
         score = sigmoid(_features(gain) @ model.weights)
-        return ids, score, gain[:, 0].astype(np.int64), gain[:, 1].astype(np.int64), gain[:, 3].astype(np.int64)
+        return ids, score, gain[:, 0].astype(np.int64), gain[:, 1].astype(np.int64), gain[:, 3].astype(np.int64), *others
 
-    return mapped(docs.select(F.col(id_column).cast("long"), F.col(text_column)), piece,
-                  "doc_id long, score double, most_saved long, all_saved long, n_windows long")
+    carried = [f"_c{k}" for k in range(len(keep))]
+    rows = docs.select(F.col(id_column).cast("long"), F.col(text_column), *(F.col(c).alias(a) for c, a in zip(keep, carried, strict=True)))
+    out = mapped(rows, piece, ", ".join(["doc_id long, score double, most_saved long, all_saved long, n_windows long", *(f"{c} string" for c in carried)]))
+    return out.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 
 def predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:

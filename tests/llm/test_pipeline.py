@@ -1,5 +1,9 @@
 """The pipeline's stages on a small corpus: what each must drop, cut or keep."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_toxicity import documents
 
@@ -33,3 +37,30 @@ def test_stages_take_effect(spark, tmp_path):
     assert ids[3] < ids[2] and ids[4] == ids[3]
     assert all(r.n_tokens > 0 for r in kept[names[4]].collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[names[4]].count()
+
+
+def test_rows_of_equal_and_null_ids_are_decided_each_for_itself(spark, tmp_path, monkeypatch):
+    def text(name):
+        return " ".join(f"{name}{k}" for k in range(40))
+
+    rows = [(None, text("bad"), "en", "s0", 1), (None, text("fine"), None, "s1", 2), (7, text("bad"), "en", None, None), (7, text("good"), "en", "s1", 3),
+            (None, text("fine"), None, "s1", 2), (8, text("copy"), "en", "s0", 4), (8, text("copy"), "en", "s0", 4), (8, text("copy"), "de", "s0", 4),
+            (None, text("copy") + " end", "en", "s0", 5), (8, text("other"), "en", "s0", 6), (None, None, "en", "s1", 0), (None, "", "en", "s1", 0), (None, None, "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    real = corpus_pipeline.scored
+    monkeypatch.setattr(corpus_pipeline, "scored", lambda docs, *a, **k: real(docs, *a, **k).drop("score").withColumn(
+        "score", F.when(F.col("text").startswith("bad0"), 1.0).otherwise(0.0)))
+    clean = corpus_pipeline.not_toxic(spark, docs, str(tmp_path))
+    assert Counter(map(tuple, clean.collect())) == Counter(r for r in rows if not (r[1] or "").startswith("bad"))
+
+    one = corpus_pipeline.one_of_each_class(spark, clean, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in one) == Counter({
+        (None, text("fine")): 1, (7, text("good")): 1, (8, text("copy")): 1, (8, text("other")): 1, (None, None): 2, (None, ""): 1})
+    assert all(tuple(r) in rows for r in one)
+
+    mixed = corpus_pipeline.sampled
+    monkeypatch.setattr(corpus_pipeline, "sampled", lambda docs, **k: mixed(docs, **k).withColumn("taken", F.col("tokens") == 41))
+    taken = corpus_pipeline.mixed_to_targets(spark, docs, str(tmp_path))
+    assert list(map(tuple, taken.collect())) == [r for r in rows if r[1] == text("copy") + " end"]
