@@ -54,15 +54,15 @@ def pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 class Memo(dict):
-    """``make`` of a key, remembered for the first ``MEMO_ENTRIES`` short keys."""
+    """``make`` of a key, remembered for the first ``entries`` short keys."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, entries: int | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, MEMO_ENTRIES if entries is None else entries
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < MEMO_ENTRIES and len(key) <= 64:
+        if len(self) < self.entries and len(key) <= 64:
             self[key] = value
         return value
 

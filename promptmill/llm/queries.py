@@ -69,9 +69,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.centroids import clusters
+    return clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def piece_bpe() -> str:
+    """The piece model that the queries encode with."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.sentencepieces import digests
+    return digests(_table(spark, sf_dir, "documents"), piece_bpe())
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptmill.llm.spelling import variants
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 REGISTERED = {f.__name__: f for f in (
     op1_mixing, op2_topk, op3_substring_dedup, op4_quality, op5_language, op6_bpe, op7_jaccard_join, op8_toxicity,
-    op9_licenses, op10_quality_rules)}
+    op9_licenses, op10_quality_rules, op11_centroids, op12_sentencepiece, op13_spelling)}
 
 #: Words as every contract on white space has them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -148,7 +169,63 @@ f as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED
 select *, not base_failed and 100 * (n_words - lost_words) >= {KEPT_PERCENT} * n_words as kept from f"""
 
 
+def _centroids_sql() -> str:
+    from promptmill.llm.centroids import CLUSTERS, DIMENSIONS, ROUNDS, SCALE
+    steps = []
+    for k in range(ROUNDS + 1):
+        steps.append(f"""a{k} as materialized (select i, arg_min(c, (d, c)) as c, min(d) as d from (
+    select x.i, m.c, sum((x.v - m.v) * (x.v - m.v))::bigint as d from x join m{k} m on x.k = m.k group by x.i, m.c) group by i)""")
+        if k < ROUNDS:
+            steps.append(f"""m{k + 1} as materialized (select m.c, m.k, coalesce(n.v, m.v) as v from m{k} m left join (
+    select c, k, ((s - ((s % n) + n) % n) // n)::bigint as v from (select a.c, x.k, sum(x.v)::bigint as s, count(*)::bigint as n
+      from x join a{k} a using (i) group by a.c, x.k)) n using (c, k))""")
+    return f"""
+with e as materialized (select row_number() over () as i, vec_id, list_transform(embedding, lambda y: floor({SCALE} * y::double)::bigint) as e
+  from embeddings where len(embedding) = {DIMENSIONS} and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0),
+x as materialized (select i, unnest(range({DIMENSIONS})) as k, unnest(e) as v from e),
+f as (select e, row_number() over (order by sha256('3:' || vec_id) nulls last, e) - 1 as c from e
+  order by sha256('3:' || vec_id) nulls last, e limit {CLUSTERS}),
+m0 as materialized (select c, unnest(range({DIMENSIONS})) as k, unnest(e) as v from f),
+{", ".join(steps)},
+t as (select c, sum(d)::bigint as s from a{ROUNDS} group by c),
+h as (select c, sha256(string_agg(v::varchar, ',' order by k)) as centroid_sha256 from m{ROUNDS} group by c)
+select e.vec_id, a.c::int as cluster, a.d as distance, t.s as cluster_inertia, (select sum(s)::bigint from t) as inertia, centroid_sha256
+from e join a{ROUNDS} a using (i) join t using (c) join h using (c)"""
+
+
+def _spelling_sql() -> str:
+    from promptmill.llm.spelling import DELETES, LEAST_COUNT, LEAST_LENGTH, TIMES
+    table = []  # crc32 of one byte, by its rule
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    return f"""
+with recursive t as (select {table}::bigint[] as t),
+r as (select coalesce(doc_id::varchar, '') || ':' as id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as w from documents),
+d as (select id, w, count(*) as n from r where length(w) >= {LEAST_LENGTH} group by id, w),
+b as (select id, w, n, list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode(id || w))),
+    lambda i: ('0x' || substr(hex(encode(id || w)), 2 * i::int + 1, 2))::bigint)),
+  lambda a, y: xor(a >> 8, t.t[(xor(a, y) & 255) + 1])) as h from d, t),
+c as (select w, n, xor(h, 4294967295) as h from b),
+k as (select case when h % {DELETES} = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, n from c),
+v as materialized (select word, sum(n)::bigint as n from k where length(word) >= {LEAST_LENGTH} group by word having sum(n) >= {LEAST_COUNT}),
+u as materialized (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as less, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as hole
+  from (select word, unnest(range(1, length(word) + 1))::int as i from v)),
+p as (select a.word as x, b.word as y from u a join u b on a.hole = b.hole and a.word <> b.word
+  union select u.word, v.word from u join v on u.less = v.word union select v.word, u.word from u join v on u.less = v.word),
+q as (select x, count(*)::bigint as n_near, first(y order by v.n desc, y) as y, max(v.n) as m from p join v on v.word = p.y group by x),
+f as materialized (select v.word, v.n, coalesce(q.n_near, 0)::bigint as n_near, case when q.m >= {TIMES} * v.n then q.y end as form,
+  case when q.m >= {TIMES} * v.n then q.m end as form_n from v left join q on q.x = v.word),
+g as (select word, word as root, 0 as depth from f union all select g.word, f.form, depth + 1 from g join f on f.word = g.root where f.form is not null),
+o as (select word, arg_max(root, depth) as root from g group by word)
+select f.word, f.form, o.root, f.n, f.n_near, f.form_n from f join o using (word)"""
+
+
 ORACLES = {
+    "op11_centroids": _centroids_sql(),
+    "op13_spelling": _spelling_sql(),
     "op3_substring_dedup": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
 p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
