@@ -1,18 +1,22 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 For every language, characters of a word are predicted from up to ``ORDER - 1`` characters before them.
-Spark counts the words and n-grams of all training texts and derives continuation counts, discounts and
-back-off weights, in one written table an order that has every gram itself. The distinct words of the
-texts to score are joined to these tables order by order, so neither driver nor task holds the model;
-tasks hold the bits of the most frequent words only, and the other words' bits are joined.
-The language of the lowest cross-entropy per character is chosen, and confidence and
-rejection are calibrated on training texts.
+Spark counts the grams of all training texts. The model is stored in sorted hash arrays: grams of one language
+whose contexts end in the same two characters make a row of sorted 64-bit names with their shares, and of
+contexts with their back-off weights, order by order. Every gram has an entry of its own. The distinct grams of the texts to
+score are dealt by the same two characters and looked up by binary search, each row of arrays for itself, so
+neither driver nor task holds the model. What the last character of a gram costs is a whole number of
+2^-24 bits, so sums over a text do not depend on their order. Scoring tasks hold the most frequent grams
+as one sorted array; costs of the others are joined. The language of the lowest
+cross-entropy per character is chosen; confidence and rejection are calibrated.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -22,24 +26,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from promptmill.llm.common import fold_of, mapped, pieces
-from promptmill.workspace import written
+from promptmill.llm.common import fold_of, mapped, mixed, pieces
+from promptmill.workspace import dropped, written
 
 ORDER = 5
-#: Distinct words that a counting task holds before it hands them on (they are summed again afterwards).
-HELD_WORDS = 100_000
-#: Training texts that confidence is calibrated on (least hashes of the id), and characters of one.
+#: Distinct words, and grams, that a counting task holds before it hands them on (they are summed again afterwards).
+HELD_WORDS, HELD_GRAMS = 100_000, 200_000
+#: Values (grams by languages) of the most frequent grams that every scoring task holds; the other grams are joined.
+HELD_VALUES = 1 << 20
+#: Words whose costs a scoring task remembers; others are added up anew.
+MEMO_WORDS = 200_000
+#: Texts that confidence is calibrated on (least hashes), and the longest taken.
 CALIBRATION_ROWS, CALIBRATION_CHARS = 400, 20_000
+#: One text in so many is left out of what is learned, to calibrate on.
+LEFT_OUT = 64
 #: Share of the calibration texts whose cross-entropy is rejected.
 REJECTED_SHARE = 0.001
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 4, 2
-_WORDS = regex.compile(r"\p{L}+")
+#: Steps of a cost in a bit.
+STEPS = 1 << 24
+_LETTERS = regex.compile(r"\p{L}+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _BEGIN, _END = "\x02", "\x03"
+#: What each character before the end of a gram is multiplied by in the gram's name.
+_FACTORS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64))
 
 
 def words_of(text: bytes | None) -> list[str]:
-    return _WORDS.findall(text.decode().lower()) if text else []
+    """Runs of letters, lower-cased."""
+    if not text:
+        return []
+    runs = _RUNS.findall(text.decode().lower())
+    # A run of this pattern may hold numbers that are no digits; joined runs are letters just where each one is.
+    return runs if "".join(runs).isalpha() else [w for r in runs for w in _LETTERS.findall(r)]
 
 
 def grams_of(word: str) -> list[str]:
@@ -47,160 +67,226 @@ def grams_of(word: str) -> list[str]:
     return [padded[i:i + ORDER] for i in range(len(word) + 1)]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) over every (lang, text); a text counts once for the empty word too, so that no language is lost."""
-    target = StructType.fromDDL("lang string, word string, n long")
+def codes_of(grams: list[str]) -> np.ndarray:
+    """Code points of grams of one length, a row a gram."""
+    return np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(len(grams), -1).astype(np.uint64)
 
-    def run(batches):
+
+def names(codes: np.ndarray) -> np.ndarray:
+    """64-bit names of rows of code points, counted from their ends."""
+    total = np.zeros(len(codes), np.uint64)
+    for k in range(codes.shape[1]):
+        total += codes[:, -1 - k] * _FACTORS[k]
+    return mixed(total)
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n) over every (lang, text); a text counts once for an empty gram too, so that no language is lost."""
+    target = StructType.fromDDL("lang string, gram string, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
         schema = to_arrow_schema(target)
         words: dict[str | None, Counter] = defaultdict(Counter)
+        grams: dict[str | None, Counter] = defaultdict(Counter)
 
-        def out():
+        def cut() -> None:
             for lang, counts in words.items():
+                held = grams[lang]
+                for word, n in counts.items():
+                    for gram in grams_of(word):
+                        held[gram] += n
+            words.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in grams.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()),
                                                   pa.array(list(counts.values()), pa.int64())], schema=schema)
-            words.clear()
+            grams.clear()
 
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for lo, hi in pieces([len(t or b"") for t in texts]):
-                for lang, text in zip(langs[lo:hi], texts[lo:hi], strict=True):
-                    words[lang].update(words_of(text))
-                    words[lang][""] += 1
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            for lang, text in zip(langs, texts, strict=True):
+                words[lang].update(words_of(text.as_py()))
+                grams[lang][""] += 1
                 if sum(map(len, words.values())) >= HELD_WORDS:
-                    yield from out()
+                    cut()
+                    if sum(map(len, grams.values())) >= HELD_GRAMS:
+                        yield from out()
+        cut()
         yield from out()
 
-    return docs.mapInArrow(run, target).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, target).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def levels_of(counts: DataFrame) -> dict[int, DataFrame]:
+    """For each order (lang, gram, c): how often a gram of the highest order occurs, and how many letters a shorter one continues."""
+    levels = {ORDER: counts.where("lang is not null and gram <> ''").select("lang", "gram", F.col("n").alias("c"))}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = written(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), f"grams_{k}")
+    return levels
+
+
+def discounts(levels: dict[int, DataFrame]) -> dict[tuple[str, int], float]:
+    """What is taken off every count, by language and order: one row each."""
+    ones = [level.groupBy("lang").agg(F.lit(k).alias("k"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
+            for k, level in levels.items()]
+    rows = ones[0]
+    for more in ones[1:]:
+        rows = rows.unionByName(more)
+    return {(r["lang"], r["k"]): min(0.95, max(0.05, r["n1"] / (r["n1"] + 2.0 * r["n2"] + 1e-9))) for r in rows.collect()}
 
 
-def grams_column(word: str = "word") -> Column:
-    """What ``grams_of`` gives, as a column."""
-    padded = f"concat('{_BEGIN * (ORDER - 1)}', {word}, '{_END}')"
-    return F.expr(f"transform(sequence(1, length({word}) + 1), i -> substring({padded}, i, {ORDER}))")
+def _by_language(rows: DataFrame, langs: list[str], *values: str) -> DataFrame:
+    """(gram, one array a value with an entry a language, null where it has none) of (lang, gram, *values)."""
+    listed = rows.groupBy("gram").agg(F.collect_list(F.struct("lang", *values)).alias("told"))
+    every = F.transform(F.array(*map(F.lit, langs)), lambda lang: F.get(F.filter("told", lambda t: t["lang"] == lang), F.lit(0)))
+    return listed.select("gram", every.alias("told")).select("gram", *(F.col("told")[v].alias(v) for v in values))
 
 
-def order_rows(level: DataFrame, k: int) -> DataFrame:
-    """(lang, k, gram, own, backoff) from the counts ``c`` of the grams of order ``k``.
+def _shares(level: DataFrame, k: int, langs: list[str], off: dict[tuple[str, int], float]) -> tuple[DataFrame, DataFrame]:
+    """(gram, own) of an order's grams and (gram, backoff) of their contexts, by language. Meant for the lowest orders."""
+    d = F.create_map(*(F.lit(x) for lang in langs for x in (lang, off.get((lang, k), 0.5))))[F.col("lang")]
+    contexts = (level.groupBy("lang", F.substring("gram", 1, k - 1).alias("context"))
+                .agg(F.sum("c").alias("t"), F.count("*").alias("types"), F.collect_list(F.struct("gram", "c")).alias("grams")))
+    own = contexts.select("lang", "t", F.explode("grams").alias("g")).select("lang", "g.gram", ((F.col("g.c") - d) / F.col("t")).alias("own"))
+    backoff = contexts.select("lang", F.col("context").alias("gram"), (d * F.col("types") / F.col("t")).alias("backoff"))
+    return _by_language(own, langs, "own"), _by_language(backoff, langs, "backoff")
 
-    ``own`` is the discounted share of a gram among those with its context, ``backoff`` the weight
-    that a context (a gram one shorter, so of order ``k - 1``) leaves to lower orders; the other one is null.
+
+def packed(levels: dict[int, DataFrame], langs: list[str], off: dict[tuple[str, int], float]) -> DataFrame:
+    """(ends, lang, grams, own, contexts, backoff): for orders 3 and up, sorted names with their values as bytes.
+
+    ``ends`` is the last two characters of the context; ``lang`` is a place in ``langs``.
     """
-    some = (level.groupBy("lang").agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
-            .selectExpr("lang", "least(0.95, greatest(0.05, n1 / (n1 + 2.0 * n2 + 1e-9))) as d"))
-    context = F.substring("gram", 1, k - 1)
-    totals = (level.groupBy("lang", context.alias("context")).agg(F.sum("c").alias("t"), F.count("*").alias("types"))
-              .join(some, "lang").selectExpr("lang", "context", "t", "d", "d * types / t as backoff"))
-    own = (level.withColumn("context", context).join(totals, ["lang", "context"])
-           .selectExpr("lang", f"{k} as k", "gram", "(c - d) / t as own", "cast(null as double) as backoff"))
-    return own.unionByName(totals.selectExpr("lang", f"{k - 1} as k", "context as gram", "cast(null as double) as own", "backoff"))
-
-
-def model_tables(words: DataFrame, langs: list[str]) -> list[DataFrame]:
-    """For each order from 0 on (gram, own, backoff): every gram itself with its values in each of ``langs``, null where it has none."""
-    level = words.where("lang is not null and word <> ''").select("lang", F.explode(grams_column()).alias("gram"), "n").groupBy(
-        "lang", "gram").agg(F.sum("n").alias("c"))
-    parts: list[DataFrame | None] = [None] * (ORDER + 1)
-    for k in range(ORDER, 0, -1):
-        level = written(level, f"grams_{k}")
-        rows = order_rows(level, k)
-        for order in (k, k - 1):
-            part = rows.where(F.col("k") == order).drop("k")
-            parts[order] = part if parts[order] is None else parts[order].unionByName(part)
-        # A shorter gram counts once for every letter it continues.
-        level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("c"))
-
-    def by_language(value: str) -> Column:
-        return F.transform(F.array(*map(F.lit, langs)), lambda lang: F.get(
-            F.filter("told", lambda t: (t["lang"] == lang) & t[value].isNotNull()), F.lit(0))[value]).alias(value)
-
-    # At most two rows a language are listed for a gram.
-    return [written(part.groupBy("gram").agg(F.collect_list(F.struct("lang", "own", "backoff")).alias("told"))
-                    .select("gram", by_language("own"), by_language("backoff")), f"language_model_{k}") for k, part in enumerate(parts)]
-
-
-#: Values (words by languages) of the most frequent words that every scoring task holds; the other words are joined.
-HELD_VALUES = 1 << 19
+    place = (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int")
+    rows = None
+    for k in range(3, ORDER + 1):
+        more = levels[k].select(place.alias("lang"), F.substring("gram", k - 2, 2).alias("ends"), F.struct(F.lit(k).alias("k"), "gram", "c").alias("g"))
+        rows = more if rows is None else rows.unionByName(more)
+    schema = "ends string, lang int, grams array<binary>, own array<binary>, contexts array<binary>, backoff array<binary>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ends, lang, listed in zip(*batch.columns, strict=True):
+                lang, listed = lang.as_py(), listed.values
+                order, grams, counts = listed.field("k").to_numpy(), listed.field("gram"), listed.field("c").to_numpy()
+                out: list[list[bytes]] = [[], [], [], []]
+                for k in range(3, ORDER + 1):
+                    at = np.flatnonzero(order == k)
+                    if not len(at):
+                        for o in out:
+                            o.append(b"")
+                        continue
+                    codes, c, d = codes_of(grams.take(pa.array(at)).to_pylist()), counts[at].astype(float), off[langs[lang], k]
+                    contexts, inverse = np.unique(names(codes[:, :-1]), return_inverse=True)
+                    total, kinds = np.bincount(inverse, c), np.bincount(inverse)
+                    named, own = names(codes), (c - d) / total[inverse]
+                    by = np.argsort(named)
+                    for o, values in zip(out, (named[by], own[by], contexts, d * kinds / total), strict=True):
+                        o.append(values.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([ends.as_py()]), pa.array([lang], pa.int32()), *(pa.array([o], pa.list_(pa.binary())) for o in out)],
+                                                 names=["ends", "lang", "grams", "own", "contexts", "backoff"])
+
+    return rows.groupBy("ends", "lang").agg(F.collect_list("g").alias("g")).select("ends", "lang", "g").mapInArrow(run, schema)
+
+
+def found(sought: np.ndarray, sorted_names: bytes, values: bytes, missing: float) -> np.ndarray:
+    """Values of names by binary search in a sorted array."""
+    held, told = np.frombuffer(sorted_names, np.uint64), np.frombuffer(values, np.float64)
+    if not len(held):
+        return np.full(len(sought), missing)
+    at = np.minimum(np.searchsorted(held, sought), len(held) - 1)
+    return np.where(held[at] == sought, told[at], missing)
 
 
 @dataclass
 class Spelled:
-    """Bits of words: the table (word, n, bits), its most frequent words, and whether there are others."""
+    """Costs of grams: the table (name, n, costs), its most frequent grams as a sorted array, and whether there are others."""
 
     table: DataFrame
-    words: list[str]
-    bits: np.ndarray
+    names: np.ndarray
+    costs: np.ndarray
     others: bool
 
 
 @dataclass
 class Model:
-    """Languages and, for each order, the written table of its grams; what ``scored`` looks up is joined to them."""
+    """Languages, the written tables of their grams, and how sure a text's costs make."""
 
     langs: list[str]
-    orders: list[DataFrame]
+    #: (gram, own) of single characters and of pairs, (gram, backoff) of single characters, and the sorted arrays.
+    ones: DataFrame | None = None
+    twos: DataFrame | None = None
+    weights: DataFrame | None = None
+    arrays: DataFrame | None = None
     #: What each language leaves to the uniform share where nothing stands before a letter.
-    left: list[float]
-    uniform: float
+    left: list[float] | None = None
+    uniform: float = 1 / 256
     sharpness: float = 12.0
     limit: float = 1e9
 
     def looked_up(self, grams: DataFrame) -> DataFrame:
-        """(gram, bits) of distinct grams of the highest order: what their last character costs in each language.
+        """(name, n, costs) of distinct (gram, n) of the highest order: what their last character costs in each language.
 
         Order by order, a gram's share is its own one and what its context leaves of the share of the gram
         without its first character. An unknown context leaves everything.
         """
-        every, below = f"sequence(0, {len(self.langs) - 1})", None
-        for k in range(1, ORDER + 1):
-            cut = F.expr(f"transform(sequence(1, {ORDER - k + 1}), i -> substring(gram, i, {k}))")
-            needed = grams.select(F.explode(cut).alias("gram")).distinct() if k < ORDER else grams
-            rows = needed.join(self.orders[k], "gram", "left")
-            if below is None:
-                rest = F.array(*(F.lit(left * self.uniform) for left in self.left))
-                rows = rows.withColumn("rest", rest)
-            else:
-                rows = (rows.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("tail", F.substring("gram", 2, k - 1))
-                        .join(below.select(F.col("gram").alias("context"), F.col("leaves")), "context")
-                        .join(below.select(F.col("gram").alias("tail"), F.col("p")), "tail")
-                        .withColumn("rest", F.expr(f"transform({every}, i -> leaves[i] * p[i])")))
-                rows = rows.drop("leaves", "p")
-            below = written(rows.select("gram", F.expr(f"transform({every}, i -> coalesce(own[i], 0D) + rest[i])").alias("p"),
-                                        F.expr(f"transform({every}, i -> coalesce(backoff[i], 1D))").alias("leaves")), f"shares_{k}")
-        return below.select("gram", F.expr("transform(p, x -> -log2(greatest(x, 1e-12D)))").alias("bits"))
+        width, floor = len(self.langs), F.array(*(F.lit(left * self.uniform) for left in self.left))
+        every = f"sequence(0, {width - 1})"
+        needed = grams.select(F.substring("gram", 4, 2).alias("gram")).distinct().select("gram", F.substring("gram", 1, 1).alias("before"), F.substring("gram", 2, 1).alias("last"))
+        pairs = (needed.join(self.ones.select(F.col("gram").alias("last"), F.col("own").alias("one")), "last", "left").join(self.twos, "gram", "left")
+                 .join(self.weights.select(F.col("gram").alias("before"), "backoff"), "before", "left").withColumn("floor", floor)
+                 .select("gram", F.expr(f"transform({every}, i -> coalesce(own[i], 0D) + coalesce(backoff[i], 1D) * (coalesce(one[i], 0D) + floor[i]))").alias("p")))
+        pairs = written(pairs, "pairs")
+        dealt = (grams.select("gram", "n", F.substring("gram", 4, 2).alias("pair")).join(pairs.select(F.col("gram").alias("pair"), "p"), "pair")
+                 .groupBy(F.substring("gram", 3, 2).alias("ends")).agg(F.collect_list(F.struct("gram", "n", "p")).alias("sought")))
+        arrays = self.arrays.groupBy("ends").agg(F.collect_list(F.struct("lang", "grams", "own", "contexts", "backoff")).alias("held"))
+        told = dealt.join(arrays, "ends", "left").select("sought", "held")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for sought, held in zip(*batch.columns, strict=True):
+                    sought = sought.values
+                    codes = codes_of(sought.field("gram").to_pylist())
+                    p = sought.field("p").flatten().to_numpy().reshape(-1, width).copy()
+                    tables = held.as_py() or []
+                    for k in range(3, ORDER + 1):
+                        named, contexts = names(codes[:, ORDER - k:]), names(codes[:, ORDER - k:-1])
+                        for t in tables:
+                            p[:, t["lang"]] *= found(contexts, t["contexts"][k - 3], t["backoff"][k - 3], 1.0)
+                            p[:, t["lang"]] += found(named, t["grams"][k - 3], t["own"][k - 3], 0.0)
+                    costs = np.rint(-np.log2(np.maximum(p, 1e-12)) * STEPS).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(names(codes).view(np.int64)), sought.field("n"), pa.array(list(costs), pa.list_(pa.int64()))],
+                                                     names=["name", "n", "costs"])
+
+        return told.mapInArrow(run, "name long, n long, costs array<long>")
 
     def bits(self, grams: list[str]) -> np.ndarray:
         """(grams × languages) bits that the last character of each gram costs."""
-        spark = self.orders[0].sparkSession
-        asked = spark.createDataFrame([(g,) for g in dict.fromkeys(grams)], "gram string")
-        got = {r["gram"]: r["bits"] for r in self.looked_up(asked).collect()}
-        return np.array([got[g] for g in grams]).reshape(len(grams), len(self.langs))
-
-    def spelled(self, words: DataFrame) -> Spelled:
-        """Bits of every distinct word of (word, n)."""
-        listed = words.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+        asked = self.arrays.sparkSession.createDataFrame([(g, 1) for g in dict.fromkeys(grams)], "gram string, n long")
+        got = {r["name"]: r["costs"] for r in self.looked_up(asked).collect()}
+        return np.array([got[int(n)] for n in names(codes_of(grams)).view(np.int64)]).reshape(len(grams), len(self.langs)) / STEPS
+
+    def spelled(self, counts: DataFrame) -> Spelled:
+        """Costs of every distinct gram of (gram, n)."""
+        listed = counts.where("gram <> ''").groupBy("gram").agg(F.sum("n").alias("n"))
         if not self.langs:
-            return Spelled(listed.select("word", "n", F.array().cast("array<double>").alias("bits")), [], np.zeros((0, 1)), False)
-        listed = written(listed, "words")
-        cut = listed.select("word", "n", F.explode(grams_column()).alias("gram"))
-        sums = [F.sum(F.col("bits")[j]).alias(f"_{j}") for j in range(len(self.langs))]
-        table = written(cut.join(self.looked_up(cut.select("gram").distinct()), "gram").groupBy("word").agg(F.first("n").alias("n"), *sums)
-                        .select("word", "n", F.array(*(f"_{j}" for j in range(len(self.langs)))).alias("bits")), "word_bits")
+            return Spelled(listed.selectExpr("0L as name", "n", "cast(array() as array<long>) as costs"), np.zeros(0, np.uint64), np.zeros((0, 0), np.int64), False)
+        table = written(self.looked_up(listed), "gram_costs")
         most = max(1, HELD_VALUES // len(self.langs))
-        held = table.orderBy(F.desc("n"), "word").limit(most).select("word", "bits").toArrow()
-        bits = held["bits"].combine_chunks().flatten().to_numpy() if len(held) else np.zeros(0)
-        names = held["word"].to_pylist()
-        size = np.array([len(w) + 1 for w in names], float)
-        return Spelled(table, names, np.column_stack([bits.reshape(len(names), len(self.langs)), size]), table.count() > len(names))
+        held = table.orderBy(F.desc("n"), "name").limit(most).select("name", "costs").toArrow().combine_chunks()
+        named = held["name"].combine_chunks().to_numpy().view(np.uint64) if len(held) else np.zeros(0, np.uint64)
+        costs = held["costs"].combine_chunks().flatten().to_numpy().reshape(len(named), len(self.langs)) if len(held) else np.zeros((0, len(self.langs)), np.int64)
+        by = np.argsort(named)
+        return Spelled(table, named[by], costs[by].astype(np.int32), table.count() > len(named))
 
     def predict(self, total: np.ndarray):
-        """(language, score, rejected, bits per character) of each row of bits under each language and characters."""
+        """(language, score, rejected, bits per character) of each row of costs under each language and characters."""
         n = len(total)
         if not self.langs:
             return [UNDETERMINED] * n, np.zeros(n), [True] * n, np.zeros(n)
-        size = total[:, -1]
-        bits = total[:, :-1] / np.maximum(size, 1)[:, None]
+        bits, size = bits_of(total)
         best = bits.argmin(1)
         least = bits[np.arange(n), best]
         weight = np.exp2(-self.sharpness * (bits - least[:, None]))
@@ -209,44 +295,102 @@ class Model:
         return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, size, strict=True)], score, rejected.tolist(), least
 
 
-def _summed(spelled: Spelled):
-    """Of texts, the bits of the held words under each language and their characters, and lists of the other words."""
-    words, bits, places = spelled.words, spelled.bits, {}
-
-    def run(texts: list[bytes | None]) -> tuple[np.ndarray, list[list[str]]]:
-        if words and not places:
-            places.update(zip(words, range(len(words)), strict=True))
-        total, others = np.zeros((len(texts), bits.shape[1])), []
-        for i, text in enumerate(texts):
-            listed = words_of(text)
-            at = np.fromiter((places.get(w, -1) for w in listed), np.int64, len(listed))
-            known = at >= 0
-            total[i] = bits[at[known]].sum(0)
-            others.append([] if known.all() else [listed[k] for k in np.flatnonzero(~known)])
+def bits_of(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits per character under each language, and characters, of rows of costs and characters."""
+    size = total[:, -1]
+    return total[:, :-1] / STEPS / np.maximum(size, 1)[:, None], size
+
+
+class Words:
+    """Costs of words from the held grams, and names of their grams that are not held."""
+
+    def __init__(self, named: np.ndarray, costs: np.ndarray):
+        self.named, self.costs = named, costs
+        self.places: dict[str, int] = {}
+        self.table = np.zeros((MEMO_WORDS, costs.shape[1] + 1), np.int64)
+        self.others: dict[str, np.ndarray] = {}
+
+    def added(self, words: list[str]) -> np.ndarray:
+        """Costs and characters (with the end) of each word; names of grams that are not held go to ``others``."""
+        padded = _BEGIN * (ORDER - 1) + (_END + _BEGIN * (ORDER - 1)).join(words) + _END
+        codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sums = np.zeros(len(codes) - ORDER + 1, np.uint64)
+        for k in range(ORDER):
+            sums += codes[ORDER - 1 - k:len(codes) - k] * _FACTORS[k]
+        sizes = np.array([len(w) + 1 for w in words])
+        # Windows that start before a word's end belong to it, those within the padding to none.
+        begins = np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]]
+        inside = np.arange(sizes.sum()) + np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+        sought = mixed(sums[inside])
+        at = np.minimum(np.searchsorted(self.named, sought), max(len(self.named) - 1, 0))
+        known = self.named[at] == sought if len(self.named) else np.zeros(len(sought), bool)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        costs = np.where(known[:, None], self.costs[at], 0) if len(self.named) else np.zeros((len(sought), self.costs.shape[1]), np.int64)
+        out = np.column_stack([np.add.reduceat(costs.astype(np.int64), starts), sizes])
+        if not known.all():
+            for i in np.unique(np.searchsorted(starts, np.flatnonzero(~known), "right") - 1):
+                mine = slice(starts[i], starts[i] + sizes[i])
+                self.others[words[i]] = sought[mine][~known[mine]].view(np.int64)
+        return out
+
+    def totals(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[Counter]]:
+        """Of texts, costs of the held grams under each language and characters, and counts of the other grams."""
+        lists, places = [words_of(t) for t in texts], self.places
+        new = list({w for ws in lists for w in ws if w not in places})
+        extra: dict[str, int] = {}
+        rows = self.added(new) if new else self.table[:0]
+        # What is remembered comes first in the table, the rest of this piece behind it.
+        room = min(len(new), len(self.table) - len(places))
+        for k, w in enumerate(new[:room]):
+            places[w] = len(places)
+            self.table[places[w]] = rows[k]
+        table = self.table
+        if room < len(new):
+            table = np.vstack([self.table, rows[room:]])
+            extra = {w: len(self.table) + k for k, w in enumerate(new[room:])}
+        total, others = np.zeros((len(texts), self.table.shape[1]), np.int64), []
+        for i, ws in enumerate(lists):
+            total[i] = table[np.fromiter((places[w] if w in places else extra[w] for w in ws), np.int64, len(ws))].sum(0)
+            said: Counter = Counter()
+            if self.others:
+                for w in ws:
+                    if w in self.others:
+                        said.update(self.others[w].tolist())
+            others.append(said)
+        for w in new[room:]:
+            self.others.pop(w, None)
         return total, others
 
+
+def _summed(spelled: Spelled):
+    named, costs, held = spelled.names, spelled.costs, []
+
+    def run(texts: list[bytes | None]) -> tuple[np.ndarray, list[Counter]]:
+        if not held:
+            held.append(Words(named, costs))
+        return held[0].totals(texts)
+
     return run
 
 
 def totals(rows: DataFrame, spelled: Spelled) -> DataFrame:
-    """(key, total) of every (key, text): bits under each language, then characters. Words that no task holds are joined."""
+    """(key, total) of every (key, text): costs under each language, then characters. Grams that no task holds are joined."""
     kind, summed = rows.schema[0].dataType.simpleString(), _summed(spelled)
 
     def piece(columns):
         keys, texts = columns
         total, others = summed(texts)
-        counts = [Counter(ws) for ws in others]
-        # A row that has other words is known by a number of its own once it is written.
-        return (keys, total.tolist(), [uuid.uuid4().bytes if c else None for c in counts], [list(c) for c in counts], [list(c.values()) for c in counts])
+        # A row that has other grams is known by a number of its own once it is written.
+        return (keys, total.tolist(), [uuid.uuid4().bytes if c else None for c in others], [list(c) for c in others], [list(c.values()) for c in others])
 
-    out = mapped(rows, piece, f"key {kind}, total array<double>, row binary, words array<string>, times array<long>")
+    out = mapped(rows, piece, f"key {kind}, total array<long>, row binary, names array<long>, times array<long>")
     if not spelled.others:
         return out.select("key", "total")
-    out, width = written(out, "texts_read"), spelled.bits.shape[1]
-    said = out.where("row is not null").select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
-    sums = [F.sum(F.col("times") * F.col("bits")[j]) for j in range(width - 1)] + [F.sum(F.col("times") * (F.length("words") + 1)).cast("double")]
-    more = (said.join(spelled.table.select(F.col("word").alias("words"), "bits"), "words").groupBy("row")
-            .agg(*(c.alias(f"_{j}") for j, c in enumerate(sums))).select("row", F.array(*(f"_{j}" for j in range(width))).alias("more")))
+    out, width = written(out, "texts_read"), spelled.costs.shape[1]
+    said = out.where("row is not null").select("row", F.explode(F.arrays_zip("names", "times")).alias("w")).select("row", F.col("w.names").alias("name"), "w.times")
+    more = (said.join(spelled.table.select("name", "costs"), "name").groupBy("row")
+            .agg(*(F.sum(F.col("times") * F.col("costs")[j]).alias(f"_{j}") for j in range(width)))
+            .select("row", F.array(*(f"_{j}" for j in range(width)), F.lit(0).cast("long")).alias("more")))
     return out.select("key", "total", "row").join(more, "row", "left").select("key", F.expr(
         "if(more is null, total, zip_with(total, more, (x, y) -> x + y))").alias("total"))
 
@@ -255,27 +399,32 @@ def _training(docs: DataFrame, id_column: str, text_column: str, lang_column: st
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
 
 
-def learned(told: DataFrame, words: DataFrame) -> tuple[Model, Spelled]:
-    """Models of all languages of ``words`` (lang, word, n; lang is null where nothing is learned), with the bits of all its words.
+def learned(told: DataFrame, counts: DataFrame) -> tuple[Model, Spelled]:
+    """Models of all languages of ``counts`` (lang, gram, n; lang is null where nothing is learned), with the costs of all its grams.
 
-    Confidence is calibrated on a bounded sample of ``told`` (doc_id, lang, text), whose words are all among ``words``.
+    Confidence is calibrated on a bounded sample of ``told`` (doc_id, lang, text), whose grams are all among ``counts``.
+    Languages are entries of the arrays of every gram, so they are meant to be thousands at most.
     """
-    langs = sorted(r["lang"] for r in words.where("lang is not null").select("lang").distinct().collect())
-    tables = model_tables(words, langs) if langs else []
-    top = tables[0].select("backoff").first() if langs else None
-    left = [1.0 if v is None else v for v in (top["backoff"] if top else [None] * len(langs))]
-    model = Model(langs, tables, left, 1 / 256)
-    spelled = model.spelled(words)
-    told = told.where("lang is not null and text is not null")
-    least = told.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
-    sample = told.where(F.length("text") <= CALIBRATION_CHARS).join(F.broadcast(least), "doc_id").select("lang", "text")
-    sample = totals(sample, spelled).collect() if langs else []
+    langs = sorted(r["lang"] for r in counts.where("lang is not null").select("lang").distinct().collect())
+    model = Model(langs)
+    if langs:
+        levels = levels_of(counts)
+        off = discounts(levels)
+        ones, top = _shares(levels[1], 1, langs, off)
+        twos, weights = _shares(levels[2], 2, langs, off)
+        model.ones, model.twos, model.weights = (written(t, name) for t, name in ((ones, "ones"), (twos, "twos"), (weights, "weights")))
+        model.arrays = written(packed(levels, langs, off), "gram_arrays")
+        first = top.first()
+        model.left = [1.0 if v is None else v for v in (first["backoff"] if first else [None] * len(langs))]
+        for k in range(1, ORDER):
+            dropped(levels[k])
+    spelled = model.spelled(counts)
+    told = told.where("lang is not null and text is not null").where(F.length("text") <= CALIBRATION_CHARS)
+    sample = told.orderBy(F.xxhash64("doc_id", "text")).limit(CALIBRATION_ROWS).select("lang", "text")
+    sample = [r for r in totals(sample, spelled).collect() if r["key"] in langs] if langs else []
     if sample:
-        total = np.array([r["total"] for r in sample])
-        size = total[:, -1]
-        bits = total[:, :-1] / np.maximum(size, 1)[:, None]
-        right = np.array([langs.index(r["key"]) for r in sample])
-        read = size > 0
+        bits, size = bits_of(np.array([r["total"] for r in sample]))
+        right, read = np.array([langs.index(r["key"]) for r in sample]), size > 0
         if read.any():
             own_bits = bits[np.arange(len(bits)), right][read]
             model.limit = float(np.quantile(own_bits, 1 - REJECTED_SHARE) + own_bits.std())
@@ -286,22 +435,23 @@ def learned(told: DataFrame, words: DataFrame) -> tuple[Model, Spelled]:
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
-    """Models of all languages from every text with a language, confidence from a bounded sample of them."""
+    """Models of all languages from every text with a language, confidence from a bounded sample of the same texts."""
     told = _training(docs, id_column, text_column, lang_column).where("lang is not null and text is not null")
-    return learned(told, written(word_counts(told.select("lang", "text")), "word_counts"))[0]
+    return learned(told, written(gram_counts(told.select("lang", "text")), "gram_counts"))[0]
 
 
 def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", spelled: Spelled | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected, bits_per_char) of every whole text.
 
-    A text that is null or has no letter is ``und`` with score 0. A text unlike every language
-    (``rejected``) keeps the nearest one at half its score. Rows are read each for itself; null ids
-    stay null; other columns are never read. ``spelled``, if given, has all words of the texts.
+    A text that is null or has no letter is ``und`` with score 0. Of languages that cost the same, the first by name is
+    taken. A text unlike every language (``rejected``) keeps the nearest one at half its score. Rows are read each
+    for itself; null ids stay null; other columns are never read. Texts and words may be of any length, time
+    and memory grow in proportion. ``spelled``, if given, has all grams of the texts.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
     if spelled is None:
-        spelled = model.spelled(word_counts(rows.select(F.lit(None).cast("string").alias("lang"), "text")))
-    predict, summed = replace(model, orders=[]).predict, _summed(spelled)
+        spelled = model.spelled(gram_counts(rows.select(F.lit(None).cast("string").alias("lang"), "text")))
+    predict, summed = replace(model, ones=None, twos=None, weights=None, arrays=None).predict, _summed(spelled)
     schema = "doc_id long, lang_pred string, score double, rejected boolean, bits_per_char double"
     if spelled.others:
         return mapped(totals(rows, spelled), lambda columns: (columns[0], *predict(np.array(columns[1]))), schema)
@@ -309,10 +459,18 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 
 
 def predicted(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, ...) of every document, by models of those outside the fold."""
+    """(doc_id, held_out, lang_pred, score, ...) of every document, by models of those outside the fold.
+
+    One in LEFT_OUT of the documents that may be learned from is left out of the counts; confidence is calibrated on these.
+    """
     fold = fold_of("doc_id", FOLDS)
     rows = _training(docs, "doc_id", "text", "lang").withColumn("lang", F.when(fold != HELD_OUT, F.col("lang")))
-    # One reading gives what is learned and all words that are looked up.
-    model, spelled = learned(rows, written(word_counts(rows.where("text is not null").select("lang", "text")), "word_counts"))
+    apart = F.pmod(F.xxhash64("doc_id"), F.lit(LEFT_OUT)) == 0
+    # One reading gives what is learned and all grams that are looked up.
+    counts = written(gram_counts(rows.where("text is not null").select(F.when(~apart, F.col("lang")).alias("lang"), "text")), "gram_counts")
+    model, spelled = learned(rows.where(apart), counts)
+    for table in (model.ones, model.twos, model.weights, model.arrays, counts):
+        if table is not None:
+            dropped(table)
     return scored(docs, model, spelled=spelled).select(
         "doc_id", (fold == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected", "bits_per_char")
