@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import struct
 import unicodedata
@@ -36,6 +37,8 @@ def _lowered(text: str) -> str:
 #: Texts with letters from here on are composed, lowered and cut into words by the tokenizers library,
 #: whose tables of letters may be of another year than Python's.
 RARE = "\u0500"
+#: Words that a task remembers; others are encoded anew.
+HELD_WORDS = 400_000
 #: Symbols of a fragment from which merges go through a heap.
 LONG_FRAGMENT = 64
 
@@ -52,7 +55,8 @@ class Tokenizer:
         self.vocab: dict[str, int] = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         #: Of two tokens, as one number: rank of their merge, and the token it makes.
-        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: k for k, (a, b) in enumerate(merges)}
+        self.shift = max(self.vocab.values()).bit_length()
+        self.ranks = {self.vocab[a] << self.shift | self.vocab[b]: k for k, (a, b) in enumerate(merges)}
         self.made = [self.vocab[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         cut = spec["pre_tokenizer"]["pretokenizers"][0]
@@ -64,8 +68,16 @@ class Tokenizer:
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         #: Symbol pairs that stand side by side inside some token.
         self.inside = {pair for token in self.vocab for s in [self.symbols_of_token(token)] for pair in zip(s, s[1:], strict=False)}
+        #: The same by ids, with the rank of the pair's merge (or none), and ids of each byte inside a word and at its end.
+        self.starts = {self.vocab[a] << self.shift | self.vocab[b]: self.ranks.get(self.vocab[a] << self.shift | self.vocab[b], len(merges))
+                       for a, b in self.inside if a in self.vocab and b in self.vocab}
+        self.first, self.last = ([self.vocab.get(self.letters[b] + end) for b in range(256)] for end in ("", self.end))
+        self.byte = {letter: b for b, letter in self.letters.items()}
+        # An id in four little-endian bytes, and what it decodes to.
+        self.packed = {i: struct.pack("<I", i) for i in self.tokens}
+        self.shown = {i: t.encode() for i, t in self.tokens.items()}
         self.fragments: Memo = Memo(self._encode_fragment)
-        self.pieces: Memo = Memo(self._encode_word)
+        self.pieces: Memo = Memo(self._encode_word, HELD_WORDS)
         self.spelled: Memo = Memo(self._encode_letters)
         self.rare = tokenizers.Tokenizer.from_str(source)
 
@@ -80,50 +92,69 @@ class Tokenizer:
         cuts = [0, *(i + 1 for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if pair not in self.inside), len(symbols)]
         return [symbols[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _encode_fragment(self, symbols: tuple[str, ...]) -> list[int]:
+    def _encode_fragment(self, ids: tuple[int, ...]) -> list[int]:
         """Merge the pair of least rank, leftmost first, until none is left."""
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
+        return self._merged([*ids], [self.starts.get(a << self.shift | b, len(self.made)) for a, b in itertools.pairwise(ids)])
+
+    def _merged(self, ids: list[int], ranks: list[int]) -> list[int]:
         if len(ids) > LONG_FRAGMENT:
             return self._encode_long(ids)
-        rank, made, none = self.ranks.get, self.made, len(self.made)
-        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        rank, made, none, shift = self.ranks.get, self.made, len(self.made), self.shift
         while ranks and (least := min(ranks)) < none:
             i = ranks.index(least)
-            ids[i:i + 2] = [made[least]]
-            del ranks[i]
+            new = ids[i] = made[least]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
+                ranks[i - 1] = rank(ids[i - 1] << shift | new, none)
             if i < len(ranks):
-                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
+                ranks[i] = rank(new << shift | ids[i + 1], none)
         return ids
 
     def _encode_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, so that time grows with the length and not with its square."""
         after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
-        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := self.ranks.get(a << 32 | b)) is not None]
+        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := self.ranks.get(a << self.shift | b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or self.ranks.get(ids[i] << 32 | ids[j]) != rank:
+            if ids[i] < 0 or j < 0 or self.ranks.get(ids[i] << self.shift | ids[j]) != rank:
                 continue
             ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] >= 0 and (r := self.ranks.get(ids[k] << 32 | ids[after[k]])) is not None:
+                if k >= 0 and after[k] >= 0 and (r := self.ranks.get(ids[k] << self.shift | ids[after[k]])) is not None:
                     heapq.heappush(heap, (r, k))
         return [i for i in ids if i >= 0]
 
+    def _encode_bytes(self, data: bytes) -> tuple[int, bytes, bytes]:
+        """Number of tokens of a word, their ids in four little-endian bytes each, their decoded text."""
+        first, shift, start = self.first, self.shift, self.starts.get
+        ids = [first[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if None in ids:
+            # Symbols without a token are left out once they have cut the word.
+            symbols = [self.letters[b] for b in data]
+            symbols[-1] += self.end
+            ids = [i for part in self.split(tuple(symbols)) for i in self.fragments[tuple([self.vocab[s] for s in part if s in self.vocab])]]
+        else:
+            # Ranks of the neighbours' merges; forced boundaries have none at all.
+            ranks = [start(a << shift | b, -1) for a, b in itertools.pairwise(ids)]
+            if -1 in ranks:
+                cuts = [0, *(k + 1 for k, r in enumerate(ranks) if r < 0), len(ids)]
+                ids = [i for lo, hi in itertools.pairwise(cuts) for i in self.fragments[tuple(ids[lo:hi])]]
+            else:
+                ids = self._merged(ids, ranks)
+        packed, shown = self.packed, self.shown
+        return len(ids), b"".join([packed[i] for i in ids]), b" ".join([shown[i] for i in ids])
+
     def _encode_letters(self, letters: str) -> tuple[int, bytes, bytes]:
-        """Number of tokens, their ids in four little-endian bytes each, their decoded text."""
-        symbols = (*letters[:-1], letters[-1] + self.end)
-        ids = [i for fragment in self.split(symbols) for i in self.fragments[fragment]]
-        return len(ids), struct.pack(f"<{len(ids)}I", *ids), self.decoded(ids).encode()
+        return self._encode_bytes(bytes([self.byte[c] for c in letters]))
 
     def _encode_word(self, word: str) -> tuple[int, bytes, bytes]:
-        return self._encode_letters("".join([self.letters[b] for b in word.encode()]))
+        return self._encode_bytes(word.encode())
 
     def encoded(self, text: str) -> list[tuple[int, bytes, bytes]]:
         """The pieces of a whole text in order, words without a token left out."""
