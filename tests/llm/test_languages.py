@@ -101,3 +101,39 @@ def test_words_that_no_task_holds_are_joined(spark, monkeypatch):
         got = predicted(docs).collect()
         results.append(sorted((r.doc_id or -1, r.held_out, r.lang_pred, round(r.score, 9), r.rejected, round(r.bits_per_char, 9)) for r in got))
     assert len(results[0]) == len(rows) and results[0] == results[1]
+
+
+def test_scores_of_texts_follow_the_formulas(spark):
+    """Bits per character of whole texts, and which language is taken, against sums worked out plainly."""
+    rows = documents()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = fit(docs)
+    by_lang = defaultdict(list)
+    for _, text, lang, _ in rows:
+        by_lang[lang] += words_of(text.encode())
+    plain = {lang: brute(words) for lang, words in by_lang.items()}
+    texts = {i: f"{text} zebra Ünder 4th" for i, text, _, _ in rows[:30]}
+    got = languages.scored(spark.createDataFrame([(i, t, None, None) for i, t in texts.items()], SCHEMA), model).collect()
+    assert len(got) == 30
+    for r in got:
+        grams = [g for w in words_of(texts[r.doc_id].encode()) for g in grams_of(w)]
+        bits = {lang: sum(-np.log2(max(p(g), 1e-12)) for g in grams) / len(grams) for lang, p in plain.items()}
+        assert r.lang_pred == min(bits, key=bits.get) and r.bits_per_char == pytest.approx(min(bits.values()), rel=1e-6)
+        weight = {lang: 2 ** (-model.sharpness * (b - min(bits.values()))) for lang, b in bits.items()}
+        assert r.score == pytest.approx((0.5 if r.rejected else 1) / sum(weight.values()), rel=1e-5)
+
+
+def test_very_long_words_and_texts(spark):
+    rows = documents() + [(500, "anti" * 250_000, "aa", None), (501, "anti shober " * 200_000, None, None), (503, "ouê" * 300_000, None, None)]
+    got = {r.doc_id: r.lang_pred for r in predicted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[500] == got[501] == "aa" and got[503] != "und"
+
+
+def test_costs_are_whole_numbers_whatever_is_held(spark, monkeypatch):
+    docs = spark.createDataFrame(documents(), SCHEMA)
+    results = []
+    for held, memo in ((languages.HELD_VALUES, languages.MEMO_WORDS), (60, 5)):
+        monkeypatch.setattr(languages, "HELD_VALUES", held)
+        monkeypatch.setattr(languages, "MEMO_WORDS", memo)
+        results.append(sorted(map(tuple, predicted(docs).collect())))
+    assert results[0] == results[1]
