@@ -526,8 +526,8 @@ def resumed_calls(spark, sf_dir):
     """Half of the requests are answered, the job starts again over all of them: each is asked once."""
     store, keys = fresh_folder(spark, "answers"), ["item_id", "prompt_pos"]
     asked = rq.with_request(rq.ask_all(fx.items(spark, sf_dir), rq.SEED_PROMPTS)).select(*keys, "system", "user")
-    complete_once(asked.where("item_id % 2 = 0"), MODELS.scorer, store, keys, pieces=2, retry_delay=0.0)
-    answers = complete_once(asked, MODELS.scorer, store, keys, pieces=2, retry_delay=0.0)
+    complete_once(asked.where("item_id % 2 = 0"), MODELS.scorer, store, keys, piece_calls=400, retry_delay=0.0)
+    answers = complete_once(asked, MODELS.scorer, store, keys, piece_calls=400, retry_delay=0.0)
     calls = spark.read.parquet(store).groupBy("request_id").agg(F.count("*").alias("n_calls"))
     return answers.join(calls, "request_id").select(*keys, "raw_output", "tries", "n_calls")
 
@@ -656,5 +656,5 @@ def run_files(spark, sf_dir):
     items = fx.items(spark, sf_dir)
     settings = replace(SETTINGS, usage_folder=f"{folder}/usage")
     done = improvement.run_base(items, rq.SEED_PROMPTS, MODELS, settings)
-    write_run(done, items, folder, spark.read.parquet(f"{folder}/usage"), {"scorer": "small:7b", "optimizer": "large:32b"})
+    write_run(done, items, folder, results.read_usage(spark, f"{folder}/usage"), {"scorer": "small:7b", "optimizer": "large:32b"})
     return results.read_status(spark, f"{folder}/optimization_status").withColumnRenamed("id", "item_id")

@@ -10,18 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptmill.workspace import dropped, written
+
 # ``(system, user)`` to a text, or to a text with prompt and completion tokens.
 Model = Callable[[str, str], "str | tuple[str, int, int]"]
 
 
 def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3, retry_delay: float = 1.0,
-             out: str = "raw_output", partitions: int | None = None, strip: bool = True) -> DataFrame:
+             out: str = "raw_output", partitions: int | None = None, strip: bool = True,
+             asked_at: str | None = None) -> DataFrame:
     """Ask the model every request; ``system`` and ``user`` become ``out`` and call columns.
 
     ``model`` builds the callable once per partition, on the executor, so that a client
     need not be sent there. A call that raises is tried again up to ``max_tries`` times; a
     request that keeps failing stays as a row with a null ``out`` and its last ``error``.
-    ``partitions`` bounds how many calls are in flight across the cluster.
+    ``partitions`` bounds how many calls are in flight across the cluster, one a core that Spark gives the job at most.
+    ``asked_at`` names a column for the time of each answer.
 
     Answers of a real model differ from call to call: write the result before using it twice.
     """
@@ -32,7 +36,7 @@ def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3
         T.StructField("error", T.StringType()),
         T.StructField("prompt_tokens", T.LongType()),
         T.StructField("completion_tokens", T.LongType()),
-    ])
+    ] + [T.StructField(asked_at, T.TimestampType())] * (asked_at is not None))
     names = [f.name for f in kept]
 
     def ask(call: Model, system: str, user: str) -> tuple:
@@ -51,45 +55,63 @@ def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()
         for batch in batches:
-            rows = [ask(call, s, u) for s, u in zip(batch["system"], batch["user"])]
+            times, rows = [], []
+            for system, user in zip(batch["system"], batch["user"]):
+                rows.append(ask(call, system, user))
+                times.append(pd.Timestamp.now("UTC"))
             got = pd.DataFrame(rows, columns=[out, "tries", "error", "prompt_tokens", "completion_tokens"],
                                index=batch.index)
             got = got.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+            if asked_at:
+                got[asked_at] = pd.Series(times, index=batch.index, dtype="datetime64[us, UTC]")
             yield pd.concat([batch[names], got], axis=1)
 
     asked = requests if partitions is None else requests.repartition(partitions)
     return asked.mapInPandas(run, schema)
 
 
-#: Names a request in a store of answers, from its keys and its whole text.
-REQUEST = "request_id"
+#: Names a request in a store of answers, from its keys and its whole text; and when it was answered.
+REQUEST, ASKED_AT = "request_id", "asked_at"
 
 
 def request_id(keys: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*keys, "system", "user"), {"ignoreNullFields": "false"}), 256)
 
 
-def complete_once(requests: DataFrame, model: Callable[[], Model], store: str, keys: list[str], pieces: int = 8,
+def complete_once(requests: DataFrame, model: Callable[[], Model], store: str, keys: list[str], piece_calls: int = 100_000,
                   out: str = "raw_output", **how) -> DataFrame:
     """Ask only what ``store`` holds no answer to yet, and give the answers to all ``requests``.
 
-    Requests are asked in ``pieces`` by their id, and each piece's answers are kept as soon as
-    they are there: after a lost job only the piece in hand is asked again. Requests that failed are kept as failed.
-    ``keys`` tell requests apart; a request that stands twice is asked once.
+    Open requests are asked some ``piece_calls`` at a time, dealt by their id, and each piece's answers are kept as
+    soon as they are there: after a lost job only the piece in hand is asked again. Requests that failed are kept as failed.
+    ``keys`` tell requests apart; a request that stands twice is asked once. Without earlier answers request texts
+    are not shuffled.
     """
     spark = requests.sparkSession
     named = requests.withColumn(REQUEST, request_id(keys))
-    fields = [REQUEST, out, "tries", "error", "prompt_tokens", "completion_tokens"]
-    schema = f"{REQUEST} string, {out} string, tries int, error string, prompt_tokens long, completion_tokens long"
+    fields = [REQUEST, out, "tries", "error", "prompt_tokens", "completion_tokens", ASKED_AT]
+    schema = f"{REQUEST} string, {out} string, tries int, error string, prompt_tokens long, completion_tokens long, {ASKED_AT} timestamp"
     root = spark._jvm.org.apache.hadoop.fs.Path(store)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
+    told = spark.read.schema(schema).parquet(store).select(REQUEST)
+    open_ = written(named.select(REQUEST, "system", "user").join(told, REQUEST, "left_anti"), "open_requests")
+    calls, different = open_.agg(F.count("*"), F.count_distinct(REQUEST)).first()
+    asked = open_ if calls == different else open_.dropDuplicates([REQUEST])
+    pieces = -(-different // piece_calls)
     for piece in range(pieces):
-        asked = named.where(F.pmod(F.xxhash64(REQUEST), F.lit(pieces)) == piece).select(REQUEST, "system", "user").dropDuplicates([REQUEST])
-        open_ = asked.join(spark.read.schema(schema).parquet(store).select(REQUEST), REQUEST, "left_anti")
-        complete(open_, model, out=out, **how).select(*fields).write.mode("append").parquet(store)
+        part = asked if pieces == 1 else asked.where(F.pmod(F.xxhash64(REQUEST), F.lit(pieces)) == piece)
+        complete(part, model, out=out, asked_at=ASKED_AT, **how).select(*fields).write.mode("append").parquet(store)
+    dropped(open_)
     return named.drop("system", "user").join(spark.read.schema(schema).parquet(store), REQUEST)
 
 
+def call_usage(answers: DataFrame, role: str, model: str | None, step: str, round: int, level: int) -> DataFrame:
+    """Token usage of the answered calls of a step, one row each, in the layout of ``schemas.USAGE``."""
+    return usage_rows(answers, role, [REQUEST, ASKED_AT, "run_id"]).select(
+        F.col(REQUEST).alias("call_id"), F.col(ASKED_AT).alias("ts"), "run_id", "role", F.lit(model).cast("string").alias("model"),
+        F.lit(step).alias("step"), F.lit(round).alias("round"), F.lit(level).alias("level"), "prompt_tokens", "completion_tokens")
+
+
 def usage_rows(responses: DataFrame, role: str, keys: list[str]) -> DataFrame:
     """Token usage of answered calls, one row each."""
     return responses.where(F.col("prompt_tokens").isNotNull()).select(

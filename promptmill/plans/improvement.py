@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +85,7 @@ def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str
     chunk, the item up to which the round counts and how many chunks it made. A round
     played again overwrites itself.
     """
-    size = settings.group_size
+    size, settings = settings.group_size, replace(settings, round=n)
 
     def kept_as(df: DataFrame, name: str) -> DataFrame:
         return written(df, name, f"{base}/{name}/round={n}")

@@ -8,6 +8,8 @@ has folds. ``balanced`` merges neighbours and takes a logarithm of that.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def merge_balanced(merged: DataFrame, models: Models, settings: Settings) -> tup
             "place", F.col("seq") % size + 1)
         blocks = _block(parts, ["run_id", "parent"], "place")
         several = blocks.where("n_inputs > 1")
-        texts = merge(several, ["run_id", "parent"], models, settings)
+        texts = merge(several, ["run_id", "parent"], models, replace(settings, level=level))
         single = parts.join(blocks.where("n_inputs = 1").select("run_id", "parent"), ["run_id", "parent"]) \
             .select("run_id", "parent", "rule_text")
         made.append(texts.join(several.select("run_id", "parent", "n_inputs"), ["run_id", "parent"]).select(
@@ -96,7 +98,7 @@ def merge_left_deep(merged: DataFrame, models: Models, settings: Settings) -> tu
         if last is not None:  # for the convergence each run brings its own last fold
             parts = parts.unionByName(last.join(up.where(here).drop("parent_tier", "parent_seq"), ["run_id", "seq"])
                                       .select("run_id", "parent_place", "rule_text"))
-        texts = merge(_block(parts, ["run_id"], "parent_place"), ["run_id"], models, settings).withColumn("seq", F.lit(seq).cast("long"))
+        texts = merge(_block(parts, ["run_id"], "parent_place"), ["run_id"], models, replace(settings, level=seq if tier == ops.FOLD else folds + 1)).withColumn("seq", F.lit(seq).cast("long"))
         made.append(texts.select("run_id", F.lit(tier).alias("tier"), "seq", "rule_text"))
         if tier == ops.FOLD:
             still = last.join(texts.select("run_id"), "run_id", "left_anti").unionByName(texts) if last is not None else texts

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from promptmill.functions import templates as tp
 from promptmill.functions.grading import grade
 from promptmill.operators import refine, reports, requests, rules
-from promptmill.operators.completion import Model, complete, usage_rows
+from promptmill.operators.completion import ASKED_AT, REQUEST, Model, call_usage, complete, complete_once, request_id
 from promptmill.operators.outcomes import ITEM, item_outcomes, prompt_accuracy
 from promptmill.workspace import written
 
@@ -48,24 +48,45 @@ class Settings:
     generate_template: str = tp.GENERATE_TEMPLATE
     merge_order: str = "balanced"
     compat: bool = False
+    #: Folder of token usage, one part a step, round and level, which a part played again overwrites; it belongs to one job.
     usage_folder: str | None = None
+    #: Folder of answers that are kept: a job started again asks only what has none. It belongs to one job too.
+    answers: str | None = None
+    piece_calls: int = 100_000
+    scorer_name: str | None = None
+    optimizer_name: str | None = None
+    #: Where in a job a step is asked: the iterative round, and the level of a merge.
+    round: int = 0
+    level: int = 0
 
     def ask(self, asked: DataFrame, model: Callable[[], Model], role: str, name: str, out: str = "response",
             strip: bool = True, then: Step | None = None, keep: Keep = written) -> DataFrame:
-        """Answers, put through ``then`` and written once; their token usage goes to ``usage_folder`` if there is one."""
-        answers = complete(asked, model, self.max_tries, self.retry_delay, out, self.partitions, strip)
+        """Answers, put through ``then`` and written once.
+
+        With ``answers``, what was answered before is not asked again; with ``usage_folder``, token usage goes there.
+        """
+        part = f"{name}/round={self.round}/level={self.level}"
+        keys = [c for c in asked.columns if c not in ("system", "user")]
+        how = {"max_tries": self.max_tries, "retry_delay": self.retry_delay, "out": out, "partitions": self.partitions, "strip": strip}
+        if self.answers:
+            answers = complete_once(asked, model, f"{self.answers}/{part}", keys, self.piece_calls, **how)
+        elif self.usage_folder:
+            answers = complete(asked.withColumn(REQUEST, request_id(keys)), model, asked_at=ASKED_AT, **how)
+        else:
+            answers = complete(asked, model, **how)
         answers = keep(then(answers) if then else answers, name)
         if self.usage_folder:
-            usage_rows(answers, role, ["run_id"]).write.mode("append").parquet(self.usage_folder)
-        return answers
+            known = self.scorer_name if role == SCORER else self.optimizer_name
+            call_usage(answers, role, known, name, self.round, self.level).write.mode("overwrite").parquet(f"{self.usage_folder}/{part}")
+        return answers.drop(REQUEST, ASKED_AT)
 
 
 def evaluate(asked: DataFrame, model: Callable[[], Model], settings: Settings, placement: str = "pool",
-             grader: str = "strict", strip: bool = True, keep: Keep = written) -> DataFrame:
+             grader: str = "strict", strip: bool = True, keep: Keep = written, name: str = "graded") -> DataFrame:
     """Answers to items × prompts, graded. The question stays behind once it is in the request."""
     requested = requests.with_request(asked, placement).drop("question")
     return settings.ask(
-        requested, model, SCORER, "graded", "raw_output", strip, lambda answers: grade(answers, grader), keep)
+        requested, model, SCORER, name, "raw_output", strip, lambda answers: grade(answers, grader), keep)
 
 
 def propose(graded: DataFrame, failures: DataFrame, items: DataFrame, models: Models,
@@ -132,7 +153,7 @@ def improve(asked: DataFrame, items: DataFrame, models: Models, settings: Settin
 def held_out(items: DataFrame, prompts: list[str], model: Callable[[], Model], settings: Settings) -> DataFrame:
     """Accuracy of each prompt as the system text of held-out questions, by the loose grader."""
     asked = requests.ask_all(items, prompts)
-    return prompt_accuracy(evaluate(asked, model, settings, "system", "loose", strip=False))
+    return prompt_accuracy(evaluate(asked, model, settings, "system", "loose", strip=False, name="held_out"))
 
 
 def held_out_runs(items: DataFrame, pools: DataFrame, model: Callable[[], Model], settings: Settings) -> DataFrame:
@@ -141,7 +162,7 @@ def held_out_runs(items: DataFrame, pools: DataFrame, model: Callable[[], Model]
     ``pools`` has ``run_id, prompt_pos, prompt``; a run without prompts is skipped.
     """
     asked = requests.ask_pools(items, pools, ["run_id"])
-    return prompt_accuracy(evaluate(asked, model, settings, "system", "loose", strip=False))
+    return prompt_accuracy(evaluate(asked, model, settings, "system", "loose", strip=False, name="held_out"))
 
 
 def held_out_report(accuracy: DataFrame, headers: DataFrame) -> DataFrame:

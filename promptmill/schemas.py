@@ -33,6 +33,20 @@ POOL = T.StructType([
     T.StructField("prompt", T.StringType()),
 ])
 
+#: One row a model call; ``step``, ``round`` and ``level`` say which part of a job asked.
+USAGE = T.StructType([
+    T.StructField("call_id", T.StringType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("run_id", T.LongType()),
+    T.StructField("role", T.StringType()),
+    T.StructField("model", T.StringType()),
+    T.StructField("step", T.StringType()),
+    T.StructField("round", T.IntegerType()),
+    T.StructField("level", T.IntegerType()),
+    T.StructField("prompt_tokens", T.LongType()),
+    T.StructField("completion_tokens", T.LongType()),
+])
+
 # File layouts: field names, order and types as the files carry them.
 DETAILED_RESULT = T.StructType([
     T.StructField("id", T.LongType()),

@@ -68,6 +68,11 @@ def read_cost(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_with_run(schemas.COST)).option("header", True).csv(path)
 
 
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Calls of all steps, rounds and levels that a job left below its ``usage_folder``."""
+    return spark.read.schema(schemas.USAGE).option("recursiveFileLookup", True).parquet(path)
+
+
 def cost_rows(report: DataFrame) -> DataFrame:
     """A cost report (with ``ended``, ``role``, ``model``) in the layout of the cost file."""
     return report.select(
