@@ -587,10 +587,21 @@ def full_run(spark, sf_dir):
         done.final_prompts, "run_id", "left")
 
 
+#: Rules of a chunk in the iterative queries, whose SQL plays one round a chunk.
+ITERATIVE_GROUP = 9
+
+
 @query
 def full_run_iterative(spark, sf_dir):
-    done = improvement.run_iterative(fx.items(spark, sf_dir), rq.SEED_PROMPTS, MODELS, SETTINGS, 1_000_000, relaxed=True)
-    return done.status
+    """Every item's status and the prompts it was asked, in runs whose pool is replaced after each chunk of rules."""
+    done = improvement.run_iterative(fx.items(spark, sf_dir), rq.SEED_PROMPTS, MODELS, replace(SETTINGS, group_size=ITERATIVE_GROUP))
+    return _statuses(done.status, done.graded)
+
+
+def _statuses(status, graded):
+    asked = graded.groupBy("run_id", "item_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prompt_pos", "prompt"))), lambda x: x["prompt"]), " | ").alias("asked"))
+    return status.select("run_id", "item_id", "source", "status", "initial_wrong", "verified_success", "note").join(asked, ["run_id", "item_id"])
 
 
 @query
@@ -643,10 +654,18 @@ def stream_usage_cost(spark, sf_dir):
 
 @query
 def stream_improvement(spark, sf_dir):
+    """The same as ``full_run_iterative``, items arriving in several batches."""
     folder = fresh_folder(spark, "improvement-stream")
-    arriving = fx.from_documents(_stream(spark, sf_dir, "documents"))
-    start_improving(arriving, rq.SEED_PROMPTS, MODELS, SETTINGS, folder, f"{folder}/log").awaitTermination()
-    return spark.read.parquet(f"{folder}/status").drop("round")
+    items = written(fx.items(spark, sf_dir), "items")
+    # One file a batch, in order: files of a source are taken by the time they were left.
+    bounds = items.agg(F.percentile("item_id", F.array(*(F.lit(p / 4) for p in range(1, 4))))).first()[0]
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = items.where(F.lit(True) if low is None else F.col("item_id") > low).where(F.lit(True) if high is None else F.col("item_id") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    arriving = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    settings = replace(SETTINGS, group_size=ITERATIVE_GROUP)
+    start_improving(arriving, rq.SEED_PROMPTS, MODELS, settings, folder, f"{folder}/log").awaitTermination()
+    return _statuses(*(spark.read.parquet(f"{folder}/{name}").drop("round") for name in ("status", "graded")))
 
 
 @query

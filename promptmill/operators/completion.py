@@ -36,7 +36,7 @@ def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3
         T.StructField("error", T.StringType()),
         T.StructField("prompt_tokens", T.LongType()),
         T.StructField("completion_tokens", T.LongType()),
-    ] + [T.StructField(asked_at, T.TimestampType())] * (asked_at is not None))
+    ] + ([T.StructField(asked_at, T.TimestampType())] if asked_at else []))
     names = [f.name for f in kept]
 
     def ask(call: Model, system: str, user: str) -> tuple:

@@ -141,7 +141,8 @@ def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str
 def finish_rounds(spark: SparkSession, base: str, n: int, models: Models, settings: Settings) -> Run:
     """Merge what still waits after round ``n`` as the tail, and the whole of ``base`` down to one rule per run."""
     def all_rounds(name: str) -> DataFrame:
-        return spark.read.parquet(f"{base}/{name}").drop("round")
+        # A part of the job played again may have taken fewer rounds than before.
+        return spark.read.parquet(f"{base}/{name}").where(F.col("round") <= n).drop("round")
     left = Progress.after(spark, base, n)
     tail = lookup(rules.tier1_chunks(left.waiting, settings.group_size), left.made, ["run_id"])
     tail = written(tail.withColumn("chunk", F.col("chunk") + F.coalesce("n_chunks", F.lit(0))).drop("n_chunks"), "tail")
@@ -165,19 +166,28 @@ def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models
     and takes the pool of its last chunk, for fewer rounds; results then depend on the block.
     """
     spark = items.sparkSession
-    block = block or (1000 if relaxed else 4 * settings.group_size)
     base = fresh_folder(spark, "iterative")
+    n = play_items(items, Progress.start(spark), prompts, models, settings, base, 0, block, relaxed)
+    return finish_rounds(spark, base, n, models, settings)
+
+
+def play_items(items: DataFrame, progress: Progress, prompts: list[str] | tuple[str, ...], models: Models, settings: Settings,
+               base: str, n: int, block: int | None = None, relaxed: bool = False) -> int:
+    """Play rounds after round ``n`` of the job in ``base`` until ``items`` are used up; returns the last round's number.
+
+    ``progress`` is what round ``n`` left. Items of a run are taken by their ids.
+    """
+    block = block or (1000 if relaxed else 4 * settings.group_size)
     # Numbered once and stored in that order, so that a round's scan reads only its part.
     numbered = with_ordinal(items, ["run_id"], "item_id").repartitionByRange("run_id", "ordinal") \
         .sortWithinPartitions("run_id", "ordinal")
-    numbered = written(numbered, "numbered", f"{base}/items")
+    numbered = written(numbered, "numbered")
     cursor = written(numbered.groupBy("run_id").agg(
         F.lit(0).cast("long").alias("next"), F.count("*").alias("n_items"), F.lit(block).cast("long").alias("width")), "cursor")
-    n, progress = 0, Progress.start(spark)
     while True:
         low, high = cursor.where("next < n_items").agg(F.min("next"), F.max(F.col("next") + F.col("width"))).first()
         if low is None:
-            return finish_rounds(spark, base, n, models, settings)
+            return n
         n += 1
         todo = lookup(
             numbered.where((F.col("ordinal") >= low) & (F.col("ordinal") < high)),
@@ -185,7 +195,7 @@ def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models
         ).where((F.col("ordinal") >= F.col("next")) & (F.col("ordinal") < F.col("next") + F.col("width"))).drop("next", "width")
         todo = written(todo, "todo")
         last = play_round(todo.drop("ordinal"), progress, prompts, models, settings, base, n, relaxed)
-        progress = Progress.after(spark, base, n)
+        progress = Progress.after(items.sparkSession, base, n)
         ends = F.least(F.col("next") + F.col("width"), F.col("n_items"))
         if relaxed:
             cursor = written(cursor.withColumn("next", ends), "cursor")
