@@ -114,11 +114,9 @@ def item_index(spark, sf_dir):
 @query
 def head_tail_sample(spark, sf_dir):
     items = fx.items(spark, sf_dir)
-    indexed = it.with_item_index(items.select("subset", "item_id"), position="item_id").drop("n_total") \
-        .withColumn("whole", F.lit(1))
-    totals = items.agg(F.count("*").alias("n_total")).withColumn("whole", F.lit(1))
-    # Items are numbered and cut down without their text, which then joins the few that are left.
-    kept = written(it.head_and_tail(indexed, written(totals, "totals"), ["whole"]), "kept")
+    # Items are cut down without their text, which then joins the few that are left.
+    whole = items.select("subset", "item_id", F.lit(1).alias("whole"))
+    kept = written(it.both_ends(whole, ["whole"], ["subset", "item_id"]).drop("whole"), "kept")
     return items.join(kept, ["subset", "item_id"]).select("item_index", "item_id", "subset", "question")
 
 

@@ -137,8 +137,15 @@ def with_item_index(items: DataFrame, subset: str = "subset", position: str = "p
     )
 
 
-def head_and_tail(rows: DataFrame, totals: DataFrame, keys: list[str], index: str = "item_index",
-                  size: int = 10) -> DataFrame:
-    """Rows among the first or last ``size`` of their group; ``totals`` has ``n_total`` per group."""
-    return lookup(rows, totals, keys, "inner").where(
-        (F.col(index) < size) | (F.col(index) >= F.col("n_total") - size))
+def both_ends(rows: DataFrame, keys: list[str], order: list[str], index: str = "item_index", size: int = 10) -> DataFrame:
+    """Rows among the first or last ``size`` of their group, with their 0-based ``index`` in it.
+
+    Nothing is numbered but what is kept: each task cuts its rows down to ``size`` a group and end before
+    any are moved. ``order`` tells the rows of a group apart; null keys are a group, null values come first.
+    """
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ways = {"first": [F.asc(c) for c in order], "last": [F.desc(c) for c in order]}
+    first, last = (rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*way))).where(F.col("_r") <= size)
+                   for way in ways.values())
+    last = lookup(last, written(totals, "totals"), keys, "inner").withColumn(index, F.col("_n") - F.col("_r")).where(F.col(index) >= size)
+    return first.withColumn(index, F.col("_r").cast("long") - 1).drop("_r").unionByName(last.drop("_r", "_n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptmill.operators.ordered import with_running_sums
+from promptmill.operators.ordered import BUCKET, with_running_sums
 
 # USD per million tokens, in and out.
 PRICES = {"scorer": ("0.00", "0.00"), "optimizer": ("2.50", "10.00")}
@@ -19,14 +19,14 @@ def _seconds(usage: DataFrame, ts: str) -> Column:
     return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def running_usage(usage: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+def running_usage(usage: DataFrame, width: int = BUCKET) -> DataFrame:
     """Tokens used so far per run and role at every call, in time and then call order."""
     seconds = _seconds(usage, "ts")
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     return with_running_sums(
         usage.withColumn("total_tokens", total), ["run_id", "role"], seconds, ["ts", "call_id"],
         {"prompt_so_far": "prompt_tokens", "completion_so_far": "completion_tokens", "total_so_far": "total_tokens"},
-        width=bucket_seconds)
+        width)
 
 
 def token_totals(usage: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,8 +13,7 @@ from promptmill.functions import templates as tp
 from promptmill.operators import pools as pl
 from promptmill.operators import refine as rf
 from promptmill.operators import rules as rl
-from promptmill.operators.items import head_and_tail
-from promptmill.operators.ordered import with_ordinal
+from promptmill.operators.items import both_ends
 from promptmill.operators.outcomes import ITEM, item_result_map
 from promptmill.operators.usage import cost_report
 from promptmill.plans.improvement import Run
@@ -36,9 +35,7 @@ def detailed_items(items: DataFrame, size: int | None = 10) -> DataFrame:
     """The first and last ``size`` items of each run; all of them without a size."""
     if size is None:
         return items.select(*ITEM)
-    placed = with_ordinal(items.select(*ITEM), ["run_id"], "item_id", "item_index")
-    totals = written(items.groupBy("run_id").agg(F.count("*").alias("n_total")), "totals")
-    return written(head_and_tail(placed, totals, ["run_id"], size=size).select(*ITEM), "detailed")
+    return written(both_ends(items.select(*ITEM), ["run_id"], ["item_id"], size=size).select(*ITEM), "detailed")
 
 
 def detail_rows(run: Run, items: DataFrame, detailed: DataFrame) -> DataFrame:

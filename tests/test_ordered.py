@@ -75,6 +75,53 @@ def test_as_of(spark, width):
     assert {(r.g, r.p): r.m for r in got} == want and len(got) == len(rows)
 
 
+def _spread(kind, n=3000):
+    """One group with two thirds of the rows, under ids that are dense, hashed, or follow one time stamp."""
+    rng = random.Random(7)
+    ids = {"dense": range(n), "hashed": [rng.randrange(-2**62, 2**62) for _ in range(n)], "one time": range(n)}[kind]
+    return [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", p, 5 if kind == "one time" and i % 9 else i % 11) for i, p in enumerate(ids)]
+
+
+@pytest.mark.parametrize("kind", ["dense", "hashed", "one time"])
+def test_no_range_holds_much_more_than_its_share(spark, kind):
+    """Rows by range, and what is carried: for any spread of positions, both bounded by the number of ranges."""
+    rows = _spread(kind)
+    df, safe = od.keyed(spark.createDataFrame(rows, "g string, p long, t long"), ["g"])
+    dealt = od.ranged(df, [*safe, "t", "p"], 4)
+    sizes = [r["count"] for r in dealt.groupBy("_bucket").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * len(rows) / 4
+    assert dealt.select(*safe, "_bucket").distinct().count() <= 4 + len({g for g, _, _ in rows})
+    ends = dealt.groupBy("_bucket").agg(F.min(F.struct(*safe, "t", "p")).alias("low"), F.max(F.struct(*safe, "t", "p")).alias("high")).orderBy("_bucket").collect()
+    assert all(a.high < b.low for a, b in zip(ends, ends[1:], strict=False))
+
+
+@pytest.mark.parametrize("kind", ["dense", "hashed", "one time"])
+@pytest.mark.parametrize("width", [100, 100_000])
+def test_ordered_work_over_any_spread(spark, kind, width):
+    rows = _spread(kind)
+    df = spark.createDataFrame(rows, "g string, p long, t long")
+    by = defaultdict(list)
+    for g, p, t in rows:
+        by[g].append((t, p))
+    places = {(g, p): i for g, held in by.items() for i, (_, p) in enumerate(sorted(held, key=lambda r: r[1]))}
+    got = od.with_ordinal(df, ["g"], "p", width=width).collect()
+    assert {(r.g, r.p): r.ordinal for r in got} == places and len(got) == len(rows)
+    sums = {}
+    for g, held in by.items():
+        total = 0
+        for t, p in sorted(held):
+            total += t
+            sums[g, p] = total
+    got = od.with_running_sums(df, ["g"], F.col("t"), ["p"], {"s": "t"}, width).collect()
+    assert {(r.g, r.p): r.s for r in got} == sums
+    marks = [(g, p) for g, p, _ in rows[::40]] + [("none of these", 3)]
+    starts = defaultdict(list)
+    for g, m in sorted(marks, key=str):
+        starts[g].append(m)
+    got = od.as_of(df, spark.createDataFrame(marks, "g string, m long"), ["g"], "p", "m", width).collect()
+    assert {(r.g, r.p): r.m for r in got} == {(g, p): max((m for m in starts[g] if m <= p), default=None) for g, p, _ in rows}
+
+
 def test_dense_rank(spark):
     df = spark.createDataFrame([("a", 5), ("b", 5), ("c", 2), ("d", 9)], "t string, n long")
     assert {r.t: r.rank for r in od.with_dense_rank(df, "n").collect()} == {"d": 1, "a": 2, "b": 2, "c": 3}
@@ -121,12 +168,17 @@ def test_slicing_does_not_move_the_items(spark):
         assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
-def test_head_and_tail(spark):
-    df = spark.range(100).select(F.lit("r").alias("run"), F.col("id").alias("item_index"))
-    for n in (5, 15, 100):
-        totals = spark.createDataFrame([("r", n)], "run string, n_total long")
-        got = {r.item_index for r in it.head_and_tail(df.where(F.col("item_index") < n), totals, ["run"]).collect()}
-        assert got == {i for i in range(n) if i < 10 or i >= n - 10}
+def test_both_ends(spark):
+    rows = [(g, p) for g, n in (("a", 100), (None, 15), ("b", 5), ("c", 20), ("d", 21)) for p in random.Random(n).sample(range(10**6), n)]
+    want = {}
+    for g in {g for g, _ in rows}:
+        held = sorted(p for k, p in rows if k == g)
+        want |= {(g, p): i for i, p in enumerate(held) if i < 10 or i >= len(held) - 10}
+    df = spark.createDataFrame(rows, "run string, p long")
+    got = it.both_ends(df, ["run"], ["p"])
+    assert {(r.run, r.p): r.item_index for r in got.collect()} == want and got.count() == len(want)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert it.both_ends(df.limit(0), ["run"], ["p"]).count() == 0
 
 
 def test_requested_subsets():
