@@ -220,7 +220,8 @@ _KEY = ("doc_id", "tid", "uid")
 
 
 def _lists(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy(*_KEY).agg(F.collect_list(F.struct(*columns)).alias("marks"))
+    """Marks of each id and text; those of its copies are the same and count once."""
+    return df.groupBy(*_KEY).agg(F.collect_set(F.struct(*columns)).alias("marks"))
 
 
 def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -104,3 +104,23 @@ def _clashing():
         if zlib.crc32(text.encode()) in seen:
             return [(1, passage, None, None), (9, seen[zlib.crc32(text.encode())], None, None), (9, text, None, None)]
     raise AssertionError
+
+
+def test_repeated_rows_take_linear_time(spark):
+    """Many copies of one id and text, and of a text without an id, beside others that share their passages."""
+    import time
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    passages = [[rng.choice(words) for _ in range(150)] for _ in range(4)]
+    shared = [" ".join([w for p in rng.sample(passages, 3) for w in [*p, *rng.choices(words, k=30)]]) for _ in range(6)]
+
+    def took(copies):
+        rows = [(i, t) for i, t in enumerate(shared)] + [(9, shared[-1])] * copies + [(None, shared[0])] * copies
+        began = time.perf_counter()
+        got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=50).collect()
+        took = time.perf_counter() - began
+        want = {(i if i is not None else -(1 << 63), n, gone, kept) for i, n, gone, kept in brute(rows[:6] + rows[6:7] + rows[-1:], 50)}
+        assert {(r.doc_id if r.doc_id is not None else -(1 << 63), r.n_words, r.n_removed, r.kept) for r in got} == want and len(got) == len(rows)
+        return took
+    took(5)
+    assert took(1000) < 12 * took(100) + 10
