@@ -16,6 +16,21 @@ from promptmill.workspace import dropped, written
 Model = Callable[[str, str], "str | tuple[str, int, int]"]
 
 
+def ask(call: Model, system: str, user: str, max_tries: int, retry_delay: float, strip: bool) -> tuple:
+    """(text, tries, error, prompt tokens, completion tokens) of one request, tried until it is answered."""
+    error = None
+    for attempt in range(1, max_tries + 1):
+        try:
+            answer = call(system, user)
+            text, used, made = answer if isinstance(answer, tuple) else (answer, None, None)
+            return text.strip() if strip else text, attempt, None, used, made
+        except Exception as raised:  # a model may fail in any way
+            error = f"{type(raised).__name__}: {raised}"
+            if attempt < max_tries:
+                time.sleep(retry_delay)
+    return None, max_tries, error, None, None
+
+
 def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3, retry_delay: float = 1.0,
              out: str = "raw_output", partitions: int | None = None, strip: bool = True,
              asked_at: str | None = None) -> DataFrame:
@@ -39,25 +54,12 @@ def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3
     ] + ([T.StructField(asked_at, T.TimestampType())] if asked_at else []))
     names = [f.name for f in kept]
 
-    def ask(call: Model, system: str, user: str) -> tuple:
-        error = None
-        for attempt in range(1, max_tries + 1):
-            try:
-                answer = call(system, user)
-                text, used, made = answer if isinstance(answer, tuple) else (answer, None, None)
-                return text.strip() if strip else text, attempt, None, used, made
-            except Exception as raised:  # a model may fail in any way
-                error = f"{type(raised).__name__}: {raised}"
-                if attempt < max_tries:
-                    time.sleep(retry_delay)
-        return None, max_tries, error, None, None
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()
         for batch in batches:
             times, rows = [], []
             for system, user in zip(batch["system"], batch["user"]):
-                rows.append(ask(call, system, user))
+                rows.append(ask(call, system, user, max_tries, retry_delay, strip))
                 times.append(pd.Timestamp.now("UTC"))
             got = pd.DataFrame(rows, columns=[out, "tries", "error", "prompt_tokens", "completion_tokens"],
                                index=batch.index)

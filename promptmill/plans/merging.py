@@ -2,21 +2,28 @@
 
 The merge tree is known beforehand (``operators.rules.merge_tree``), so merges run level
 by level: one job merges a level of all runs at once. ``left_deep`` keeps the recorded
-order, where each fold needs the one before, so it takes as many levels as the longest run
-has folds. ``balanced`` merges neighbours and takes a logarithm of that.
+order, where each fold needs the one before, so a run is folded inside one task, some
+hundreds of steps a job. ``balanced`` merges neighbours and takes a logarithm of that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import replace
+from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from promptmill.functions import templates as tp
 from promptmill.operators import rules as ops
+from promptmill.operators.completion import REQUEST, Model, ask, call_usage
+from promptmill.operators.ordered import lookup
 from promptmill.operators.refine import in_order
-from promptmill.plans.steps import Models, Settings, merge
+from promptmill.plans.steps import OPTIMIZER, Models, Settings, merge
 from promptmill.workspace import fresh_folder, written
 
 _NODE = ["run_id", "tier", "seq"]
@@ -73,39 +80,105 @@ def _union(made: list[DataFrame], spark: SparkSession) -> DataFrame:
     return out
 
 
+#: What a folding task reads and leaves.
+_FOLDED = ("run_id long, step long, tier string, seq long, rule_text string, tries int, error string, "
+           "prompt_tokens long, completion_tokens long, asked_at timestamp")
+
+
+def folded(rows: DataFrame, model: Callable[[], Model], settings: Settings) -> DataFrame:
+    """Fold the texts of each run in order: (run_id, step, tier, seq, rule_text, ...) of every step.
+
+    ``rows`` has ``run_id, step, place, tier, seq, rule_text``. A step's texts, after what the step before made, become one.
+    A row of step 0 is what an earlier fold made. A run is one task's work, since each step needs the answer of the
+    one before; the task holds the texts of one step at a time.
+    """
+    template, tries, delay = settings.merge_template, settings.max_tries, settings.retry_delay
+    schema = to_arrow_schema(T.StructType.fromDDL(_FOLDED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call, at, texts, carry = None, None, [], None
+
+        def merged() -> list:
+            nonlocal call, carry
+            call = call or model()
+            block = "\n\n".join(f"Rule {i}:\n{t}" for i, t in enumerate(texts if carry is None else [carry, *texts], 1))
+            text, *rest = ask(call, template.replace(tp.RULES, block), tp.MERGE_MESSAGE, tries, delay, True)
+            carry = text or ""
+            return [*at, carry, *rest, datetime.now(timezone.utc)]
+
+        def out(made: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, m, strict=True)) for m in made], schema=schema)
+
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                here = (row["run_id"], row["step"], row["tier"], row["seq"])
+                if here != at:
+                    if texts:
+                        made.append(merged())
+                    if at is None or here[0] != at[0]:
+                        carry = None
+                    at, texts = here, []
+                if row["step"] == 0:
+                    carry = row["rule_text"]
+                else:
+                    texts.append(row["rule_text"])
+            if made:
+                yield out(made)
+        if texts:
+            yield out([merged()])
+
+    by_run = rows.repartition(*([settings.partitions] if settings.partitions else []), "run_id")
+    return by_run.sortWithinPartitions("run_id", "step", "place").select("run_id", "step", "tier", "seq", "rule_text").mapInArrow(run, _FOLDED)
+
+
+def _left(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was left whole in ``folder``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def merge_left_deep(merged: DataFrame, models: Models, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """The same tables as :func:`merge_balanced`, in the order rules would be folded one by one."""
-    size = settings.group_size
+    """The same tables as :func:`merge_balanced`, in the order rules would be folded one by one.
+
+    ``settings.fold_steps`` steps of every run are one job, which writes what it made; with ``settings.answers`` a
+    job started again goes on after the last of these.
+    """
+    spark, size, span = merged.sparkSession, settings.group_size, settings.fold_steps
     tree = written(ops.merge_tree(merged, size), "tree")
     full = F.col("n_rules") == size
     done = merged.select(
         "run_id", F.when(full, ops.TIER1).otherwise(ops.TAIL).alias("tier"),
         F.when(full, F.col("chunk") + 1).otherwise(1).alias("seq"), "rule_text")
-    folds = tree.where(F.col("tier") == ops.FOLD).agg(F.max("seq")).first()[0] or 0
-    # Texts of Tier-1 and the tail under the step they go into, written once and laid out by it; a step
-    # reads its own folder and the fold before it, so all steps together read every text once.
-    waiting = fresh_folder(merged.sparkSession, "fold-inputs")
-    (tree.where("parent_tier is not null").select(*_NODE, "parent_tier", "parent_seq", "parent_place").join(done, _NODE)
-     .withColumn("step", F.when(F.col("parent_tier") == ops.FOLD, F.col("parent_seq")).otherwise(0))
-     .select("run_id", "parent_place", "rule_text", "step").hint("rebalance", "step")
-     .write.partitionBy("step").parquet(waiting))
-    inputs = merged.sparkSession.read.schema("run_id long, parent_place long, rule_text string, step long").parquet(waiting)
-    up = tree.where(F.col("tier") == ops.FOLD).select("run_id", "seq", "parent_tier", "parent_seq", "parent_place")
-    last, made = None, []
-    for tier, seq in [(ops.FOLD, n) for n in range(1, folds + 1)] + [(ops.CONVERGENCE, 1)]:
-        parts = inputs.where(F.col("step") == (seq if tier == ops.FOLD else 0)).drop("step")
-        here = (F.col("parent_tier") == tier) & (F.col("parent_seq") == seq)
-        if last is not None:  # for the convergence each run brings its own last fold
-            parts = parts.unionByName(last.join(up.where(here).drop("parent_tier", "parent_seq"), ["run_id", "seq"])
-                                      .select("run_id", "parent_place", "rule_text"))
-        texts = merge(_block(parts, ["run_id"], "parent_place"), ["run_id"], models, replace(settings, level=seq if tier == ops.FOLD else folds + 1)).withColumn("seq", F.lit(seq).cast("long"))
-        made.append(texts.select("run_id", F.lit(tier).alias("tier"), "seq", "rule_text"))
-        if tier == ops.FOLD:
-            still = last.join(texts.select("run_id"), "run_id", "left_anti").unionByName(texts) if last is not None else texts
-            last = written(still, "last_fold")
-    for more in made:
-        done = done.unionByName(more)
-    done = written(done, "done")
+    folds = written(tree.where(F.col("tier") == ops.FOLD).groupBy("run_id").agg(F.max("seq").alias("folds")), "folds")
+    # Texts of Tier-1 and the tail under the step they go into; what is left is merged one step after the last fold.
+    # Written once and laid out by job, so that all jobs together read every text once.
+    waiting = fresh_folder(spark, "fold-inputs")
+    into = F.when(F.col("parent_tier") == ops.FOLD, F.col("parent_seq")).otherwise(F.coalesce("folds", F.lit(0)) + 1)
+    (lookup(tree.where("parent_tier is not null").join(done, _NODE), folds, ["run_id"])
+     .select("run_id", into.alias("step"), F.col("parent_place").alias("place"), F.col("parent_tier").alias("tier"),
+             F.col("parent_seq").alias("seq"), "rule_text", F.floor((into - 1) / span).alias("job"))
+     .hint("rebalance", "job").write.partitionBy("job").parquet(waiting))
+    inputs = spark.read.schema("run_id long, step long, place long, tier string, seq long, rule_text string, job long").parquet(waiting)
+    jobs = (folds.agg(F.max("folds")).first()[0] or 0) // span + 1
+    base, made = f"{settings.answers}/folds" if settings.answers else fresh_folder(spark, "folds"), None
+    for job in range(jobs):
+        folder = f"{base}/job={job}"
+        if not _left(spark, folder):
+            rows = inputs.where(F.col("job") == job).drop("job")
+            if made is not None:
+                carried = made.groupBy("run_id").agg(F.max_by("rule_text", "step").alias("rule_text")).select(
+                    "run_id", F.lit(0).cast("long").alias("step"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("tier"),
+                    F.lit(None).cast("long").alias("seq"), "rule_text")
+                rows = rows.unionByName(carried)
+            folded(rows, models.optimizer, settings).write.mode("overwrite").parquet(folder)
+        made = spark.read.schema(_FOLDED).parquet(folder)
+        if settings.usage_folder:
+            named = made.withColumn(REQUEST, F.sha2(F.to_json(F.struct("run_id", "tier", "seq"), {"ignoreNullFields": "false"}), 256))
+            call_usage(named, OPTIMIZER, settings.optimizer_name, "folds", settings.round, job).write.mode("overwrite").parquet(
+                f"{settings.usage_folder}/folds/round={settings.round}/level={job}")
+    steps = spark.read.schema(_FOLDED).parquet(*[f"{base}/job={job}" for job in range(jobs)])
+    done = written(done.unionByName(steps.select("run_id", "tier", "seq", "rule_text")), "done")
     final = tree.where(F.col("parent_tier").isNull()).select(*_NODE).join(done, _NODE).select("run_id", "rule_text")
     made = tree.where(F.col("tier").isin(ops.FOLD, ops.CONVERGENCE)).join(done, _NODE).select(
         "run_id", "tier", F.lit(0).alias("level"), "seq", "sample_idx", "n_inputs", "rule_text")

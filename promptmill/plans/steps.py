@@ -47,6 +47,8 @@ class Settings:
     merge_template: str = tp.MERGE_TEMPLATE
     generate_template: str = tp.GENERATE_TEMPLATE
     merge_order: str = "balanced"
+    #: Left-deep folds of a run that one job makes; what they made is kept after each job.
+    fold_steps: int = 200
     compat: bool = False
     #: Folder of token usage, one part a step, round and level, which a part played again overwrites; it belongs to one job.
     usage_folder: str | None = None

@@ -1,5 +1,6 @@
 """Whole jobs against the run played one call at a time."""
 
+import zlib
 from collections import defaultdict
 from dataclasses import replace
 from functools import reduce
@@ -146,6 +147,67 @@ def test_base_run_left_deep(items):
         assert final[run] == reduce(lambda a, b: _merged([a, b]), [t for _, _, t in held])
 
 
+def test_left_deep_folds_of_a_long_run(spark, tmp_path):
+    """10,000 rules of one run beside short ones: every fold as the tree has it, in a bounded number of jobs, gone on with after a kill."""
+    import os
+
+    from promptmill.operators import rules as ops
+    from promptmill.plans import merging
+    from promptmill.workspace import written
+    sizes = {0: 10_000, 1: 7, 2: 3, 3: 2, 4: 8}
+    chunks = []
+    for run, n in sizes.items():
+        for c in range(-(-n // 3)):
+            chunks.append((run, c, min(3, n - 3 * c), 3 * c + 2, f"t{run}-{c}"))
+    tier1 = written(spark.createDataFrame(chunks, "run_id long, chunk long, n_rules long, sample_idx long, rule_text string"), "tier1")
+    told = f"{tmp_path}/calls"
+
+    def optimizer():
+        def answer(system, user):
+            with open(told, "a", encoding="utf-8") as file:
+                file.write("x")
+            if os.path.exists(f"{told}-armed") and os.path.getsize(told) > 800:
+                raise SystemExit("killed")
+            inputs = system.split("Rule 1:\n")[1].split("\n\n")
+            return f"{zlib.crc32(system.encode())} of {sum(bool(t) for t in inputs)}"
+        return answer
+
+    settings = replace(SETTINGS, merge_order="left_deep", answers=f"{tmp_path}/store", fold_steps=500, merge_template="{rules_block}")
+    models = Models(None, lambda: optimizer())
+    open(f"{told}-armed", "w").close()
+    with pytest.raises(Exception):
+        merging.merge_all(tier1, models, settings)
+    os.remove(f"{told}-armed")
+    asked = os.path.getsize(told)
+    final, merges = merging.merge_all(tier1, models, settings)
+    again, folds = os.path.getsize(told) - asked, merges.count()
+    # The first job of 500 folds was kept; the one in hand is made again.
+    assert folds - 500 - 20 <= again <= folds - 500
+    want = {}
+    for run, n in sizes.items():
+        held, made, tail = [], [], []
+        for r, c, k, _, text in chunks:
+            if r == run:
+                (held if k == 3 else tail).append(text)
+        waiting = []
+        for text in held:
+            waiting.append(text)
+            while len(waiting) >= 3:
+                made.append(optimizer()("\n\n".join(f"Rule {i}:\n{t}" for i, t in enumerate(waiting[:3], 1)), ""))
+                waiting = [made[-1], *waiting[3:]]
+        waiting += tail
+        if len(waiting) > 1:
+            made.append(optimizer()("\n\n".join(f"Rule {i}:\n{t}" for i, t in enumerate(waiting, 1)), ""))
+            waiting = [made[-1]]
+        want[run] = (waiting[0], sorted(made))
+    got = defaultdict(list)
+    for r in merges.collect():
+        got[r.run_id].append(r.rule_text)
+    assert {r.run_id: (r.rule_text, sorted(got[r.run_id])) for r in final.collect()} == want
+    tree = ops.merge_tree(tier1, 3).where(F.col("tier").isin(ops.FOLD, ops.CONVERGENCE))
+    assert tree.count() == folds
+
+
 def test_iterative_run_is_exact_in_blocks(items):
     _, tier1, pools, _ = _hold(improvement.run_iterative(items, SEEDS, MODELS, PAIRS, block=20))
     # A full chunk's prompts are in force from the item after the one that filled it.
