@@ -11,7 +11,7 @@ from promptmill.operators.rules import tier1_chunks
 from promptmill.operators.usage import cost_report
 from promptmill.plans import improvement
 from promptmill.streaming.outputs import start_grading
-from promptmill.streaming.pools import start_improving
+from promptmill.streaming.pools import finish_improving, start_improving
 from promptmill.streaming.rules import all_chunks, start_chunks
 from promptmill.streaming.usage import current_cost, start_totals
 from checks import fixtures as fx
@@ -62,12 +62,32 @@ def test_totals(spark, small, tmp_path):
     _same(current_cost(spark, f"{tmp_path}/out", keys), cost_report(usage, keys))
 
 
+@pytest.fixture(scope="module")
+def few(spark, items):  # noqa: F811
+    """Some items of two runs, and the tables of their iterative run."""
+    some = items.where("run_id = 1 or run_id = 0 and item_id < 36")
+    return some, improvement.run_iterative(some, SEEDS, MODELS, PAIRS)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_pools_change_at_the_same_items_in_any_batches(spark, few, tmp_path, batches):
+    some, want = few
+    parts = [some.where(F.floor(F.col("item_id") * batches / 36) == i) for i in range(batches)]
+    base = f"{tmp_path}/out"
+    running = start_improving(_arriving(spark, parts, str(tmp_path)), SEEDS, MODELS, PAIRS, base, f"{tmp_path}/log")
+    running.awaitTermination()
+    got = finish_improving(spark, base, running.lastProgress["batchId"], MODELS, PAIRS)
+    for name in ("graded", "status", "tier1", "pools", "final_rule", "final_prompts"):
+        _same(getattr(got, name), getattr(want, name))
+    assert got.pools.select("run_id", "valid_from").distinct().count() > 4
+
+
 def test_pools_change_between_batches(spark, items, tmp_path):  # noqa: F811
     from promptmill.operators.ordered import with_ordinal
     numbered = with_ordinal(items, ["run_id"], "item_id")
     parts = [numbered.where(F.floor(F.col("ordinal") / 14) == i).drop("ordinal") for i in range(2)]
     base = f"{tmp_path}/out"
-    start_improving(_arriving(spark, parts, str(tmp_path)), SEEDS, MODELS, PAIRS, base, f"{tmp_path}/log") \
+    start_improving(_arriving(spark, parts, str(tmp_path)), SEEDS, MODELS, PAIRS, base, f"{tmp_path}/log", relaxed=True) \
         .awaitTermination()
     twin = improvement.run_iterative(items, SEEDS, MODELS, PAIRS, block=14, relaxed=True)
     got = improvement.finish_rounds(spark, base, 2, MODELS, PAIRS)
