@@ -176,7 +176,7 @@ def merge_left_deep(merged: DataFrame, models: Models, settings: Settings) -> tu
         if settings.usage_folder:
             named = made.withColumn(REQUEST, F.sha2(F.to_json(F.struct("run_id", "tier", "seq"), {"ignoreNullFields": "false"}), 256))
             call_usage(named, OPTIMIZER, settings.optimizer_name, "folds", settings.round, job).write.mode("overwrite").parquet(
-                f"{settings.usage_folder}/folds/round={settings.round}/level={job}")
+                f"{settings.usage_folder}/folds-{settings.round}-{job}")
     steps = spark.read.schema(_FOLDED).parquet(*[f"{base}/job={job}" for job in range(jobs)])
     done = written(done.unionByName(steps.select("run_id", "tier", "seq", "rule_text")), "done")
     final = tree.where(F.col("parent_tier").isNull()).select(*_NODE).join(done, _NODE).select("run_id", "rule_text")

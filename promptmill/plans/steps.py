@@ -67,7 +67,7 @@ class Settings:
 
         With ``answers``, what was answered before is not asked again; with ``usage_folder``, token usage goes there.
         """
-        part = f"{name}/round={self.round}/level={self.level}"
+        part = f"{name}-{self.round}-{self.level}"
         keys = [c for c in asked.columns if c not in ("system", "user")]
         how = {"max_tries": self.max_tries, "retry_delay": self.retry_delay, "out": out, "partitions": self.partitions, "strip": strip}
         if self.answers:
