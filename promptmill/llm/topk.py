@@ -1,10 +1,11 @@
 """Exact top-k search by inner product: no-random-access aggregation over sorted lists.
 
-Vectors stand in blocks. In a block every dimension is a list sorted by value, read from the top for
-a positive query component and from the bottom for a negative one. Reading all lists in step, each
-vector seen has a lower bound (what was read plus the least that the rest can give) and an upper bound
-(plus what the lists can still give). Vectors whose upper bound does not reach the k-th lower bound are out;
-reading stops when few are left, and these get their exact scores. The blocks' winners meet per query.
+Vectors stand in blocks. In a block every dimension is a list of (value, vector) sorted by value, read from the top
+for a positive query component and from the bottom for a negative one, in rising steps. Each vector has a lower bound
+(what was read of it plus the least that its other lists can give) and an upper bound (what was read plus what these lists
+can still give); one that was never read has the bound of the place reached. Vectors whose upper bound is below the
+k-th lower bound are out. Reading stops when no more than k are left, and these get their scores. The blocks'
+winners meet per query. Bounds are whole numbers, so nothing is out by rounding.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Vectors of a block, queries that meet it at a time, steps a list is read in (bounds are first drawn at three
-#: quarters of its length). Reading stops once one in ``RESOLVE`` of a block can still qualify: these get their exact scores.
-BLOCK, QUERIES, STEPS, RESOLVE = 4096, 2048, 8, 8
+#: Vectors of a block, and queries that meet it at a time.
+BLOCK, QUERIES = 4096, 2048
+#: Entries of each list that are read first; from then on half as many again as were read before.
+FIRST_STEP = 16
 
 
 def scaled(column: str, scale: int = 1024) -> Column:
@@ -34,39 +36,43 @@ def usable(column: str) -> Column:
 
 
 class Lists:
-    """A block's vectors with the values of each dimension sorted upwards."""
+    """A block's vectors with a list of (value, vector) for each dimension, sorted upwards by value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.values = self.vectors.astype(np.float32)
-        self.sorted = np.sort(self.values, axis=0)
-        self.given, self.held = np.empty_like(self.values), np.empty_like(self.values)
+        self.order = np.argsort(self.vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.vectors, self.order, axis=0)
+        self.entries_read = 0  # of all lists, by all queries so far
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best but ``own``, ties to the smaller id."""
-        n = len(self.ids)
-        weight = query.astype(np.float32)
+        n, dims = len(self.ids), np.flatnonzero(query)
+        weight, lists = query[dims], np.arange(len(dims))
         falls = weight > 0
-        least = weight * np.where(falls, self.sorted[0], self.sorted[-1])
-        ones = np.ones(len(weight), np.float32)
-        active = np.arange(n)
-        given, held = np.multiply(self.values, weight, out=self.given), self.held
-        other = self.ids != own
-        # Bounds are sums of single floats: what they may be off by, and more.
-        slack = 1e-5 * float(np.abs(weight) @ np.abs(self.sorted[[0, -1]]).max(0)) + 1
-        for depth in range(n * 3 // 4, n, max(1, n // STEPS)):
-            if len(active) <= max(k, n // RESOLVE):
-                break
-            # All lists are read to this depth: an entry has been read if it gives at least what the list gives there.
-            frontier = weight * np.where(falls, self.sorted[n - 1 - depth], self.sorted[depth])
-            upper = np.maximum(given, frontier, out=held[:len(given)]) @ ones
-            lower = upper - (given < frontier).astype(np.float32) @ (frontier - least)
-            rank = lower[other[active]]
-            if len(rank) > k:
-                stay = upper >= np.partition(rank, len(rank) - k)[len(rank) - k] - slack
-                active, given = active[stay], given[stay]
-        active = active[other[active]]
+        active = np.flatnonzero(self.ids != own)
+        # Sums of doubles are exact below 2^53; larger scores are added up as longs.
+        widest = float(np.abs(weight).astype(float) @ np.abs(self.sorted[[0, -1]][:, dims]).max(0)) if len(dims) else 0.0
+        number = np.float64 if widest < 2**51 else np.int64
+        least = weight * np.where(falls, self.sorted[0, dims], self.sorted[-1, dims])
+        lower, seen = np.full(n, least.sum(), number), np.zeros((n, len(dims)), bool)
+        depth, step = 0, max(k, FIRST_STEP)
+        while len(active) > k and depth < n and len(dims):
+            to = min(n, depth + step)
+            at = np.arange(depth, to)[:, None]
+            place = np.where(falls, n - 1 - at, at)
+            row, gain = self.order[place, dims], self.sorted[place, dims] * weight - least
+            if number is np.float64:
+                lower += np.bincount(row.ravel(), gain.ravel(), n)
+            else:
+                np.add.at(lower, row.ravel(), gain.ravel())
+            seen[row, lists] = True
+            self.entries_read += row.size
+            rest = gain[-1].astype(number)  # at most this much comes from a list where a vector has not been read
+            bound = lower[active]
+            upper = bound + rest.sum() - seen[active].astype(number) @ rest
+            active = active[upper >= np.partition(bound, len(bound) - k)[len(bound) - k]]
+            depth, step = to, max(step, to // 2)
         score = self.vectors[active] @ query
         first = np.lexsort((self.ids[active], -score))[:k]
         return self.ids[active][first], score[first]
@@ -79,7 +85,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "
     ``queries`` picks the rows that ask; every usable row with another id answers, ties to the smaller
     id. Vectors that are null, empty, or hold a null or non-finite component take no part; vectors of different
     lengths do not meet; rows without an id take no part; a row repeated with the same vector
-    counts once. Scores must fit a long. Other columns are never read.
+    counts once. Two vectors of one id both ask and both answer others, but not each other. Scores must fit a long;
+    vectors may be of any length. Other columns are never read.
     """
     rows = (vectors.where(usable(vector_column) & F.col(id_column).isNotNull())
             .select(F.col(id_column).cast("long").alias("id"), scaled(vector_column).alias("v"), queries.alias("asks")).distinct())
@@ -110,8 +117,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "
                 if not ids:
                     continue
                 if lists is None:
-                    lists = Lists(np.array(ids), np.array(held))
-                found, score = lists.best(np.array(v), id_, k)
+                    lists = Lists(np.array(ids, np.int64), np.array(held, np.int64))
+                found, score = lists.best(np.array(v, np.int64), id_, k)
                 out += [(id_, a, b) for a, b in zip(found.tolist(), score.tolist(), strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)

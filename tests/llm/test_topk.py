@@ -41,12 +41,37 @@ def test_empty_table(spark):
     assert nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 5 == 0).count() == 0
 
 
-def test_reading_stops_early_and_is_exact():
-    rng = np.random.default_rng(1)
-    vectors = rng.integers(-1000, 1000, (500, 8))
+def best(lists, vectors, q, own, k=10):
+    ids, scores = lists.best(q, own, k)
+    want = sorted((-sum(int(a) * int(b) for a, b in zip(v, q)), i) for i, v in enumerate(vectors) if i != own)[:k]
+    assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == want
+
+
+def test_exact_with_zero_and_negative_components():
+    vectors = np.random.default_rng(1).integers(-1000, 1000, (500, 8))
     vectors[7] = 5000
     lists = Lists(np.arange(500), vectors)
     for q in (np.array([1, 0, 0, 0, 0, 0, 0, 0]), np.array([3, -2, 5, 0, 1, 1, -9, 4]), np.zeros(8, int)):
-        ids, scores = lists.best(q, 3, 10)
-        all_ = sorted((-int(s), i) for i, s in enumerate(vectors @ q) if i != 3)[:10]
-        assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == all_
+        best(lists, vectors, q, 3)
+
+
+def test_reading_stops_early_where_the_data_allow():
+    """A few vectors are large throughout: a small part of the lists settles them."""
+    rng = np.random.default_rng(2)
+    vectors = (rng.pareto(1.2, (4000, 1)) * rng.uniform(200, 260, (4000, 16))).astype(np.int64)
+    lists = Lists(np.arange(4000), vectors)
+    for own in range(10):
+        best(lists, vectors, rng.integers(1, 50, 16), own)
+    assert lists.entries_read < 0.05 * 10 * vectors.size
+
+
+@pytest.mark.parametrize("size", [1000, 2**26])
+def test_many_dimensions_large_values_and_near_ties(size):
+    """1,024 dimensions, sums within and beyond what doubles hold, rows one apart in a single component."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-size, size, (120, 1024))
+    vectors[60:] = vectors[5]
+    vectors[60:90, 17] += np.arange(30) % 3 - 1
+    lists = Lists(np.arange(120), vectors)
+    for own in (0, 5, 70):
+        best(lists, vectors, vectors[own], own)
