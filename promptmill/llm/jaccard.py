@@ -89,11 +89,11 @@ def band_names(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, n, values, bands) of every (doc_id, text, row); node and what follows null without words."""
+    """(doc_id, text_key, row, node, n, values, bands) of every (doc_id, text, row, text_key); node and what follows null without words."""
     names = word_names()
 
     def piece(columns):
-        ids, texts, rows = columns
+        ids, texts, rows, keys = columns
         _, flat, at = named(names, texts)
         sets = gram_sets(flat, at)
         full = [k for k, s in enumerate(sets) if len(s)]
@@ -101,9 +101,9 @@ def sketches(docs: DataFrame) -> DataFrame:
         values, bands = [None] * len(sets), [None] * len(sets)
         for k, own, band in zip(full, least.astype(np.uint16), band_names(least), strict=True):
             values[k], bands[k] = own.tobytes(), band
-        return ids, rows, node_names(sets), [len(s) for s in sets], values, bands
+        return ids, keys, rows, node_names(sets), [len(s) for s in sets], values, bands
 
-    return mapped(docs, piece, "doc_id long, row binary, node binary, n int, values binary, bands array<long>")
+    return mapped(docs, piece, "doc_id long, text_key binary, row binary, node binary, n int, values binary, bands array<long>")
 
 
 def required(threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -242,12 +242,16 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     and is null for a text without n-grams.
     """
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"),
-                        (F.lit(None).cast("binary") if row is None else row).alias("row"))
+                        (F.lit(None).cast("binary") if row is None else row).alias("row")).withColumn(
+        "text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     sketch = written(sketches(plain), "sketches")
     nodes = written(
         sketch.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"),
-            F.first("values").alias("values"), F.first("bands").alias("bands")), "nodes")
+            # The text that stands for a node: one of its least id (null only if all are), known by its md5 beside the id.
+            F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("stands"),
+            F.count("*").alias("copies"), F.first("n").alias("n"), F.first("values").alias("values"),
+            F.first("bands").alias("bands")).select(
+            "node", F.col("stands.doc_id").alias("least_id"), "stands.text_key", "copies", "n", "values", "bands"), "nodes")
 
     # Buckets of the same nodes are one.
     banded = nodes.select("node", F.explode("bands").alias("band"))
@@ -271,19 +275,19 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     sizes = groups.join(nodes.select("node", "n"), "node").groupBy("component").agg(
         F.count("*").alias("m"), F.sum("n").alias("grams"))
-    wanted = (groups.join(sizes, "component").join(nodes.select("node", "least_id", "copies"), "node"))
+    wanted = (groups.join(sizes, "component").join(nodes.select("node", "least_id", "text_key", "copies"), "node"))
     names = word_names()
 
     def grams(columns):
         node, text, *rest = columns
         _, flat, at = named(names, text)
         sets = gram_sets(flat, at)
-        # An id may stand on several texts: only that of the node counts.
-        right = [k for k, name in enumerate(node_names(sets)) if name == node[k]]
+        # Of a row that is repeated once is enough.
+        right = list({name: k for k, name in enumerate(node)}.values())
         return [[node[k] for k in right], [sets[k].tobytes() for k in right]] + [[c[k] for k in right] for c in rest]
 
     held = mapped(
-        wanted.join(plain, F.col("least_id").eqNullSafe(F.col("doc_id"))).select("node", "text", "component", "m", "grams", "copies"),
+        wanted.join(plain, (wanted.text_key == plain.text_key) & F.col("least_id").eqNullSafe(F.col("doc_id"))).select("node", "text", "component", "m", "grams", "copies"),
         grams, "node binary, grams binary, component binary, m long, total long, copies long")
 
     def verify(key, columns):

@@ -90,3 +90,15 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 102, 103: 102}
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    """A third of ids null and a third equal, each on texts of their own; rows in a thousand copies."""
+    def text(i):
+        return " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(i) + tail) for i in range(300) for tail in ("", " end")]
+    rows += [(None, text(5000))] * 1000 + [(9000, text(5000) + " end")]
+    got = similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.n_links for r in got) == sorted([1] * 600 + [1000] * 1001)
+    assert {r.class_id for r in got if r.n_links == 1000} == {9000}
