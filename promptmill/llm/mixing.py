@@ -3,12 +3,12 @@
 Documents are pre-aggregated to cells (source, language, topic) with their tokens. Sweeps rake the
 cells' weights to the target of each marginal in turn, never above the tokens a cell has, so that a
 document's probability is its cell's weight over its tokens. Sampling compares that probability with a
-number drawn from the document's id, so a lost task draws the same again.
+number drawn from the document's id and text, so a lost task draws the same again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptmill.llm.common import mapped
@@ -23,7 +23,9 @@ TOPIC_LETTERS = 4
 
 def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
               source_column: str = "source", lang_column: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, lang, tokens, topic, *keep) of every whole text.
+    """(doc_id, source, lang, tokens, topic, draw, *keep) of every whole text.
+
+    ``draw`` is a number in [0, 1) from id and text, the same on every run.
 
     Tokens are runs of anything but ASCII white space. The topic is a bucket of the most frequent
     word of ``TOPIC_LETTERS`` bytes or more (ties to the least in byte order), lowered in A-Z; none has topic -1.
@@ -34,20 +36,22 @@ def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     def piece(columns):
         ids, sources, langs, texts, *others = columns
-        tokens, topics = [], []
-        for text in texts:
+        tokens, topics, draws = [], [], []
+        for id_, text in zip(ids, texts, strict=True):
+            drawn = hashlib.md5(f"mix|{'' if id_ is None else id_}|".encode() + (text or b"")).hexdigest()[:8]
+            draws.append(int(drawn, 16) / (1 << 32))
             words = text.lower().split() if text else []
             tokens.append(len(words))
             counts = Counter(w for w in words if len(w) >= TOPIC_LETTERS)
             most = max(counts.values(), default=0)
             word = min((w for w, n in counts.items() if n == most), default=None)
             topics.append(int(hashlib.md5(word).hexdigest()[:4], 16) % TOPICS if word else -1)
-        return ids, sources, langs, tokens, topics, *others
+        return ids, sources, langs, tokens, topics, draws, *others
 
     carried = [f"_c{k}" for k in range(len(keep))]
     rows = docs.select(F.col(id_column).cast("long"), F.coalesce(F.col(source_column), F.lit("")), F.coalesce(F.col(lang_column), F.lit("")),
                        F.col(text_column), *(F.col(c).alias(a) for c, a in zip(keep, carried, strict=True)))
-    out = mapped(rows, piece, ", ".join(["doc_id long, source string, lang string, tokens long, topic int", *(f"{c} string" for c in carried)]), weigh=3)
+    out = mapped(rows, piece, ", ".join(["doc_id long, source string, lang string, tokens long, topic int, draw double", *(f"{c} string" for c in carried)]), weigh=3)
     return out.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 
@@ -59,16 +63,14 @@ def raked(cells: DataFrame, marginals: tuple[str, ...] = MARGINALS, fraction: fl
     ``temper``. A value whose cells are all drawn whole stays below its target; sweeps end at the fitted weights
     of the others. Every table here has one row per cell, not per document.
     """
-    drawn = fraction * F.sum("tokens").over(Window.partitionBy())
-    now = cells.withColumn("weight", F.col("tokens").cast("double") * fraction).withColumn("drawn", drawn)
+    drawn = fraction * (cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0)
+    now = cells.withColumn("weight", F.col("tokens").cast("double") * fraction)
     for m in marginals:
+        # One number a marginal: the sum of its tempered values, in decimals, which add up alike in any order.
+        tempered = F.pow(F.sum("tokens").cast("double"), F.lit(temper)).cast("decimal(28,10)")
+        total = cells.groupBy(m).agg(tempered.alias("n")).agg(F.sum("n").cast("double")).first()[0] or 1.0
         natural = F.sum("tokens").over(Window.partitionBy(m))
-        now = now.withColumn(f"_n_{m}", F.pow(natural.cast("double"), F.lit(temper)))
-        # One row of a value stands for it in the sum over values.
-        first = F.row_number().over(Window.partitionBy(m).orderBy(*(x for x in marginals if x != m))) == 1
-        now = now.withColumn("_first", first)
-        total = F.sum(F.when(F.col("_first"), F.col(f"_n_{m}"))).over(Window.partitionBy())
-        now = now.withColumn(f"_target_{m}", F.col("drawn") * F.col(f"_n_{m}") / total).drop("_first", f"_n_{m}")
+        now = now.withColumn(f"_target_{m}", drawn * F.pow(natural.cast("double"), F.lit(temper)) / total)
     now = written(now, "targets")
     for sweep in range(sweeps):
         for m in marginals:
@@ -79,21 +81,15 @@ def raked(cells: DataFrame, marginals: tuple[str, ...] = MARGINALS, fraction: fl
     return now.select(*marginals, "tokens", "weight")
 
 
-def drawn_number(column: str = "doc_id") -> Column:
-    """A number in [0, 1) from an id, the same on every run."""
-    text = F.concat(F.lit("mix|"), F.coalesce(F.col(column).cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-
-
 def sampled(docs: DataFrame, keep: tuple[str, ...] = (), fraction: float = FRACTION) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, taken, *keep) of every document.
 
-    Documents without tokens have probability 0. Equal ids draw the same number; null ids draw as the
-    empty text. An empty table gives an empty one. The cells, at most one row per combination that
+    Documents without tokens have probability 0. Rows of equal id and text draw the same number, so
+    repeated rows are taken or left together; null ids count as the empty text, and their rows draw by their texts. An empty table gives an empty one. The cells, at most one row per combination that
     occurs, are joined back; hot cells are no hot groups, since only sums of them are shuffled.
     """
     told = written(described(docs, keep=keep), "described")
     cells = written(told.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = raked(cells, fraction=fraction).select(*MARGINALS, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("probability"))
-    return (told.join(weights, [*MARGINALS]).withColumn("taken", drawn_number() < F.col("probability"))
+    return (told.join(weights, [*MARGINALS]).withColumn("taken", F.col("draw") < F.col("probability"))
             .select("doc_id", "source", "lang", "topic", "tokens", "probability", "taken", *keep))

@@ -109,19 +109,20 @@ def _mixing_sql() -> str:
   then least(tokens, w * t_{m} / sum(w) over (partition by {m})) else 0 end as w from {last})""")
             last = step
     return f"""
-with a as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, {_WORDS} as w from documents),
+with a as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, {_WORDS} as w,
+  ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')), 1, 8))::bigint / 4294967296.0 as draw from documents),
 k as (select doc_id, x, count(*) as n from (select doc_id, unnest(list_transform(w,
     lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as x from a)
   where octet_length(encode(x)) >= {TOPIC_LETTERS} group by all),
 p as (select doc_id, first(x order by n desc, encode(x)) as x from k group by doc_id),
-b as (select doc_id, source, lang, len(w)::bigint as tokens,
+b as (select doc_id, source, lang, draw, len(w)::bigint as tokens,
   case when x is null then -1 else ('0x' || substr(md5(x), 1, 4))::int % {TOPICS} end as topic from a left join p using (doc_id)),
 c as (select source, lang, topic, sum(tokens)::double as tokens from b group by all),
 t as materialized (select *, {FRACTION} * tokens as w, {targets} from (select *, {FRACTION} * sum(tokens) over () as d from c)),
 {", ".join(steps)},
 r as (select b.*, coalesce(w / nullif(c.tokens, 0), 0) as pr from b join {last} c using (source, lang, topic))
 select doc_id, source, lang, topic::int as topic, tokens, round(pr, 7) as probability,
-  ('0x' || substr(md5('mix|' || doc_id), 1, 8))::bigint / 4294967296.0 < pr as taken from r"""
+  draw < pr as taken from r"""
 
 
 def _licenses_sql() -> str:

@@ -46,3 +46,11 @@ def test_topics_follow_the_most_frequent_word(spark):
     docs = spark.createDataFrame([(1, "Tree tree house", "s", "l", None, None), (2, "TREE a b c", "s", "l", None, None), (3, "a b c", "s", "l", None, None)], SCHEMA)
     topic = {r.doc_id: r.topic for r in described(docs).collect()}
     assert topic[1] == topic[2] >= 0 and topic[3] == -1
+
+
+def test_rows_without_id_draw_by_their_texts(spark):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"word{i} and more of it", f"s{i % 2}", "en", None, None) for i in range(1500)], SCHEMA)
+    got = sampled(docs).collect()
+    for none in (True, False):
+        some = [r for r in got if (r.doc_id is None) == none]
+        assert sum(r.taken * r.tokens for r in some) == pytest.approx(sum(r.probability * r.tokens for r in some), rel=0.12)
