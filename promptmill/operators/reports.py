@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptmill.functions import text as tx
-from promptmill.functions.names import run_parts
+from promptmill.functions.names import TIME, run_parts
 from promptmill.operators.ordered import lookup
 
 # Fixed value: the line between report blocks.
@@ -70,6 +70,41 @@ def with_training_run(evaluated: DataFrame, runs: DataFrame) -> DataFrame:
     return evaluated.join(runs.drop(*pieces), "started")
 
 
+#: Pieces of a name that both sides must share for :func:`with_nearest_run`.
+AGREE = ("target_model", "optimizer_model", "limit", "mode")
+
+
+def with_nearest_run(evaluated: DataFrame, runs: DataFrame, key: str, tolerance: int = 5,
+                     agree: tuple[str, ...] = AGREE) -> DataFrame:
+    """Held-out results with the run that started nearest to the time in their names, ``tolerance`` seconds away at most.
+
+    Both sides have the pieces of their names; those of ``agree`` must be the same (null meets null). A dataset or
+    subset label that one side lacks, as older names do, agrees with any; where both have one it must be the same. Of
+    runs equally far the earlier counts, then the least in the order of its other columns. ``key`` tells the rows of ``evaluated``
+    apart; rows without a run stay out. Times are dealt into slots of the tolerance, and a run stands in its own and
+    both beside it, so the join is by equality and its work follows the runs that are close in time.
+    """
+    def seconds(column: str):
+        return F.unix_timestamp(F.try_to_timestamp(column, F.lit(TIME)))
+    width = max(tolerance, 1)
+    own = [c for c in runs.columns if c not in evaluated.columns]
+    left = evaluated.withColumn("_at", seconds("started")).withColumn("_slot", F.floor(F.col("_at") / width))
+    right = runs.select(
+        F.struct(seconds("started").alias("at"), *(F.col(c) for c in own)).alias("_run"), *(F.col(c).alias(f"_r_{c}") for c in {*agree, "dataset", "subset_label"}))
+    right = right.withColumn("_near", F.explode(F.sequence(
+        F.floor(F.col("_run.at") / width) - 1, F.floor(F.col("_run.at") / width) + 1)))
+    same = F.col("_slot") == F.col("_near")
+    for c in agree:
+        same &= F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    for c in ("dataset", "subset_label"):
+        same &= F.coalesce(F.col(c) == F.col(f"_r_{c}"), F.lit(True))
+    away = F.abs(F.col("_at") - F.col("_run.at"))
+    # Only the key and the run are grouped; the result itself comes back by its key.
+    found = (left.select(key, "_at", "_slot", *{*agree, "dataset", "subset_label"}).join(right, same).where(away <= tolerance)
+             .groupBy(key).agg(F.min(F.struct(away.alias("away"), "_run")).alias("_best")))
+    return lookup(evaluated, found.select(key, *(F.col(f"_best._run.{c}").alias(c) for c in own), F.col("_best.away").alias("seconds_away")), [key], "inner")
+
+
 def run_scores(accuracy: DataFrame, run: str = "run_id") -> DataFrame:
     return accuracy.groupBy(run).agg(
         F.avg("accuracy").alias("mean_accuracy"), F.max("accuracy").alias("best_accuracy"),

@@ -6,6 +6,8 @@ pools, cost and final results are kept whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,25 +94,32 @@ def write_run(run: Run, items: DataFrame, folder: str, usage: DataFrame | None =
     """Write all files below ``folder``, replacing those of the runs of ``items`` only, whatever they left before.
 
     ``usage`` has the token usage of the runs' calls and ``models`` the model name per role. Detail is
-    kept for the first and last ``detail_size`` items of a run, or for all of them.
+    kept for the first and last ``detail_size`` items of a run, or for all of them. A reader may meet a run half
+    written; :func:`promptmill.plans.publish.publish_run` shows readers whole runs only.
     """
     for table in TABLES:
         if table != "cost_report" or usage is not None:
             results.clear_runs(f"{folder}/{table}", items)
+    write_tables(run, items, lambda table: f"{folder}/{table}", usage, models, detail_size)
+
+
+def write_tables(run: Run, items: DataFrame, place: Callable[[str], str], usage: DataFrame | None = None,
+                 models: dict[str, str] | None = None, detail_size: int | None = 10) -> None:
+    """Write every table of ``TABLES`` to the folder that ``place`` gives it; the cost only with ``usage``."""
     detailed = detailed_items(items, detail_size)
-    results.write_json(detail_rows(run, items, detailed), f"{folder}/detailed_results", restart=True)
-    results.write_json(trace_rows(run, detailed), f"{folder}/refinement_trace", restart=True)
-    results.write_json(pl.history_rows(run.pools), f"{folder}/prompt_history", restart=True)
-    results.write_json(evolution_rows(run), f"{folder}/rule_evolution", restart=True)
-    results.write_rule_log(rule_log_rows(run, detailed), f"{folder}/rules_history")
+    results.write_json(detail_rows(run, items, detailed), place("detailed_results"), restart=True)
+    results.write_json(trace_rows(run, detailed), place("refinement_trace"), restart=True)
+    results.write_json(pl.history_rows(run.pools), place("prompt_history"), restart=True)
+    results.write_json(evolution_rows(run), place("rule_evolution"), restart=True)
+    results.write_rule_log(rule_log_rows(run, detailed), place("rules_history"))
     status = run.status.withColumnRenamed("item_id", "id")
     results.write_csv(status.select("id", "source", "status", "initial_wrong", "verified_success", "note", "run_id"),
-                      f"{folder}/optimization_status", restart=True)
-    results.write_prompts(run.final_prompts, f"{folder}/optimized_prompts")
-    results.write_final_rules(run.final_rule, f"{folder}/final_rule")
+                      place("optimization_status"), restart=True)
+    results.write_prompts(run.final_prompts, place("optimized_prompts"))
+    results.write_final_rules(run.final_rule, place("final_rule"))
     if usage is not None:
         name = F.lit(None).cast("string")
         for role, model in (models or {}).items():
             name = F.when(F.col("role") == role, model).otherwise(name)
         report = cost_report(usage, ["run_id", "role"]).withColumns({"model": name, "ended": F.current_timestamp()})
-        results.write_csv(results.cost_rows(report), f"{folder}/cost_report", restart=True)
+        results.write_csv(results.cost_rows(report), place("cost_report"), restart=True)

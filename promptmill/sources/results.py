@@ -51,7 +51,7 @@ def write_json(df: DataFrame, path: str, restart: bool = False) -> None:
     _writer(df, restart).json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     return spark.read.schema(_with_run(schema)).json(path)
 
 

@@ -53,6 +53,44 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``; none if there is no such path."""
+    place, store = _place(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place) if f.isDirectory()] if store.exists(place) else []
+
+
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Those that a Spark write has finished."""
+    _, store = _place(spark, path)
+    return [name for name in folders(spark, path) if store.exists(_place(spark, f"{path}/{name}/_SUCCESS")[0])]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+def claimed(spark: SparkSession, staged: str, path: str) -> bool:
+    """Give the folder ``staged`` the name ``path`` in one step; false if somebody else has that name.
+
+    A rename onto a folder that is there moves it inside, so ``staged`` needs a name that readers pass over (``_...``).
+    """
+    place, store = _place(spark, path)
+    store.mkdirs(place.getParent())
+    if store.exists(place) or not store.rename(_place(spark, staged)[0], place):
+        return False
+    inside = _place(spark, f"{path}/{staged.rpartition('/')[2]}")[0]
+    if store.exists(inside):
+        store.delete(inside, True)
+        return False
+    return True
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows by ``keys`` when their files give fewer tasks than the session has cores.
 
