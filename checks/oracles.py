@@ -436,6 +436,14 @@ _BODIES = {
         arg_max(prompt, accuracy * 1000 - prompt_pos / 1000) as best_prompt
       from (select *, correct / total as accuracy from fx_loose_accuracy) a join fx_names n on a.run_id = n.run_id
       group by n.run_id, path""",
+    "matched_runs": """select n.run_id, left(path, length(path) - 6) || '16' || lpad(cast(n.run_id // 2 as varchar), 2, '0') || '14' as run_path,
+        avg(correct / total) as mean_accuracy, max(correct / total) as best_accuracy, cast(3 as bigint) as seconds_away
+      from fx_loose_accuracy a join fx_names n on a.run_id = n.run_id group by n.run_id, path""",
+    "stored_runs": """select substring(path, 6) as run_name, cast(no as int) as prompt_no, s.prompt, case when correct is not null then 'validation' end
+        as split, correct, total
+      from (select *, row_number() over (partition by run_id order by prompt_pos) as no from fx_names cross join fx_prompts
+        where length(prompt) > 30 + 15 * run_id) s
+      left join fx_loose_accuracy a on a.run_id = s.run_id and a.prompt_pos = s.prompt_pos and s.run_id % 2 = 0""",
     "failure_cases": "select * from fx_failures",
     "rewrite_requests": f"""select run_id, item_id, n_wrong, {_filled(REWRITES, num='cast(n_wrong as varchar)')} as system,
         '[TASK CONTEXT]' || {_NL} || 'Question: ' || question || {_NL} || 'Ground Truth: ' || answer || {_NL} || {_NL}
@@ -573,7 +581,8 @@ def oracles() -> dict[str, str]:
     out = {name: _with(body) for name, body in _BODIES.items()}
     # A stream gives what its batch twin gives.
     for stream, twin in (("stream_graded_outputs", "graded_rows"), ("stream_tier1_chunks", "tier1_chunks"),
-                         ("stream_usage_cost", "cost_report"), ("run_files", "improvement_status")):
+                         ("stream_usage_cost", "cost_report"), ("run_files", "improvement_status"),
+                         ("published_runs", "improvement_status")):
         out[stream] = out[twin] if twin in out else _with(
             "select run_id, item_id, prompt_pos, raw_output, outcome from fx_graded")
     out["merge_tree"] = _with(_TREE, _STEPS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -24,9 +24,10 @@ from promptmill.operators import rules as rl
 from promptmill.operators import usage as us
 from promptmill.operators.completion import complete, complete_once
 from promptmill.operators.ordered import lookup
-from promptmill.plans import improvement, merging, steps
+from promptmill.plans import improvement, merging, publish, steps
 from promptmill.plans.files import write_run
 from promptmill.sources import results
+from promptmill.sources import runs as st
 from promptmill.streaming.outputs import start_grading
 from promptmill.streaming.pools import start_improving
 from promptmill.streaming.rules import all_chunks, start_chunks
@@ -282,6 +283,41 @@ def evaluated_runs(spark, sf_dir):
     return rp.with_training_run(evaluated, runs).select("run_id", "run_path", "mean_accuracy", "best_accuracy", "best_prompt")
 
 
+@query
+def matched_runs(spark, sf_dir):
+    """The same where runs share a second and reports, named in the older way, tell a time 3 seconds later."""
+    def at(second):
+        return F.format_string(f"16%02d{second}", F.floor(F.col("run_id") / 2))
+    named = _run_names(spark, sf_dir)
+    runs = named.select(F.concat(F.regexp_replace("path", r"\d{6}$", ""), at(14)).alias("run_path"))
+    runs = runs.select("run_path", *names.run_parts(F.col("run_path")))
+    parts = named.select("run_id", *names.run_parts(F.col("path")))
+    old = parts.select("run_id", F.concat(
+        F.lit("eval/small-7b-x_large-32b-x_Limit"), F.col("limit").cast("string"), F.when(F.col("mode") == "Iter", "_IterOn_5_").otherwise("_IterOff_"),
+        F.lit("20251213-"), at(17), F.lit("_validation_eval.txt")).alias("path"))
+    scores = rp.run_scores(oc.prompt_accuracy(_graded(spark, sf_dir, "loose")))
+    evaluated = lookup(scores, old, ["run_id"], "inner").select("*", *names.run_parts(F.col("path")))
+    return rp.with_nearest_run(evaluated, runs, "run_id").select("run_id", "run_path", "mean_accuracy", "best_accuracy", "seconds_away")
+
+
+@query
+def stored_runs(spark, sf_dir):
+    """Prompts found in stored run folders, with their results from the reports on runs of even number."""
+    folder = fresh_folder(spark, "stored-runs")
+    paths = _run_names(spark, sf_dir).withColumn("name", F.replace("path", F.lit("runs/"), F.lit("")))
+    within = Window.partitionBy("run_id").orderBy("prompt_pos")  # a pool is a few rows a run
+    saved = written(_saved_prompts(paths).withColumn("no", F.row_number().over(within)), "saved")
+    lines = saved.groupBy("name").agg(F.expr(r"listagg(prompt, '\n') within group (order by no)").alias("value"))
+    (paths.join(lines, "name", "left").select(F.col("name").alias("run"), F.lit("optimized_prompts").alias("file"), F.coalesce("value", F.lit("")).alias("value"))
+     .write.partitionBy("run", "file").text(f"{folder}/runs"))
+    told = oc.prompt_accuracy(_graded(spark, sf_dir, "loose")).where("run_id % 2 = 0").join(saved.select("run_id", "prompt_pos", "no", "name"), ["run_id", "prompt_pos"])
+    headers = told.select("name").distinct().selectExpr("name", "'m' as model", "'validation' as split", "'all' as subjects")
+    blocks = rp.report_blocks(told.withColumn("prompt_pos", F.col("no") - 1), headers, "name")
+    (blocks.groupBy(F.concat("name", F.lit("_validation_eval")).alias("report")).agg(F.expr("listagg(text, '') within group (order by block)").alias("value"))
+     .write.partitionBy("report").text(f"{folder}/reports"))
+    return st.evaluated_prompts(spark, f"{folder}/runs", f"{folder}/reports").withColumn("prompt_no", F.col("prompt_no").cast("int"))
+
+
 @query
 def run_comparison(spark, sf_dir):
     scores = rp.run_scores(oc.prompt_accuracy(_graded(spark, sf_dir)))
@@ -675,3 +711,15 @@ def run_files(spark, sf_dir):
     done = improvement.run_base(items, rq.SEED_PROMPTS, MODELS, settings)
     write_run(done, items, folder, results.read_usage(spark, f"{folder}/usage"), {"scorer": "small:7b", "optimizer": "large:32b"})
     return results.read_status(spark, f"{folder}/optimization_status").withColumnRenamed("id", "item_id")
+
+
+@query
+def published_runs(spark, sf_dir):
+    """Status of published runs: all of them published, one published again, and a version that never was."""
+    folder = fresh_folder(spark, "published-runs")
+    items = fx.items(spark, sf_dir)
+    done = improvement.run_base(items, rq.SEED_PROMPTS, MODELS, SETTINGS)
+    publish.publish_run(done, items, folder)
+    publish.publish_run(done, items.where("run_id = 1"), folder)
+    publish.stage_run(done, items, folder)
+    return publish.published(spark, folder, "optimization_status").withColumnRenamed("id", "item_id")
