@@ -41,37 +41,45 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, self.order, axis=0)
+        across = np.ascontiguousarray(self.vectors.T)
+        order = np.argsort(across, axis=1, kind="stable")
+        self.whole = np.take_along_axis(across, order, axis=1)
+        self.values, self.order = self.whole.astype(np.float64), order.astype(np.int32)
+        self.place = np.empty(vectors.shape, np.int32)  # where in each list a vector stands
+        self.place[order, np.arange(vectors.shape[1])[:, None]] = np.arange(len(ids), dtype=np.int32)
         self.entries_read = 0  # of all lists, by all queries so far
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best but ``own``, ties to the smaller id."""
-        n, dims = len(self.ids), np.flatnonzero(query)
-        weight, lists = query[dims], np.arange(len(dims))
-        falls = weight > 0
+        n, top, bottom = len(self.ids), np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        dims = np.concatenate([top, bottom])
         active = np.flatnonzero(self.ids != own)
         # Sums of doubles are exact below 2^53; larger scores are added up as longs.
-        widest = float(np.abs(weight).astype(float) @ np.abs(self.sorted[[0, -1]][:, dims]).max(0)) if len(dims) else 0.0
-        number = np.float64 if widest < 2**51 else np.int64
-        least = weight * np.where(falls, self.sorted[0, dims], self.sorted[-1, dims])
-        lower, seen = np.full(n, least.sum(), number), np.zeros((n, len(dims)), bool)
-        depth, step = 0, max(k, FIRST_STEP)
+        widest = np.abs(query.astype(float)) @ np.abs(self.values[:, [0, -1]]).max(1)
+        number, values = (np.float64, self.values) if widest < 2**51 else (np.int64, self.whole)
+        weight = query[dims].astype(number)[:, None]
+        least = weight * np.concatenate([values[top, :1], values[bottom, -1:]])
+        lower, depth, step = np.full(n, least.sum(), number), 0, max(k, FIRST_STEP)
         while len(active) > k and depth < n and len(dims):
             to = min(n, depth + step)
-            at = np.arange(depth, to)[:, None]
-            place = np.where(falls, n - 1 - at, at)
-            row, gain = self.order[place, dims], self.sorted[place, dims] * weight - least
+            row = np.concatenate([self.order[top, n - to:n - depth], self.order[bottom, depth:to]])
+            gain = np.concatenate([values[top, n - to:n - depth], values[bottom, depth:to]]) * weight - least
             if number is np.float64:
                 lower += np.bincount(row.ravel(), gain.ravel(), n)
             else:
                 np.add.at(lower, row.ravel(), gain.ravel())
-            seen[row, lists] = True
             self.entries_read += row.size
-            rest = gain[-1].astype(number)  # at most this much comes from a list where a vector has not been read
+            # At most this much comes from a list where a vector has not been read.
+            rest = np.concatenate([gain[:len(top), 0], gain[len(top):, -1]])
             bound = lower[active]
-            upper = bound + rest.sum() - seen[active].astype(number) @ rest
-            active = active[upper >= np.partition(bound, len(bound) - k)[len(bound) - k]]
+            kth = np.partition(bound, len(bound) - k)[len(bound) - k]
+            # Upper bounds are worth drawing once one that was never read, or the average one, does not reach the k-th.
+            if to < n and min(least.sum() + rest.sum(), bound.mean() + rest.sum() * (1 - to / n)) < kth:
+                at = self.place[active]
+                read = np.concatenate([at[:, top] >= n - to, at[:, bottom] < to], axis=1)
+                active = active[bound + (rest.sum() - read.astype(number) @ rest) >= kth]
+            elif to == n:
+                active = active[bound >= kth]  # all is read: bounds are scores
             depth, step = to, max(step, to // 2)
         score = self.vectors[active] @ query
         first = np.lexsort((self.ids[active], -score))[:k]
