@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 #: Vectors of a block, and queries that meet it at a time.
 BLOCK, QUERIES = 4096, 2048
-#: Entries of each list that are read first; from then on half as many again as were read before.
+#: Entries of each list that are read first; from then on as many again as were read before.
 FIRST_STEP = 16
 
 
@@ -44,7 +44,7 @@ class Lists:
         across = np.ascontiguousarray(self.vectors.T)
         order = np.argsort(across, axis=1, kind="stable")
         self.whole = np.take_along_axis(across, order, axis=1)
-        self.values, self.order = self.whole.astype(np.float64), order.astype(np.int32)
+        self.values, self.order = self.whole.astype(np.float64), order
         self.place = np.empty(vectors.shape, np.int32)  # where in each list a vector stands
         self.place[order, np.arange(vectors.shape[1])[:, None]] = np.arange(len(ids), dtype=np.int32)
         self.entries_read = 0  # of all lists, by all queries so far
@@ -80,7 +80,7 @@ class Lists:
                 active = active[bound + (rest.sum() - read.astype(number) @ rest) >= kth]
             elif to == n:
                 active = active[bound >= kth]  # all is read: bounds are scores
-            depth, step = to, max(step, to // 2)
+            depth, step = to, to
         score = self.vectors[active] @ query
         first = np.lexsort((self.ids[active], -score))[:k]
         return self.ids[active][first], score[first]
