@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptmill.workspace import dropped, written
+from promptmill.workspace import deleted, dropped, fresh_folder, written
 
 # ``(system, user)`` to a text, or to a text with prompt and completion tokens.
 Model = Callable[[str, str], "str | tuple[str, int, int]"]
@@ -80,14 +80,18 @@ def request_id(keys: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*keys, "system", "user"), {"ignoreNullFields": "false"}), 256)
 
 
+#: Calls of a task of a cut job, if a piece has as many, and the most tasks of one job.
+TASK_CALLS, JOB_TASKS = 1_000, 20_000
+
+
 def complete_once(requests: DataFrame, model: Callable[[], Model], store: str, keys: list[str], piece_calls: int = 100_000,
                   out: str = "raw_output", **how) -> DataFrame:
     """Ask only what ``store`` holds no answer to yet, and give the answers to all ``requests``.
 
-    Open requests are asked some ``piece_calls`` at a time, dealt by their id, and each piece's answers are kept as
-    soon as they are there: after a lost job only the piece in hand is asked again. Requests that failed are kept as failed.
-    ``keys`` tell requests apart; a request that stands twice is asked once. Without earlier answers request texts
-    are not shuffled.
+    More than ``piece_calls`` open requests are dealt by their id to small tasks, and a task's answers are kept as soon as it is
+    done: a lost job asks again what its tasks had in hand, some ``piece_calls`` in all (or ``TASK_CALLS`` a core, if that is
+    more). Jobs do not follow the number of pieces. Requests that failed are kept as failed. ``keys`` tell requests apart; a
+    request that stands twice is asked once.
     """
     spark = requests.sparkSession
     named = requests.withColumn(REQUEST, request_id(keys))
@@ -99,10 +103,27 @@ def complete_once(requests: DataFrame, model: Callable[[], Model], store: str, k
     open_ = written(named.select(REQUEST, "system", "user").join(told, REQUEST, "left_anti"), "open_requests")
     calls, different = open_.agg(F.count("*"), F.count_distinct(REQUEST)).first()
     asked = open_ if calls == different else open_.dropDuplicates([REQUEST])
-    pieces = -(-different // piece_calls)
-    for piece in range(pieces):
-        part = asked if pieces == 1 else asked.where(F.pmod(F.xxhash64(REQUEST), F.lit(pieces)) == piece)
-        complete(part, model, out=out, asked_at=ASKED_AT, **how).select(*fields).write.mode("append").parquet(store)
+    at_once = how.pop("partitions", None)
+    size = min(piece_calls, max(TASK_CALLS, -(-piece_calls // (at_once or spark.sparkContext.defaultParallelism))))
+    tasks = -(-different // size)
+    most = at_once or JOB_TASKS
+    jobs = -(-tasks // most) if different > piece_calls else min(different, 1)
+    laid = fresh_folder(spark, "laid_requests") if jobs > 1 else None
+    if laid:
+        # Laid out by job, so that all jobs together read every request once.
+        asked.withColumn("job", F.pmod(F.xxhash64(REQUEST), F.lit(jobs)).cast("int")).write.partitionBy("job").parquet(laid)
+        asked = spark.read.schema(f"{REQUEST} string, system string, user string, job int").parquet(laid)
+    for job in range(jobs):
+        part = asked.where(F.col("job") == job).drop("job") if laid else asked
+        if different > piece_calls:
+            part = part.repartition(min(tasks, most), REQUEST)
+        elif at_once:
+            part = part.repartition(at_once)
+        answers = complete(part, model, out=out, asked_at=ASKED_AT, **how).select(*fields)
+        # By this rule files are in their place once their task is done, not only once its job is.
+        answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+    if laid:
+        deleted(spark, laid)
     dropped(open_)
     return named.drop("system", "user").join(spark.read.schema(schema).parquet(store), REQUEST)
 

@@ -116,3 +116,30 @@ def test_requests_that_stand_twice_or_have_null_keys(spark, tmp_path):
             f"Row(id={i}, raw_output='{s} {u}')" for i, s, u in rows)
         assert spark.read.parquet(f"{tmp_path}/store").count() == 5
     assert complete_once(asked.limit(0), model, f"{tmp_path}/none", ["id"]).count() == 0
+
+
+def test_jobs_do_not_follow_the_number_of_pieces(spark, tmp_path):
+    from promptmill.operators.completion import complete_once
+    asked = spark.range(240).selectExpr("id", "'s' as system", "concat('u', id) as user")
+    for partitions, most in ((None, 20), (30, 30)):
+        spark.sparkContext.setJobGroup(f"pieces-{partitions}", "")
+        got = complete_once(asked, scorer, f"{tmp_path}/store-{partitions}", ["id"], piece_calls=4, partitions=partitions, retry_delay=0.0)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got.select("id", "raw_output").distinct().count() == 240
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pieces-{partitions}")) < most
+
+
+def test_answers_of_finished_tasks_stay_when_the_job_is_lost(spark, tmp_path):
+    from promptmill.operators.completion import complete_once
+    asked = spark.range(240).selectExpr("id", "'s' as system", "concat('u', id) as user")
+    folder, store = f"{tmp_path}/calls", f"{tmp_path}/store"
+    os.makedirs(folder)
+    open(f"{folder}-armed", "w").close()
+    with pytest.raises(Exception):
+        complete_once(asked, counted(scorer, folder, 150), store, ["id"], piece_calls=4, max_tries=1)
+    os.remove(f"{folder}-armed")
+    kept, lost = spark.read.parquet(store).count(), calls(folder)
+    # A task has some 4 calls, and every core has one in hand.
+    assert lost - kept <= 12 * spark.sparkContext.defaultParallelism and kept > 0
+    complete_once(asked, counted(scorer, folder), store, ["id"], piece_calls=4, max_tries=1)
+    assert calls(folder) == lost + 240 - kept and spark.read.parquet(store).select("request_id").distinct().count() == 240
