@@ -7,6 +7,7 @@ pools, cost and final results are kept whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from promptmill.operators import pools as pl
 from promptmill.operators import refine as rf
 from promptmill.operators import rules as rl
 from promptmill.operators.items import both_ends
+from promptmill.operators.ordered import lookup
 from promptmill.operators.outcomes import ITEM, item_result_map
 from promptmill.operators.usage import cost_report
 from promptmill.plans.improvement import Run
@@ -40,9 +42,17 @@ def detailed_items(items: DataFrame, size: int | None = 10) -> DataFrame:
     return written(both_ends(items.select(*ITEM), ["run_id"], ["item_id"], size=size).select(*ITEM), "detailed")
 
 
+def run_of(run: Run, items: DataFrame) -> Run:
+    """The rows of the runs of ``items`` in every table, null a run like any other."""
+    runs = written(items.select("run_id").distinct(), "own_runs")
+    return replace(run, **{f.name: lookup(getattr(run, f.name), runs, ["run_id"], "inner") for f in fields(run)})
+
+
 def detail_rows(run: Run, items: DataFrame, detailed: DataFrame) -> DataFrame:
     maps = item_result_map(run.graded.join(detailed, ITEM, "left_semi"))
-    return items.join(maps, ITEM).select(
+    # Cut down first: the texts of other items are not moved.
+    few = items.join(detailed, ITEM, "left_semi")
+    return few.join(maps, ITEM).select(
         F.col("item_id").alias("id"), F.col("subset").alias("source"), "type", F.col("question").alias("q"), "res",
         "run_id")
 
@@ -106,6 +116,7 @@ def write_run(run: Run, items: DataFrame, folder: str, usage: DataFrame | None =
 def write_tables(run: Run, items: DataFrame, place: Callable[[str], str], usage: DataFrame | None = None,
                  models: dict[str, str] | None = None, detail_size: int | None = 10) -> None:
     """Write every table of ``TABLES`` to the folder that ``place`` gives it; the cost only with ``usage``."""
+    run = run_of(run, items)
     detailed = detailed_items(items, detail_size)
     results.write_json(detail_rows(run, items, detailed), place("detailed_results"), restart=True)
     results.write_json(trace_rows(run, detailed), place("refinement_trace"), restart=True)

@@ -129,3 +129,12 @@ def test_totals_stay_few_folders(spark, tmp_path):
     from promptmill.streaming import usage as us
     us._fold(spark, keys, out, 9)
     _same(current_cost(spark, out, keys), cost_report(usage, keys))
+
+
+def test_a_version_holds_its_own_runs_only(spark, items, done, tmp_path):  # noqa: F811
+    folder = f"{tmp_path}/runs"
+    version = publish.stage_run(done, items.where("run_id = 1"), folder)
+    for table in ("optimization_status", "detailed_results", "prompt_history"):
+        path = f"{folder}/tables/{table}/version={version}"
+        read = spark.read.option("header", True).csv(path) if table == "optimization_status" else spark.read.json(path)
+        assert {r.run_id for r in read.select("run_id").collect()} == {1}
