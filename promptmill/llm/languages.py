@@ -13,6 +13,7 @@ cross-entropy per character is chosen; confidence and rejection are calibrated.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -36,9 +37,9 @@ HELD_WORDS, HELD_GRAMS = 100_000, 200_000
 HELD_VALUES = 1 << 20
 #: Words whose costs a scoring task remembers; others are added up anew.
 MEMO_WORDS = 200_000
-#: Texts that confidence is calibrated on (least hashes), and the longest taken.
-CALIBRATION_ROWS, CALIBRATION_CHARS = 400, 20_000
-#: One text in so many is left out of what is learned, to calibrate on.
+#: Sharpnesses of confidence to choose from.
+SHARPNESSES = [2.0 ** e for e in range(-2, 7)]
+#: One text in so many is left out of the counts; confidence is calibrated on all of these.
 LEFT_OUT = 64
 #: Share of the calibration texts whose cross-entropy is rejected.
 REJECTED_SHARE = 0.001
@@ -402,7 +403,7 @@ def _training(docs: DataFrame, id_column: str, text_column: str, lang_column: st
 def learned(told: DataFrame, counts: DataFrame) -> tuple[Model, Spelled]:
     """Models of all languages of ``counts`` (lang, gram, n; lang is null where nothing is learned), with the costs of all its grams.
 
-    Confidence is calibrated on a bounded sample of ``told`` (doc_id, lang, text), whose grams are all among ``counts``.
+    Confidence is calibrated on every text of ``told`` (doc_id, lang, text), however long, whose grams are all among ``counts``.
     Languages are entries of the arrays of every gram, so they are meant to be thousands at most.
     """
     langs = sorted(r["lang"] for r in counts.where("lang is not null").select("lang").distinct().collect())
@@ -419,23 +420,48 @@ def learned(told: DataFrame, counts: DataFrame) -> tuple[Model, Spelled]:
         for k in range(1, ORDER):
             dropped(levels[k])
     spelled = model.spelled(counts)
-    told = told.where("lang is not null and text is not null").where(F.length("text") <= CALIBRATION_CHARS)
-    sample = told.orderBy(F.xxhash64("doc_id", "text")).limit(CALIBRATION_ROWS).select("lang", "text")
-    sample = [r for r in totals(sample, spelled).collect() if r["key"] in langs] if langs else []
-    if sample:
-        bits, size = bits_of(np.array([r["total"] for r in sample]))
-        right, read = np.array([langs.index(r["key"]) for r in sample]), size > 0
-        if read.any():
-            own_bits = bits[np.arange(len(bits)), right][read]
-            model.limit = float(np.quantile(own_bits, 1 - REJECTED_SHARE) + own_bits.std())
-            # The sharpness under which the sample's languages are likeliest.
-            margins = bits[read] - own_bits[:, None]
-            model.sharpness = min((2.0 ** e for e in range(-2, 7)), key=lambda s: float(np.log(np.exp2(np.clip(-s * margins, -1000, 1000)).sum(1)).mean()))
-    return model, spelled
+    told = told.where("lang is not null and text is not null").select("lang", "text")
+    return (calibrated(model, totals(told, spelled)) if langs else model), spelled
+
+
+def calibrated(model: Model, told: DataFrame) -> Model:
+    """``model`` with the limit and the sharpness that every row of ``told`` (key, total), whose language is ``key``, speaks for.
+
+    A task hands on whole numbers of steps, whose sums do not depend on their order. Only these sums and the share of
+    costs above the quantile reach the driver.
+    """
+    langs = model.langs
+    places = {lang: i for i, lang in enumerate(langs)}
+
+    def piece(columns):
+        known = [(places[lang.decode()], total) for lang, total in zip(*columns, strict=True) if lang.decode() in places and total[-1]]
+        if not known:
+            return [], []
+        right, (bits, _) = np.array([k for k, _ in known]), bits_of(np.array([t for _, t in known]))
+        own = bits[np.arange(len(bits)), right]
+        margins = bits - own[:, None]
+        unlike = np.column_stack([np.log(np.exp2(np.clip(-s * margins, -1000, 1000)).sum(1)) for s in SHARPNESSES])
+        return np.rint(own * STEPS).astype(np.int64), np.rint(unlike * STEPS).astype(np.int64).tolist()
+
+    rows = written(mapped(told.select("key", "total"), piece, "own long, unlike array<long>"), "calibration")
+    exact = F.col("own").cast("decimal(19,0)")
+    n, total, squares, *unlike = rows.agg(F.count("*"), F.sum("own"), F.sum(exact * exact), *(
+        F.sum(F.col("unlike")[i].cast("decimal(19,0)")) for i in range(len(SHARPNESSES)))).first()
+    if n:
+        # The quantile lies between two of the highest costs.
+        place = (n - 1) * REJECTED_SHARE
+        highest = [r["own"] for r in rows.orderBy(F.desc("own")).limit(int(place) + 2).select("own").collect()]
+        above, below = highest[int(place)], highest[min(int(place) + 1, len(highest) - 1)]
+        spread = math.sqrt(max(0, n * int(squares) - int(total) ** 2)) / n
+        limit = (above - (place - int(place)) * (above - below) + spread) / STEPS
+        # The sharpness under which the languages are likeliest.
+        model = replace(model, limit=limit, sharpness=SHARPNESSES[unlike.index(min(unlike))])
+    dropped(rows)
+    return model
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
-    """Models of all languages from every text with a language, confidence from a bounded sample of the same texts."""
+    """Models of all languages from every text with a language, confidence from the same texts."""
     told = _training(docs, id_column, text_column, lang_column).where("lang is not null and text is not null")
     return learned(told, written(gram_counts(told.select("lang", "text")), "gram_counts"))[0]
 
@@ -461,7 +487,7 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 def predicted(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ...) of every document, by models of those outside the fold.
 
-    One in LEFT_OUT of the documents that may be learned from is left out of the counts; confidence is calibrated on these.
+    One in LEFT_OUT of the documents that may be learned from is left out of the counts; confidence is calibrated on all of these.
     """
     fold = fold_of("doc_id", FOLDS)
     rows = _training(docs, "doc_id", "text", "lang").withColumn("lang", F.when(fold != HELD_OUT, F.col("lang")))

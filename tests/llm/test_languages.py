@@ -137,3 +137,29 @@ def test_costs_are_whole_numbers_whatever_is_held(spark, monkeypatch):
         monkeypatch.setattr(languages, "MEMO_WORDS", memo)
         results.append(sorted(map(tuple, predicted(docs).collect())))
     assert results[0] == results[1]
+
+
+def test_every_left_out_text_calibrates(spark):
+    """More texts than any fixed number, the unlikely ones among the longest: limit and sharpness against all of them, plainly."""
+    rng = random.Random(3)
+    told = [("aa" if i % 2 else "bb", [rng.randrange(1, 9) * languages.STEPS * (50 if i > 990 else 1), rng.randrange(1, 9) * languages.STEPS, 1 + i % 3])
+            for i in range(1000)] + [("cc", [1, 1, 1]), ("aa", [0, 0, 0])]
+    model = languages.calibrated(languages.Model(["aa", "bb"]), spark.createDataFrame(told, "key string, total array<long>").repartition(5))
+    kept = [(["aa", "bb"].index(k), np.array(t[:2]) / languages.STEPS / t[2]) for k, t in told if k != "cc" and t[2]]
+    own = np.array([b[k] for k, b in kept])
+    assert model.limit == pytest.approx(np.quantile(own, 1 - languages.REJECTED_SHARE) + own.std(), rel=1e-6)
+    loss = {2.0 ** e: np.mean([np.log(np.exp2(np.clip(-2.0 ** e * (b - b[k]), -1000, 1000)).sum()) for k, b in kept]) for e in range(-2, 7)}
+    assert model.sharpness == min(loss, key=loss.get)
+
+
+def test_long_and_late_texts_count_for_the_limit(spark):
+    """A fold of more than 400 texts, some beyond 20,000 characters and of rare letters: each raises the limit."""
+    usual = [(i, "anti shober berti", "aa") for i in range(500)]
+    odd = [(600 + i, "anti shober " * 1_700 + "qxzj vkwq " * 1_700, "aa") for i in range(3)]
+    limits = []
+    for rows in (usual, usual + odd):
+        told = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        counts = languages.gram_counts(spark.createDataFrame(usual, told.schema).select("lang", "text")).unionByName(
+            languages.gram_counts(told.selectExpr("cast(null as string) lang", "text")))
+        limits.append(languages.learned(told, languages.written(counts, "counts"))[0].limit)
+    assert limits[1] > 3 * limits[0]
