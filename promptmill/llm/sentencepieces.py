@@ -9,7 +9,7 @@ encoder steps back. Any reached place has one way to it, so a marked place never
 
 Letters that no piece holds never merge: they stand for themselves and become bytes. A mark of white space after
 another letter is never inside a piece where the vocabulary has none such; there texts are cut into
-words, which are encoded once a task.
+words, which are encoded once a worker.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from promptmill.llm.common import Memo, mapped
 
 SPACE = "▁"
-#: Words, and pairs of pieces, that a task remembers; others are worked out anew, never left out.
+#: Words, and pairs of pieces, that a worker remembers; others are worked out anew, never left out.
 HELD = 400_000
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -226,12 +227,18 @@ def letters_of(data: bytes) -> str:
         return "".join("�" if "\udc80" <= c <= "\udcff" else c for c in data.decode(errors="surrogateescape"))
 
 
+@lru_cache(maxsize=1)
+def _held(data: bytes) -> PieceModel:
+    """The model of a process: tasks that a worker runs one after the other share it, and the words it remembers."""
+    return PieceModel(data)
+
+
 def _opened(data: bytes) -> Callable[[], PieceModel]:
     held: list[PieceModel] = []
 
     def get() -> PieceModel:
         if not held:
-            held.append(PieceModel(data))
+            held.append(_held(data))
         return held[0]
 
     return get

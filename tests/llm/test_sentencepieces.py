@@ -94,3 +94,15 @@ def test_other_models_are_refused():
         assert len(pieces_of(file.read())) == 32000
     with pytest.raises(ValueError):
         pieces_of(b"")
+
+
+def test_tasks_of_a_worker_share_a_model(own):
+    """The model is built once a process, not once a task; another file gets its own."""
+    from promptmill.llm import sentencepieces
+    with open(PATH, "rb") as file:
+        data = file.read()
+    first, second = sentencepieces._opened(data)(), sentencepieces._opened(bytes(bytearray(data)))()
+    assert first is second and first.encode("a shared word") == own.encode("a shared word")
+    assert "▁shared" in second.words
+    # An unknown field at the end of the file changes nothing but the bytes.
+    assert sentencepieces._opened(data + b"\x98\x06\x00")() is not first
