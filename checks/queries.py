@@ -29,7 +29,7 @@ from promptmill.plans.files import write_run
 from promptmill.sources import results
 from promptmill.sources import runs as st
 from promptmill.streaming.outputs import start_grading
-from promptmill.streaming.pools import start_improving
+from promptmill.streaming.pools import last_round, start_improving
 from promptmill.streaming.rules import all_chunks, start_chunks
 from promptmill.streaming.usage import current_cost, start_totals
 from promptmill.workspace import fresh_folder, spread, written
@@ -698,8 +698,10 @@ def stream_improvement(spark, sf_dir):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
     arriving = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
     settings = replace(SETTINGS, group_size=ITERATIVE_GROUP)
-    start_improving(arriving, rq.SEED_PROMPTS, MODELS, settings, folder, f"{folder}/log").awaitTermination()
-    return _statuses(*(spark.read.parquet(f"{folder}/{name}").drop("round") for name in ("status", "graded")))
+    running = start_improving(arriving, rq.SEED_PROMPTS, MODELS, settings, folder, f"{folder}/log")
+    running.awaitTermination()
+    done = improvement.tables_of(spark, folder, last_round(spark, folder, running.lastProgress["batchId"]))
+    return _statuses(done["status"], done["graded"])
 
 
 @query

@@ -5,6 +5,8 @@ All of these are built-in Spark expressions; none runs Python per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,40 @@ def loose_choice(text: Column) -> Column:
     return F.upper(_or_null(F.regexp_extract(text, _last("([A-Da-d])"), 1)))
 
 
+def _phrase(lowered: Column) -> Column:
+    pick = F.lit(None).cast("string")
+    for option in reversed(CONCLUSIONS):
+        pick = F.when(F.contains(lowered, F.lit(option)), F.lit(option)).otherwise(pick)
+    return pick
+
+
+def _search(pattern: str) -> Callable[[Column, Callable[[str], Column]], Column]:
+    return lambda text, was: F.when(was("phrase").isNotNull(), F.regexp_extract(was("tail"), pattern, 1)).otherwise(
+        F.regexp_extract(was("tail"), _last(pattern), 1))
+
+
+def _letter(text: Column, was: Callable[[str], Column]) -> Column:
+    short = F.when(F.length(strip(text)) < SHORT_ANSWER, F.regexp_extract(text, "[A-Ea-e]", 0))
+    return F.upper(
+        F.when(was("boxed") != "", was("boxed"))
+        .when(was("parens") != "", was("parens"))
+        .when(was("alone") != "", was("alone"))
+        .otherwise(_or_null(short)))
+
+
+#: Steps of reading a letter, in order: each takes the text and what the steps before it found.
+_CHOICE_STEPS: dict[str, Callable[[Column, Callable[[str], Column]], Column]] = {
+    "lowered": lambda text, was: F.lower(text),
+    "phrase": lambda text, was: _phrase(was("lowered")),
+    "tail": lambda text, was: F.coalesce(
+        F.call_function("substring_index", was("lowered"), was("phrase"), F.lit(-1)), was("lowered")),
+    "boxed": lambda text, was: F.regexp_extract(text, BOXED, 1),
+    "parens": lambda text, was: F.when(was("boxed") == "", _search(IN_PARENS)(text, was)),
+    "alone": lambda text, was: F.when(was("parens") == "", _search(ALONE)(text, was)),
+    "letter": _letter,
+}
+
+
 def with_strict_choice(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the A-E letter a text settles on.
 
@@ -60,32 +96,32 @@ def with_strict_choice(df: DataFrame, text: str, out: str) -> DataFrame:
     first letter A-E. Every step is a column of its own, so that each search runs once
     and only when the ones before it found nothing.
     """
-    lowered, phrase, tail, boxed, parens, alone = (
-        f"_{out}_{step}" for step in ("lowered", "phrase", "tail", "boxed", "parens", "alone"))
-    pick = F.lit(None).cast("string")
-    for option in reversed(CONCLUSIONS):
-        pick = F.when(F.contains(F.col(lowered), F.lit(option)), F.lit(option)).otherwise(pick)
-
-    def search(pattern: str) -> Column:
-        return F.when(F.col(phrase).isNotNull(), F.regexp_extract(tail, pattern, 1)).otherwise(
-            F.regexp_extract(tail, _last(pattern), 1))
-
-    short = F.when(F.length(strip(F.col(text))) < SHORT_ANSWER, F.regexp_extract(text, "[A-Ea-e]", 0))
-    return (
-        df.withColumn(lowered, F.lower(text))
-        .withColumn(phrase, pick)
-        .withColumn(tail, F.coalesce(
-            F.expr(f"substring_index(`{lowered}`, `{phrase}`, -1)"), F.col(lowered)))
-        .withColumn(boxed, F.regexp_extract(text, BOXED, 1))
-        .withColumn(parens, F.when(F.col(boxed) == "", search(IN_PARENS)))
-        .withColumn(alone, F.when(F.col(parens) == "", search(ALONE)))
-        .withColumn(out, F.upper(
-            F.when(F.col(boxed) != "", F.col(boxed))
-            .when(F.col(parens) != "", F.col(parens))
-            .when(F.col(alone) != "", F.col(alone))
-            .otherwise(_or_null(short))))
-        .drop(lowered, phrase, tail, boxed, parens, alone)
-    )
+    names = {step: out if step == "letter" else f"_{out}_{step}" for step in _CHOICE_STEPS}
+    for step, found in _CHOICE_STEPS.items():
+        df = df.withColumn(names[step], found(F.col(text), lambda earlier: F.col(names[earlier])))
+    return df.drop(*[name for name in names.values() if name != out])
+
+
+def strict_choices(texts: Column) -> Column:
+    """The letters of an array of texts, read like :func:`with_strict_choice` reads one, each step once."""
+    def taken(step: str) -> Callable[[Column], Column]:
+        return lambda x: x.withField(step, _CHOICE_STEPS[step](x["text"], lambda earlier: x[earlier]))
+    read = F.transform(texts, lambda x: F.struct(x.alias("text")))
+    for step in _CHOICE_STEPS:
+        read = F.transform(read, taken(step))
+    return F.transform(read, lambda x: x["letter"])
+
+
+def _tag_bodies(text: Column, tag: str, gap: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}{gap}BEGIN>(.*?)</{tag}{gap}END>"), F.lit(1))
+
+
+def tag_blocks_steps(text: Column, tag: str, out: str) -> list[dict[str, Column]]:
+    """Columns that add ``out``, step by step, as :func:`with_tag_blocks` has it."""
+    exact = f"_{out}_exact"
+    chosen = F.when(F.size(exact) > 0, F.col(exact)).otherwise(_tag_bodies(text, tag, "[ _]"))
+    return [{exact: _tag_bodies(text, tag, "_")},
+            {out: F.coalesce(F.transform(chosen, strip), F.array().cast("array<string>"))}]
 
 
 def with_tag_blocks(df: DataFrame, text: str, tag: str, out: str) -> DataFrame:
@@ -93,13 +129,9 @@ def with_tag_blocks(df: DataFrame, text: str, tag: str, out: str) -> DataFrame:
 
     The exact search is a column of its own: it runs once, and the second one only where it found nothing.
     """
-    def bodies(gap: str) -> Column:
-        return F.regexp_extract_all(
-            F.col(text), F.lit(rf"(?is)<{tag}{gap}BEGIN>(.*?)</{tag}{gap}END>"), F.lit(1))
-    exact = f"_{out}_exact"
-    chosen = F.when(F.size(exact) > 0, F.col(exact)).otherwise(bodies("[ _]"))
-    return df.withColumn(exact, bodies("_")).withColumn(
-        out, F.coalesce(F.transform(chosen, strip), F.array().cast("array<string>"))).drop(exact)
+    for step in tag_blocks_steps(F.col(text), tag, out):
+        df = df.withColumns(step)
+    return df.drop(f"_{out}_exact")
 
 
 def generated_prompts(text: Column, count: int | None = None) -> Column:

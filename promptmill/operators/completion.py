@@ -6,9 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from promptmill.workspace import deleted, dropped, fresh_folder, written
 
@@ -72,6 +74,31 @@ def complete(requests: DataFrame, model: Callable[[], Model], max_tries: int = 3
     return asked.mapInPandas(run, schema)
 
 
+#: An answer in a list of them, as :func:`ask` gives it.
+ANSWER = "text string, tries int, error string, prompt_tokens long, completion_tokens long"
+
+
+def list_completer(model: Callable[[], Model], max_tries: int = 3, retry_delay: float = 1.0,
+                   strip: bool = True) -> Callable[[str], Column]:
+    """A function from a column of lists of requests (``system``, ``user``) to one of the lists of their answers.
+
+    Rows stay in their task, so that what an answer leads to can be asked in the same job. The model is built once per
+    partition, as in :func:`complete`.
+    """
+    answers = T.ArrayType(T.StructType.fromDDL(ANSWER))
+    names, kind = answers.elementType.fieldNames(), to_arrow_type(answers)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        call = model()
+        for batch in batches:
+            yield pa.array([
+                [dict(zip(names, ask(call, r["system"], r["user"], max_tries, retry_delay, strip))) for r in asked or ()]
+                for asked in batch.to_pylist()], kind)
+
+    # Answers differ from call to call, so Spark must neither ask twice nor move the call.
+    return F.arrow_udf(run, answers).asNondeterministic()
+
+
 #: Names a request in a store of answers, from its keys and its whole text; and when it was answered.
 REQUEST, ASKED_AT = "request_id", "asked_at"
 

@@ -97,9 +97,27 @@ def refinement_trace(candidates: DataFrame, keys: list[str] = ITEM, source: str
         F.col("new_prompt").alias("candidate_prompt"), "verified", "model_output")
 
 
+def status_of(n_correct: Column, n_wrong: Column, pairs: Column, verified: Column, compat: bool = False) -> Column:
+    """Status of an item, the first rule that applies deciding."""
+    none_wrong = F.when(n_correct > 0, SKIPPED).otherwise(SKIPPED if compat else NO_RESPONSE)
+    return (
+        F.when(n_wrong == 0, none_wrong)
+        .when(pairs == 0, NO_REWRITE)
+        .when(verified == 0, NOT_VERIFIED)
+        .otherwise(SUCCESS)
+    )
+
+
+def note_of(status: Column) -> Column:
+    note = F.lit("")
+    for name, said in NOTES.items():
+        note = F.when(status == name, said).otherwise(note)
+    return note
+
+
 def item_status(outcomes: DataFrame, candidates: DataFrame, keys: list[str] = ITEM, keep: tuple[str, ...] = (),
                 compat: bool = False) -> DataFrame:
-    """One status per item, the first rule that applies deciding.
+    """One status per item.
 
     ``compat`` counts an item none of whose calls came back as all correct.
     """
@@ -107,20 +125,10 @@ def item_status(outcomes: DataFrame, candidates: DataFrame, keys: list[str] = IT
         F.count("*").alias("_pairs"), F.count_if("verified").alias("_verified"))
     both = outcomes.select(*keys, *keep, "n_correct", "n_wrong").join(tried, keys, "left")
     pairs, verified = F.coalesce("_pairs", F.lit(0)), F.coalesce("_verified", F.lit(0))
-    none_wrong = F.when(F.col("n_correct") > 0, SKIPPED).otherwise(SKIPPED if compat else NO_RESPONSE)
-    status = (
-        F.when(F.col("n_wrong") == 0, none_wrong)
-        .when(pairs == 0, NO_REWRITE)
-        .when(verified == 0, NOT_VERIFIED)
-        .otherwise(SUCCESS)
-    )
-    note = F.lit("")
-    for name, said in NOTES.items():
-        note = F.when(F.col("status") == name, said).otherwise(note)
     return both.select(
-        *keys, *keep, status.alias("status"), F.col("n_wrong").alias("initial_wrong"),
-        verified.alias("verified_success"),
-    ).withColumn("note", note)
+        *keys, *keep, status_of(F.col("n_correct"), F.col("n_wrong"), pairs, verified, compat).alias("status"),
+        F.col("n_wrong").alias("initial_wrong"), verified.alias("verified_success"),
+    ).withColumn("note", note_of(F.col("status")))
 
 
 def status_funnel(status: DataFrame, source: str = "source") -> DataFrame:

@@ -29,7 +29,7 @@ def rule_requests(verified: DataFrame, failures: DataFrame, template: str = tp.R
         tp.rule_message(F.col("correct_list")).alias("user"))
 
 
-def _size_ok(group_size: int) -> int:
+def size_ok(group_size: int) -> int:
     if group_size < 2:
         raise ValueError("group_size must be at least 2: merging single rules never ends")
     return group_size
@@ -41,7 +41,7 @@ def tier1_chunks(rules: DataFrame, group_size: int = 3, run: str = "run_id", pos
 
     ``sample_idx`` is the item that filled the chunk and ``rules_block`` its rules, numbered.
     """
-    size = _size_ok(group_size)
+    size = size_ok(group_size)
     placed = with_ordinal(rules, [run], order or position, "_ordinal", width).select(
         run, position, F.col("_ordinal"),
         F.floor(F.col("_ordinal") / size).alias("chunk"),
@@ -81,7 +81,7 @@ def merge_summary(chunks: DataFrame, group_size: int = 3, run: str = "run_id") -
     With ``t`` full chunks of ``g`` rules there are ``1 + (t - g) div (g - 1)`` folds once
     ``t >= g``: the first takes g merges, each later one the last fold and g - 1 more.
     """
-    g = _size_ok(group_size)
+    g = size_ok(group_size)
     counted = chunks.groupBy(run).agg(
         F.count_if(F.col("n_rules") == g).alias("n_tier1"), F.count_if(F.col("n_rules") < g).alias("n_tail"))
     folds = F.when(F.col("n_tier1") < g, F.lit(0)).otherwise(1 + F.floor((F.col("n_tier1") - g) / (g - 1)))
@@ -97,7 +97,7 @@ def merge_tree(chunks: DataFrame, group_size: int = 3, run: str = "run_id") -> D
     merging what is left, in closed form: no loop, whatever the depth. ``parent_tier`` is
     null for the merge that is the final rule.
     """
-    g = _size_ok(group_size)
+    g = size_ok(group_size)
     summary = merge_summary(chunks, g, run)
     nodes = lookup(chunks.select(run, "chunk", "n_rules", "sample_idx"), summary, [run], "inner")
     t, folds = F.col("chunk") + 1, F.col("n_folds")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promptmill.operators import requests, rules
 from promptmill.operators.ordered import lookup, with_ordinal
-from promptmill.plans import merging
+from promptmill.plans import merging, rounds
 from promptmill.plans.steps import Models, Settings, generate, improve, merge
 from promptmill.workspace import fresh_folder, written
 
@@ -138,19 +138,30 @@ def play_round(todo: DataFrame, before: Progress, prompts: list[str] | tuple[str
     return last
 
 
+def tables_of(spark: SparkSession, base: str, n: int) -> dict[str, DataFrame]:
+    """The tables that rounds up to ``n`` left in ``base``."""
+    if rounds.is_played(spark, base):
+        return rounds.tables(spark, base, n)
+    # A part of the job played again may have taken fewer rounds than before.
+    return {name: spark.read.parquet(f"{base}/{name}").where(F.col("round") <= n).drop("round")
+            for name in ("graded", "status", "candidates", "rules", "tier1", "pools")}
+
+
 def finish_rounds(spark: SparkSession, base: str, n: int, models: Models, settings: Settings) -> Run:
     """Merge what still waits after round ``n`` as the tail, and the whole of ``base`` down to one rule per run."""
-    def all_rounds(name: str) -> DataFrame:
-        # A part of the job played again may have taken fewer rounds than before.
-        return spark.read.parquet(f"{base}/{name}").where(F.col("round") <= n).drop("round")
-    left = Progress.after(spark, base, n)
-    tail = lookup(rules.tier1_chunks(left.waiting, settings.group_size), left.made, ["run_id"])
+    done = tables_of(spark, base, n)
+    if rounds.is_played(spark, base):
+        waiting, made = rounds.left_of(spark, base, n)
+    else:
+        left = Progress.after(spark, base, n)
+        waiting, made = left.waiting, left.made
+    tail = lookup(rules.tier1_chunks(waiting, settings.group_size), made, ["run_id"])
     tail = written(tail.withColumn("chunk", F.col("chunk") + F.coalesce("n_chunks", F.lit(0))).drop("n_chunks"), "tail")
     tail = merging.merge_chunks(tail, models, settings)
-    tier1 = written(all_rounds("tier1").select(*tail.columns).unionByName(tail), "tier1")
+    tier1 = written(done["tier1"].select(*tail.columns).unionByName(tail), "tier1")
     merges, final, final_prompts = _finish(tier1, models, settings)
-    return Run(all_rounds("graded"), all_rounds("status"), all_rounds("candidates"), all_rounds("rules"), tier1, merges,
-               all_rounds("pools"), final, final_prompts)
+    return Run(done["graded"], done["status"], done["candidates"], done["rules"], tier1, merges,
+               done["pools"], final, final_prompts)
 
 
 def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Models,
@@ -167,17 +178,22 @@ def run_iterative(items: DataFrame, prompts: list[str] | tuple[str, ...], models
     """
     spark = items.sparkSession
     base = fresh_folder(spark, "iterative")
-    n = play_items(items, Progress.start(spark), prompts, models, settings, base, 0, block, relaxed)
+    n = play_items(items, prompts, models, settings, base, 0, block, relaxed)
     return finish_rounds(spark, base, n, models, settings)
 
 
-def play_items(items: DataFrame, progress: Progress, prompts: list[str] | tuple[str, ...], models: Models, settings: Settings,
-               base: str, n: int, block: int | None = None, relaxed: bool = False) -> int:
+def play_items(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Models, settings: Settings, base: str, n: int,
+               block: int | None = None, relaxed: bool = False) -> int:
     """Play rounds after round ``n`` of the job in ``base`` until ``items`` are used up; returns the last round's number.
 
-    ``progress`` is what round ``n`` left. Items of a run are taken by their ids.
+    Items of a run are taken by their ids. Exact rounds are one job each (``plans.rounds``), unless answers or usage are
+    kept by step.
     """
     block = block or (1000 if relaxed else 4 * settings.group_size)
+    spark = items.sparkSession
+    if not (relaxed or settings.answers or settings.usage_folder) and (n == 0 or rounds.is_played(spark, base)):
+        return rounds.play_exactly(items, prompts, models, settings, base, n, block)
+    progress = Progress.after(spark, base, n) if n else Progress.start(spark)
     # Numbered once and stored in that order, so that a round's scan reads only its part.
     numbered = with_ordinal(items, ["run_id"], "item_id").repartitionByRange("run_id", "ordinal") \
         .sortWithinPartitions("run_id", "ordinal")
@@ -195,7 +211,7 @@ def play_items(items: DataFrame, progress: Progress, prompts: list[str] | tuple[
         ).where((F.col("ordinal") >= F.col("next")) & (F.col("ordinal") < F.col("next") + F.col("width"))).drop("next", "width")
         todo = written(todo, "todo")
         last = play_round(todo.drop("ordinal"), progress, prompts, models, settings, base, n, relaxed)
-        progress = Progress.after(items.sparkSession, base, n)
+        progress = Progress.after(spark, base, n)
         ends = F.least(F.col("next") + F.col("width"), F.col("n_items"))
         if relaxed:
             cursor = written(cursor.withColumn("next", ends), "cursor")

@@ -27,13 +27,13 @@ def start_improving(items: DataFrame, prompts: list[str] | tuple[str, ...], mode
     def improve(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = last_round(spark, path, batch_id - 1)
-        before = Progress.after(spark, path, done) if done else Progress.start(spark)
         came = written(batch, "batch")
         if relaxed:
+            before = Progress.after(spark, path, done) if done else Progress.start(spark)
             play_round(came, before, prompts, models, settings, path, done + 1, True)
             done += 1
         else:
-            done = play_items(came, before, prompts, models, settings, path, done, block)
+            done = play_items(came, prompts, models, settings, path, done, block)
         spark.createDataFrame([(done,)], "last_round int").write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
         dropped(came)
     return (
