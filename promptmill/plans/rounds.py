@@ -29,8 +29,8 @@ PART, MOST = 250, 10_000
 TASK_ITEMS, TASK_RUNS = 500, 100
 
 #: What a round hands to the next, a row a run: the pool in force, the rules that wait for a chunk, how many chunks were
-#: made, and where the run stands in its items.
-_STATE = """is_run boolean, run_id long, state struct<next long, n_items long, width long, n_chunks long,
+#: made, and where the run stands in its items, of which ``n_earlier`` came in earlier parts of the job.
+_STATE = """is_run boolean, run_id long, state struct<next long, n_items long, width long, n_earlier long, n_chunks long,
     pool array<struct<prompt_pos int, prompt string>>, waiting array<struct<item_id long, rule_text string>>, is_new boolean>"""
 _TABLE = "played"
 _CALL = ("tries", "error", "prompt_tokens", "completion_tokens")
@@ -180,8 +180,9 @@ def _handed_on(size: int, block: int) -> list[Column]:
     is_run, before, made, last = (F.col(c) for c in ("is_run", "before", "made", "last"))
     filled = F.col("merged").isNotNull()
     ends = F.least(before["next"] + before["width"], before["n_items"])
-    # The next block follows the items that the last chunk took; it doubles while no chunk fills.
-    width = F.when(filled, F.greatest(F.lit(block), ((last["ordinal"] + 1 - before["next"]) * 3 / 2).cast("long"))).when(
+    # A block has the items of two chunks of the run so far, as a round whose chunk does not fill is one more; it doubles then.
+    n_played = before["n_earlier"] + last["ordinal"] + 1
+    width = F.when(filled, F.greatest(F.lit(block), (n_played * 2 / (before["n_chunks"] + 1)).cast("long"))).when(
         before["next"] < before["n_items"], before["width"] * 2).otherwise(before["width"])
     # Rules after the item that filled the chunk are made again under the new pool.
     waiting = F.when(filled, F.slice(before["waiting"], 1, 0)).otherwise(F.concat(before["waiting"], F.transform(
@@ -192,7 +193,7 @@ def _handed_on(size: int, block: int) -> list[Column]:
         is_run, *[F.col(c) for c in (*ITEM, "item", "graded", "candidates", "status", "rule_text")],
         F.when(is_run, F.struct(
             F.when(filled, last["ordinal"] + 1).otherwise(ends).alias("next"), before["n_items"].alias("n_items"),
-            F.least(width, F.lit(max(MOST, block))).cast("long").alias("width"),
+            F.least(width, F.lit(max(MOST, block))).cast("long").alias("width"), before["n_earlier"].alias("n_earlier"),
             (before["n_chunks"] + filled.cast("long")).alias("n_chunks"), F.coalesce(made, before["pool"]).alias("pool"),
             waiting.alias("waiting"), F.lit(False).alias("is_new"))).alias("state"),
         F.when(is_run & filled, F.struct(
@@ -268,10 +269,12 @@ def play_exactly(items: DataFrame, prompts: list[str] | tuple[str, ...], models:
     numbered = spark.read.schema(numbered.schema).parquet(place)
 
     seeds = F.array(*[F.struct(F.lit(i).alias("prompt_pos"), F.lit(p).alias("prompt")) for i, p in enumerate(prompts)])
-    before = _state(spark, base, n).select("run_id", "state.*").withColumn("n_items", F.lit(0).cast("long"))
+    before = _state(spark, base, n).select("run_id", "state.*").withColumns(
+        {"n_items": F.lit(0).cast("long"), "n_earlier": F.col("n_earlier") + F.col("next")})
     known = before.unionByName(numbered.groupBy("run_id").agg(F.count("*").alias("n_items")), allowMissingColumns=True)
     began = known.groupBy("run_id").agg(F.struct(
-        F.lit(0).cast("long").alias("next"), F.max("n_items").alias("n_items"), F.lit(block).cast("long").alias("width"),
+        F.lit(0).cast("long").alias("next"), F.max("n_items").alias("n_items"),
+        F.coalesce(F.max("width"), F.lit(block)).cast("long").alias("width"), F.coalesce(F.max("n_earlier"), F.lit(0)).cast("long").alias("n_earlier"),
         F.coalesce(F.max("n_chunks"), F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce(F.first("pool", ignorenulls=True), seeds).alias("pool"),
         F.coalesce(F.first("waiting", ignorenulls=True), F.array().cast("array<struct<item_id long, rule_text string>>")).alias("waiting"),
