@@ -48,6 +48,8 @@ FOLDS, HELD_OUT = 4, 2
 #: Steps of a cost in a bit.
 STEPS = 1 << 24
 _LETTERS = regex.compile(r"\p{L}+")
+#: Spaces for what is no letter among the ASCII characters.
+_SPACED = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _RUNS = re.compile(r"[^\W\d_]+")
 _BEGIN, _END = "\x02", "\x03"
 #: What each character before the end of a gram is multiplied by in the gram's name.
@@ -58,9 +60,11 @@ def words_of(text: bytes | None) -> list[str]:
     """Runs of letters, lower-cased."""
     if not text:
         return []
-    runs = _RUNS.findall(text.decode().lower())
-    # A run of this pattern may hold numbers that are no digits; joined runs are letters just where each one is.
-    return runs if "".join(runs).isalpha() else [w for r in runs for w in _LETTERS.findall(r)]
+    # Lower-cased before anything is cut, as a letter's form may depend on what stands around it.
+    runs = text.decode().lower().encode().translate(_SPACED).decode().split()
+    # A run may hold characters beyond ASCII that are no letters; joined runs are letters just where each one is.
+    return runs if "".join(runs).isalpha() else [
+        w for r in runs for part in ((r,) if r.isalpha() else _RUNS.findall(r)) for w in ((part,) if part.isalpha() else _LETTERS.findall(part))]
 
 
 def grams_of(word: str) -> list[str]:
@@ -68,6 +72,37 @@ def grams_of(word: str) -> list[str]:
     return [padded[i:i + ORDER] for i in range(len(word) + 1)]
 
 
+def _windows(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Padded words in one text, its code points, how many grams each word has and where every gram begins."""
+    padded = _BEGIN * (ORDER - 1) + (_END + _BEGIN * (ORDER - 1)).join(words) + _END
+    codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 1 for w in words])
+    # Windows that start before a word's end belong to it, those within the padding to none.
+    begins = np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]]
+    return padded, codes, sizes, np.arange(sizes.sum()) + np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+
+
+def counted(words: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """Grams of words that occur so often, each with its count; a gram may come several times."""
+    listed, times = list(words), np.fromiter(words.values(), np.int64, len(words))
+    for lo, hi in pieces(list(map(len, listed))):
+        padded, codes, sizes, begins = _windows(listed[lo:hi])
+        used = np.zeros(int(codes.max()) + 1, bool)
+        used[codes] = True
+        bits = int(used.sum()).bit_length()
+        if bits * ORDER > 64:
+            # Too many different characters for a number to hold a gram.
+            yield from ((gram, n) for word, n in zip(listed[lo:hi], times[lo:hi].tolist(), strict=True) for gram in grams_of(word))
+            continue
+        dense, packed = (np.cumsum(used) - 1).astype(np.uint64)[codes], np.zeros(len(begins), np.uint64)
+        for k in range(ORDER):
+            packed = (packed << np.uint64(bits)) | dense[begins + k]
+        _, first, inverse = np.unique(packed, return_index=True, return_inverse=True)
+        totals = np.zeros(len(first), np.int64)
+        np.add.at(totals, inverse, np.repeat(times[lo:hi], sizes))
+        yield from zip((padded[i:i + ORDER] for i in begins[first].tolist()), totals.tolist(), strict=True)
+
+
 def codes_of(grams: list[str]) -> np.ndarray:
     """Code points of grams of one length, a row a gram."""
     return np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(len(grams), -1).astype(np.uint64)
@@ -94,9 +129,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         def cut() -> None:
             for lang, counts in words.items():
                 held = grams[lang]
-                for word, n in counts.items():
-                    for gram in grams_of(word):
-                        held[gram] += n
+                for gram, n in counted(counts):
+                    held[gram] += n
             words.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -313,15 +347,10 @@ class Words:
 
     def added(self, words: list[str]) -> np.ndarray:
         """Costs and characters (with the end) of each word; names of grams that are not held go to ``others``."""
-        padded = _BEGIN * (ORDER - 1) + (_END + _BEGIN * (ORDER - 1)).join(words) + _END
-        codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        _, codes, sizes, inside = _windows(words)
         sums = np.zeros(len(codes) - ORDER + 1, np.uint64)
         for k in range(ORDER):
             sums += codes[ORDER - 1 - k:len(codes) - k] * _FACTORS[k]
-        sizes = np.array([len(w) + 1 for w in words])
-        # Windows that start before a word's end belong to it, those within the padding to none.
-        begins = np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]]
-        inside = np.arange(sizes.sum()) + np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
         sought = mixed(sums[inside])
         at = np.minimum(np.searchsorted(self.named, sought), max(len(self.named) - 1, 0))
         known = self.named[at] == sought if len(self.named) else np.zeros(len(sought), bool)
@@ -337,8 +366,7 @@ class Words:
     def totals(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[Counter]]:
         """Of texts, costs of the held grams under each language and characters, and counts of the other grams."""
         lists, places = [words_of(t) for t in texts], self.places
-        new = list({w for ws in lists for w in ws if w not in places})
-        extra: dict[str, int] = {}
+        new = [w for w in set().union(*lists) if w not in places]
         rows = self.added(new) if new else self.table[:0]
         # What is remembered comes first in the table, the rest of this piece behind it.
         room = min(len(new), len(self.table) - len(places))
@@ -348,17 +376,17 @@ class Words:
         table = self.table
         if room < len(new):
             table = np.vstack([self.table, rows[room:]])
-            extra = {w: len(self.table) + k for k, w in enumerate(new[room:])}
+            places.update((w, len(self.table) + k) for k, w in enumerate(new[room:]))
         total, others = np.zeros((len(texts), self.table.shape[1]), np.int64), []
         for i, ws in enumerate(lists):
-            total[i] = table[np.fromiter((places[w] if w in places else extra[w] for w in ws), np.int64, len(ws))].sum(0)
+            total[i] = table[np.fromiter(map(places.__getitem__, ws), np.int64, len(ws))].sum(0)
             said: Counter = Counter()
             if self.others:
-                for w in ws:
-                    if w in self.others:
-                        said.update(self.others[w].tolist())
+                for w in filter(self.others.__contains__, ws):
+                    said.update(self.others[w].tolist())
             others.append(said)
         for w in new[room:]:
+            del places[w]
             self.others.pop(w, None)
         return total, others
 

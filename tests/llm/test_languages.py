@@ -163,3 +163,14 @@ def test_long_and_late_texts_count_for_the_limit(spark):
             languages.gram_counts(told.selectExpr("cast(null as string) lang", "text")))
         limits.append(languages.learned(told, languages.written(counts, "counts"))[0].limit)
     assert limits[1] > 3 * limits[0]
+
+
+@pytest.mark.parametrize("words", [{}, {"a": 2, "abca": 3, "\u00e9t\u00e9": 1, "b" * 50: 2 ** 40}, {chr(0x4e00 + i) + "x": i + 1 for i in range(5000)}])
+def test_grams_of_many_words_are_counted_at_once(words):
+    want, got = Counter(), Counter()
+    for word, n in words.items():
+        for gram in grams_of(word):
+            want[gram] += n
+    for gram, n in languages.counted(words):
+        got[gram] += n
+    assert got == want
