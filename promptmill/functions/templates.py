@@ -26,6 +26,15 @@ MERGE_TEMPLATE = (
 )
 GENERATE_TEMPLATE = "Write {num} different prompts, one per line, that follow this rule:\n\n{rules_block}"
 
+# Formats of what is shown to the optimizer, a place ``{}`` for each text.
+CASE = "<CASE>\nOriginal Prompt: {}\nModel Output: {}\n</CASE>"
+REWRITE_MESSAGE = (
+    "[TASK CONTEXT]\nQuestion: {}\nGround Truth: {}\n\n[FAILED PROMPTS & OUTPUTS]\n{}\n\n[SUCCESSFUL PROMPTS (REFERENCE)]\n{}"
+)
+PAIR = "Original: {}\nImproved: {}"
+RULE_MESSAGE = "Correct Prompts:\n{}"
+NUMBERED_RULE = "Rule {}:\n{}"
+
 # User messages of the merge and generation requests.
 MERGE_MESSAGE = "Please fill the template based on the rules above."
 
@@ -46,28 +55,31 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def put(form: str, *texts: Column) -> Column:
+    """Texts in the places ``{}`` of a fixed format; null if one of them is."""
+    first, *rest = form.split("{}")
+    parts = [F.lit(first)] + [part for text, after in zip(texts, rest, strict=True) for part in (text, F.lit(after))]
+    return F.concat(*parts)
+
+
 def case_text(prompt: Column, shown_output: Column) -> Column:
-    return F.concat(
-        F.lit("<CASE>\nOriginal Prompt: "), prompt, F.lit("\nModel Output: "), shown_output, F.lit("\n</CASE>"))
+    return put(CASE, prompt, shown_output)
 
 
 def rewrite_message(question: Column, answer: Column, cases: Column, correct: Column) -> Column:
-    return F.concat(
-        F.lit("[TASK CONTEXT]\nQuestion: "), question, F.lit("\nGround Truth: "), answer,
-        F.lit("\n\n[FAILED PROMPTS & OUTPUTS]\n"), cases,
-        F.lit("\n\n[SUCCESSFUL PROMPTS (REFERENCE)]\n"), correct)
+    return put(REWRITE_MESSAGE, question, answer, cases, correct)
 
 
 def pair_text(old: Column, new: Column) -> Column:
-    return F.concat(F.lit("Original: "), old, F.lit("\nImproved: "), new)
+    return put(PAIR, old, new)
 
 
 def rule_message(correct: Column) -> Column:
-    return F.concat(F.lit("Correct Prompts:\n"), correct)
+    return put(RULE_MESSAGE, correct)
 
 
 def numbered_rule(number: Column, rule: Column) -> Column:
-    return F.concat(F.lit("Rule "), number.cast("string"), F.lit(":\n"), rule)
+    return put(NUMBERED_RULE, number.cast("string"), rule)
 
 
 def outcome_block(correct: Column, wrong: Column) -> Column:

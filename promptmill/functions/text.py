@@ -37,7 +37,7 @@ def _or_null(found: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def _last(pattern: str) -> str:
+def last_of(pattern: str) -> str:
     """The same pattern's last match. Anchored, so a miss costs one scan and not one per character."""
     return rf"(?s)\A.*{pattern}"
 
@@ -50,7 +50,7 @@ def last_number(text: Column) -> Column:
 
 def loose_choice(text: Column) -> Column:
     """The last letter A-D anywhere in the text, inside words too."""
-    return F.upper(_or_null(F.regexp_extract(text, _last("([A-Da-d])"), 1)))
+    return F.upper(_or_null(F.regexp_extract(text, last_of("([A-Da-d])"), 1)))
 
 
 def _phrase(lowered: Column) -> Column:
@@ -62,7 +62,7 @@ def _phrase(lowered: Column) -> Column:
 
 def _search(pattern: str) -> Callable[[Column, Callable[[str], Column]], Column]:
     return lambda text, was: F.when(was("phrase").isNotNull(), F.regexp_extract(was("tail"), pattern, 1)).otherwise(
-        F.regexp_extract(was("tail"), _last(pattern), 1))
+        F.regexp_extract(was("tail"), last_of(pattern), 1))
 
 
 def _letter(text: Column, was: Callable[[str], Column]) -> Column:
@@ -112,8 +112,12 @@ def strict_choices(texts: Column) -> Column:
     return F.transform(read, lambda x: x["letter"])
 
 
+def tag_pattern(tag: str, gap: str) -> str:
+    return rf"(?is)<{tag}{gap}BEGIN>(.*?)</{tag}{gap}END>"
+
+
 def _tag_bodies(text: Column, tag: str, gap: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}{gap}BEGIN>(.*?)</{tag}{gap}END>"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(tag_pattern(tag, gap)), F.lit(1))
 
 
 def tag_blocks_steps(text: Column, tag: str, out: str) -> list[dict[str, Column]]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from promptmill.workspace import deleted, dropped, fresh_folder, written
 
+# Sent to executors as code, so that the library need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ``(system, user)`` to a text, or to a text with prompt and completion tokens.
 Model = Callable[[str, str], "str | tuple[str, int, int]"]
 

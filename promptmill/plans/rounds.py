@@ -4,6 +4,7 @@ Pools follow one another: what a pool is made of was answered under the one befo
 takes very many rounds over few items each, and what a round costs besides its calls decides.
 A round here keeps an item in one row, its calls in lists, so that the steps of ``plans.steps`` follow one another
 inside a task. Rows meet once, by run, where the rules of a chunk are merged; one table is written.
+Rounds of a run that would each be one task are played in one go, as a stretch (``plans.stretches``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptmill.functions import templates as tp
 from promptmill.functions import text as tx
@@ -21,17 +23,21 @@ from promptmill.operators.completion import list_completer
 from promptmill.operators.ordered import with_ordinal
 from promptmill.operators.outcomes import ITEM
 from promptmill.plans.steps import Models, Settings
-from promptmill.workspace import folders, fresh_folder, written
+from promptmill.plans.stretches import player
+from promptmill.workspace import deleted, folders, fresh_folder, written
 
-#: Items of a run that lie in one folder, and the most that a round takes of a run.
+#: Items of a run that lie in one folder, and the most that a round or a stretch takes of a run.
 PART, MOST = 250, 10_000
 #: Items of a round that are not dealt to more tasks, and runs, unless ``Settings.partitions`` asks for as many.
 TASK_ITEMS, TASK_RUNS = 500, 100
+#: Runs up to which each is given a task of a stretch by its number; more are dealt by hash.
+NUMBERED_RUNS = 10_000
 
-#: What a round hands to the next, a row a run: the pool in force, the rules that wait for a chunk, how many chunks were
-#: made, and where the run stands in its items, of which ``n_earlier`` came in earlier parts of the job.
+#: What a job hands to the next, a row a run: the pool in force, the rules that wait for a chunk, how many chunks were
+#: made, and where the run stands in its items, of which ``n_earlier`` came in earlier parts of the job. ``n_rounds`` were
+#: played of the run by the last job.
 _STATE = """is_run boolean, run_id long, state struct<next long, n_items long, width long, n_earlier long, n_chunks long,
-    pool array<struct<prompt_pos int, prompt string>>, waiting array<struct<item_id long, rule_text string>>, is_new boolean>"""
+    pool array<struct<prompt_pos int, prompt string>>, waiting array<struct<item_id long, rule_text string>>, is_new boolean, n_rounds long>"""
 _TABLE = "played"
 _CALL = ("tries", "error", "prompt_tokens", "completion_tokens")
 
@@ -45,11 +51,17 @@ def _played(spark: SparkSession, base: str, n: int) -> DataFrame:
     return spark.read.parquet(f"{base}/{_TABLE}").where(F.col("round") <= n).drop("round")
 
 
+def _numbers(spark: SparkSession, base: str) -> list[int]:
+    """The first rounds of the jobs that left rows in ``base``."""
+    return [int(name.rpartition("=")[2]) for name in folders(spark, f"{base}/{_TABLE}") if name.startswith("round=")]
+
+
 def _state(spark: SparkSession, base: str, n: int) -> DataFrame:
-    """Rows of the runs as round ``n`` of the job in ``base`` left them; none before the first."""
+    """Rows of the runs as the job that played round ``n`` in ``base`` left them; none before the first."""
     if n == 0:
         return spark.createDataFrame([], _STATE)
-    return spark.read.schema(_STATE).parquet(f"{base}/{_TABLE}/round={n}").where("is_run")
+    first = max(number for number in _numbers(spark, base) if number <= n)
+    return spark.read.schema(_STATE).parquet(f"{base}/{_TABLE}/round={first}").where("is_run and state is not null")
 
 
 def left_of(spark: SparkSession, base: str, n: int) -> tuple[DataFrame, DataFrame]:
@@ -195,7 +207,7 @@ def _handed_on(size: int, block: int) -> list[Column]:
             F.when(filled, last["ordinal"] + 1).otherwise(ends).alias("next"), before["n_items"].alias("n_items"),
             F.least(width, F.lit(max(MOST, block))).cast("long").alias("width"), before["n_earlier"].alias("n_earlier"),
             (before["n_chunks"] + filled.cast("long")).alias("n_chunks"), F.coalesce(made, before["pool"]).alias("pool"),
-            waiting.alias("waiting"), F.lit(False).alias("is_new"))).alias("state"),
+            waiting.alias("waiting"), F.lit(False).alias("is_new"), F.lit(1).cast("long").alias("n_rounds"))).alias("state"),
         F.when(is_run & filled, F.struct(
             before["n_chunks"].alias("chunk"), F.lit(size).cast("long").alias("n_rules"), last["item_id"].alias("sample_idx"),
             F.lit(False).alias("is_tail"), F.col("merged").alias("rule_text"))).alias("tier1"),
@@ -247,6 +259,43 @@ def _round_of(numbered: DataFrame, models: Models, settings: Settings, block: in
     return play
 
 
+_AT_WORK = "state.next < state.n_items"
+#: Runs of which a round would be one task.
+_NARROW = f"{_AT_WORK} and state.width <= {TASK_ITEMS}"
+
+
+def _due(which: str, most: Column, name: str) -> list[Column]:
+    """Between which ordinals the next items of some runs lie, ``most`` a run, how many they are, and how many runs have any."""
+    end = F.least(F.col("state.next") + most, F.col("state.n_items"))
+    return [f(F.when(F.expr(which), c)).alias(f"{name}_{of}") for f, c, of in (
+        (F.min, F.col("state.next"), "low"), (F.max, end, "high"), (F.sum, end - F.col("state.next"), "items"), (F.count, F.lit(1), "runs"))]
+
+
+def _stretch_of(numbered: DataFrame, models: Models, settings: Settings, block: int, rows: T.StructType) -> Callable[[DataFrame, DataFrame, int, int], DataFrame]:
+    """A function from a part of ``numbered``, the state before, and how many runs are narrow and there, to the rows of a stretch of the narrow ones.
+
+    Runs stay in one task each. ``rows`` is the schema of a round, which a stretch has too.
+    """
+    cores = numbered.sparkSession.sparkContext.defaultParallelism
+    play, schema = player(models, settings, block, MOST, TASK_ITEMS, rows)
+    own = [c for c in numbered.columns if c not in (*ITEM, "question", "ordinal", "part")]
+    due = (F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("ordinal") >= F.col("_next")) & (F.col("ordinal") < F.col("_next") + MOST))
+
+    def go_on(part: DataFrame, state: DataFrame, n_narrow: int, n_runs: int) -> DataFrame:
+        # Narrow runs come first, so that as many tasks as there are have one each.
+        order = Window.partitionBy("is_run").orderBy(F.when(F.expr(_NARROW), 0).otherwise(1), "run_id")
+        lane = F.row_number().over(order) if n_runs <= NUMBERED_RUNS else F.hash("run_id")
+        laned = state.withColumn("lane", lane)
+        at = laned.where(_NARROW).select(F.col("run_id").alias("_run"), F.col("state.next").alias("_next"), "lane")
+        todo = part.join(at, due).select(
+            F.lit(False).alias("is_run"), *ITEM, "ordinal", "question", "answer", "type", F.struct(*own).alias("item"), "lane")
+        tasks = settings.partitions or min(n_narrow, 4 * cores)
+        both = todo.unionByName(laned, allowMissingColumns=True).repartitionById(tasks, F.pmod("lane", F.lit(tasks)))
+        # A run's state comes before its items.
+        return both.sortWithinPartitions("run_id", F.desc("is_run"), "ordinal").drop("lane").mapInArrow(play, schema)
+    return go_on
+
+
 def _pool_from(pool: Column, valid_from: Column) -> Column:
     return F.transform(pool, lambda p: F.struct(
         valid_from.alias("valid_from"), p["prompt_pos"].alias("prompt_pos"), p["prompt"].alias("prompt")))
@@ -258,8 +307,15 @@ def _none_from() -> Column:
 
 def play_exactly(items: DataFrame, prompts: list[str] | tuple[str, ...], models: Models, settings: Settings,
                  base: str, n: int, block: int) -> int:
-    """Play rounds after round ``n`` of the job in ``base`` until ``items`` are used up; returns the last round's number."""
+    """Play rounds after round ``n`` of the job in ``base`` until ``items`` are used up; returns the last round's number.
+
+    A job's rows have the number of the first round that it played.
+    """
     spark = items.sparkSession
+    # What is played again may be cut into jobs at other rounds.
+    for number in _numbers(spark, base):
+        if number > n:
+            deleted(spark, f"{base}/{_TABLE}/round={number}")
     rules.size_ok(settings.group_size)
     # Numbered once and stored by place, so that a round reads only its part.
     numbered = with_ordinal(items, ["run_id"], "item_id").withColumn("part", F.floor(F.col("ordinal") / PART))
@@ -278,20 +334,23 @@ def play_exactly(items: DataFrame, prompts: list[str] | tuple[str, ...], models:
         F.coalesce(F.max("n_chunks"), F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce(F.first("pool", ignorenulls=True), seeds).alias("pool"),
         F.coalesce(F.first("waiting", ignorenulls=True), F.array().cast("array<struct<item_id long, rule_text string>>")).alias("waiting"),
-        F.coalesce(F.min("is_new"), F.lit(True)).alias("is_new")).alias("state"))
+        F.coalesce(F.min("is_new"), F.lit(True)).alias("is_new"), F.lit(0).cast("long").alias("n_rounds")).alias("state"))
     state = written(began.select(F.lit(True).alias("is_run"), "run_id", "state"), "state")
 
-    at_work, end = F.expr("state.next < state.n_items"), F.expr("least(state.next + state.width, state.n_items)")
-    due = [f(F.when(at_work, c)).alias(name) for f, c, name in (
-        (F.min, F.col("state.next"), "low"), (F.max, end, "high"), (F.sum, end - F.col("state.next"), "items"))]
-    due.append(F.count("state").alias("runs"))
-    low, high, n_items, n_runs = state.agg(*due).first()
+    told_of = [*_due(_AT_WORK, F.col("state.width"), "any"), *_due(_NARROW, F.lit(MOST), "narrow"),
+               F.count("state").alias("runs"), F.max("state.n_rounds").alias("rounds")]
+    told = state.agg(*told_of).first().asDict()
     play = _round_of(numbered, models, settings, block)
-    while low is not None:
-        n += 1
-        seen = Observation("round")
+    go_on = _stretch_of(numbered, models, settings, block, play(numbered, state, 1, 1).schema)
+    while told["any_runs"]:
+        # What is asked for more calls in flight than there are runs is played by rounds, which deal a run's items to tasks.
+        in_one = told["narrow_runs"] > 0 and (settings.partitions or 0) <= told["narrow_runs"]
+        low, high = (told[f"{'narrow' if in_one else 'any'}_{end}"] for end in ("low", "high"))
         part = numbered.where(F.col("part").between(low // PART, (high - 1) // PART))
-        play(part, state, n_items, n_runs).observe(seen, *due).write.mode("overwrite").parquet(f"{base}/{_TABLE}/round={n}")
-        low, high, n_items, n_runs = (seen.get[name] for name in ("low", "high", "items", "runs"))
-        state = _state(spark, base, n)
+        rows = go_on(part, state, told["narrow_runs"], told["runs"]) if in_one else play(part, state, told["any_items"], told["runs"])
+        seen = Observation("round")
+        rows.observe(seen, *told_of).write.mode("overwrite").parquet(f"{base}/{_TABLE}/round={n + 1}")
+        told = seen.get
+        state = _state(spark, base, n + 1)
+        n += told["rounds"]
     return n
