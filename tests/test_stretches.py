@@ -146,3 +146,16 @@ def test_executors_need_not_import_the_library(spark, items, tmp_path):  # noqa:
     told = subprocess.run([sys.executable, "-I", "-c", f"import pickle, sys; pickle.load(open({f'{tmp_path}/play'!r}, 'rb')); print([m for m in sys.modules if 'promptmill' in m])"],
                           cwd=tmp_path, capture_output=True, text=True)
     assert told.stdout == "[]\n", told.stderr[-500:]
+
+
+def test_pools_in_force_over_many_chunks(spark, items):  # noqa: F811
+    """One table of one job holds many pools, each in force from the item after its chunk."""
+    from promptmill.operators.pools import ask_pool_in_force
+    base = fresh_folder(spark, "in-force")
+    n = improvement.play_items(items, SEEDS, MODELS, PAIRS, base, 0)
+    done, keys = improvement.tables_of(spark, base, n), ["run_id", "item_id", "prompt_pos", "prompt"]
+    due = ask_pool_in_force(items.select("run_id", "item_id"), done["pools"])
+    assert sorted(map(tuple, done["graded"].select(keys).collect())) == sorted(map(tuple, due.select(keys).collect()))
+    made = done["tier1"].selectExpr("run_id", "sample_idx + 1 as valid_from")
+    assert done["pools"].where("valid_from > 0").join(made, ["run_id", "valid_from"], "left_anti").isEmpty()
+    assert done["pools"].select("run_id", "valid_from").distinct().count() > 4 and len(folders(spark, f"{base}/played")) < n
