@@ -159,3 +159,16 @@ def test_pools_in_force_over_many_chunks(spark, items):  # noqa: F811
     made = done["tier1"].selectExpr("run_id", "sample_idx + 1 as valid_from")
     assert done["pools"].where("valid_from > 0").join(made, ["run_id", "valid_from"], "left_anti").isEmpty()
     assert done["pools"].select("run_id", "valid_from").distinct().count() > 4 and len(folders(spark, f"{base}/played")) < n
+
+
+def test_a_batch_of_a_stream_does_not_take_a_job_a_chunk(spark, tmp_path):
+    from promptmill.streaming.pools import last_round, start_improving
+    base, some = f"{tmp_path}/out", _many(spark, 80)
+    for part in ("item_id < 40", "item_id >= 40"):
+        some.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(some.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    running = start_improving(arriving, SEEDS, _always_ruled(), PAIRS, base, f"{tmp_path}/log")
+    running.awaitTermination()
+    n = last_round(spark, base, running.lastProgress["batchId"])
+    assert improvement.tables_of(spark, base, n)["tier1"].count() == n == 40
+    assert len(folders(spark, f"{base}/played")) <= 4
