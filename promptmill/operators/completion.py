@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from promptmill.workspace import deleted, dropped, fresh_folder, written
+from promptmill.workspace import deleted, dropped, fresh_folder, shuffles_dropped, written
 
 # Sent to executors as code, so that the library need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -112,18 +112,23 @@ def request_id(keys: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*keys, "system", "user"), {"ignoreNullFields": "false"}), 256)
 
 
-#: Calls of a task of a cut job, if a piece has as many, and the most tasks of one job.
-TASK_CALLS, JOB_TASKS = 1_000, 20_000
+#: Calls of a task of a cut job, if a piece has as many, and the most tasks of one job (``CORE_TASKS`` a core if that is more):
+#: the texts that a job moves lie on disk until it is done.
+TASK_CALLS, JOB_TASKS, CORE_TASKS = 1_000, 1_000, 16
+#: Parts that a task's share of requests is dealt in. Requests that lie side by side stay so: they often hold the same text.
+TASK_SLOTS = 16
 
 
 def complete_once(requests: DataFrame, model: Callable[[], Model], store: str, keys: list[str], piece_calls: int = 100_000,
                   out: str = "raw_output", **how) -> DataFrame:
     """Ask only what ``store`` holds no answer to yet, and give the answers to all ``requests``.
 
-    More than ``piece_calls`` open requests are dealt by their id to small tasks, and a task's answers are kept as soon as it is
+    More than ``piece_calls`` open requests are dealt by their place to small tasks, and a task's answers are kept as soon as it is
     done: a lost job asks again what its tasks had in hand, some ``piece_calls`` in all (or ``TASK_CALLS`` a core, if that is
     more). Jobs do not follow the number of pieces. Requests that failed are kept as failed. ``keys`` tell requests apart; a
     request that stands twice is asked once.
+
+    Texts are written once, as they come, and moved once, to their task. What is open is found by ids and places alone.
     """
     spark = requests.sparkSession
     named = requests.withColumn(REQUEST, request_id(keys))
@@ -132,30 +137,42 @@ def complete_once(requests: DataFrame, model: Callable[[], Model], store: str, k
     root = spark._jvm.org.apache.hadoop.fs.Path(store)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
     told = spark.read.schema(schema).parquet(store).select(REQUEST)
-    open_ = written(named.select(REQUEST, "system", "user").join(told, REQUEST, "left_anti"), "open_requests")
-    calls, different = open_.agg(F.count("*"), F.count_distinct(REQUEST)).first()
-    asked = open_ if calls == different else open_.dropDuplicates([REQUEST])
-    at_once = how.pop("partitions", None)
+    lying = fresh_folder(spark, "laid_requests")
+    named.select(REQUEST, "system", "user", F.monotonically_increasing_id().alias("place")).write.option("compression", "zstd").parquet(lying)
+    laid = spark.read.schema(f"{REQUEST} string, system string, user string, place long").parquet(lying)
+    # Of requests that stand twice the first place is open.
+    first = laid.select(REQUEST, "place").join(told, REQUEST, "left_anti").groupBy(REQUEST).agg(F.min("place").alias("place"))
+    open_ = written(first.select("place"), "open_places")
+    different, at_once = open_.count(), how.pop("partitions", None)
+    all_open = different == laid.count()
     size = min(piece_calls, max(TASK_CALLS, -(-piece_calls // (at_once or spark.sparkContext.defaultParallelism))))
-    tasks = -(-different // size)
-    most = at_once or JOB_TASKS
+    tasks, most = -(-different // size), at_once or max(JOB_TASKS, CORE_TASKS * spark.sparkContext.defaultParallelism)
     jobs = -(-tasks // most) if different > piece_calls else min(different, 1)
-    laid = fresh_folder(spark, "laid_requests") if jobs > 1 else None
-    if laid:
-        # Laid out by job, so that all jobs together read every request once.
-        asked.withColumn("job", F.pmod(F.xxhash64(REQUEST), F.lit(jobs)).cast("int")).write.partitionBy("job").parquet(laid)
-        asked = spark.read.schema(f"{REQUEST} string, system string, user string, job int").parquet(laid)
-    for job in range(jobs):
-        part = asked.where(F.col("job") == job).drop("job") if laid else asked
+    of_one = at_once or -(-tasks // max(jobs, 1))
+    width = max(1, size // TASK_SLOTS)
+    slot = F.expr(f"place div {width}L").alias("slot")
+    bounds = [None] * (jobs + 1)
+    if jobs > 1:
+        # A job reads its part of the places only.
+        shares = [F.lit(i / jobs) for i in range(1, jobs)]
+        bounds[1:-1] = [place // width * width for place in open_.agg(F.percentile_approx("place", F.array(*shares), F.lit(100 * jobs))).first()[0]]
+    for low, high in zip(bounds, bounds[1:]):
+        def of_job(df: DataFrame) -> DataFrame:
+            df = df if low is None else df.where(F.col("place") >= low)
+            return df if high is None else df.where(F.col("place") < high)
         if different > piece_calls:
-            part = part.repartition(min(tasks, most), REQUEST)
-        elif at_once:
-            part = part.repartition(at_once)
-        answers = complete(part, model, out=out, asked_at=ASKED_AT, **how).select(*fields)
+            part = of_job(laid).select("*", slot).repartition(min(tasks, of_one), "slot")
+            if not all_open:
+                places = of_job(open_).select("place", slot).repartition(min(tasks, of_one), "slot").groupBy("slot").agg(F.collect_list("place").alias("places"))
+                part = part.join(places, "slot").where(F.array_contains("places", F.col("place")))
+        else:
+            part = laid if all_open else laid.join(open_, "place", "left_semi")
+            part = part.repartition(at_once) if at_once else part
+        answers = complete(part.select(REQUEST, "system", "user"), model, out=out, asked_at=ASKED_AT, **how).select(*fields)
         # By this rule files are in their place once their task is done, not only once its job is.
-        answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
-    if laid:
-        deleted(spark, laid)
+        with shuffles_dropped(spark):
+            answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+    deleted(spark, lying)
     dropped(open_)
     return named.drop("system", "user").join(spark.read.schema(schema).parquet(store), REQUEST)
 

@@ -143,3 +143,42 @@ def test_answers_of_finished_tasks_stay_when_the_job_is_lost(spark, tmp_path):
     assert lost - kept <= 12 * spark.sparkContext.defaultParallelism and kept > 0
     complete_once(asked, counted(scorer, folder), store, ["id"], piece_calls=4, max_tries=1)
     assert calls(folder) == lost + 240 - kept and spark.read.parquet(store).select("request_id").distinct().count() == 240
+
+
+def test_texts_of_a_job_started_again_take_little_disk(spark, tmp_path):
+    """Texts were sorted by request id to find those without an answer, so that the requests of one item no longer lay beside each other."""
+    from promptmill.operators.completion import complete_once
+    from promptmill.workspace import shared_folder
+    shared, sizes = shared_folder(spark).removeprefix("file:"), f"{tmp_path}/sizes"
+    there = set(os.listdir(shared))
+
+    def size():
+        return sum(os.path.getsize(f"{at}/{name}") for top in set(os.listdir(shared)) - there for at, _, names in os.walk(f"{shared}/{top}") for name in names)
+
+    def measured():
+        def answer(system, user):
+            with open(sizes, "a", encoding="utf-8") as file:
+                file.write(f"{size()}\n")
+            return user[:20]
+        return answer
+    asked = spark.range(60).selectExpr("id", "array_join(transform(sequence(1, 125), x -> sha2(concat(id, ' ', x), 256)), '') as question") \
+        .selectExpr("id", "explode(array(0, 1, 2, 3, 4)) as pos", "question").coalesce(2).selectExpr("id", "pos", "'s' as system", "concat(pos, ' ', question) as user")
+    keys = ["id", "pos"]
+    complete_once(asked.where("id % 2 = 0"), scorer, f"{tmp_path}/store", keys, piece_calls=20, retry_delay=0.0)
+    got = complete_once(asked, measured, f"{tmp_path}/store", keys, piece_calls=20)
+    assert got.select("id", "pos").distinct().count() == got.count() == 300
+    told = [int(line) for line in open(sizes, encoding="utf-8")]
+    # 150 calls over 300 requests of 8,000 characters, five of each text.
+    assert len(told) == 150 and max(told) < 300 * 8_000 / 4
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_jobs_of_a_piece_read_their_part(spark, tmp_path):
+    """Requests of many jobs are cut by place; none is left out or asked twice."""
+    from promptmill.operators.completion import complete_once
+    asked = spark.range(0, 300, 1, 7).selectExpr("id % 150 as id", "'s' as system", "concat('u', id % 150) as user")
+    for share, calls_so_far in (("id % 3 = 0", 50), ("true", 150)):
+        folder = f"{tmp_path}/calls"
+        os.makedirs(folder, exist_ok=True)
+        complete_once(asked.where(share), counted(scorer, folder), f"{tmp_path}/store", ["id"], piece_calls=5, max_tries=1, partitions=4)
+        assert calls(folder) == calls_so_far == spark.read.parquet(f"{tmp_path}/store").count()
