@@ -108,6 +108,9 @@ def test_runs_go_on_after_a_stretch_of_the_most_items(spark, monkeypatch):
     monkeypatch.setattr(rounds, "MOST", 7)
     _, jobs, parts = _tables(spark, some, PAIRS, _always_ruled())
     assert jobs == 9 and parts == whole
+    # More runs than are numbered are dealt by hash.
+    monkeypatch.setattr(rounds, "NUMBERED_RUNS", 1)
+    assert _tables(spark, some, PAIRS, _always_ruled())[2] == whole
 
 
 def test_a_part_played_again_leaves_nothing_of_the_first_time(spark, items):  # noqa: F811
